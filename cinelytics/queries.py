@@ -281,3 +281,7 @@ def q_positive_predictions(spark, d):
     from .functions.columns import is_positive_prediction
 
     return biased.where(is_positive_prediction("prediction")).select("userid", "movieid", "rating", "prediction")
+
+
+# Further registrations live in sibling modules; importing them fills the registry.
+from . import queries_web  # noqa: E402,F401
