@@ -65,8 +65,8 @@ def movieinfo_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _favorite_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events")
+def favorite_rows(ev: DataFrame) -> DataFrame:
+    """Favourite requests from an events frame (batch or stream)."""
     category = (
         F.when(F.col("event_type") == "view", "want_watch")
         .when(F.col("event_type") == "click", "watched")
@@ -81,6 +81,10 @@ def _favorite_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _favorite_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return favorite_rows(table(spark, sf_dir, "events"))
+
+
 def favorites_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         _favorite_events(spark, sf_dir)
@@ -108,8 +112,8 @@ def recommendations_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.where(F.col("rn") <= 10).select("userid", "movieid", F.col("degree").cast("float").alias("degree"))
 
 
-def progress_v(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events")
+def progress_rows(ev: DataFrame) -> DataFrame:
+    """Progress log rows from an events frame (batch or stream)."""
     return ev.select(
         F.col("user_id").cast("int").alias("userid"),
         "event_id",
@@ -121,8 +125,13 @@ def progress_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def submissions_v(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events").where(F.col("event_type") == "signup")
+def progress_v(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return progress_rows(table(spark, sf_dir, "events"))
+
+
+def submission_rows(ev: DataFrame) -> DataFrame:
+    """Rating submissions from an events frame (batch or stream)."""
+    ev = ev.where(F.col("event_type") == "signup")
     eid = F.col("event_id")
 
     def s(c):
@@ -140,6 +149,10 @@ def submissions_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def submissions_v(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return submission_rows(table(spark, sf_dir, "events"))
+
+
 _BUILDERS = {
     "ratings_v": ratings_v,
     "my_ratings_v": my_ratings_v,

@@ -4,7 +4,6 @@ report, recommendations for one user and for many)."""
 from __future__ import annotations
 
 import itertools
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -174,7 +173,6 @@ def recommend_for_users(model, users: DataFrame, seen: DataFrame, catalog: DataF
     and users that still have fewer than ``n`` survivors while their k-th score
     is positive and the model has more items are asked again with twice k.  The
     result is exact; no cap on candidates."""
-    spark = users.sparkSession
     n_items = model.itemFactors.count()
     seen_pairs = seen.select("userid", item_col).distinct()
     seen_counts = seen_pairs.groupBy("userid").agg(F.count(F.lit(1)).alias("n_seen"))
@@ -194,13 +192,9 @@ def recommend_for_users(model, users: DataFrame, seen: DataFrame, catalog: DataF
             recs = model.recommendForUserSubset(tier_users, int(k)).select(
                 "userid", F.posexplode("recommendations").alias("pos", "rec")
             ).select("userid", "pos", F.col(f"rec.{item_col}").alias(item_col), F.col("rec.rating").alias("prediction"))
-            recs = recs.persist()
-            kept = (
-                recs.where(is_positive_prediction("prediction"))
-                .join(seen_pairs, ["userid", item_col], "left_anti")
-                .join(F.broadcast(catalog_ids) if catalog_ids.limit(2_000_001).count() <= 2_000_000 else catalog_ids,
-                      item_col, "left_semi")
-            )
+            positive = recs.where(is_positive_prediction("prediction")).join(seen_pairs, ["userid", item_col],
+                                                                              "left_anti")
+            kept = join_dimension(positive, catalog_ids, item_col, "left_semi")
             stats = recs.groupBy("userid").agg(F.count(F.lit(1)).alias("returned"), F.min("prediction").alias("last"))
             got = kept.groupBy("userid").agg(F.count(F.lit(1)).alias("n_kept"))
             need_more = (
@@ -224,6 +218,3 @@ def recommend_for_users(model, users: DataFrame, seen: DataFrame, catalog: DataF
     w = Window.partitionBy("userid").orderBy(F.desc("prediction"), F.asc(item_col))
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
-
-def log2_ceil(x: int) -> int:
-    return 0 if x <= 1 else math.ceil(math.log2(x))

@@ -53,10 +53,10 @@ def top_unseen_per_user(
     column of ``scores`` (e.g. the title)."""
     ranked = rank_catalog(scores, score_col, item_col)
     rank_of_item = ranked.select(item_col, "catalog_rank")
-    seen_ranks = join_dimension(seen.select(user_col, item_col).distinct(), rank_of_item, item_col).select(
-        user_col, "catalog_rank"
-    )
-    head = users.select(user_col).distinct().select(
+    wanted = users.select(user_col).distinct()
+    seen_of_wanted = join_dimension(seen.select(user_col, item_col), wanted, user_col, "left_semi").distinct()
+    seen_ranks = join_dimension(seen_of_wanted, rank_of_item, item_col).select(user_col, "catalog_rank")
+    head = wanted.select(
         user_col, F.explode(F.sequence(F.lit(1), F.lit(n))).alias("catalog_rank")
     )
     after_seen = seen_ranks.select(

@@ -285,3 +285,6 @@ def q_positive_predictions(spark, d):
 
 # Further registrations live in sibling modules; importing them fills the registry.
 from . import queries_web  # noqa: E402,F401
+from . import queries_io  # noqa: E402,F401
+from . import queries_model  # noqa: E402,F401
+from . import queries_stream  # noqa: E402,F401

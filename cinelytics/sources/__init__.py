@@ -1,0 +1 @@
+"""Sources and sinks: ``::`` text files, keyed Parquet tables, JDBC."""

@@ -1,0 +1,10 @@
+"""Structured Streaming operators (update-mode keyed state, idempotent batches)."""
+
+from .state import (  # noqa: F401
+    event_stream,
+    latest_state,
+    run_keyed_updates,
+    stream_favorites_dedup,
+    stream_latest_submissions,
+    stream_progress_latest,
+)
