@@ -62,7 +62,7 @@ def q_als_predict(spark, d):
 
 
 _GRID_SQL = "SELECT * FROM (VALUES " + ", ".join(
-    f"({i}, {p.rank}, {p.reg}, {p.max_iter}, true)" for i, p in enumerate(mdl.grid())
+    f"({i}, {p.rank}, CAST({p.reg} AS DOUBLE), {p.max_iter}, true)" for i, p in enumerate(mdl.grid())
 ) + ") g(grid_order, rank, reg_param, max_iter, rmse_finite)"
 
 
