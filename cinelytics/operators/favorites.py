@@ -84,4 +84,4 @@ def favorites_add(existing: DataFrame, requests: DataFrame) -> tuple[DataFrame,
 def favorites_remove(favorites: DataFrame, removals: DataFrame, by_category: bool = False) -> DataFrame:
     """Delete by (user, movie), or by (user, movie, category) when asked to."""
     keys = KEY if by_category else ["userid", "movieid"]
-    return favorites.join(removals.select(*keys).distinct(), keys, "left_anti")
+    return favorites.join(removals.select(*keys).distinct(), keys, "left_anti").select(*favorites.columns)

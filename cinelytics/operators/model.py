@@ -168,33 +168,46 @@ def recommend_for_users(model, users: DataFrame, seen: DataFrame, catalog: DataF
 
     ALS's own blocked top-k (``recommendForUserSubset``) returns the k best
     items of the whole model; seen and non-catalog items are removed afterwards.
-    k is sized per user: start from ``n + #seen`` rounded up to a power of two
-    (users are grouped in those tiers, so the fan-out stays linear in the data),
-    and users that still have fewer than ``n`` survivors while their k-th score
-    is positive and the model has more items are asked again with twice k.  The
-    result is exact; no cap on candidates."""
-    n_items = model.itemFactors.count()
+    k is sized per user: ``(n + #seen) / catalog share of the model's items``,
+    rounded up to a power of two (users are grouped in those tiers, so the
+    fan-out stays linear in the data).  A user that still has fewer than ``n``
+    survivors while its k-th score is positive and the model has more items is
+    asked again with twice k.  The result is exact; there is no candidate cap.
+    Each tier's candidates are checkpointed once (shared checkpoint folder), so
+    the later filters and counts do not re-run the scoring."""
+    checkpoint_root(users.sparkSession)
+    model_items = model.itemFactors.select(F.col("id").alias(item_col))
+    n_items = model_items.count()
+    catalog_ids = catalog.select(item_col).distinct()
+    n_in_catalog = join_dimension(model_items, catalog_ids, item_col, "left_semi").count()
     seen_pairs = seen.select("userid", item_col).distinct()
+    empty = users.sparkSession.createDataFrame([], f"userid int, {item_col} int, prediction float, rank int")
+    if n_items == 0 or n_in_catalog == 0:
+        return empty
+    inflate = n_items / n_in_catalog
     seen_counts = seen_pairs.groupBy("userid").agg(F.count(F.lit(1)).alias("n_seen"))
-    catalog_ids = catalog.select(item_col).distinct()
-    start_k = F.pow(F.lit(2), F.ceil(F.log2(F.lit(n) + F.coalesce(F.col("n_seen"), F.lit(0))))).cast("int")
+    want = (F.lit(n) + F.coalesce(F.col("n_seen"), F.lit(0))) * F.lit(inflate)
+    start_k = F.pow(F.lit(2), F.ceil(F.log2(want))).cast("int")
     pending = users.select("userid").distinct().join(seen_counts, "userid", "left").select(
-        "userid", F.least(start_k, F.lit(max(n_items, 1))).alias("k")
-    )
-    results = []
+        "userid", F.least(start_k, F.lit(n_items)).alias("k")
+    ).checkpoint(eager=True)
+    parts = []
     for _ in range(max_rounds):
-        tiers = [r["k"] for r in pending.select("k").distinct().collect()]  # <= log2(#items) values
+        tiers = sorted(r["k"] for r in pending.select("k").distinct().collect())  # few power-of-two values
         if not tiers:
             break
-        round_parts, retry_parts = [], []
+        retries = []
         for k in tiers:
             tier_users = pending.where(F.col("k") == k).select("userid")
-            recs = model.recommendForUserSubset(tier_users, int(k)).select(
-                "userid", F.posexplode("recommendations").alias("pos", "rec")
-            ).select("userid", "pos", F.col(f"rec.{item_col}").alias(item_col), F.col("rec.rating").alias("prediction"))
-            positive = recs.where(is_positive_prediction("prediction")).join(seen_pairs, ["userid", item_col],
-                                                                              "left_anti")
-            kept = join_dimension(positive, catalog_ids, item_col, "left_semi")
+            recs = (
+                model.recommendForUserSubset(tier_users, int(k))
+                .select("userid", F.explode("recommendations").alias("rec"))
+                .select("userid", F.col(f"rec.{item_col}").alias(item_col), F.col("rec.rating").alias("prediction"))
+                .checkpoint(eager=True)
+            )
+            positive = recs.where(is_positive_prediction("prediction"))
+            unseen = positive.join(seen_pairs, ["userid", item_col], "left_anti")
+            kept = join_dimension(unseen, catalog_ids, item_col, "left_semi")
             stats = recs.groupBy("userid").agg(F.count(F.lit(1)).alias("returned"), F.min("prediction").alias("last"))
             got = kept.groupBy("userid").agg(F.count(F.lit(1)).alias("n_kept"))
             need_more = (
@@ -202,19 +215,16 @@ def recommend_for_users(model, users: DataFrame, seen: DataFrame, catalog: DataF
                 .where((F.col("n_kept") < n) & (F.col("returned") >= k) & (F.col("last") > 0) & F.lit(k < n_items))
                 .select("userid", F.least(F.lit(2 * int(k)), F.lit(n_items)).alias("k"))
             )
-            done = kept.join(need_more.select("userid"), "userid", "left_anti")
-            round_parts.append(done.select("userid", item_col, "prediction"))
-            retry_parts.append(need_more)
-        results.extend(round_parts)
-        pending = retry_parts[0]
-        for part in retry_parts[1:]:
+            parts.append(kept.join(need_more.select("userid"), "userid", "left_anti"))
+            retries.append(need_more)
+        pending = retries[0]
+        for part in retries[1:]:
             pending = pending.unionByName(part)
         pending = pending.checkpoint(eager=True)
         if pending.limit(1).count() == 0:
             break
-    out = results[0]
-    for part in results[1:]:
+    out = parts[0]
+    for part in parts[1:]:
         out = out.unionByName(part)
     w = Window.partitionBy("userid").orderBy(F.desc("prediction"), F.asc(item_col))
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
-

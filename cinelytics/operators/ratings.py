@@ -78,7 +78,8 @@ def rated_ids_limit(personal: DataFrame, n: int = 10) -> DataFrame:
 
 def delete_rating(personal: DataFrame, deletions: DataFrame) -> DataFrame:
     """Remove the (user, movie) pairs listed in ``deletions``."""
-    return personal.join(deletions.select("userid", "movieid").distinct(), ["userid", "movieid"], "left_anti")
+    pairs = deletions.select("userid", "movieid").distinct()
+    return personal.join(pairs, ["userid", "movieid"], "left_anti").select(*personal.columns)
 
 
 # ----------------------------------------------------------- submissions --

@@ -49,7 +49,7 @@ def read_keyed_table(spark: SparkSession, path: str) -> DataFrame:
 def delete_by_key(df: DataFrame, keys_df: DataFrame, key: str | Sequence[str]) -> DataFrame:
     """Rows whose key is not in ``keys_df``."""
     k = _keys(key)
-    return df.join(keys_df.select(*k).distinct(), k, "left_anti")
+    return df.join(keys_df.select(*k).distinct(), k, "left_anti").select(*df.columns)
 
 
 def replace_by_key(spark: SparkSession, path: str, new_rows: DataFrame, key: str | Sequence[str],
