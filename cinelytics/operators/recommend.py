@@ -11,8 +11,9 @@ plan:
    ranks outside S_u.  Each of them is either <= n, or lies within n places
    after some seen rank (if x is the answer and s the last seen rank below it,
    every rank in (s, x] is unseen and at most n unseen ranks precede x).  So the
-   candidates are {1..n} for every user plus {s+1..s+n} for every seen rank:
-   at most n * (users + seen rows), with no per-user group materialised;
+   candidates are {1..n} for every user plus {s+1..s+n} for every seen rank
+   s < n + |S_u| (no answer lies beyond n + |S_u|): at most n * (users + seen
+   rows), usually far fewer, with no per-user group materialised;
 3. drop seen candidates (anti join on (user, rank)), keep the n smallest ranks
    per user (``dense_rank`` with a limit, which Spark evaluates as a per-task
    group limit before the shuffle, so a hot user sends at most n ranks per
@@ -28,17 +29,17 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import TOP_N, is_positive_prediction
 from ..plans.joins import join_dimension
-from ..plans.ranking import global_rank
+from ..plans.ranking import global_rank_with_count
 
 
-def rank_catalog(scores: DataFrame, score_col: str = "prediction", item_col: str = "movieid") -> DataFrame:
-    """Positive, finite scores ranked 1..M by (score desc, item asc)."""
+def rank_catalog(scores: DataFrame, score_col: str = "prediction", item_col: str = "movieid") -> tuple[DataFrame, int]:
+    """Positive, finite scores ranked 1..M by (score desc, item asc); also M."""
     eligible = scores.where(is_positive_prediction(score_col))
-    return global_rank(eligible, [F.desc(score_col), F.asc(item_col)], "catalog_rank")
+    return global_rank_with_count(eligible, [F.desc(score_col), F.asc(item_col)], "catalog_rank")
 
 
 def top_unseen_per_user(
-    users: DataFrame,
+    users: DataFrame | None,
     seen: DataFrame,
     scores: DataFrame,
     n: int = TOP_N,
@@ -46,32 +47,45 @@ def top_unseen_per_user(
     item_col: str = "movieid",
     score_col: str = "prediction",
 ) -> DataFrame:
-    """For every user in ``users``: the ``n`` best catalog items (by a user-independent
-    ``score_col``; only positive, finite scores) that the user has not seen.
+    """For every user in ``users`` (``None``: every user in ``seen``): the ``n``
+    best catalog items (by a user-independent ``score_col``; only positive,
+    finite scores) that the user has not seen.
 
     Output: user, item, score, ``rank`` (1..n within the user) and every other
     column of ``scores`` (e.g. the title)."""
-    ranked = rank_catalog(scores, score_col, item_col)
+    ranked, n_ranked = rank_catalog(scores, score_col, item_col)
     rank_of_item = ranked.select(item_col, "catalog_rank")
-    wanted = users.select(user_col).distinct()
-    seen_of_wanted = join_dimension(seen.select(user_col, item_col), wanted, user_col, "left_semi").distinct()
-    seen_ranks = join_dimension(seen_of_wanted, rank_of_item, item_col).select(user_col, "catalog_rank")
+    pairs = seen.select(user_col, item_col)
+    if users is None:
+        wanted = pairs.select(user_col).distinct()
+        seen_of_wanted = pairs.distinct()
+    else:
+        wanted = users.select(user_col).distinct()
+        seen_of_wanted = join_dimension(pairs, wanted, user_col, "left_semi").distinct()
+    # Materialised once (shared checkpoint folder): the size check below and the
+    # main job both read it instead of recomputing the input joins.
+    seen_ranks = join_dimension(seen_of_wanted, rank_of_item, item_col, dim_rows=n_ranked).select(
+        user_col, "catalog_rank").checkpoint(eager=True)
+    # Every answer rank is <= n + |S_u|, so only seen ranks below that bound can
+    # generate or block an answer; the per-user count is a partial aggregate.
+    seen_count = seen_ranks.groupBy(user_col).agg(F.count(F.lit(1)).alias("__c"))
+    near = join_dimension(seen_ranks, seen_count, user_col).where(F.col("catalog_rank") < F.col("__c") + n)
     head = wanted.select(
-        user_col, F.explode(F.sequence(F.lit(1), F.lit(n))).alias("catalog_rank")
-    )
-    after_seen = seen_ranks.select(
+        user_col, F.explode(F.sequence(F.lit(1), F.lit(min(n, n_ranked)))).alias("catalog_rank")
+    ) if n_ranked > 0 else wanted.select(user_col, F.lit(None).cast("long").alias("catalog_rank")).limit(0)
+    after_seen = near.select(
         user_col,
         F.explode(F.sequence(F.col("catalog_rank") + 1, F.col("catalog_rank") + n)).alias("catalog_rank"),
-    )
-    candidates = head.unionByName(after_seen).join(seen_ranks, [user_col, "catalog_rank"], "left_anti")
+    ).where(F.col("catalog_rank") <= n_ranked)
+    candidates = head.unionByName(after_seen).join(
+        near.select(user_col, "catalog_rank"), [user_col, "catalog_rank"], "left_anti")
     by_rank = Window.partitionBy(user_col).orderBy("catalog_rank")
     best = (
         candidates.withColumn("rank", F.dense_rank().over(by_rank))
         .where(F.col("rank") <= n)
         .dropDuplicates([user_col, "catalog_rank"])
     )
-    # Ranks beyond M fall out here (inner join).
-    return join_dimension(best, ranked, "catalog_rank").drop("catalog_rank")
+    return join_dimension(best, ranked, "catalog_rank", dim_rows=n_ranked).drop("catalog_rank")
 
 
 def top_n_overall(scores: DataFrame, n: int = TOP_N, score_col: str = "prediction", item_col: str = "movieid") -> DataFrame:

@@ -31,10 +31,13 @@ def _keys(on: str | Sequence[str]) -> list[str]:
     return [on] if isinstance(on, str) else list(on)
 
 
-def fits_broadcast(dim: DataFrame, max_rows: int | None = None) -> bool:
-    """True when ``dim`` has at most ``max_rows`` rows (checked with a bounded scan)."""
+def fits_broadcast(dim: DataFrame, max_rows: int | None = None, known_rows: int | None = None) -> bool:
+    """True when ``dim`` has at most ``max_rows`` rows: an exact count the caller
+    already has (``known_rows``), else a bounded count of the frame."""
     spark = dim.sparkSession
     bound = max_rows if max_rows is not None else conf_int(spark, BROADCAST_MAX_ROWS_KEY, DEFAULT_BROADCAST_MAX_ROWS)
+    if known_rows is not None:
+        return known_rows <= bound
     # limit(bound + 1) stops the count early on a huge side.
     return dim.limit(bound + 1).count() <= bound
 
@@ -46,14 +49,16 @@ def join_dimension(
     how: str = "inner",
     max_rows: int | None = None,
     salt_buckets: int | None = None,
+    dim_rows: int | None = None,
 ) -> DataFrame:
     """Join a (possibly skewed) fact side to a dimension side on equal keys.
 
     ``how`` is one of inner / left / left_semi / left_anti (fact side preserved).
+    ``dim_rows``: exact row count of ``dim`` when the caller knows it.
     """
     keys = _keys(on)
     spark = fact.sparkSession
-    if fits_broadcast(dim, max_rows):
+    if fits_broadcast(dim, max_rows, dim_rows):
         return fact.join(F.broadcast(dim), keys, how)
     buckets = salt_buckets or conf_int(spark, SALT_BUCKETS_KEY, DEFAULT_SALT_BUCKETS)
     salt_col = "__salt"

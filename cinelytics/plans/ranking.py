@@ -60,6 +60,15 @@ def global_rank(df: DataFrame, order_by: Sequence[Column], rank_col: str = "rank
     return _with_global_rank(tagged, rank_col).drop("__pid", "__local")
 
 
+def global_rank_with_count(df: DataFrame, order_by: Sequence[Column], rank_col: str = "rank",
+                           num_partitions: int | None = None) -> tuple[DataFrame, int]:
+    """``global_rank`` plus the exact row count, read from the per-partition
+    sizes of the materialised frame (one small row per partition)."""
+    tagged = range_tag(df, order_by, num_partitions, True)
+    total = tagged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n")).agg(F.sum("__n")).first()[0] or 0
+    return _with_global_rank(tagged, rank_col).drop("__pid", "__local"), int(total)
+
+
 def row_number_within(df: DataFrame, group_cols: Sequence[str], order_by: Sequence[Column],
                       out_col: str = "rank", num_partitions: int | None = None) -> DataFrame:
     """``row_number() OVER (PARTITION BY group ORDER BY ...)`` for groups of any

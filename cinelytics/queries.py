@@ -96,8 +96,7 @@ WHERE rec_rank <= 10""", SQL_POPULARITY),
 def q_topn_per_user(spark, d):
     """W1 (+ C6, B5, E1, C7 for every user): ten best unseen catalog movies per
     user under the popularity predictor, with titles."""
-    seen = _seen(spark, d)
-    out = rec.top_unseen_per_user(seen.select("userid"), seen, _popularity(spark, d), n=10)
+    out = rec.top_unseen_per_user(None, _seen(spark, d), _popularity(spark, d), n=10)
     return out.select("userid", "movieid", "moviename", "prediction", F.col("rank").cast("int").alias("rec_rank"))
 
 
