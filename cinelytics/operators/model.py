@@ -70,14 +70,17 @@ def grid(ranks=GRID_RANKS, regs=GRID_REGS, iters=GRID_ITERS) -> list[AlsParams]:
 
 def als_fit(train: DataFrame, params: AlsParams, seed: int = DEFAULT_SEED, user_col: str = "userid",
             item_col: str = "movieid", rating_col: str = "rating", blocks: int | None = None):
-    """Explicit-feedback ALS.  Ids must fit in 32 bits (ALS checks this).  The
-    block count follows the shuffle width; iterations are checkpointed into the
-    shared checkpoint folder every 10 steps, which cuts the lineage."""
+    """Explicit-feedback ALS.  Ids must fit in 32 bits (ALS checks this).  One
+    user / item block per core (capped by the shuffle width): each block is a
+    task of every half-iteration, so more blocks than cores only add shuffle
+    files.  Iterations are checkpointed into the shared checkpoint folder every
+    10 steps, which cuts the lineage."""
     from pyspark.ml.recommendation import ALS
 
     spark = train.sparkSession
     checkpoint_root(spark)
-    nblocks = blocks or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cores = spark.sparkContext.defaultParallelism
+    nblocks = blocks or max(2, min(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     als = ALS(
         rank=params.rank, maxIter=params.max_iter, regParam=params.reg, seed=seed,
         userCol=user_col, itemCol=item_col, ratingCol=rating_col,
@@ -162,6 +165,27 @@ def recommend_for_user(model, userid: int, catalog: DataFrame, seen: DataFrame,
     return join_dimension(top, catalog.select(item_col, "moviename"), item_col)
 
 
+def merge_tiers(counts: list[tuple[int, int]], max_waste: float = 2.0) -> list[tuple[list[int], int]]:
+    """Group adjacent k tiers ``[(k, n_users), ...]`` so that each group is
+    scored once with its largest k, as long as the group's rows
+    (users x largest k) stay within ``max_waste`` times the rows of scoring its
+    tiers separately.  A lone hot user with a huge k is never merged with the
+    crowd.  Returns ``[(tier_ks, k_used), ...]``."""
+    groups: list[tuple[list[int], int]] = []
+    cur: list[int] = []
+    users = cost = 0
+    for k, c in sorted(counts):
+        if cur and (users + c) * k > max_waste * (cost + c * k):
+            groups.append((cur, cur[-1]))
+            cur, users, cost = [], 0, 0
+        cur.append(k)
+        users += c
+        cost += c * k
+    if cur:
+        groups.append((cur, cur[-1]))
+    return groups
+
+
 def recommend_for_users(model, users: DataFrame, seen: DataFrame, catalog: DataFrame, n: int = TOP_N,
                         item_col: str = "movieid", max_rounds: int = 40) -> DataFrame:
     """Best ``n`` unseen catalog movies with a positive prediction for every user.
@@ -169,21 +193,23 @@ def recommend_for_users(model, users: DataFrame, seen: DataFrame, catalog: DataF
     ALS's own blocked top-k (``recommendForUserSubset``) returns the k best
     items of the whole model; seen and non-catalog items are removed afterwards.
     k is sized per user: ``(n + #seen) / catalog share of the model's items``,
-    rounded up to a power of two (users are grouped in those tiers, so the
-    fan-out stays linear in the data).  A user that still has fewer than ``n``
-    survivors while its k-th score is positive and the model has more items is
-    asked again with twice k.  The result is exact; there is no candidate cap.
-    Each tier's candidates are checkpointed once (shared checkpoint folder), so
-    the later filters and counts do not re-run the scoring."""
+    rounded up to a power of two; adjacent tiers are scored together while that
+    at most doubles the rows (``merge_tiers``), so the fan-out stays linear in
+    the data and a hot user is scored on its own.  A user that still has fewer
+    than ``n`` survivors while its k-th score is positive and the model has
+    more items is asked again with twice k.  The result is exact; there is no
+    candidate cap.  The seen pairs and each group's candidates are checkpointed
+    once (shared checkpoint folder), so later filters and counts do not re-run
+    the input joins or the scoring."""
     checkpoint_root(users.sparkSession)
     model_items = model.itemFactors.select(F.col("id").alias(item_col))
     n_items = model_items.count()
     catalog_ids = catalog.select(item_col).distinct()
     n_in_catalog = join_dimension(model_items, catalog_ids, item_col, "left_semi").count()
-    seen_pairs = seen.select("userid", item_col).distinct()
     empty = users.sparkSession.createDataFrame([], f"userid int, {item_col} int, prediction float, rank int")
     if n_items == 0 or n_in_catalog == 0:
         return empty
+    seen_pairs = seen.select("userid", item_col).distinct().checkpoint(eager=True)
     inflate = n_items / n_in_catalog
     seen_counts = seen_pairs.groupBy("userid").agg(F.count(F.lit(1)).alias("n_seen"))
     want = (F.lit(n) + F.coalesce(F.col("n_seen"), F.lit(0))) * F.lit(inflate)
@@ -193,14 +219,14 @@ def recommend_for_users(model, users: DataFrame, seen: DataFrame, catalog: DataF
     ).checkpoint(eager=True)
     parts = []
     for _ in range(max_rounds):
-        tiers = sorted(r["k"] for r in pending.select("k").distinct().collect())  # few power-of-two values
-        if not tiers:
+        counts = [(r["k"], r["count"]) for r in pending.groupBy("k").count().collect()]  # few power-of-two values
+        if not counts:
             break
         retries = []
-        for k in tiers:
-            tier_users = pending.where(F.col("k") == k).select("userid")
+        for tier_ks, k in merge_tiers(counts):
+            group_users = pending.where(F.col("k").isin(tier_ks)).select("userid")
             recs = (
-                model.recommendForUserSubset(tier_users, int(k))
+                model.recommendForUserSubset(group_users, int(k))
                 .select("userid", F.explode("recommendations").alias("rec"))
                 .select("userid", F.col(f"rec.{item_col}").alias(item_col), F.col("rec.rating").alias("prediction"))
                 .checkpoint(eager=True)
