@@ -28,10 +28,14 @@ def favorites_by_category(favorites: DataFrame, category: str | None) -> DataFra
 
 
 def favorites_list(favorites: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Favourites left-joined to the catalog, numbered newest first per user."""
+    """Favourites left-joined to the catalog."""
     cat = catalog.select("movieid", "moviename", "picture", "averating", "typelist", "releasetime", "director")
-    joined = join_dimension(favorites, cat, "movieid", "left")
-    return row_number_within(joined, ["userid"], [F.col("createtime").desc(), F.col("id").desc()], "list_rank")
+    return join_dimension(favorites, cat, "movieid", "left")
+
+
+def favorites_sorted(favorites: DataFrame) -> DataFrame:
+    """Number each user's favourites newest first (ties: higher id first)."""
+    return row_number_within(favorites, ["userid"], [F.col("createtime").desc(), F.col("id").desc()], "list_rank")
 
 
 def favorites_display(listed: DataFrame) -> DataFrame:

@@ -27,17 +27,21 @@ def filter_user_ratings(ratings: DataFrame, users) -> DataFrame:
     return ratings.where(F.col("userid") == F.lit(int(users)))
 
 
-def rating_history(personal: DataFrame, catalog: DataFrame, mode: str = "newest") -> DataFrame:
-    """Personal ratings left-joined to the catalog, numbered per user in the
-    page's order (ties by movie id)."""
+def rating_history(personal: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Personal ratings left-joined to the catalog (the history page's rows)."""
     cat = catalog.select(
         "movieid", "moviename", "picture", F.col("averating").alias("avg_rating"),
         F.col("numrating").alias("rating_count"), "typelist", "releasetime", "director",
     )
-    joined = join_dimension(personal, cat, "movieid", "left")
+    return join_dimension(personal, cat, "movieid", "left")
+
+
+def history_sorted(history: DataFrame, mode: str = "newest") -> DataFrame:
+    """Number each user's rows in the page's order (``newest``: time then
+    rating, ``highest``, ``lowest``; ties by movie id), for any user size."""
     spec = HISTORY_MODES.get(mode, HISTORY_MODES["newest"])
     order = [F.col(c).desc() if desc else F.col(c).asc() for c, desc in spec] + [F.col("movieid").asc()]
-    return row_number_within(joined, ["userid"], order, "history_rank")
+    return row_number_within(history, ["userid"], order, "history_rank")
 
 
 def history_display(history: DataFrame) -> DataFrame:

@@ -211,8 +211,7 @@ FROM my_ratings_v pr LEFT JOIN movieinfo_v mi ON pr.movieid = mi.movieid"""
 @register("rating_history", fx.oracle_with(["ratings_v", "my_ratings_v", "movieinfo_v"], SQL_HISTORY))
 def q_rating_history(spark, d):
     """Every user's ratings left-joined to the catalog."""
-    h = rt.rating_history(V(spark, d, "my_ratings_v"), V(spark, d, "movieinfo_v"))
-    return h.drop("history_rank")
+    return rt.rating_history(V(spark, d, "my_ratings_v"), V(spark, d, "movieinfo_v"))
 
 
 @register("history_sorted", fx.oracle_with(["ratings_v", "my_ratings_v"], """
@@ -221,7 +220,7 @@ SELECT userid, movieid, rating, timestamp,
 FROM my_ratings_v"""))
 def q_history_sorted(spark, d):
     """History order (newest, then highest), as a per-user position."""
-    h = rt.rating_history(V(spark, d, "my_ratings_v"), V(spark, d, "movieinfo_v"))
+    h = rt.history_sorted(V(spark, d, "my_ratings_v"), "newest")
     return h.select("userid", "movieid", "rating", "timestamp", "history_rank")
 
 
@@ -231,7 +230,7 @@ SELECT userid, movieid, rating, timestamp,
 FROM my_ratings_v"""))
 def q_history_sort_modes(spark, d):
     """The 'lowest first' mode of the history page."""
-    h = rt.rating_history(V(spark, d, "my_ratings_v"), V(spark, d, "movieinfo_v"), mode="lowest")
+    h = rt.history_sorted(V(spark, d, "my_ratings_v"), "lowest")
     return h.select("userid", "movieid", "rating", "timestamp", "history_rank")
 
 
@@ -422,7 +421,7 @@ SELECT userid, id, epoch_us(createtime) AS createtime_us,
 FROM favorites_v"""))
 def q_favorites_sorted(spark, d):
     """Newest favourite first, as a per-user position."""
-    listed = fav.favorites_list(V(spark, d, "favorites_v"), V(spark, d, "movieinfo_v"))
+    listed = fav.favorites_sorted(V(spark, d, "favorites_v"))
     return listed.select("userid", "id", C.epoch_micros("createtime").alias("createtime_us"), "list_rank")
 
 
