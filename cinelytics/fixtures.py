@@ -100,12 +100,10 @@ def recommendations_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     r = ratings_v(spark, sf_dir)
-    per_pair = r.groupBy("userid", "movieid").agg(F.max("rating").alias("degree"),
-                                                  F.count(F.lit(1)).alias("n"))
-    w_user = Window.partitionBy("userid")
-    eligible = per_pair.withColumn("n_user", F.sum("n").over(w_user)).where(
-        F.col("n_user") >= RECOMMENDATION_MIN_RATINGS
-    )
+    per_pair = r.groupBy("userid", "movieid").agg(F.max("rating").alias("degree"))
+    per_user = r.groupBy("userid").agg(F.count(F.lit(1)).alias("n_user"))  # partial aggregate
+    eligible = per_pair.join(per_user.where(F.col("n_user") >= RECOMMENDATION_MIN_RATINGS).select("userid"),
+                             "userid", "left_semi")
     ranked = eligible.withColumn(
         "rn", F.row_number().over(Window.partitionBy("userid").orderBy(F.desc("degree"), F.asc("movieid")))
     )
