@@ -33,3 +33,11 @@ def q_stream_favorites_dedup(spark, d):
     fav = state.stream_favorites_dedup(spark, d)
     return fav.select("id", "userid", "movieid", "category", C.epoch_micros("createtime").alias("createtime_us"))
 
+
+
+@register("stream_favorites_dedup_bounded", fx.oracle_with(["favorites_v"], """
+SELECT userid, movieid, category FROM favorites_v"""))
+def q_stream_favorites_dedup_bounded(spark, d):
+    """S6 bounded variant: one row per (user, movie, category) with watermark-
+    limited dedup state (parquet file sink, append mode)."""
+    return state.stream_favorites_dedup_bounded(spark, d, "31 days").select("userid", "movieid", "category")

@@ -86,3 +86,26 @@ def stream_favorites_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     agg = fav.groupBy("userid", "movieid", "category").agg(
         F.min("event_id").alias("id"), F.min("ts").alias("createtime"))
     return latest_state(spark, run_keyed_updates(agg, "favorites-dedup"), ["userid", "movieid", "category"])
+
+
+def stream_favorites_dedup_bounded(spark: SparkSession, sf_dir: str, delay: str = "1 day") -> DataFrame:
+    """S6, bounded state: duplicates of a key arriving within ``delay`` of each
+    other (event time) are dropped and the key's state expires after the
+    watermark passes.  The kept row is the first to arrive, so this variant
+    guarantees the key set, not the minimum id.  ``withWatermark`` needs a
+    TIMESTAMP, so the NTZ event time is cast first (session time zone UTC)."""
+    fav = favorite_rows(event_stream(spark, sf_dir)).where(F.col("category").isNotNull())
+    fav = fav.withColumn("event_time", F.col("ts").cast("timestamp"))
+    dedup = fav.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["userid", "movieid", "category"])
+    out = scratch_path(spark, "favorites-dedup-bounded-out")
+    ckpt = scratch_path(spark, "favorites-dedup-bounded-ckpt")
+    query = (dedup.drop("event_time").writeStream.outputMode("append").format("parquet")
+             .option("path", out).option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    try:
+        query.awaitTermination(600)
+    finally:
+        if query.isActive:
+            query.stop()
+    if query.exception() is not None:
+        raise RuntimeError(f"stream favorites-dedup-bounded failed: {query.exception()}")
+    return spark.read.parquet(out)
