@@ -85,3 +85,38 @@ def test_unseen_candidate_counts(spark):
     out = {r["userid"]: (r["n_rated_in_catalog"], r["n_candidates"])
            for r in rec.unseen_candidate_counts(users, seen, cat).collect()}
     assert out == {1: (1, 2), 2: (0, 3)}
+
+
+def _brute_top_unseen(users, seen, scores, n):
+    valid = sorted(((s, i) for i, s in scores if s == s and s > 0), key=lambda t: (-t[0], t[1]))
+    out = []
+    for u in users:
+        mine = {i for uu, i in seen if uu == u}
+        best = [i for _, i in valid if i not in mine][:n]
+        out += [(u, k + 1, i) for k, i in enumerate(best)]
+    return sorted(out)
+
+
+def test_top_unseen_property(spark):
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    score = st.sampled_from([0.0, -2.0, 1.0, 1.5, 3.0, 3.0, 4.5, float("nan")])
+
+    @settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(
+        scores=st.lists(score, min_size=1, max_size=25),
+        seen=st.lists(st.tuples(st.integers(0, 4), st.integers(1, 30)), max_size=60),
+        n=st.integers(1, 6),
+    )
+    def check(scores, seen, n):
+        items = [(i + 1, s) for i, s in enumerate(scores)]
+        users = sorted({u for u, _ in seen} | {5})
+        udf = spark.createDataFrame([(u,) for u in users], "userid int")
+        sdf = spark.createDataFrame(seen or [(0, 999)], "userid int, movieid int")
+        cdf = spark.createDataFrame(items, "movieid int, prediction double")
+        got = sorted((r["userid"], r["rank"], r["movieid"])
+                     for r in rec.top_unseen_per_user(udf, sdf, cdf, n=n).collect())
+        assert got == _brute_top_unseen(users, seen or [(0, 999)], items, n)
+
+    check()
