@@ -231,16 +231,19 @@ def recommend_for_users(model, users: DataFrame, seen: DataFrame, catalog: DataF
                 .select("userid", F.col(f"rec.{item_col}").alias(item_col), F.col("rec.rating").alias("prediction"))
                 .checkpoint(eager=True)
             )
-            positive = recs.where(is_positive_prediction("prediction"))
-            unseen = positive.join(seen_pairs, ["userid", item_col], "left_anti")
-            kept = join_dimension(unseen, catalog_ids, item_col, "left_semi")
-            stats = recs.groupBy("userid").agg(F.count(F.lit(1)).alias("returned"), F.min("prediction").alias("last"))
-            got = kept.groupBy("userid").agg(F.count(F.lit(1)).alias("n_kept"))
-            need_more = (
-                stats.join(got, "userid", "left").fillna(0, subset=["n_kept"])
-                .where((F.col("n_kept") < n) & (F.col("returned") >= k) & (F.col("last") > 0) & F.lit(k < n_items))
-                .select("userid", F.least(F.lit(2 * int(k)), F.lit(n_items)).alias("k"))
-            )
+            seen_flag = seen_pairs.withColumn("__seen", F.lit(True))
+            cat_flag = catalog_ids.withColumn("__cat", F.lit(True))
+            flagged = join_dimension(recs.join(seen_flag, ["userid", item_col], "left"), cat_flag, item_col, "left")
+            flagged = flagged.withColumn(
+                "__keep", is_positive_prediction("prediction") & F.col("__seen").isNull() & F.col("__cat").isNotNull()
+            ).drop("__seen", "__cat").checkpoint(eager=True)
+            stats = flagged.groupBy("userid").agg(
+                F.count(F.lit(1)).alias("returned"), F.min("prediction").alias("last"),
+                F.count_if("__keep").alias("n_kept"))
+            need_more = stats.where(
+                (F.col("n_kept") < n) & (F.col("returned") >= k) & (F.col("last") > 0) & F.lit(k < n_items)
+            ).select("userid", F.least(F.lit(2 * int(k)), F.lit(n_items)).alias("k"))
+            kept = flagged.where("__keep").select("userid", item_col, "prediction")
             parts.append(kept.join(need_more.select("userid"), "userid", "left_anti"))
             retries.append(need_more)
         pending = retries[0]
