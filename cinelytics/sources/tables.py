@@ -33,13 +33,20 @@ def bucket_of(key: str | Sequence[str], buckets: int):
     return F.pmod(F.xxhash64(*[F.col(k) for k in _keys(key)]), F.lit(buckets)).cast("int")
 
 
+def _by_bucket(df: DataFrame) -> DataFrame:
+    """Group rows by bucket before a partitioned write (few files per bucket);
+    ``rebalance`` lets AQE split an oversized bucket over several tasks."""
+    return df.hint("rebalance", BUCKET_COL)
+
+
 def create_keyed_table(df: DataFrame, path: str, key: str | Sequence[str], buckets: int = DEFAULT_BUCKETS) -> None:
-    (df.withColumn(BUCKET_COL, bucket_of(key, buckets))
+    (_by_bucket(df.withColumn(BUCKET_COL, bucket_of(key, buckets)))
        .write.mode("overwrite").partitionBy(BUCKET_COL).parquet(path))
 
 
 def append_rows(df: DataFrame, path: str, key: str | Sequence[str], buckets: int = DEFAULT_BUCKETS) -> None:
-    df.withColumn(BUCKET_COL, bucket_of(key, buckets)).write.mode("append").partitionBy(BUCKET_COL).parquet(path)
+    (_by_bucket(df.withColumn(BUCKET_COL, bucket_of(key, buckets)))
+       .write.mode("append").partitionBy(BUCKET_COL).parquet(path))
 
 
 def read_keyed_table(spark: SparkSession, path: str) -> DataFrame:
@@ -57,14 +64,15 @@ def replace_by_key(spark: SparkSession, path: str, new_rows: DataFrame, key: str
     """Every key present in ``new_rows`` loses all its old rows and gets the new
     ones; other keys are untouched.  Only the touched buckets are rewritten."""
     k = _keys(key)
-    new_b = new_rows.withColumn(BUCKET_COL, bucket_of(k, buckets))
+    # materialised once: it feeds the touched buckets, the key set and the union
+    new_b = new_rows.withColumn(BUCKET_COL, bucket_of(k, buckets)).checkpoint(eager=True)
     touched = new_b.select(BUCKET_COL).distinct()
     old = spark.read.parquet(path)
     old_touched = old.join(F.broadcast(touched), BUCKET_COL, "left_semi")  # <= `buckets` rows
     kept = old_touched.join(new_b.select(*k).distinct(), k, "left_anti")
     merged = kept.unionByName(new_b.select(*old.columns))
     staging = scratch_path(spark, "replace-staging")
-    merged.write.mode("overwrite").partitionBy(BUCKET_COL).parquet(staging)
+    _by_bucket(merged).write.mode("overwrite").partitionBy(BUCKET_COL).parquet(staging)
     previous = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:
