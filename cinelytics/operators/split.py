@@ -46,10 +46,12 @@ def dataset_stats(ratings: DataFrame, user_col: str = "userid", item_col: str =
 
 def split_counts(split_df: DataFrame, split_col: str = "split") -> DataFrame:
     """Rows per split with zero fill, and the original job's guard flags."""
-    spark = split_df.sparkSession
-    labels = spark.range(1).select(F.explode(F.array(*[F.lit(s) for s in SPLITS])).alias(split_col))  # 3 rows
-    counts = split_df.groupBy(split_col).agg(F.count(F.lit(1)).alias("n_rows"))
-    out = F.broadcast(labels).join(counts, split_col, "left").fillna(0, subset=["n_rows"])
+    # one global aggregate with a conditional count per label, unpivoted to rows:
+    # no join, and labels without rows get 0
+    counts = split_df.agg(*[F.count_if(F.col(split_col) == s).alias(s) for s in SPLITS])
+    out = counts.select(F.explode(F.array(*[
+        F.struct(F.lit(s).alias(split_col), F.col(s).alias("n_rows")) for s in SPLITS
+    ])).alias("__r")).select("__r.*")
     flag = ((F.col(split_col) == "train") & (F.col("n_rows") == 0)) | (
         (F.col(split_col) == "validation") & (F.col("n_rows") < MIN_VALIDATION_ROWS)
     )
