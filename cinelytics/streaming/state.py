@@ -22,11 +22,12 @@ from ..session import scratch_path
 EVENTS_SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
 
-def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
+def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1,
+                 glob: str = "events*.parquet") -> DataFrame:
     """The ``events`` table of a folder as a file stream (directory source with
     a name filter; a single-file path is not a valid stream source)."""
     return (spark.readStream.schema(EVENTS_SCHEMA)
-            .option("pathGlobFilter", "events*.parquet")
+            .option("pathGlobFilter", glob)
             .option("maxFilesPerTrigger", files_per_trigger)
             .parquet(sf_dir))
 
@@ -43,14 +44,23 @@ def run_keyed_updates(agg: DataFrame, name: str, timeout_s: int = 600) -> str:
 
     query = (agg.writeStream.outputMode("update").foreachBatch(write_batch)
              .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    _finish(query, name, timeout_s)
+    return out
+
+
+def _finish(query, name: str, timeout_s: int) -> None:
+    """Wait for an available-now query; a query still running at the timeout is
+    stopped and reported, never returned as if complete."""
+    finished = False
     try:
-        query.awaitTermination(timeout_s)
+        finished = query.awaitTermination(timeout_s)
     finally:
         if query.isActive:
             query.stop()
     if query.exception() is not None:
         raise RuntimeError(f"stream {name} failed: {query.exception()}")
-    return out
+    if not finished:
+        raise TimeoutError(f"stream {name} did not finish within {timeout_s}s")
 
 
 def latest_state(spark: SparkSession, out: str, keys: Sequence[str]) -> DataFrame:
@@ -61,28 +71,28 @@ def latest_state(spark: SparkSession, out: str, keys: Sequence[str]) -> DataFram
         *keys, "__s.*")
 
 
-def stream_progress_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_progress_latest(spark: SparkSession, sf_dir: str, **stream_opts) -> DataFrame:
     """Latest progress per user from the event stream (twin of D12)."""
-    log = progress_rows(event_stream(spark, sf_dir))
+    log = progress_rows(event_stream(spark, sf_dir, **stream_opts))
     agg = log.groupBy("userid").agg(
         F.max_by(F.struct("event_id", "ts", "progress", "step"), F.struct("ts", "event_id")).alias("s")
     ).select("userid", "s.*")
     return latest_state(spark, run_keyed_updates(agg, "progress-latest"), ["userid"])
 
 
-def stream_latest_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_latest_submissions(spark: SparkSession, sf_dir: str, **stream_opts) -> DataFrame:
     """S5 (state part): newest submission per user from the stream."""
-    subs = submission_rows(event_stream(spark, sf_dir))
+    subs = submission_rows(event_stream(spark, sf_dir, **stream_opts))
     agg = subs.groupBy("userid").agg(
         F.max_by(F.struct("submission_id", "ts", "selecteddata"), F.struct("ts", "submission_id")).alias("s")
     ).select("userid", "s.*")
     return latest_state(spark, run_keyed_updates(agg, "latest-submission"), ["userid"])
 
 
-def stream_favorites_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_favorites_dedup(spark: SparkSession, sf_dir: str, **stream_opts) -> DataFrame:
     """First insert of each (user, movie, category) wins (twin of the
     favourites table): min id and time per key, kept as streaming state."""
-    fav = favorite_rows(event_stream(spark, sf_dir)).where(F.col("category").isNotNull())
+    fav = favorite_rows(event_stream(spark, sf_dir, **stream_opts)).where(F.col("category").isNotNull())
     agg = fav.groupBy("userid", "movieid", "category").agg(
         F.min("event_id").alias("id"), F.min("ts").alias("createtime"))
     return latest_state(spark, run_keyed_updates(agg, "favorites-dedup"), ["userid", "movieid", "category"])
@@ -101,11 +111,5 @@ def stream_favorites_dedup_bounded(spark: SparkSession, sf_dir: str, delay: str
     ckpt = scratch_path(spark, "favorites-dedup-bounded-ckpt")
     query = (dedup.drop("event_time").writeStream.outputMode("append").format("parquet")
              .option("path", out).option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-    try:
-        query.awaitTermination(600)
-    finally:
-        if query.isActive:
-            query.stop()
-    if query.exception() is not None:
-        raise RuntimeError(f"stream favorites-dedup-bounded failed: {query.exception()}")
+    _finish(query, "favorites-dedup-bounded", 600)
     return spark.read.parquet(out)
