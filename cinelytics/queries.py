@@ -85,7 +85,7 @@ POP_VIEWS = ["ratings_v", "my_ratings_v", "movieinfo_v"]
 @register(
     "topn_per_user",
     fx.oracle_with(POP_VIEWS, """
-SELECT userid, movieid, moviename, prediction, rec_rank FROM (
+SELECT userid, movieid, moviename, prediction, CAST(rec_rank AS INTEGER) AS rec_rank FROM (
   SELECT u.userid, s.movieid, s.moviename, s.prediction,
          row_number() OVER (PARTITION BY u.userid ORDER BY s.prediction DESC, s.movieid) AS rec_rank
   FROM (SELECT DISTINCT userid FROM seen) u CROSS JOIN scores s

@@ -100,13 +100,15 @@ def q_catalog_display(spark, d):
 
 
 @register("catalog_page", fx.oracle_with(["movieinfo_v"], """
-SELECT movieid, moviename, releasetime, director, picture, averating, numrating, typelist,
+SELECT movieid, moviename, strftime(releasetime, '%Y-%m-%d') AS releasetime, director, picture, averating,
+       numrating, typelist,
        CAST(row_number() OVER (ORDER BY averating DESC NULLS LAST, movieid) AS BIGINT) AS page_pos
 FROM (SELECT * FROM movieinfo_v ORDER BY averating DESC NULLS LAST, movieid LIMIT 24 OFFSET 24) t"""))
 def q_catalog_page(spark, d):
     """Page 2 of the catalog sorted by rating, descending."""
     page = cat.catalog_page(V(spark, d, "movieinfo_v"), page=2, sort="averating", order="desc")
-    return page.withColumn("page_pos", F.col("page_pos").cast("long"))
+    return page.withColumn("page_pos", F.col("page_pos").cast("long")).withColumn(
+        "releasetime", F.date_format("releasetime", "yyyy-MM-dd"))
 
 
 @register("catalog_page_count", fx.oracle_with(["movieinfo_v"], """
@@ -208,10 +210,13 @@ SELECT pr.userid, pr.movieid, pr.rating, pr.timestamp, mi.moviename, mi.picture,
 FROM my_ratings_v pr LEFT JOIN movieinfo_v mi ON pr.movieid = mi.movieid"""
 
 
-@register("rating_history", fx.oracle_with(["ratings_v", "my_ratings_v", "movieinfo_v"], SQL_HISTORY))
+@register("rating_history", fx.oracle_with(["ratings_v", "my_ratings_v", "movieinfo_v"], f"""
+SELECT userid, movieid, rating, timestamp, moviename, picture, avg_rating, rating_count, typelist,
+       strftime(releasetime, '%Y-%m-%d') AS releasetime, director FROM ({SQL_HISTORY}) h"""))
 def q_rating_history(spark, d):
     """Every user's ratings left-joined to the catalog."""
-    return rt.rating_history(V(spark, d, "my_ratings_v"), V(spark, d, "movieinfo_v"))
+    h = rt.rating_history(V(spark, d, "my_ratings_v"), V(spark, d, "movieinfo_v"))
+    return h.withColumn("releasetime", F.date_format("releasetime", "yyyy-MM-dd"))
 
 
 @register("history_sorted", fx.oracle_with(["ratings_v", "my_ratings_v"], """
@@ -407,12 +412,13 @@ FROM favorites_v f LEFT JOIN movieinfo_v m ON f.movieid = m.movieid"""
 
 @register("favorites_list", fx.oracle_with(["favorites_v", "movieinfo_v"], f"""
 SELECT id, userid, movieid, category, epoch_us(createtime) AS createtime_us, moviename, picture, averating,
-       typelist, releasetime, director FROM ({SQL_FAV_JOIN}) j"""))
+       typelist, strftime(releasetime, '%Y-%m-%d') AS releasetime, director FROM ({SQL_FAV_JOIN}) j"""))
 def q_favorites_list(spark, d):
     """C4: favourites left-joined to the catalog."""
     listed = fav.favorites_list(V(spark, d, "favorites_v"), V(spark, d, "movieinfo_v"))
     return listed.select("id", "userid", "movieid", "category", C.epoch_micros("createtime").alias("createtime_us"),
-                         "moviename", "picture", "averating", "typelist", "releasetime", "director")
+                         "moviename", "picture", "averating", "typelist",
+                         F.date_format("releasetime", "yyyy-MM-dd").alias("releasetime"), "director")
 
 
 @register("favorites_sorted", fx.oracle_with(["favorites_v"], """
