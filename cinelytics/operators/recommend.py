@@ -121,3 +121,11 @@ def with_titles(df: DataFrame, catalog: DataFrame, item_col: str = "movieid", ti
     """Result id -> title (inner, like the original map lookup on ids that come
     from the same catalog)."""
     return join_dimension(df, catalog.select(item_col, title_col), item_col)
+
+
+def user_catalog_pairs(catalog: DataFrame, userid: int, user_col: str = "userid", item_col: str = "movieid") -> DataFrame:
+    """The original "constant user x all movies" step for one user: the catalog
+    projected with a literal user column (a scan of the catalog, not a join).
+    For many users use ``top_unseen_per_user`` / ``model.recommend_for_users``,
+    which never build the users x catalog product."""
+    return catalog.select(F.lit(int(userid)).cast("int").alias(user_col), F.col(item_col))

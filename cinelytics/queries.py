@@ -137,6 +137,21 @@ def q_unseen_candidates(spark, d):
     return rec.unseen_candidate_counts(seen.select("userid"), seen, V(spark, d, "movieinfo_v"))
 
 
+
+def _most_active_user(spark, d) -> int:
+    """The user with the most personal ratings (ties: smallest id), from the data."""
+    personal = V(spark, d, "my_ratings_v")
+    return personal.groupBy("userid").count().orderBy(F.desc("count"), "userid").first()["userid"]
+
+
+@register("user_movie_cross", fx.oracle_with(["ratings_v", "my_ratings_v", "movieinfo_v"], """
+SELECT (SELECT userid FROM my_ratings_v GROUP BY userid ORDER BY count(*) DESC, userid LIMIT 1) AS userid, movieid
+FROM movieinfo_v"""))
+def q_user_movie_cross(spark, d):
+    """C11: the single-user candidate pairs (user, every catalog movie) of the
+    original job, for the most active user."""
+    return rec.user_catalog_pairs(V(spark, d, "movieinfo_v"), _most_active_user(spark, d))
+
 # ------------------------------------------------- slice 2: split & stats --
 
 @register("time_mod_split", fx.oracle_with(["ratings_v"], """

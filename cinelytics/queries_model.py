@@ -10,7 +10,7 @@ from . import fixtures as fx
 from .functions.columns import is_finite
 from .operators import evaluate as ev
 from .operators import model as mdl
-from .queries import SQL_TRAINING, V, _seen, _test, _train, _training, _validation, register
+from .queries import SQL_TRAINING, V, _most_active_user, _seen, _test, _train, _training, _validation, register
 
 FIRST_CELL = mdl.grid()[0]  # rank 8, lambda 0.1, 10 iterations
 _GRID_CACHE: dict[tuple, list] = {}
@@ -124,8 +124,7 @@ def _invariants(recs, seen, catalog, n=10):
 def q_recommend_for_user(spark, d):
     """M6: the original single-user flow (best grid model, catalog minus rated,
     positive, top ten, titles) for the user with the most ratings."""
-    personal = V(spark, d, "my_ratings_v")
-    top_user = personal.groupBy("userid").count().orderBy(F.desc("count"), "userid").first()["userid"]
+    top_user = _most_active_user(spark, d)
     b = mdl.select_best_model(_grid_metrics(spark, d)).first()
     model = mdl.als_fit(_training(spark, d), mdl.AlsParams(b["rank"], b["reg_param"], b["max_iter"]))
     catalog = V(spark, d, "movieinfo_v")
