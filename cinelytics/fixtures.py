@@ -24,6 +24,7 @@ MISSING_PART_TYPE = "ECONOMY"  # parts of this type are not in the movie catalog
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)  # event times are TIMESTAMP_NTZ: every epoch conversion must mean UTC
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixtures import favorite_rows, progress_rows, submission_rows
-from ..session import scratch_path
+from ..session import prepare, scratch_path
 
 EVENTS_SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
@@ -26,6 +26,7 @@ def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1,
                  glob: str = "events*.parquet") -> DataFrame:
     """The ``events`` table of a folder as a file stream (directory source with
     a name filter; a single-file path is not a valid stream source)."""
+    prepare(spark)
     return (spark.readStream.schema(EVENTS_SCHEMA)
             .option("pathGlobFilter", glob)
             .option("maxFilesPerTrigger", files_per_trigger)
