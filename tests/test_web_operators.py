@@ -136,3 +136,10 @@ def test_replace_by_key_twice_equals_once(spark):
     assert first == second
     assert [r for r in first if r[0] in (1, 3)] == [(1, 9, 5.0), (3, 8, 4.0)]
     assert len(first) == 3 * 3 + 2
+
+
+def test_movies_in_list_skips_blank_ids(spark):
+    catalog = spark.createDataFrame([(i, f"m{i}", None) for i in range(1, 8)], "movieid int, moviename string, picture string")
+    reqs = spark.createDataFrame([(1, "1,2,,5"), (2, " 3 , x,"), (3, "")], "rid int, ids string")
+    got = sorted((r["rid"], r["movieid"]) for r in cat.movies_in_list(reqs, "ids", catalog).collect())
+    assert got == [(1, 1), (1, 2), (1, 5), (2, 3)]
