@@ -18,6 +18,7 @@ from pyspark.sql import SparkSession
 # Conf keys of this library (read from the session, with defaults).
 BROADCAST_MAX_ROWS_KEY = "cinelytics.join.broadcastMaxRows"
 SALT_BUCKETS_KEY = "cinelytics.join.saltBuckets"
+MAX_SHUFFLE_PARTITIONS = 200_000
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "cinelytics") -> SparkSession:
@@ -70,3 +71,28 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def conf_int(spark: SparkSession, key: str, default: int) -> int:
     value = spark.conf.get(key, None)
     return int(value) if value else default
+
+
+def recommended_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Session settings sized for a job over ``input_bytes`` on ``total_cores``.
+
+    Scan splits and shuffle partitions both aim at ``target_partition_bytes``
+    (so a task's working set fits in executor memory and spills rarely), with
+    at least two waves of tasks per core and at most ``MAX_SHUFFLE_PARTITIONS``
+    (map x reduce shuffle blocks grow quadratically beyond that); AQE coalesces
+    the small shuffles and splits skewed ones at run time.  Example: 100 TB on
+    8,000 cores gives 200k shuffle partitions of about 500 MB of input each."""
+    partitions = min(MAX_SHUFFLE_PARTITIONS,
+                     max(2 * total_cores, -(-input_bytes // target_partition_bytes)))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.session.timeZone": "UTC",
+        BROADCAST_MAX_ROWS_KEY: str(2_000_000),
+        SALT_BUCKETS_KEY: str(max(32, min(1024, total_cores // 8))),
+    }
