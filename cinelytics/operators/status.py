@@ -40,6 +40,36 @@ def progress_upsert(state: DataFrame, updates: DataFrame, key: str = "userid", o
     return state.join(newest.select(key), key, "left_anti").unionByName(newest.select(*state.columns))
 
 
+def user_facts(progress_log: DataFrame, recs: DataFrame, ratings: DataFrame,
+               order=("ts", "event_id")) -> DataFrame:
+    """One row per user seen in any of the three tables: latest progress and
+    step, number of recommendations, number of ratings.
+
+    Union-then-aggregate instead of three joins: every source row is tagged and
+    a single ``groupBy(userid)`` (partial aggregation, one shuffle) computes all
+    facts; ``max_by`` ignores the rows whose ordering key is NULL."""
+    fields = {f.name: f.dataType.simpleString() for f in progress_log.schema.fields}
+    state_t = f"struct<progress:{fields['progress']},step:{fields['step']}>"
+    order_t = "struct<" + ",".join(f"{c}:{fields[c]}" for c in order) + ">"
+
+    def tagged(df, is_log, n_recs, n_ratings):
+        return df.select(
+            F.col("userid"),
+            (F.struct("progress", "step") if is_log else F.lit(None).cast(state_t)).alias("__state"),
+            (F.struct(*order) if is_log else F.lit(None).cast(order_t)).alias("__order"),
+            F.lit(n_recs).cast("long").alias("__recs"),
+            F.lit(n_ratings).cast("long").alias("__ratings"),
+        )
+
+    rows = tagged(progress_log, True, 0, 0).unionByName(tagged(recs, False, 1, 0)).unionByName(
+        tagged(ratings, False, 0, 1))
+    return rows.groupBy("userid").agg(
+        F.max_by("__state", "__order").alias("__latest"),
+        F.sum("__recs").alias("n_recs"),
+        F.sum("__ratings").alias("n_ratings"),
+    ).select("userid", "__latest.progress", "__latest.step", "n_recs", "n_ratings")
+
+
 def count_recommendations_by_user(users: DataFrame, recs: DataFrame) -> DataFrame:
     """Recommendations per user, zero for users without any."""
     counts = recs.groupBy("userid").agg(F.count(F.lit(1)).alias("n_recommendations"))
@@ -48,50 +78,52 @@ def count_recommendations_by_user(users: DataFrame, recs: DataFrame) -> DataFram
     )
 
 
-def job_status(users: DataFrame, latest_progress: DataFrame, recs: DataFrame, ratings: DataFrame) -> DataFrame:
-    """The detailed status endpoint for every user.
+def _for_users(facts: DataFrame, users: DataFrame | None) -> DataFrame:
+    """Facts of the given users (unknown users get an all-NULL row), or of every
+    user that appears in the facts."""
+    if users is None:
+        return facts
+    return users.select("userid").distinct().join(facts, "userid", "left")
+
+
+def job_status(facts: DataFrame, users: DataFrame | None = None) -> DataFrame:
+    """The detailed status endpoint for every user of ``user_facts`` (or for
+    ``users``, which may include users found in no table).
 
     progress row: >= 100 completed (with the result count), else processing at
     its value; no row: results -> completed, ratings -> processing at 50, else
     no_data at 0.  ``failed`` marks progress -1, which the original reports as
     processing."""
-    n_recs = recs.groupBy("userid").agg(F.count(F.lit(1)).alias("n_recs"))
-    n_rat = ratings.groupBy("userid").agg(F.count(F.lit(1)).alias("n_ratings"))
-    u = (
-        users.select("userid").distinct()
-        .join(latest_progress.select("userid", "progress", "step"), "userid", "left")
-        .join(n_recs, "userid", "left")
-        .join(n_rat, "userid", "left")
-    )
     has_row = F.col("progress").isNotNull()
     recs_n = F.coalesce(F.col("n_recs"), F.lit(0))
+    ratings_n = F.coalesce(F.col("n_ratings"), F.lit(0))
+    done = has_row & (F.col("progress") >= COMPLETED_AT)
     status = (
-        F.when(has_row & (F.col("progress") >= COMPLETED_AT), "completed")
+        F.when(done, "completed")
         .when(has_row, "processing")
         .when(recs_n > 0, "completed")
-        .when(F.coalesce(F.col("n_ratings"), F.lit(0)) > 0, "processing")
+        .when(ratings_n > 0, "processing")
         .otherwise("no_data")
     )
     progress = (
-        F.when(has_row & (F.col("progress") >= COMPLETED_AT), COMPLETED_AT)
+        F.when(done, COMPLETED_AT)
         .when(has_row, F.col("progress"))
         .when(recs_n > 0, COMPLETED_AT)
-        .when(F.coalesce(F.col("n_ratings"), F.lit(0)) > 0, FALLBACK_PROGRESS)
+        .when(ratings_n > 0, FALLBACK_PROGRESS)
         .otherwise(0)
     )
-    count = F.when(status == "completed", recs_n)
-    return u.select(
+    return _for_users(facts, users).select(
         "userid", status.alias("status"), progress.cast("int").alias("progress"),
-        count.cast("long").alias("rec_count"), F.coalesce(F.col("progress") == -1, F.lit(False)).alias("failed"),
+        F.when(status == "completed", recs_n).cast("long").alias("rec_count"),
+        F.coalesce(F.col("progress") == -1, F.lit(False)).alias("failed"),
     )
 
 
-def job_status_simple(users: DataFrame, latest_progress: DataFrame) -> DataFrame:
-    """The simple endpoint: completed at >= 100, otherwise running; no row gives
-    running at 0."""
-    u = users.select("userid").distinct().join(latest_progress.select("userid", "progress"), "userid", "left")
+def job_status_simple(facts: DataFrame, users: DataFrame | None = None) -> DataFrame:
+    """The simple endpoint: completed at >= 100, otherwise running; no progress
+    row gives running at 0."""
     p = F.col("progress")
-    return u.select(
+    return _for_users(facts, users).select(
         "userid",
         F.when(p >= COMPLETED_AT, "completed").otherwise("running").alias("status"),
         F.coalesce(p, F.lit(0)).cast("int").alias("progress"),

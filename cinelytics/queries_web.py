@@ -594,10 +594,9 @@ SQL_ALL_USERS = """
 SELECT userid FROM my_ratings_v UNION SELECT userid FROM progress_v UNION SELECT userid FROM recommendations_v"""
 
 
-def _all_users(spark, d):
-    return (V(spark, d, "my_ratings_v").select("userid")
-            .unionByName(V(spark, d, "progress_v").select("userid"))
-            .unionByName(V(spark, d, "recommendations_v").select("userid")).distinct())
+def _facts(spark, d):
+    """Per-user progress / recommendation / rating facts in one aggregation."""
+    return st.user_facts(V(spark, d, "progress_v"), V(spark, d, "recommendations_v"), V(spark, d, "my_ratings_v"))
 
 
 @register("count_recommendations_by_user", fx.oracle_with(
@@ -606,7 +605,7 @@ SELECT u.userid, CAST(count(r.movieid) AS BIGINT) AS n_recommendations
 FROM ({SQL_ALL_USERS}) u LEFT JOIN recommendations_v r ON r.userid = u.userid GROUP BY u.userid"""))
 def q_count_recommendations_by_user(spark, d):
     """Stored recommendations per user, zero included."""
-    return st.count_recommendations_by_user(_all_users(spark, d), V(spark, d, "recommendations_v"))
+    return _facts(spark, d).select("userid", "n_recs").withColumnRenamed("n_recs", "n_recommendations")
 
 
 @register("job_status", fx.oracle_with(["ratings_v", "my_ratings_v", "progress_v", "recommendations_v"], f"""
@@ -628,8 +627,7 @@ LEFT JOIN (SELECT userid, count(*) AS n FROM recommendations_v GROUP BY userid)
 LEFT JOIN (SELECT userid, count(*) AS n FROM my_ratings_v GROUP BY userid) rt ON rt.userid = u.userid"""))
 def q_job_status(spark, d):
     """Detailed job status of every user."""
-    latest = st.progress_latest(V(spark, d, "progress_v"))
-    return st.job_status(_all_users(spark, d), latest, V(spark, d, "recommendations_v"), V(spark, d, "my_ratings_v"))
+    return st.job_status(_facts(spark, d))
 
 
 @register("job_status_simple", fx.oracle_with(["ratings_v", "my_ratings_v", "progress_v", "recommendations_v"], f"""
@@ -638,8 +636,7 @@ SELECT u.userid, CASE WHEN p.progress >= 100 THEN 'completed' ELSE 'running' END
 FROM ({SQL_ALL_USERS}) u LEFT JOIN ({SQL_LATEST_PROGRESS}) p ON p.userid = u.userid"""))
 def q_job_status_simple(spark, d):
     """Simple running / completed status of every user."""
-    latest = st.progress_latest(V(spark, d, "progress_v"))
-    return st.job_status_simple(_all_users(spark, d), latest)
+    return st.job_status_simple(_facts(spark, d))
 
 
 _STAGES_SQL = ", ".join(f"({p}, '{label}')" for p, label in st.STAGES)

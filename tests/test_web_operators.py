@@ -100,11 +100,14 @@ def test_progress_monotone_and_status_fallbacks(spark):
     users = spark.createDataFrame([(u,) for u in (1, 2, 3, 4, 5)], "userid int")
     recs = spark.createDataFrame([(3, 9)], "userid int, movieid int")
     ratings = spark.createDataFrame([(3, 1), (4, 1)], "userid int, movieid int")
+    facts = st.user_facts(log, recs, ratings)
     out = {r["userid"]: (r["status"], r["progress"], r["rec_count"], r["failed"])
-           for r in st.job_status(users, st.progress_latest(log), recs, ratings).collect()}
+           for r in st.job_status(facts, users).collect()}
     assert out == {1: ("processing", 20, None, False), 2: ("processing", -1, None, True),
                    3: ("completed", 100, 1, False), 4: ("processing", 50, None, False),
                    5: ("no_data", 0, None, False)}
+    simple = {r["userid"]: (r["status"], r["progress"]) for r in st.job_status_simple(facts).collect()}
+    assert simple == {1: ("running", 20), 2: ("running", -1), 3: ("running", 0), 4: ("running", 0)}
 
 
 def test_movies_dat_parsing(spark):
