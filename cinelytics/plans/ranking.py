@@ -5,8 +5,9 @@ partition-less window (which would move every row into one task).  The frame is
 range-partitioned and sorted within partitions (``range_tag``); each task
 numbers its own rows; a table with one row per partition (bounded by the
 partition count, so broadcasting it is safe) turns local numbers into global
-ones.  The tagged frame is checkpointed into the shared checkpoint folder, so
-every use of it sees the same partitioning even if a task is recomputed.
+ones (the sizes, one row per partition, are collected once).  The tagged frame
+is checkpointed into the shared checkpoint folder, so every use of it sees the
+same partitioning even if a task is recomputed.
 
 ``row_number_within`` and ``running_max_within`` build per-group orderings on
 top of that: a range partitioner splits a hot group over many tasks, where a
@@ -42,12 +43,23 @@ def range_tag(df: DataFrame, order_by: Sequence[Column], num_partitions: int | N
     return tagged
 
 
-def _with_global_rank(tagged: DataFrame, rank_col: str) -> DataFrame:
-    sizes = tagged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
-    offsets = sizes.select(
-        "__pid",
-        F.sum("__n").over(Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)).alias("__offset"),
-    ).fillna(0, subset=["__offset"])  # one row per partition
+def _partition_offsets(tagged: DataFrame) -> tuple[DataFrame, int]:
+    """Rows before each partition, and the total.  The sizes are one row per
+    partition (bounded by the partition count), so they are collected once and
+    the offsets table is broadcast as a local relation."""
+    sizes = sorted((r["__pid"], r["__n"]) for r in
+                   tagged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n")).collect())
+    rows, running = [], 0
+    for pid, n in sizes:
+        rows.append((pid, running))
+        running += n
+    offsets = tagged.sparkSession.createDataFrame(rows, "__pid int, __offset long")
+    return offsets, running
+
+
+def _with_global_rank(tagged: DataFrame, rank_col: str, offsets: DataFrame | None = None) -> DataFrame:
+    if offsets is None:
+        offsets, _ = _partition_offsets(tagged)
     ranked = tagged.join(F.broadcast(offsets), "__pid")
     return ranked.withColumn(rank_col, F.col("__offset") + F.col("__local") + 1).drop("__offset")
 
@@ -65,8 +77,8 @@ def global_rank_with_count(df: DataFrame, order_by: Sequence[Column], rank_col:
     """``global_rank`` plus the exact row count, read from the per-partition
     sizes of the materialised frame (one small row per partition)."""
     tagged = range_tag(df, order_by, num_partitions, True)
-    total = tagged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n")).agg(F.sum("__n")).first()[0] or 0
-    return _with_global_rank(tagged, rank_col).drop("__pid", "__local"), int(total)
+    offsets, total = _partition_offsets(tagged)
+    return _with_global_rank(tagged, rank_col, offsets).drop("__pid", "__local"), int(total)
 
 
 def row_number_within(df: DataFrame, group_cols: Sequence[str], order_by: Sequence[Column],
