@@ -28,11 +28,13 @@ from .joins import join_dimension
 def range_tag(df: DataFrame, order_by: Sequence[Column], num_partitions: int | None = None,
               materialize: bool = True) -> DataFrame:
     """Range-partition + sort; add ``__pid`` (partition) and ``__local`` (0-based
-    position inside the partition)."""
+    position inside the partition).  Without ``num_partitions`` AQE may merge
+    adjacent (small) range partitions, which keeps the order, so a small input
+    gets few tasks and a large one the full shuffle width."""
     spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(num_partitions, *order_by) if num_partitions else df.repartitionByRange(*order_by)
     tagged = (
-        df.repartitionByRange(n, *order_by)
+        ranged
         .sortWithinPartitions(*order_by)
         .withColumn("__pid", F.spark_partition_id())
         .withColumn("__local", F.monotonically_increasing_id() - F.shiftleft(F.col("__pid").cast("long"), 33))
