@@ -136,3 +136,16 @@ def q_title_lookup(spark, d):
     titles = tx.read_movies(spark, path).select("movieid", "moviename")
     return rec.with_titles(V(spark, d, "recommendations_v").select("userid", "movieid"), titles)
 
+
+
+@register("scan_personal_ratings", fx.oracle_with(["ratings_v", "my_ratings_v", "progress_v"], """
+SELECT userid, movieid, rating, timestamp FROM my_ratings_v WHERE userid IN (SELECT userid FROM progress_v)"""))
+def q_scan_personal_ratings(spark, d):
+    """A3: the personal-ratings table read for a set of users (those that ran a
+    job) with the user filter pushed to storage: stored as a keyed table, read
+    back bucket-pruned.  (Over JDBC the same read is ``sources.jdbc.read_jdbc``
+    plus a ``where``, which Spark pushes into the database query.)"""
+    path = scratch_path(spark, "personalratings")
+    tb.create_keyed_table(V(spark, d, "my_ratings_v"), path, "userid")
+    users = V(spark, d, "progress_v").select("userid")
+    return tb.read_rows_for_keys(spark, path, users, "userid")

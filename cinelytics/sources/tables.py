@@ -53,6 +53,20 @@ def read_keyed_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).drop(BUCKET_COL)
 
 
+def read_rows_for_keys(spark: SparkSession, path: str, keys_df: DataFrame, key: str | Sequence[str],
+                       buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+    """Rows of a keyed table whose key is in ``keys_df``, reading only the
+    bucket folders those keys hash to (the file-table form of
+    ``SELECT ... WHERE userid = ?`` on the original tables).  The set of
+    buckets is at most ``buckets`` numbers, so it is collected and applied as a
+    partition filter; the semi join then keeps the exact keys."""
+    k = _keys(key)
+    wanted = keys_df.select(*k).distinct().withColumn(BUCKET_COL, bucket_of(k, buckets))
+    touched = [r[0] for r in wanted.select(BUCKET_COL).distinct().collect()]  # <= buckets values
+    rows = spark.read.parquet(path).where(F.col(BUCKET_COL).isin(touched))
+    return rows.join(wanted, [BUCKET_COL, *k], "left_semi").drop(BUCKET_COL)
+
+
 def delete_by_key(df: DataFrame, keys_df: DataFrame, key: str | Sequence[str]) -> DataFrame:
     """Rows whose key is not in ``keys_df``."""
     k = _keys(key)
