@@ -86,8 +86,17 @@ def als_fit(train: DataFrame, params: AlsParams, seed: int = DEFAULT_SEED, user_
         userCol=user_col, itemCol=item_col, ratingCol=rating_col,
         coldStartStrategy="nan", numUserBlocks=nblocks, numItemBlocks=nblocks, checkpointInterval=10,
     )
-    return als.fit(train.select(F.col(user_col).cast("int"), F.col(item_col).cast("int"),
-                                F.col(rating_col).cast("float")))
+    return als.fit(train.select(_int_id(user_col), _int_id(item_col), F.col(rating_col).cast("float")))
+
+
+def _int_id(c: str):
+    """ALS ids must be 32-bit: fail with a clear message inside the scan that
+    feeds ALS (no extra pass over the data), whatever the ANSI setting."""
+    x = F.col(c)
+    ok = x.isNull() | x.between(-(2 ** 31), 2 ** 31 - 1)
+    return F.when(ok, x.cast("int")).otherwise(
+        F.raise_error(F.concat(F.lit(f"{c} out of the 32-bit range ALS supports: "), x.cast("string")))
+    ).cast("int").alias(c)
 
 
 def als_predict(model, pairs: DataFrame) -> DataFrame:

@@ -45,3 +45,11 @@ def test_recommend_for_users_matches_brute_force(spark):
         assert got_sets.get(u, set()) == {m for _, m in top}, u
         checked += 1
     assert checked > 0.8 * len(by_user)
+
+
+def test_als_rejects_ids_beyond_32_bits(spark):
+    import pytest
+
+    df = spark.createDataFrame([(1, 2, 3.0), (2, 3_000_000_000, 4.0)], "userid long, movieid long, rating double")
+    with pytest.raises(Exception, match="32-bit"):
+        mdl.als_fit(df, mdl.AlsParams(2, 0.1, 1))
