@@ -207,9 +207,9 @@ def recommend_for_users(model, users: DataFrame, seen: DataFrame, catalog: DataF
     the data and a hot user is scored on its own.  A user that still has fewer
     than ``n`` survivors while its k-th score is positive and the model has
     more items is asked again with twice k.  The result is exact; there is no
-    candidate cap.  The seen pairs and each group's candidates are checkpointed
-    once (shared checkpoint folder), so later filters and counts do not re-run
-    the input joins or the scoring."""
+    candidate cap.  The seen pairs and each group's flagged candidates are
+    checkpointed once (shared checkpoint folder), so later filters and counts
+    do not re-run the input joins or the scoring."""
     checkpoint_root(users.sparkSession)
     model_items = model.itemFactors.select(F.col("id").alias(item_col))
     n_items = model_items.count()
@@ -238,8 +238,7 @@ def recommend_for_users(model, users: DataFrame, seen: DataFrame, catalog: DataF
                 model.recommendForUserSubset(group_users, int(k))
                 .select("userid", F.explode("recommendations").alias("rec"))
                 .select("userid", F.col(f"rec.{item_col}").alias(item_col), F.col("rec.rating").alias("prediction"))
-                .checkpoint(eager=True)
-            )
+            )  # scored once: the flagged frame below is what gets checkpointed
             seen_flag = seen_pairs.withColumn("__seen", F.lit(True))
             cat_flag = catalog_ids.withColumn("__cat", F.lit(True))
             flagged = join_dimension(recs.join(seen_flag, ["userid", item_col], "left"), cat_flag, item_col, "left")
