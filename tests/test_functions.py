@@ -121,3 +121,13 @@ def test_best_model_fallback_when_nothing_valid(spark):
     vals = [float("nan"), float("inf"), ev.DOUBLE_MAX] * 2 + [float("nan"), float("nan")]
     best = mdl.select_best_model(_metrics(spark, vals)).first()
     assert best["is_fallback"] and (best["rank"], best["max_iter"], best["reg_param"]) == (10, 10, 0.01)
+
+
+def test_recommended_conf_scales_with_input():
+    from cinelytics.session import MAX_SHUFFLE_PARTITIONS, recommended_conf
+
+    small = recommended_conf(10 ** 9, 8)
+    big = recommended_conf(100 * 10 ** 12, 8000)
+    assert int(small["spark.sql.shuffle.partitions"]) == 16  # two waves of tasks per core
+    assert int(big["spark.sql.shuffle.partitions"]) == MAX_SHUFFLE_PARTITIONS
+    assert big["spark.sql.adaptive.skewJoin.enabled"] == "true"

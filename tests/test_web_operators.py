@@ -146,3 +146,14 @@ def test_movies_in_list_skips_blank_ids(spark):
     reqs = spark.createDataFrame([(1, "1,2,,5"), (2, " 3 , x,"), (3, "")], "rid int, ids string")
     got = sorted((r["rid"], r["movieid"]) for r in cat.movies_in_list(reqs, "ids", catalog).collect())
     assert got == [(1, 1), (1, 2), (1, 5), (2, 3)]
+
+
+def test_read_rows_for_keys_prunes_and_handles_empty_sets(spark):
+    path = scratch_path(spark, "keyed-read-test")
+    rows = spark.createDataFrame([(u, m) for u in range(20) for m in range(3)], "userid int, movieid int")
+    tb.create_keyed_table(rows, path, "userid", buckets=8)
+    want = spark.createDataFrame([(3,), (17,), (99,)], "userid int")
+    got = sorted(map(tuple, tb.read_rows_for_keys(spark, path, want, "userid", buckets=8).collect()))
+    assert got == [(3, 0), (3, 1), (3, 2), (17, 0), (17, 1), (17, 2)]
+    none = spark.createDataFrame([], "userid int")
+    assert tb.read_rows_for_keys(spark, path, none, "userid", buckets=8).count() == 0
