@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import table, text_slices
-from .tokens import Encoder, tokenizer_path
+from .tokens import encoder, tokenizer_path
 
 WINDOW = 1024
 END_ID = 0
@@ -140,7 +140,7 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: int = END_
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
-        encoder, first, out = Encoder(tokenizer, kind), TaskContext.get().partitionId() << 36, []
+        encode, first, out = encoder(tokenizer, kind), TaskContext.get().partitionId() << 36, []
 
         def emit(doc, start, ids, number, offset):
             out.append((doc[0], start, len(ids), ids.astype("<u4").tobytes(), doc[1], first + number, offset))
@@ -153,7 +153,7 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: int = END_
         for batch in batches:
             numbers = batch.column(0).to_pylist()
             for at, texts in text_slices(batch.column(1)):
-                for i, x in enumerate(encoder.ids(texts)):
+                for i, x in enumerate(encode.ids(texts)):
                     ids = np.concatenate([x, end.astype(x.dtype)])
                     packer.add((numbers[at + i], len(ids)), ids)
                 if out:

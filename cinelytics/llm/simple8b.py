@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from ..session import scratch_path
 from .common import SLICE_CHARS, table, text_slices
-from .tokens import Encoder, tokenizer_path
+from .tokens import encoder, tokenizer_path
 
 COUNTS = (1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)  # by selector; 0 is the escape
 BLOCK = 512
@@ -155,7 +155,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, kind: str = "word", en
     schema = SEGMENT
 
     def run(batches):
-        encoder, part, seq, start = Encoder(tokenizer, kind), TaskContext.get().partitionId(), 0, 0
+        encode, part, seq, start = encoder(tokenizer, kind), TaskContext.get().partitionId(), 0, 0
         ids, lengths, held = [], [], []
 
         def segment():
@@ -175,7 +175,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, kind: str = "word", en
         for batch in batches:
             numbers = batch.column(0).to_pylist()
             for at, texts in text_slices(batch.column(1)):
-                for i, x in enumerate(encoder.ids(texts)):
+                for i, x in enumerate(encode.ids(texts)):
                     ids.append(numbers[at + i])
                     lengths.append(len(x) + 1)
                     held += [x.astype(np.uint64), end]

@@ -10,6 +10,8 @@ distinct piece is encoded once and looked up afterwards:
   other white space are cut only before single spaces between plain letters or
   signs, and the rest goes to the library in one piece.
 
+A new piece of Latin letters, perhaps with signs behind it, is one or two pre-tokens
+that go straight to the library's model; all others go through its whole pipeline.
 Pieces over ``LONG_PIECE`` characters are encoded but not kept; two generations of
 at most ``CACHE_PIECES`` pieces bound the cache.
 """
@@ -22,11 +24,12 @@ from array import array
 
 import numpy as np
 
-CACHE_PIECES = 300_000
+CACHE_PIECES = 500_000
 JOINED = 64
 LONG_PIECE = 48
 
-_ODD = re.compile(r"\s\s|[^\S \n]|[\x1c-\x1f᠎​]")
+# One pre-token of Latin letters (a space may come first), then at most one of signs.
+_LETTERS = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 _SAFE_SPACE = re.compile(r"(?<=[!-~¡-ᙿ])(?= [!-~¡-ᙿ])")
 
 
@@ -39,7 +42,8 @@ def tokenizer_path(name: str) -> str:
 def byte_pieces(text: str) -> list[str]:
     if not text:
         return []
-    if _ODD.search(text) or text[0] in " \n" or text[-1] in " \n":
+    words = text.replace("\n", " ").split(" ")
+    if "" in words or len(words) != len(text.split()):  # white space of another kind, or two in a row
         return _SAFE_SPACE.split(text)
     return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
@@ -48,6 +52,17 @@ def word_pieces(text: str) -> list[str]:
     return text.replace("\n", " ").split(" ")
 
 
+def _byte_alphabet() -> dict[int, int]:
+    """Byte-level vocabularies write a byte as a visible character: itself where it is
+    one, else the next free code point from 256 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
+_ALPHABET = _byte_alphabet()
+
+
 class Encoder:
     """``ids(texts)``: one array of ids per text."""
 
@@ -64,6 +79,8 @@ class Encoder:
         self.mark, self.separator = ("\n", "\n") if kind == "byte" else ("\1", " \1 ")
         (self.mark_id,) = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
         self.pieces = {"byte": byte_pieces, "word": word_pieces}[kind]
+        self.lower = kind == "word"  # that vocabulary is lower case
+        self.signs: dict[str, bytes] = {}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -73,16 +90,38 @@ class Encoder:
         word = piece[1:] if piece[:1] == " " else piece
         return bool(word) and word == word.strip() and self.mark not in word
 
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        """Ids of distinct pieces: up to JOINED of them go to the library as one text,
+    def _model(self, word: str) -> bytes:
+        """Ids of one pre-token by the library's model."""
+        word = word.lower() if self.lower else word
+        word = word.encode().decode("latin-1").translate(_ALPHABET)
+        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
+
+    def _encode(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of new pieces.  Letters with signs behind them are two pre-tokens, which the
+        model takes directly; of other pieces up to JOINED go to the library as one text,
         with a separator that is always one token of its own."""
-        plain = [p for p in pieces if self._plain(p)]
-        if len(plain) < len(pieces):
-            rest = [p for p in pieces if not self._plain(p)]
-            alone = dict(zip(rest, (array(self.code, e.ids).tobytes() for e in
-                                    self.tokenizer.encode_batch_fast(rest, add_special_tokens=False))))
-        else:
-            alone = {}
+        made: dict[str, bytes] = {}
+        plain, rest = [], []
+        known, whole = self.young, _LETTERS.fullmatch
+        for p in pieces:
+            found = whole(p)
+            if found:
+                core, signs = found.groups()
+                ids = known.get(core) or made.get(core) or self.old.get(core)
+                if ids is None:
+                    ids = made[core] = self._model(core)
+                if signs:
+                    tail = self.signs.get(signs)
+                    if tail is None:
+                        if len(self.signs) > CACHE_PIECES // 10:
+                            self.signs.clear()
+                        tail = self.signs[signs] = self._model(signs)
+                    ids += tail
+                made[p] = ids
+            else:
+                (plain if self._plain(p) else rest).append(p)
+        made.update(zip(rest, (array(self.code, e.ids).tobytes() for e in
+                               self.tokenizer.encode_batch_fast(rest, add_special_tokens=False))))
         joined = [self.separator.join(plain[i:i + JOINED]) + self.separator for i in range(0, len(plain), JOINED)]
         raw = np.frombuffer(b"".join(array(self.code, e.ids).tobytes() for e in
                                      self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)), self.dtype)
@@ -90,22 +129,39 @@ class Encoder:
         if len(ends) != len(plain):
             raise ValueError("the separator is not a token of its own in this vocabulary")
         size, raw = self.dtype().itemsize, raw.tobytes()
-        made = dict(zip(plain, (raw[a * size:b * size] for a, b in zip([0, *[e + 1 for e in ends]], ends))))
-        return [alone[p] if p in alone else made[p] for p in pieces]
+        made.update(zip(plain, (raw[a * size:b * size] for a, b in zip([0, *[e + 1 for e in ends]], ends))))
+        return made
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self.pieces(t) if "\0" not in t else [t] for t in texts]
-        new = set().union(*cut).difference(self.young)
-        for p in new & self.old.keys():
-            self.young[p] = self.old[p]
-        missing = sorted(new.difference(self.young))
-        for at in range(0, len(missing), 16_384):
-            part = missing[at:at + 16_384]
-            self.young.update(zip(part, self._encode(part)))
-        out = [np.frombuffer(b"".join(map(self.young.__getitem__, p)), self.dtype) for p in cut]
-        for p in missing:
-            if len(p) > LONG_PIECE:
-                del self.young[p]
+        found = [list(map(self.young.get, p)) for p in cut]
+        missing: set[str] = set()
+        for p, v in zip(cut, found):
+            if None in v:
+                missing.update([q for q, x in zip(p, v) if x is None])
+        for q in missing & self.old.keys():
+            self.young[q] = self.old[q]
+        self.young.update(self._encode([q for q in missing if q not in self.old]))
+        known = self.young
+        out = []
+        for p, v in zip(cut, found):
+            if None in v:
+                v = [known[q] if x is None else x for q, x in zip(p, v)]
+            out.append(np.frombuffer(b"".join(v), self.dtype))
+        for q in missing:
+            if len(q) > LONG_PIECE:
+                del self.young[q]
         if len(self.young) > CACHE_PIECES:
             self.old, self.young = self.young, {}
         return out
+
+
+_ENCODERS: dict[tuple[str, str], Encoder] = {}
+
+
+def encoder(path: str, kind: str) -> Encoder:
+    """The encoder of this Python worker: tasks that follow each other share its cache."""
+    if (path, kind) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path, kind] = Encoder(path, kind)
+    return _ENCODERS[path, kind]
