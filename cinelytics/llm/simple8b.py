@@ -88,32 +88,23 @@ def encode_ids(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     length = np.full(n_blocks, BLOCK)
     length[-1] = n - (n_blocks - 1) * BLOCK
     counts, at, live = np.array(COUNTS), np.zeros(n_blocks, np.int64), np.arange(n_blocks)
-    word_block, word_at = [], []
+    begins = np.zeros(n, bool)
     while len(live):
         here = at[live]
-        word_block.append(live)
-        word_at.append(here)
+        begins[live * BLOCK + here] = True
         at[live] = here + counts[chosen[live, here]]
         live = live[at[live] < length[live]]
-    block, start = np.concatenate(word_block), np.concatenate(word_at)
-    order = np.lexsort((start, block))
-    block, start = block[order], start[order]
-    selector = chosen[block, start]
-    words = selector.astype(np.uint64) << np.uint64(60)
-    flat = np.concatenate([padded, np.zeros(60, np.uint64)])
-    first, end = block * BLOCK + start, np.minimum((block + 1) * BLOCK, n)
-    for s in np.unique(selector):
-        pick = np.flatnonzero(selector == s)
-        if s == 0:
-            escapes = flat[first[pick]]
-            words[pick] |= np.arange(len(pick), dtype=np.uint64)
-            continue
-        width = np.uint64(60 // COUNTS[s])
-        for k in range(COUNTS[s]):
-            p = first[pick] + k
-            words[pick] |= np.where(p < end[pick], flat[p], 0).astype(np.uint64) << (width * np.uint64(k))
-    if 0 not in selector:
-        escapes = np.zeros(0, np.uint64)
+    first = np.flatnonzero(begins)                     # the first id of every word, in order
+    block = first // BLOCK
+    selector = chosen[block, first - block * BLOCK]
+    taken = np.diff(np.r_[first, n])                   # ids of each word; less than its count at a block's end
+    values, width = padded[:n].copy(), (60 // counts)[selector].astype(np.uint64)
+    escaped = np.flatnonzero(selector == 0)
+    escapes = values[first[escaped]].copy()
+    values[first[escaped]] = np.arange(len(escaped), dtype=np.uint64)
+    slot = (np.arange(n) - np.repeat(first, taken)).astype(np.uint64)
+    words = np.bitwise_or.reduceat(values << (slot * np.repeat(width, taken)), first)
+    words |= selector.astype(np.uint64) << np.uint64(60)
     return words, np.searchsorted(block, np.arange(n_blocks)).astype(np.uint32), escapes
 
 
@@ -122,26 +113,20 @@ def decode_ids(words: np.ndarray, offsets: np.ndarray, escapes: np.ndarray, n: i
     if not n:
         return np.zeros(0, np.uint64)
     selector = (words >> np.uint64(60)).astype(np.int64)
-    data = words & np.uint64((1 << 60) - 1)
     counts = np.array(COUNTS)[selector]
     before = np.cumsum(counts) - counts
     starts = offsets.astype(np.int64)
-    n_words = np.diff(np.r_[starts, len(words)])
-    block = np.repeat(np.arange(len(starts)), n_words)
-    place = before - before[starts][block] + block * BLOCK  # a block's words may end in padding
-    end = np.minimum((block + 1) * BLOCK, n)
-    out = np.zeros(len(starts) * BLOCK + 60, np.uint64)
-    for s in np.unique(selector):
-        pick = np.flatnonzero(selector == s)
-        if s == 0:
-            out[place[pick]] = escapes[data[pick].astype(np.int64)]
-            continue
-        width = np.uint64(60 // COUNTS[s])
-        for k in range(COUNTS[s]):
-            p = place[pick] + k
-            ok = p < end[pick]
-            out[p[ok]] = (data[pick[ok]] >> (width * np.uint64(k))) & np.uint64((1 << int(width)) - 1)
-    return out[:n]
+    block = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(words)]))
+    first = before - before[starts][block] + block * BLOCK   # a block's words may end in padding
+    taken = np.minimum(counts, np.minimum((block + 1) * BLOCK, n) - first)
+    width = (60 // np.array(COUNTS))[selector].astype(np.uint64)
+    data = words & np.uint64((1 << 60) - 1)
+    escaped = np.flatnonzero(selector == 0)
+    slot = (np.arange(n) - np.repeat(first, taken)).astype(np.uint64)
+    width = np.repeat(width, taken)
+    out = (np.repeat(data, taken) >> (slot * width)) & ((np.uint64(1) << width) - np.uint64(1))
+    out[first[escaped]] = escapes[data[escaped].astype(np.int64)]
+    return out
 
 
 # -------------------------------------------------------------------- files --

@@ -4,16 +4,18 @@ The ``tokenizers`` library makes every id.  Both files split a text into pieces
 before they merge, and no piece reaches across the boundaries used here, so each
 distinct piece is encoded once and looked up afterwards:
 
-* ``word`` (white space dropped): boundaries are spaces and line feeds;
-* ``byte`` (a space belongs to the next word): a boundary lies before a single
-  space, and around a single line feed, between visible characters; texts with
-  other white space are cut only before single spaces between plain letters or
-  signs, and the rest goes to the library in one piece.
-
-A new piece of Latin letters, perhaps with signs behind it, is one or two pre-tokens
-that go straight to the library's model; all others go through its whole pipeline.
-Pieces over ``LONG_PIECE`` characters are encoded but not kept; two generations of
-at most ``CACHE_PIECES`` pieces bound the cache.
+* ``word`` (white space dropped, lower case): a piece begins at a space or line feed;
+* ``byte`` (a space belongs to the next word): a piece begins at a single space and at
+  either side of a single line feed; texts with other white space, or two in a row,
+  are cut only before single spaces between plain signs.
+
+Pieces of a few texts are found and hashed at once with numpy (two 64-bit polynomial
+hashes with random bases; pieces over ``LONG_PIECE`` bytes are never hashed), grouped,
+and only the distinct ones are looked up.  Should the second hash ever disagree, the
+texts go through the library as they are.  A new piece of Latin letters, perhaps
+with signs behind it, is one or two pre-tokens that go straight to the library's
+model; all others go through its whole pipeline.  The cache is emptied when it
+holds ``CACHE_PIECES`` pieces.
 """
 
 from __future__ import annotations
@@ -24,9 +26,9 @@ from array import array
 
 import numpy as np
 
-CACHE_PIECES = 500_000
+CACHE_PIECES = 1_000_000
 JOINED = 64
-LONG_PIECE = 48
+LONG_PIECE = 64
 
 # One pre-token of Latin letters (a space may come first), then at most one of signs.
 _LETTERS = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
@@ -39,17 +41,42 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def byte_pieces(text: str) -> list[str]:
-    if not text:
-        return []
-    words = text.replace("\n", " ").split(" ")
-    if "" in words or len(words) != len(text.split()):  # white space of another kind, or two in a row
-        return _SAFE_SPACE.split(text)
-    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+# The second to last bytes of the non-ASCII white space characters, by their first byte.
+_WIDE_SPACES = [c.encode() for c in
+                "\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"]
+
+
+def is_plain(raw: bytes) -> bool:
+    """Whether a text's white space is single spaces and line feeds inside it."""
+    words = raw.replace(b"\n", b" ").split(b" ")
+    if b"" in words or len(words) != len(raw.split()) or raw.translate(None, bytes(range(28, 32))) != raw:
+        return False
+    return raw.isascii() or not any(w in raw for w in _WIDE_SPACES)
+
+
+class _Hash:
+    """Polynomial hashes modulo 2**64 of all pieces of a byte array, by prefix sums."""
 
+    def __init__(self, seed: int, size: int = 1 << 16):
+        rng = np.random.default_rng(seed)
+        self.values = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.base = int(rng.integers(1 << 40, 1 << 62)) * 8 + 5
+        self.inverse = pow(self.base, -1, 1 << 64)
+        self.up = self.down = np.ones(1, np.uint64)
 
-def word_pieces(text: str) -> list[str]:
-    return text.replace("\n", " ").split(" ")
+    @staticmethod
+    def _powers(have: np.ndarray, base: int, n: int) -> np.ndarray:
+        while len(have) < n:
+            have = np.concatenate([have, have * np.uint64(pow(base, len(have), 1 << 64))])
+        return have
+
+    def pieces(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        self.up = self._powers(self.up, self.base, len(data))
+        self.down = self._powers(self.down, self.inverse, len(data))
+        total = np.empty(len(data) + 1, np.uint64)
+        total[0] = 0
+        np.cumsum(self.values[data] * self.up[:len(data)], out=total[1:])
+        return (total[ends] - total[starts]) * self.down[starts]
 
 
 def _byte_alphabet() -> dict[int, int]:
@@ -64,7 +91,7 @@ _ALPHABET = _byte_alphabet()
 
 
 class Encoder:
-    """``ids(texts)``: one array of ids per text."""
+    """``ids(texts)``: one array of ids per text, by the tokenizer file at ``path``."""
 
     def __init__(self, path: str, kind: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -78,11 +105,22 @@ class Encoder:
         # space is dropped, a control character between spaces does
         self.mark, self.separator = ("\n", "\n") if kind == "byte" else ("\1", " \1 ")
         (self.mark_id,) = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
-        self.pieces = {"byte": byte_pieces, "word": word_pieces}[kind]
         self.lower = kind == "word"  # that vocabulary is lower case
         self.signs: dict[str, bytes] = {}
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.fold = np.arange(256, dtype=np.uint8)
+        if self.lower:  # same pieces: upper case and line feeds make no difference there
+            self.fold[65:91] += 32
+            self.fold[10] = 32
+        self.hashes = _Hash(11), _Hash(12)
+        self._empty()
+
+    def _empty(self) -> None:
+        self.known: dict[int, int] = {}              # first hash -> number of the piece
+        self.check = np.zeros(1 << 12, np.uint64)    # by number: second hash,
+        self.start = np.zeros(1 << 12, np.int64)     # place of its ids in flat,
+        self.size = np.zeros(1 << 12, np.int64)      # and how many they are
+        self.flat = np.zeros(1 << 14, self.dtype)
+        self.n = self.used = 0
 
     def _plain(self, piece: str) -> bool:
         """Whether the piece may stand between separators: visible at both ends but
@@ -92,8 +130,11 @@ class Encoder:
 
     def _model(self, word: str) -> bytes:
         """Ids of one pre-token by the library's model."""
-        word = word.lower() if self.lower else word
-        word = word.encode().decode("latin-1").translate(_ALPHABET)
+        word = word.strip(" ").lower() if self.lower else word
+        if word.isascii():
+            word = word.replace(" ", "Ġ")
+        else:
+            word = word.encode().decode("latin-1").translate(_ALPHABET)
         return array(self.code, [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
 
     def _encode(self, pieces: list[str]) -> dict[str, bytes]:
@@ -102,18 +143,18 @@ class Encoder:
         with a separator that is always one token of its own."""
         made: dict[str, bytes] = {}
         plain, rest = [], []
-        known, whole = self.young, _LETTERS.fullmatch
+        whole = _LETTERS.fullmatch
         for p in pieces:
             found = whole(p)
             if found:
                 core, signs = found.groups()
-                ids = known.get(core) or made.get(core) or self.old.get(core)
+                ids = made.get(core)
                 if ids is None:
                     ids = made[core] = self._model(core)
                 if signs:
                     tail = self.signs.get(signs)
                     if tail is None:
-                        if len(self.signs) > CACHE_PIECES // 10:
+                        if len(self.signs) > 10_000:
                             self.signs.clear()
                         tail = self.signs[signs] = self._model(signs)
                     ids += tail
@@ -132,27 +173,92 @@ class Encoder:
         made.update(zip(plain, (raw[a * size:b * size] for a, b in zip([0, *[e + 1 for e in ends]], ends))))
         return made
 
+    def _store(self, made: list[bytes], second: np.ndarray) -> range:
+        """Numbers of new pieces, given their ids and second hashes."""
+        more = np.frombuffer(b"".join(made), self.dtype)
+        size = np.array([len(x) for x in made]) // self.dtype().itemsize
+        numbers = range(self.n, self.n + len(made))
+        while self.used + len(more) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while numbers.stop > len(self.start):
+            self.check, self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.check, self.start, self.size))
+        self.flat[self.used:self.used + len(more)] = more
+        at = slice(self.n, numbers.stop)
+        self.check[at], self.start[at], self.size[at] = second, self.used + np.cumsum(size) - size, size
+        self.used, self.n = self.used + len(more), numbers.stop
+        return numbers
+
+    def _numbers(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray | None:
+        """The cache number of every piece; None if two pieces share a hash."""
+        first, second = (h.pieces(data, starts, ends) for h in self.hashes)
+        order = np.argsort(first)
+        new = np.r_[True, first[order][1:] != first[order][:-1]]
+        group = np.empty(len(order), np.int64)
+        group[order] = np.cumsum(new) - 1
+        one = order[new]                              # a piece of each group
+        if (second[one][group] != second).any():
+            return None
+        keys = first[one].tolist()
+        number = list(map(self.known.get, keys))
+        if None in number:
+            raw, lost = data.tobytes(), [i for i, x in enumerate(number) if x is None]
+            names = [raw[starts[p]:ends[p]].decode() for p in one[lost].tolist()]
+            made = self._encode(names)
+            for i, k in zip(lost, self._store([made[x] for x in names], second[one[lost]])):
+                number[i] = self.known[keys[i]] = k
+        number = np.array(number, np.int64)
+        if (self.check[number] != second[one]).any():
+            return None
+        return number[group]
+
+    def _fast(self, raws: list[bytes]) -> list[np.ndarray] | None:
+        lengths = np.array([len(r) for r in raws])
+        at = np.cumsum(lengths) - lengths
+        data = self.fold[np.frombuffer(b"".join(raws), np.uint8)]
+        begins = data == 32
+        if not self.lower:
+            feed = data == 10
+            begins |= feed
+            begins[1:] |= feed[:-1]
+        begins[at] = True
+        starts = np.flatnonzero(begins)
+        ends = np.r_[starts[1:], len(data)]
+        if self.n > CACHE_PIECES:
+            self._empty()
+        number = np.empty(len(starts), np.int64)
+        long = ends - starts > LONG_PIECE
+        short = np.flatnonzero(~long)
+        if len(short):
+            found = self._numbers(data, starts[short], ends[short])
+            if found is None:
+                return None
+            number[short] = found
+        mark = self.n, self.used
+        if long.any():  # encoded each, kept only for these texts
+            names = [data[a:b].tobytes().decode() for a, b in zip(starts[long], ends[long])]
+            made = self._encode(names)
+            number[long] = self._store([made[x] for x in names], np.zeros(len(names), np.uint64))
+        size = self.size[number]
+        after = np.cumsum(size)
+        ids = self.flat[np.repeat(self.start[number] - (after - size), size) + np.arange(after[-1])]
+        self.n, self.used = mark
+        first = np.searchsorted(starts, at)           # the number of each text's first piece
+        return np.split(ids, (after - size)[first[1:]])
+
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self.pieces(t) if "\0" not in t else [t] for t in texts]
-        found = [list(map(self.young.get, p)) for p in cut]
-        missing: set[str] = set()
-        for p, v in zip(cut, found):
-            if None in v:
-                missing.update([q for q, x in zip(p, v) if x is None])
-        for q in missing & self.old.keys():
-            self.young[q] = self.old[q]
-        self.young.update(self._encode([q for q in missing if q not in self.old]))
-        known = self.young
-        out = []
-        for p, v in zip(cut, found):
-            if None in v:
-                v = [known[q] if x is None else x for q, x in zip(p, v)]
-            out.append(np.frombuffer(b"".join(v), self.dtype))
-        for q in missing:
-            if len(q) > LONG_PIECE:
-                del self.young[q]
-        if len(self.young) > CACHE_PIECES:
-            self.old, self.young = self.young, {}
+        """One array of ids per text."""
+        raws = [t.encode() for t in texts]
+        fast = [i for i, r in enumerate(raws) if r and (self.lower or is_plain(r))]
+        out: list = [None] * len(texts)
+        found = self._fast([raws[i] for i in fast]) if fast else []
+        if found is not None:
+            for i, x in zip(fast, found):
+                out[i] = x
+        for i, x in enumerate(out):
+            if x is None:
+                pieces = _SAFE_SPACE.split(texts[i]) if texts[i] and "\0" not in texts[i] else [texts[i]]
+                made = self._encode(list(dict.fromkeys(pieces)))
+                out[i] = np.frombuffer(b"".join([made[p] for p in pieces]), self.dtype)
         return out
 
 
