@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from ..session import scratch_path
 
 SLICE_ROWS = 512
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -46,16 +46,17 @@ class SumOfSquares:
 
     def choose(self, size: int) -> int:
         """The level that minimises the sum of squares after placing ``size`` there."""
-        n, w = self.level, self.window
-        last = w - size                              # the level that a full window comes from
-        gain = np.full(last + 1, np.inf)
-        gain[0] = 2 * n[size] + 1
-        if last > 0:
-            h = np.flatnonzero(n[1:last + 1]) + 1
-            after = np.where(h < last, n[np.minimum(h + size, w - 1)], 0)
-            gain[h] = np.where(h < last, 2 * (after - n[h]) + 2, 1 - 2 * n[h])
-        best = gain.min()
-        return int(np.flatnonzero(gain == best)[-1])
+        n, last = self.level, self.window - size     # last: the level that a full window comes from
+        best, gain = 0, 2 * int(n[size]) + 1         # a new window
+        h = np.flatnonzero(n[1:last]) + 1            # open levels that stay open
+        if len(h):
+            change = 2 * (n[h + size] - n[h]) + 2
+            least = int(change.min())
+            if least <= gain:
+                best, gain = int(h[np.flatnonzero(change == least)[-1]]), least
+        if n[last] and 1 - 2 * int(n[last]) <= gain:
+            best = last
+        return best
 
     def add(self, doc, ids: np.ndarray) -> None:
         at, w = 0, self.window

@@ -26,7 +26,7 @@ from array import array
 
 import numpy as np
 
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 600_000
 JOINED = 64
 LONG_PIECE = 64
 
@@ -46,12 +46,25 @@ _WIDE_SPACES = [c.encode() for c in
                 "\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"]
 
 
-def is_plain(raw: bytes) -> bool:
-    """Whether a text's white space is single spaces and line feeds inside it."""
-    words = raw.replace(b"\n", b" ").split(b" ")
-    if b"" in words or len(words) != len(raw.split()) or raw.translate(None, bytes(range(28, 32))) != raw:
-        return False
-    return raw.isascii() or not any(w in raw for w in _WIDE_SPACES)
+_SPACE_KIND = np.zeros(256, np.uint8)  # 1: space and line feed, 2: other ASCII white space
+_SPACE_KIND[[9, 11, 12, 13, 28, 29, 30, 31]] = 2
+_SPACE_KIND[[10, 32]] = 1
+
+
+def are_plain(raws: list[bytes]) -> np.ndarray:
+    """For texts that aren't empty, whether their white space is single spaces and line
+    feeds inside the text."""
+    joined, ends = b"".join(raws), np.cumsum([len(r) for r in raws])
+    kind = _SPACE_KIND[np.frombuffer(joined, np.uint8)]
+    bad = kind > 1
+    bad[1:] |= (kind[1:] & kind[:-1]) > 0       # two in a row; across texts one of them begins or ends
+    out = np.ones(len(raws), bool)
+    out[np.searchsorted(ends, np.flatnonzero(bad), side="right")] = False
+    out &= (kind[ends - 1] == 0) & (kind[np.r_[0, ends[:-1]]] == 0)
+    wide = [w for w in _WIDE_SPACES if w in joined]
+    if wide:
+        out &= [not any(w in r for w in wide) for r in raws]
+    return out
 
 
 class _Hash:
@@ -248,7 +261,9 @@ class Encoder:
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """One array of ids per text."""
         raws = [t.encode() for t in texts]
-        fast = [i for i, r in enumerate(raws) if r and (self.lower or is_plain(r))]
+        fast = [i for i, r in enumerate(raws) if r]
+        if fast and not self.lower:
+            fast = [i for i, ok in zip(fast, are_plain([raws[i] for i in fast])) if ok]
         out: list = [None] * len(texts)
         found = self._fast([raws[i] for i in fast]) if fast else []
         if found is not None:
