@@ -131,11 +131,15 @@ class Scanner:
         m, places = len(self.templates[t][1]), self.places[t]
         slack = max(2, m // 4)
         votes: dict[int, set] = defaultdict(set)
+        exact: dict[int, set] = defaultdict(set)
         for w, qs in places.items():
             for p in at.get(w, ()):
                 for q in qs:
-                    band = (p - q) // slack
-                    votes[band].add(w)
+                    votes[(p - q) // slack].add(w)
+                    exact[p - q].add(w)
+        for d in sorted(exact):  # without insertions: no neighbouring copy makes its words repeat
+            if len(exact[d]) >= self.needed[t]:
+                yield max(0, d), min(len(words), d + m)
         for band in sorted(votes):
             near = votes[band] | votes.get(band + 1, set())
             if len(near) >= self.needed[t]:

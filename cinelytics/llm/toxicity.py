@@ -18,7 +18,8 @@ texts of all documents.
 Labels, language, source and id are never inputs of a score.  Null or empty texts
 have no terms and score sigmoid(w0).  Rows without a label or an id don't train;
 several labels of one document count as toxic if one of them is.  Without any
-training row, or with one label only, the score is constant, just off 0.5 on its side.
+training row, with one label only or without a telling term, the score is constant,
+just off 0.5 on the side of the more frequent label (no label: predicted 0).
 """
 
 from __future__ import annotations
@@ -79,8 +80,8 @@ def fit(rows: list[np.ndarray], y: np.ndarray, terms: np.ndarray, factors: int =
     rng = np.random.default_rng(seed)
     n, k = len(rows), len(terms)
     w0, w, v = 0.0, np.zeros(k), rng.normal(0, 0.02, (k, factors))
-    if not n or y.min() == y.max():
-        return Model(terms, -1e-6 if not n or not y.max() else 1e-6, w, np.zeros((k, factors)))
+    if not n or not k or y.min() == y.max():
+        return Model(terms, 1e-6 if n and y.mean() > 0.5 else -1e-6, w, np.zeros((k, factors)))
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     weight = np.minimum(weight, 10 * weight.min())
     g0, gw, gv = 1e-8, np.full(k, 1e-8), np.full((k, factors), 1e-8)
@@ -97,7 +98,8 @@ def fit(rows: list[np.ndarray], y: np.ndarray, terms: np.ndarray, factors: int =
             square = np.bincount(doc, (vc ** 2).sum(axis=1), len(pick))
             z = w0 + np.bincount(doc, w[cols], len(pick)) + 0.5 * ((total ** 2).sum(axis=1) - square)
             error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[pick]) * weight[pick] / len(pick)
-            dw = np.bincount(cols, error[doc], k)
+            dw = np.zeros(k)
+            np.add.at(dw, cols, error[doc])
             dv = np.zeros((k, factors))
             np.add.at(dv, cols, error[doc][:, None] * (total[doc] - vc))
             seen = np.unique(cols)
