@@ -33,6 +33,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A side whose measured size is at most this may be sent to every task.
+BROADCAST_BYTES = 64 << 20
+
+
+def small_side(df: DataFrame, row_bytes) -> DataFrame:
+    """``df``, marked for a broadcast join if the sum of ``row_bytes`` (an estimate per row,
+    with the JVM's overhead) is proven to be at most BROADCAST_BYTES; else unmarked, so
+    that the join shuffles."""
+    total = df.agg(F.sum(row_bytes).cast("long")).first()[0] or 0
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not use yet (names compare without case)."""
     used = {c.lower() for c in df.columns}

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, fresh, map_texts, table
+from .common import cut, fresh, map_texts, small_side, table
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -281,6 +281,8 @@ def apply(index: LineIndex, docs: DataFrame, id_col: str = "doc_id", text_col: s
     min_chars = index.min_chars
     drops = cut(dropped_keys(index, filter_bytes), "lines-drops")
     keys, key = fresh(docs, "keys"), fresh(docs, "id")
+    # the texts stay where they are while the keys to drop are few
+    drops = small_side(drops, 64 + 48 * F.size("keys"))
     joined = docs.join(drops.select(F.col("doc_id").alias(key), F.col("keys").alias(keys)),
                        docs[f"`{id_col}`"] == F.col(key), "left")
     # a row without an id loses every frequent line: no document keeps lines through it

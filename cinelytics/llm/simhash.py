@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, fresh, map_texts, table
+from .common import cut, fresh, map_texts, small_side, table
 
 RADIUS = 3
 SHINGLE = 3
@@ -214,6 +214,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if found.groupBy("doc_id").count().where("count > 1").isEmpty():
         key = fresh(docs, "dropped")
         gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(key))
+        gone = small_side(gone, F.lit(64))  # else whole texts would move for a few dropped ids
         return docs.join(gone, docs[f"`{id_col}`"] == gone[key], "left_anti")
     fp, key, fp2, rank = (fresh(docs, x) for x in ("fp", "key", "fp2", "rank"))
     stay = found.where("doc_id = component_id").distinct().select(F.col("doc_id").alias(key), F.col("fp").alias(fp2))

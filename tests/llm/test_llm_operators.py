@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from cinelytics.llm import (chat, decontam, licenses, linededup, packing, quality, simhash, simple8b, tokens, toxicity,
+from cinelytics.llm import (chat, common, decontam, licenses, linededup, packing, quality, simhash, simple8b, tokens, toxicity,
                             urlrules)
 from tools.oracle_compare import digest
 
@@ -494,7 +494,8 @@ def line_rows(n=40, seed=4):
 
 
 @pytest.mark.parametrize("filter_bytes", [0, linededup.FILTER_BYTES])
-def test_line_dedup_brute_force(spark, filter_bytes):
+def test_line_dedup_brute_force(spark, filter_bytes, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", filter_bytes)
     rows = line_rows()
     docs = docs_of(spark, rows).withColumn("kept", F.lit(1)).withColumn("keys", F.lit(2))
     index = linededup.build_index(docs, shard_keys=2)
