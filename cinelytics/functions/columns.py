@@ -59,7 +59,8 @@ def js_parse_int(c: str | Column) -> Column:
 def js_to_number(c: str | Column) -> Column:
     """``Number(x)`` for a JSON scalar read as text: blank is 0, junk is NULL."""
     s = F.trim(col(c).cast("string"))
-    return F.when(s == "", F.lit(0.0)).otherwise(s.try_cast("double"))
+    plain = s.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")  # a Java cast would also take "4d"
+    return F.when(s == "", F.lit(0.0)).when(plain, s.try_cast("double"))
 
 
 def to_fixed_1(c: str | Column) -> Column:

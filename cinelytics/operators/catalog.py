@@ -3,6 +3,8 @@ reproducible random sample and its selection batches."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,9 +47,9 @@ def movie_by_id(catalog: DataFrame, ids) -> DataFrame:
 def ids_from_list(df: DataFrame, list_col: str, out_col: str = "movieid") -> DataFrame:
     """``'1,2,,5'`` -> one row per non-blank id (the original filters blanks and
     binds the rest as parameters of ``IN (...)``)."""
-    items = df.select("*", F.explode(F.split(F.col(list_col), ",")).alias("__item"))
-    items = items.where(F.trim("__item") != "")
-    return items.withColumn(out_col, F.trim("__item").try_cast("int")).drop("__item")
+    ids = F.transform(F.split(F.col(list_col), ","), lambda x: F.trim(x).try_cast("int"))
+    # IN (...) matches a repeated id once
+    return df.select("*", F.explode(F.array_distinct(F.filter(ids, lambda x: x.isNotNull()))).alias(out_col))
 
 
 def movies_in_list(requests: DataFrame, list_col: str, catalog: DataFrame, keep=("movieid", "moviename", "picture")) -> DataFrame:
@@ -95,11 +97,9 @@ def catalog_page(catalog: DataFrame, page: int | str | None = 1, sort: str | Non
                  order: str | None = None, page_size: int = C.PAGE_SIZE) -> DataFrame:
     """One page of the sorted catalog (distributed top-k with offset), with the
     page position in ``page_pos``."""
-    try:
-        p = int(page) if page is not None else 1
-    except ValueError:
-        p = 1
-    p = p if p >= 1 else 1  # parseInt(x) || 1
+    digits = re.match(r"\s*([+-]?\d+)", "" if page is None else str(page))  # parseInt(x) || 1
+    p = int(digits[1]) if digits else 1
+    p = p if p >= 1 else 1
     offset = (p - 1) * page_size
     spec = sort_spec(sort, order)
     rows = catalog.orderBy(*spec).offset(offset).limit(page_size)

@@ -52,11 +52,10 @@ def favorites_display(listed: DataFrame) -> DataFrame:
 
 
 def favorites_count(favorites: DataFrame) -> DataFrame:
-    """Per user: count per category (zero filled) and the total, in one pass."""
-    pivot = favorites.groupBy("userid").pivot("category", list(C.VALID_CATEGORIES)).count().fillna(0)
-    total = sum((F.col(c) for c in C.VALID_CATEGORIES), F.lit(0))
-    return pivot.select("userid", *[F.col(c).cast("long").alias(c) for c in C.VALID_CATEGORIES],
-                        total.cast("long").alias("total"))
+    """Per user: count per known category (zero filled) and the total over every
+    category, in one pass."""
+    per = [F.count_if(F.col("category") == c).alias(c) for c in C.VALID_CATEGORIES]
+    return favorites.groupBy("userid").agg(*per, F.count(F.lit(1)).alias("total"))
 
 
 def favorite_categories(favorites: DataFrame) -> DataFrame:
@@ -75,7 +74,7 @@ def favorites_add(existing: DataFrame, requests: DataFrame) -> tuple[DataFrame,
     request with ``already_exists`` (key present before, or an earlier request)."""
     req = valid_categories(requests).where("is_valid").withColumn("category", F.col("category_used")).drop(
         "category_used", "is_valid")
-    first = req.groupBy(*KEY).agg(F.min("id").alias("id"), F.min("createtime").alias("createtime"))
+    first = req.groupBy(*KEY).agg(F.min(F.struct("createtime", "id")).alias("f")).select(*KEY, "f.id", "f.createtime")
     fresh = first.join(existing.select(*KEY), KEY, "left_anti")
     table_after = existing.select("id", *KEY, "createtime").unionByName(fresh.select("id", *KEY, "createtime"))
     inserted = fresh.select(*KEY, F.col("id").alias("__first_id"))

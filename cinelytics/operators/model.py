@@ -196,7 +196,7 @@ def merge_tiers(counts: list[tuple[int, int]], max_waste: float = 2.0) -> list[t
 
 
 def recommend_for_users(model, users: DataFrame, seen: DataFrame, catalog: DataFrame, n: int = TOP_N,
-                        item_col: str = "movieid", max_rounds: int = 40) -> DataFrame:
+                        item_col: str = "movieid") -> DataFrame:
     """Best ``n`` unseen catalog movies with a positive prediction for every user.
 
     ALS's own blocked top-k (``recommendForUserSubset``) returns the k best
@@ -222,12 +222,12 @@ def recommend_for_users(model, users: DataFrame, seen: DataFrame, catalog: DataF
     inflate = n_items / n_in_catalog
     seen_counts = seen_pairs.groupBy("userid").agg(F.count(F.lit(1)).alias("n_seen"))
     want = (F.lit(n) + F.coalesce(F.col("n_seen"), F.lit(0))) * F.lit(inflate)
-    start_k = F.pow(F.lit(2), F.ceil(F.log2(want))).cast("int")
+    start_k = F.least(F.pow(F.lit(2), F.ceil(F.log2(want))), F.lit(float(n_items))).cast("int")
     pending = users.select("userid").distinct().join(seen_counts, "userid", "left").select(
-        "userid", F.least(start_k, F.lit(n_items)).alias("k")
+        "userid", start_k.alias("k")
     ).checkpoint(eager=True)
     parts = []
-    for _ in range(max_rounds):
+    while True:  # k at least doubles for every user still pending, up to the number of items
         counts = [(r["k"], r["count"]) for r in pending.groupBy("k").count().collect()]  # few power-of-two values
         if not counts:
             break

@@ -16,7 +16,6 @@ HISTORY_MODES = {  # sort buttons of the history page: (column, descending)
     "highest": (("rating", True), ("timestamp", True)),
     "lowest": (("rating", False), ("timestamp", True)),
 }
-JSON_CHUNK_MOVIES = 10_000  # movie-id range per JSON document of a user
 # -----------------------------------------------------------------------------
 
 
@@ -160,17 +159,23 @@ def zip_scores(df: DataFrame, ids_col: str, scores_col: str) -> DataFrame:
     )
 
 
-def to_json_ratings(personal: DataFrame, chunk_movies: int = JSON_CHUNK_MOVIES) -> DataFrame:
-    """Per user, the ratings as a JSON array of ``{movieid, rating}`` sorted by
-    movie id.  One document per block of ``chunk_movies`` movie ids, so a user
-    with a huge history yields several bounded documents, never one giant one."""
-    chunk = F.floor(F.col("movieid") / chunk_movies).cast("int")
-    return personal.groupBy("userid", chunk.alias("chunk")).agg(
+def to_json_ratings(personal: DataFrame) -> DataFrame:
+    """Per user, one JSON array of ``{movieid, rating}`` sorted by movie id; a user's
+    selection on one page, so its size is bounded by the catalog."""
+    return personal.groupBy("userid").agg(
         F.to_json(F.array_sort(F.collect_list(F.struct("movieid", "rating")))).alias("ratings_json"),
         F.count(F.lit(1)).alias("n_items"),
     )
 
 
+def well_formed(subs: DataFrame, json_col: str = "selecteddata") -> DataFrame:
+    """Submissions whose body is a JSON array with an item.  The original rejects any
+    other body before it deletes anything, so such a body must never become a user's
+    newest submission; a well-formed one without an accepted item still replaces."""
+    arr = F.when(F.trim(F.col(json_col)).startswith("["), F.from_json(F.col(json_col), "array<string>"))
+    return subs.where(F.coalesce(F.size(arr), F.lit(0)) > 0)
+
+
 def latest_submission(subs: DataFrame, ts_col: str = "ts", id_col: str = "submission_id") -> DataFrame:
     """The newest submission per user (by ts, then id) — a partial aggregate, so
     a user with many submissions never lands in one task as a whole."""

@@ -11,8 +11,9 @@ MIN_VALIDATION_ROWS = 10  # below this the original job prints a warning
 
 def positive_ratings(df: DataFrame, rating_col: str = "rating", require_nonempty: bool = False) -> DataFrame:
     """Keep ``rating > 0``; optionally fail like the original loader when nothing is left."""
-    out = df.where(F.col(rating_col) > 0)
-    if require_nonempty and out.limit(1).count() == 0:
+    # Spark orders NaN above every number
+    out = df.where((F.col(rating_col) > 0) & ~F.isnan(F.col(rating_col).cast("double")))
+    if require_nonempty and out.isEmpty():
         raise ValueError("No ratings provided.")
     return out
 

@@ -1,17 +1,11 @@
-"""Skew-safe joins against a dimension-like side.
+"""Joins against a dimension-like side.
 
 ``join_dimension`` is the one place where this library decides between a
-broadcast and a shuffle join:
-
-* the small side is counted first (an action on an already pruned frame);
-  only if it holds at most ``max_rows`` rows is it broadcast — the bound is
-  checked, never assumed;
-* above the bound the join is a shuffle join with a deterministic salt: the
-  fact side gets ``salt = pmod(xxhash64(fact columns), S)`` and the dimension
-  side is replicated ``S`` times, so a key that holds a third of all fact rows
-  is spread over ``S`` tasks instead of one.  The salt is a hash of the row, not
-  ``rand()``, so a recomputed task after an executor loss produces the same
-  split.
+broadcast and a shuffle join: the small side is counted first (per-task counts,
+then their sum) and broadcast only if it holds at most ``max_rows`` rows.  Above
+the bound the join is a plain shuffle join on the keys, and AQE's skew join
+splits the partitions of hot keys on the fact side at run time; the dimension
+is never replicated as a whole.
 """
 
 from __future__ import annotations
@@ -21,10 +15,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import BROADCAST_MAX_ROWS_KEY, SALT_BUCKETS_KEY, conf_int
+from ..session import BROADCAST_MAX_ROWS_KEY, conf_int
 
 DEFAULT_BROADCAST_MAX_ROWS = 2_000_000
-DEFAULT_SALT_BUCKETS = 32
 
 
 def _keys(on: str | Sequence[str]) -> list[str]:
@@ -33,13 +26,12 @@ def _keys(on: str | Sequence[str]) -> list[str]:
 
 def fits_broadcast(dim: DataFrame, max_rows: int | None = None, known_rows: int | None = None) -> bool:
     """True when ``dim`` has at most ``max_rows`` rows: an exact count the caller
-    already has (``known_rows``), else a bounded count of the frame."""
+    already has (``known_rows``), else a count of the frame."""
     spark = dim.sparkSession
     bound = max_rows if max_rows is not None else conf_int(spark, BROADCAST_MAX_ROWS_KEY, DEFAULT_BROADCAST_MAX_ROWS)
     if known_rows is not None:
         return known_rows <= bound
-    # limit(bound + 1) stops the count early on a huge side.
-    return dim.limit(bound + 1).count() <= bound
+    return dim.count() <= bound  # one number per task, no row moves
 
 
 def join_dimension(
@@ -48,7 +40,6 @@ def join_dimension(
     on: str | Sequence[str],
     how: str = "inner",
     max_rows: int | None = None,
-    salt_buckets: int | None = None,
     dim_rows: int | None = None,
 ) -> DataFrame:
     """Join a (possibly skewed) fact side to a dimension side on equal keys.
@@ -57,14 +48,9 @@ def join_dimension(
     ``dim_rows``: exact row count of ``dim`` when the caller knows it.
     """
     keys = _keys(on)
-    spark = fact.sparkSession
     if fits_broadcast(dim, max_rows, dim_rows):
         return fact.join(F.broadcast(dim), keys, how)
-    buckets = salt_buckets or conf_int(spark, SALT_BUCKETS_KEY, DEFAULT_SALT_BUCKETS)
-    salt_col = "__salt"
-    salted_fact = fact.withColumn(salt_col, F.pmod(F.xxhash64(*[F.col(c) for c in fact.columns]), F.lit(buckets)))
-    salted_dim = dim.withColumn(salt_col, F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-    return salted_fact.join(salted_dim, keys + [salt_col], how).drop(salt_col)
+    return fact.join(dim, keys, how)
 
 
 def is_in_dimension(fact: DataFrame, dim_keys: DataFrame, on: str | Sequence[str], flag: str,

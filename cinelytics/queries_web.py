@@ -346,13 +346,12 @@ def q_zip_scores(spark, d):
 
 
 @register("to_json_ratings", fx.oracle_with(["ratings_v", "my_ratings_v"], """
-SELECT userid, CAST(floor(movieid / 10000) AS INTEGER) AS chunk,
-       '[' || string_agg('{"movieid":' || movieid || ',"rating":' || rating || '}', ',' ORDER BY movieid, rating) || ']'
+SELECT userid, '[' || string_agg('{"movieid":' || movieid || ',"rating":' || rating || '}', ',' ORDER BY movieid, rating) || ']'
          AS ratings_json,
        CAST(count(*) AS BIGINT) AS n_items
-FROM my_ratings_v GROUP BY userid, chunk"""))
+FROM my_ratings_v GROUP BY userid"""))
 def q_to_json_ratings(spark, d):
-    """Each user's ratings as a JSON array (bounded documents)."""
+    """Each user's ratings as one JSON array."""
     return rt.to_json_ratings(V(spark, d, "my_ratings_v").select("userid", "movieid", "rating"))
 
 
@@ -386,7 +385,7 @@ def q_submission_replace(spark, d):
     """Submit flow (G1 -> B12 -> W4 -> replace): users that submitted keep only
     the accepted items of their newest submission."""
     subs = V(spark, d, "submissions_v")
-    latest = rt.latest_submission(subs).select("userid", "submission_id", "ts", "selecteddata")
+    latest = rt.latest_submission(rt.well_formed(subs)).select("userid", "submission_id", "ts", "selecteddata")
     items = rt.valid_submissions(latest)
     return rt.replace_user_ratings(V(spark, d, "my_ratings_v"), latest, items)
 
@@ -493,9 +492,9 @@ def _fav_events(spark, d):
 
 @register("favorites_add", f"""
 WITH e AS ({SQL_FAV_EVENTS}),
-existing AS (SELECT min(id) AS id, userid, movieid, category, min(createtime) AS createtime
+existing AS (SELECT first(id ORDER BY createtime, id) AS id, userid, movieid, category, min(createtime) AS createtime
              FROM e WHERE createtime < TIMESTAMP '{CUT}' GROUP BY userid, movieid, category),
-fresh AS (SELECT min(id) AS id, userid, movieid, category, min(createtime) AS createtime
+fresh AS (SELECT first(id ORDER BY createtime, id) AS id, userid, movieid, category, min(createtime) AS createtime
           FROM e WHERE createtime >= TIMESTAMP '{CUT}' GROUP BY userid, movieid, category)
 SELECT id, userid, movieid, category, epoch_us(createtime) AS createtime_us FROM existing
 UNION ALL
@@ -507,7 +506,7 @@ def q_favorites_add(spark, d):
     events = _fav_events(spark, d)
     cut = F.lit(CUT).cast("timestamp_ntz")
     existing = events.where(F.col("createtime") < cut).groupBy(*fav.KEY).agg(
-        F.min("id").alias("id"), F.min("createtime").alias("createtime"))
+        F.min(F.struct("createtime", "id")).alias("f")).select("f.id", *fav.KEY, "f.createtime")
     table_after, _ = fav.favorites_add(existing, events.where(F.col("createtime") >= cut))
     return table_after.select("id", *fav.KEY, C.epoch_micros("createtime").alias("createtime_us"))
 
@@ -516,7 +515,7 @@ def q_favorites_add(spark, d):
 WITH e AS ({SQL_FAV_EVENTS}),
 existing AS (SELECT DISTINCT userid, movieid, category FROM e WHERE createtime < TIMESTAMP '{CUT}'),
 req AS (SELECT * FROM e WHERE createtime >= TIMESTAMP '{CUT}'),
-first_req AS (SELECT userid, movieid, category, min(id) AS first_id FROM req GROUP BY ALL)
+first_req AS (SELECT userid, movieid, category, first(id ORDER BY createtime, id) AS first_id FROM req GROUP BY ALL)
 SELECT r.id, r.userid, r.movieid, r.category,
        EXISTS (SELECT 1 FROM existing x WHERE x.userid = r.userid AND x.movieid = r.movieid AND x.category = r.category)
        OR r.id <> (SELECT first_id FROM first_req f WHERE f.userid = r.userid AND f.movieid = r.movieid
@@ -527,7 +526,7 @@ def q_favorites_add_report(spark, d):
     events = _fav_events(spark, d)
     cut = F.lit(CUT).cast("timestamp_ntz")
     existing = events.where(F.col("createtime") < cut).groupBy(*fav.KEY).agg(
-        F.min("id").alias("id"), F.min("createtime").alias("createtime"))
+        F.min(F.struct("createtime", "id")).alias("f")).select("f.id", *fav.KEY, "f.createtime")
     _, report = fav.favorites_add(existing, events.where(F.col("createtime") >= cut))
     return report
 
@@ -545,7 +544,7 @@ def q_favorites_remove(spark, d):
 SELECT userid, CAST(count(*) FILTER (WHERE category = 'want_watch') AS BIGINT) AS want_watch,
        CAST(count(*) FILTER (WHERE category = 'watched') AS BIGINT) AS watched,
        CAST(count(*) FILTER (WHERE category = 'liked') AS BIGINT) AS liked,
-       CAST(count(*) FILTER (WHERE category IN ('want_watch', 'watched', 'liked')) AS BIGINT) AS total
+       CAST(count(*) AS BIGINT) AS total
 FROM favorites_v GROUP BY userid"""))
 def q_favorites_count(spark, d):
     """Favourites per category (zero filled) and total, per user."""

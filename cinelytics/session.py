@@ -17,7 +17,6 @@ from pyspark.sql import SparkSession
 
 # Conf keys of this library (read from the session, with defaults).
 BROADCAST_MAX_ROWS_KEY = "cinelytics.join.broadcastMaxRows"
-SALT_BUCKETS_KEY = "cinelytics.join.saltBuckets"
 MAX_SHUFFLE_PARTITIONS = 200_000
 
 
@@ -56,7 +55,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        # Unset: this is a test or local run, never a cluster job.
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="cinelytics-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -94,5 +94,4 @@ def recommended_conf(input_bytes: int, total_cores: int, target_partition_bytes:
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
         "spark.sql.session.timeZone": "UTC",
         BROADCAST_MAX_ROWS_KEY: str(2_000_000),
-        SALT_BUCKETS_KEY: str(max(32, min(1024, total_cores // 8))),
     }

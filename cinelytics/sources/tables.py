@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 
 BUCKET_COL = "key_bucket"
+BUCKETS_COL = "key_buckets"  # the table's number of buckets: one partition folder, so it is stored with the data
 DEFAULT_BUCKETS = 64
 
 
@@ -33,6 +34,16 @@ def bucket_of(key: str | Sequence[str], buckets: int):
     return F.pmod(F.xxhash64(*[F.col(k) for k in _keys(key)]), F.lit(buckets)).cast("int")
 
 
+def _with_bucket(df: DataFrame, key, buckets: int) -> DataFrame:
+    return df.withColumns({BUCKETS_COL: F.lit(buckets), BUCKET_COL: bucket_of(key, buckets)})
+
+
+def table_buckets(spark: SparkSession, path: str) -> int | None:
+    """The number of buckets of a stored table; None when it has no rows."""
+    first = spark.read.parquet(path).select(BUCKETS_COL).first()
+    return first[0] if first else None
+
+
 def _by_bucket(df: DataFrame) -> DataFrame:
     """Group rows by bucket before a partitioned write (few files per bucket);
     ``rebalance`` lets AQE split an oversized bucket over several tasks."""
@@ -40,31 +51,33 @@ def _by_bucket(df: DataFrame) -> DataFrame:
 
 
 def create_keyed_table(df: DataFrame, path: str, key: str | Sequence[str], buckets: int = DEFAULT_BUCKETS) -> None:
-    (_by_bucket(df.withColumn(BUCKET_COL, bucket_of(key, buckets)))
-       .write.mode("overwrite").partitionBy(BUCKET_COL).parquet(path))
+    (_by_bucket(_with_bucket(df, key, buckets))
+       .write.mode("overwrite").partitionBy(BUCKETS_COL, BUCKET_COL).parquet(path))
 
 
-def append_rows(df: DataFrame, path: str, key: str | Sequence[str], buckets: int = DEFAULT_BUCKETS) -> None:
-    (_by_bucket(df.withColumn(BUCKET_COL, bucket_of(key, buckets)))
-       .write.mode("append").partitionBy(BUCKET_COL).parquet(path))
+def append_rows(df: DataFrame, path: str, key: str | Sequence[str]) -> None:
+    """Append to a keyed table, with the number of buckets stored in it."""
+    buckets = table_buckets(df.sparkSession, path) or DEFAULT_BUCKETS
+    (_by_bucket(_with_bucket(df, key, buckets))
+       .write.mode("append").partitionBy(BUCKETS_COL, BUCKET_COL).parquet(path))
 
 
 def read_keyed_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop(BUCKET_COL)
+    return spark.read.parquet(path).drop(BUCKETS_COL, BUCKET_COL)
 
 
-def read_rows_for_keys(spark: SparkSession, path: str, keys_df: DataFrame, key: str | Sequence[str],
-                       buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def read_rows_for_keys(spark: SparkSession, path: str, keys_df: DataFrame, key: str | Sequence[str]) -> DataFrame:
     """Rows of a keyed table whose key is in ``keys_df``, reading only the
     bucket folders those keys hash to (the file-table form of
     ``SELECT ... WHERE userid = ?`` on the original tables).  The set of
-    buckets is at most ``buckets`` numbers, so it is collected and applied as a
+    buckets is at most the table's number of buckets, so it is collected and applied as a
     partition filter; the semi join then keeps the exact keys."""
     k = _keys(key)
+    buckets = table_buckets(spark, path) or DEFAULT_BUCKETS
     wanted = keys_df.select(*k).distinct().withColumn(BUCKET_COL, bucket_of(k, buckets))
     touched = [r[0] for r in wanted.select(BUCKET_COL).distinct().collect()]  # <= buckets values
     rows = spark.read.parquet(path).where(F.col(BUCKET_COL).isin(touched))
-    return rows.join(wanted, [BUCKET_COL, *k], "left_semi").drop(BUCKET_COL)
+    return rows.join(wanted, [BUCKET_COL, *k], "left_semi").drop(BUCKETS_COL, BUCKET_COL)
 
 
 def delete_by_key(df: DataFrame, keys_df: DataFrame, key: str | Sequence[str]) -> DataFrame:
@@ -73,26 +86,22 @@ def delete_by_key(df: DataFrame, keys_df: DataFrame, key: str | Sequence[str]) -
     return df.join(keys_df.select(*k).distinct(), k, "left_anti").select(*df.columns)
 
 
-def replace_by_key(spark: SparkSession, path: str, new_rows: DataFrame, key: str | Sequence[str],
-                   buckets: int = DEFAULT_BUCKETS) -> None:
+def replace_by_key(spark: SparkSession, path: str, new_rows: DataFrame, key: str | Sequence[str]) -> None:
     """Every key present in ``new_rows`` loses all its old rows and gets the new
     ones; other keys are untouched.  Only the touched buckets are rewritten."""
     k = _keys(key)
     # materialised once: it feeds the touched buckets, the key set and the union
-    new_b = new_rows.withColumn(BUCKET_COL, bucket_of(k, buckets)).checkpoint(eager=True)
+    buckets = table_buckets(spark, path) or DEFAULT_BUCKETS
+    new_b = _with_bucket(new_rows, k, buckets).checkpoint(eager=True)
     touched = new_b.select(BUCKET_COL).distinct()
     old = spark.read.parquet(path)
     old_touched = old.join(F.broadcast(touched), BUCKET_COL, "left_semi")  # <= `buckets` rows
     kept = old_touched.join(new_b.select(*k).distinct(), k, "left_anti")
     merged = kept.unionByName(new_b.select(*old.columns))
     staging = scratch_path(spark, "replace-staging")
-    _by_bucket(merged).write.mode("overwrite").partitionBy(BUCKET_COL).parquet(staging)
-    previous = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        spark.read.parquet(staging).write.mode("overwrite").partitionBy(BUCKET_COL).parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", previous)
+    _by_bucket(merged).write.mode("overwrite").partitionBy(BUCKETS_COL, BUCKET_COL).parquet(staging)
+    (spark.read.parquet(staging).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(BUCKETS_COL, BUCKET_COL).parquet(path))
 
 
 def query_view(spark: SparkSession, df: DataFrame, view: str, sql: str, args: dict | None = None) -> DataFrame:

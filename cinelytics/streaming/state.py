@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixtures import favorite_rows, progress_rows, submission_rows
+from ..operators.ratings import well_formed
 from ..session import prepare, scratch_path
 
 EVENTS_SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
@@ -33,7 +34,7 @@ def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1,
             .parquet(sf_dir))
 
 
-def run_keyed_updates(agg: DataFrame, name: str, timeout_s: int = 600) -> str:
+def run_keyed_updates(agg: DataFrame, name: str, timeout_s: int | None = None) -> str:
     """Run an update-mode aggregation to completion (available-now trigger) and
     return the folder holding its per-batch outputs."""
     spark = agg.sparkSession
@@ -49,12 +50,16 @@ def run_keyed_updates(agg: DataFrame, name: str, timeout_s: int = 600) -> str:
     return out
 
 
-def _finish(query, name: str, timeout_s: int) -> None:
-    """Wait for an available-now query; a query still running at the timeout is
+def _finish(query, name: str, timeout_s: int | None = None) -> None:
+    """Wait for an available-now query (without a limit by default); a query still running at the timeout is
     stopped and reported, never returned as if complete."""
     finished = False
     try:
-        finished = query.awaitTermination(timeout_s)
+        if timeout_s is None:
+            query.awaitTermination()
+            finished = True
+        else:
+            finished = query.awaitTermination(timeout_s)
     finally:
         if query.isActive:
             query.stop()
@@ -83,7 +88,7 @@ def stream_progress_latest(spark: SparkSession, sf_dir: str, **stream_opts) -> D
 
 def stream_latest_submissions(spark: SparkSession, sf_dir: str, **stream_opts) -> DataFrame:
     """S5 (state part): newest submission per user from the stream."""
-    subs = submission_rows(event_stream(spark, sf_dir, **stream_opts))
+    subs = well_formed(submission_rows(event_stream(spark, sf_dir, **stream_opts)))
     agg = subs.groupBy("userid").agg(
         F.max_by(F.struct("submission_id", "ts", "selecteddata"), F.struct("ts", "submission_id")).alias("s")
     ).select("userid", "s.*")
@@ -95,7 +100,8 @@ def stream_favorites_dedup(spark: SparkSession, sf_dir: str, **stream_opts) -> D
     favourites table): min id and time per key, kept as streaming state."""
     fav = favorite_rows(event_stream(spark, sf_dir, **stream_opts)).where(F.col("category").isNotNull())
     agg = fav.groupBy("userid", "movieid", "category").agg(
-        F.min("event_id").alias("id"), F.min("ts").alias("createtime"))
+        F.min(F.struct("ts", "event_id")).alias("f")).select(
+            "userid", "movieid", "category", F.col("f.event_id").alias("id"), F.col("f.ts").alias("createtime"))
     return latest_state(spark, run_keyed_updates(agg, "favorites-dedup"), ["userid", "movieid", "category"])
 
 
@@ -112,5 +118,5 @@ def stream_favorites_dedup_bounded(spark: SparkSession, sf_dir: str, delay: str
     ckpt = scratch_path(spark, "favorites-dedup-bounded-ckpt")
     query = (dedup.drop("event_time").writeStream.outputMode("append").format("parquet")
              .option("path", out).option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-    _finish(query, "favorites-dedup-bounded", 600)
+    _finish(query, "favorites-dedup-bounded")
     return spark.read.parquet(out)

@@ -132,9 +132,9 @@ def test_replace_by_key_twice_equals_once(spark):
     old = spark.createDataFrame([(u, m, 1.0) for u in range(5) for m in range(3)], "userid int, movieid int, degree float")
     new = spark.createDataFrame([(1, 9, 5.0), (3, 8, 4.0)], "userid int, movieid int, degree float")
     tb.create_keyed_table(old, path, "userid", buckets=4)
-    tb.replace_by_key(spark, path, new, "userid", buckets=4)
+    tb.replace_by_key(spark, path, new, "userid")
     first = sorted(map(tuple, tb.read_keyed_table(spark, path).collect()))
-    tb.replace_by_key(spark, path, new, "userid", buckets=4)
+    tb.replace_by_key(spark, path, new, "userid")
     second = sorted(map(tuple, tb.read_keyed_table(spark, path).collect()))
     assert first == second
     assert [r for r in first if r[0] in (1, 3)] == [(1, 9, 5.0), (3, 8, 4.0)]
@@ -153,7 +153,48 @@ def test_read_rows_for_keys_prunes_and_handles_empty_sets(spark):
     rows = spark.createDataFrame([(u, m) for u in range(20) for m in range(3)], "userid int, movieid int")
     tb.create_keyed_table(rows, path, "userid", buckets=8)
     want = spark.createDataFrame([(3,), (17,), (99,)], "userid int")
-    got = sorted(map(tuple, tb.read_rows_for_keys(spark, path, want, "userid", buckets=8).collect()))
+    got = sorted(map(tuple, tb.read_rows_for_keys(spark, path, want, "userid").collect()))
     assert got == [(3, 0), (3, 1), (3, 2), (17, 0), (17, 1), (17, 2)]
     none = spark.createDataFrame([], "userid int")
-    assert tb.read_rows_for_keys(spark, path, none, "userid", buckets=8).count() == 0
+    assert tb.read_rows_for_keys(spark, path, none, "userid").count() == 0
+
+
+def test_malformed_bodies_never_replace(spark):
+    from cinelytics.operators import ratings as rt
+
+    subs = spark.createDataFrame(
+        [(1, 7, 10, '[{"movieid":1,"rating":4}]'), (2, 7, 20, "not json"), (3, 7, 30, "[]"), (4, 8, 10, "{}"), (5, 9, 10, None),
+         (6, 6, 10, '[{"movieid":1,"rating":9}]')], "submission_id int, userid int, ts int, selecteddata string")
+    latest = rt.latest_submission(rt.well_formed(subs))
+    assert sorted((r["userid"], r["submission_id"]) for r in latest.collect()) == [(6, 6), (7, 1)]
+
+
+def test_repeated_ids_numbers_pages_and_nan(spark):
+    from pyspark.sql import functions as F
+
+    from cinelytics.functions import columns as C
+    from cinelytics.operators import catalog, favorites, split
+
+    ids = catalog.ids_from_list(spark.createDataFrame([("5, 5,6,,x",)], "l string"), "l")
+    assert sorted(r["movieid"] for r in ids.collect()) == [5, 6]
+    nums = spark.createDataFrame([("4",), ("4d",), ("4f",), ("",), (" 3.5 ",), ("1e1",), ("x",)], "s string")
+    assert [r[0] for r in nums.select(C.js_to_number("s")).collect()] == [4.0, None, None, 0.0, 3.5, 10.0, None]
+    films = spark.range(60).select(F.col("id").cast("int").alias("movieid"), F.lit(1.0).alias("averating"), F.lit(1).alias("numrating"),
+                                   F.lit(None).cast("date").alias("releasetime"))
+    for page in ("2abc", "2.7", 2):
+        assert min(r["movieid"] for r in catalog.catalog_page(films, page).collect()) == min(
+            r["movieid"] for r in catalog.catalog_page(films, 2).collect())
+    rated = spark.createDataFrame([(float("nan"),), (1.0,), (0.0,)], "rating double")
+    assert split.positive_ratings(rated).count() == 1
+    fav = spark.createDataFrame([(1, "liked"), (1, "other")], "userid int, category string")
+    assert favorites.favorites_count(fav).first()["total"] == 2
+
+
+def test_first_favourite_request_is_one_row(spark):
+    from cinelytics.operators import favorites as fav
+
+    none = spark.createDataFrame([], "id int, userid int, movieid int, category string, createtime string")
+    asked = spark.createDataFrame([(5, 1, 2, "liked", "2024-01-02"), (9, 1, 2, "liked", "2024-01-01")], none.schema)
+    table, report = fav.favorites_add(none, asked)
+    assert [(r["id"], r["createtime"]) for r in table.collect()] == [(9, "2024-01-01")]
+    assert {r["id"]: r["already_exists"] for r in report.collect()} == {5: True, 9: False}
