@@ -1,9 +1,11 @@
 """Derived views over the driver's tables, in Spark and as DuckDB SQL text.
 
 The driver's tables hold no movies, so each operator runs on a view derived
-from them.  Every view reads its whole source table; the CASE rules below only
-blank out some attribute values (to exercise NULL defaults), and the catalog
-leaves out one part type so that left joins have misses.
+from them.  Every view reads its whole source table and keeps all of its rows;
+the CASE rules below only blank out some attribute values (to exercise NULL
+defaults) and give submissions malformed, empty, repeated-id and late bodies.
+Sample ratings come from orders, the users' own ratings from events, so the
+validation and test splits share no row with the training union.
 
 ``view(spark, sf_dir, name)`` builds the Spark frame; ``oracle_with(names, sql)``
 prefixes an oracle query with the DuckDB definitions of the views it uses
@@ -18,9 +20,7 @@ from pyspark.sql import functions as F
 from .session import prepare
 
 # Fixed values of the fixture (not tunables).
-RECOMMENDATION_MIN_RATINGS = 40  # users with at least this many ratings got a stored recommendation list
 STATE_CUTOFF = "2024-01-16 00:00:00"  # events before it form the stored state, later ones are updates
-MISSING_PART_TYPE = "ECONOMY"  # parts of this type are not in the movie catalog
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,16 +40,19 @@ def ratings_v(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def my_ratings_v(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The application's ``personalratings`` table: every rating, integer-valued."""
-    return ratings_v(spark, sf_dir).select(
-        "userid", "movieid", F.col("rating").cast("int").alias("rating"), F.col("ts").alias("timestamp")
+    """The application's ``personalratings`` table: every event as an integer rating 0..5 (0: not rated)."""
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("int").alias("userid"),
+        F.get_json_object("props", "$.k").cast("int").alias("movieid"),
+        F.least(F.floor(F.col("value") / 10), F.lit(5)).cast("int").alias("rating"),
+        F.unix_seconds(F.col("ts").cast("timestamp")).alias("timestamp"),
     )
 
 
 def movieinfo_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     key = F.col("p_partkey")
-    return p.where(F.coalesce(F.col("p_type"), F.lit("")) != MISSING_PART_TYPE).select(
+    return p.select(
         key.cast("int").alias("movieid"),
         F.col("p_name").alias("moviename"),
         F.when(key % 17 != 0, F.date_add(F.lit("1990-01-01").cast("date"), (key * 37 % 12000).cast("int"))).alias(
@@ -91,21 +94,18 @@ def favorites_v(spark: SparkSession, sf_dir: str) -> DataFrame:
         _favorite_events(spark, sf_dir)
         .where(F.col("category").isNotNull())
         .groupBy("userid", "movieid", "category")
-        .agg(F.min("event_id").alias("id"), F.min("ts").alias("createtime"))
-        .select("id", "userid", "movieid", "category", "createtime")
+        .agg(F.min(F.struct("ts", "event_id")).alias("f"))
+        .select(F.col("f.event_id").alias("id"), "userid", "movieid", "category", F.col("f.ts").alias("createtime"))
     )
 
 
 def recommendations_v(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored recommendation lists: ten best-rated movies of every user with enough ratings."""
+    """Stored recommendation lists: ten best-rated movies of every user."""
     from pyspark.sql import Window
 
     r = ratings_v(spark, sf_dir)
     per_pair = r.groupBy("userid", "movieid").agg(F.max("rating").alias("degree"))
-    per_user = r.groupBy("userid").agg(F.count(F.lit(1)).alias("n_user"))  # partial aggregate
-    eligible = per_pair.join(per_user.where(F.col("n_user") >= RECOMMENDATION_MIN_RATINGS).select("userid"),
-                             "userid", "left_semi")
-    ranked = eligible.withColumn(
+    ranked = per_pair.withColumn(
         "rn", F.row_number().over(Window.partitionBy("userid").orderBy(F.desc("degree"), F.asc("movieid")))
     )
     return ranked.where(F.col("rn") <= 10).select("userid", "movieid", F.col("degree").cast("float").alias("degree"))
@@ -129,22 +129,38 @@ def progress_v(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def submission_rows(ev: DataFrame) -> DataFrame:
-    """Rating submissions from an events frame (batch or stream)."""
-    ev = ev.where(F.col("event_type") == "signup")
-    eid = F.col("event_id")
+    """Rating submissions from an events frame (batch or stream): every event submits a body.
+    Errors, views, purchases and every third user send bodies the endpoint rejects; clicks repeat
+    an id; times are out of order with the submission ids."""
+    eid, kind = F.col("event_id"), F.col("event_type")
 
     def s(c):
         return c.cast("string")
 
+    two_items = F.concat(
+        F.lit('[{"movieid":"'), s(eid % 200), F.lit('","rating":'), s(eid % 7),
+        F.lit('},{"movieid":'), s(eid % 150 + 1), F.lit(',"rating":"'), s(eid % 5 + 1), F.lit('"}]'))
+    same_id = F.concat(
+        F.lit('[{"movieid":'), s(eid % 200), F.lit(',"rating":3},{"movieid":'), s(eid % 200), F.lit(',"rating":4}]'))
+    body = (
+        F.when(kind == "view", "[]")
+        .when((kind == "error") | (F.col("user_id") % 3 == 0), "not json")
+        .when(kind == "purchase", '[{"movieid":1,"rating":')
+        .when(kind == "click", same_id)
+        .otherwise(two_items)
+    )
+    pairs = (
+        F.when(kind == "view", "")
+        .when(kind == "error", F.concat(F.lit(" "), s(eid % 200), F.lit(":4 ,,"), s(eid % 150), F.lit(":x")))
+        .when(kind == "click", F.concat(s(eid % 200), F.lit(":3,"), s(eid % 200), F.lit(":4")))
+        .otherwise(F.concat(s(eid % 200), F.lit(":"), s(eid % 5 + 1), F.lit(","), s(eid % 200 + 1), F.lit(":3")))
+    )
     return ev.select(
         eid.alias("submission_id"),
         F.col("user_id").cast("int").alias("userid"),
-        "ts",
-        F.concat(
-            F.lit('[{"movieid":"'), s(eid % 200), F.lit('","rating":'), s(eid % 7),
-            F.lit('},{"movieid":'), s(eid % 150 + 1), F.lit(',"rating":"'), s(eid % 5 + 1), F.lit('"}]'),
-        ).alias("selecteddata"),
-        F.concat(s(eid % 200), F.lit(":"), s(eid % 5 + 1), F.lit(","), s(eid % 200 + 1), F.lit(":3")).alias("pairs"),
+        (F.col("ts") + F.make_dt_interval(days=(eid % 5).cast("int"))).alias("ts"),
+        body.alias("selecteddata"),
+        pairs.alias("pairs"),
     )
 
 
@@ -183,22 +199,24 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
         (),
     ),
     "my_ratings_v": (
-        "SELECT userid, movieid, CAST(rating AS INTEGER) AS rating, ts AS timestamp FROM ratings_v",
-        ("ratings_v",),
+        """SELECT CAST(user_id AS INTEGER) AS userid, CAST(json_extract_string(props,'$.k') AS INTEGER) AS movieid,
+       CAST(least(floor(value / 10), 5) AS INTEGER) AS rating, CAST(epoch_us(ts) // 1000000 AS BIGINT) AS timestamp
+FROM events""",
+        (),
     ),
     "movieinfo_v": (
-        f"""SELECT CAST(p_partkey AS INTEGER) AS movieid, p_name AS moviename,
+        """SELECT CAST(p_partkey AS INTEGER) AS movieid, p_name AS moviename,
        CASE WHEN p_partkey % 17 <> 0 THEN DATE '1990-01-01' + CAST(p_partkey*37 % 12000 AS INTEGER) END AS releasetime,
        p_brand AS director,
        CASE WHEN p_partkey % 5 <> 0 THEN concat('http://img/', CAST(p_partkey AS VARCHAR)) END AS picture,
        CASE WHEN p_partkey % 11 <> 0 THEN CAST(p_size AS DOUBLE)/10 END AS averating,
        CAST(p_partkey*31 % 997 AS INTEGER) AS numrating,
        CASE WHEN p_partkey % 13 <> 0 THEN concat_ws(', ', p_type, replace(p_name,' ',', '), p_brand) END AS typelist
-FROM part WHERE coalesce(p_type, '') <> '{MISSING_PART_TYPE}'""",
+FROM part""",
         (),
     ),
     "favorites_v": (
-        """SELECT min(event_id) AS id, userid, movieid, category, min(ts) AS createtime
+        """SELECT first(event_id ORDER BY ts, event_id) AS id, userid, movieid, category, min(ts) AS createtime
 FROM (SELECT event_id, CAST(user_id AS INTEGER) AS userid,
              CAST(json_extract_string(props,'$.k') AS INTEGER) AS movieid,
              CASE event_type WHEN 'view' THEN 'want_watch' WHEN 'click' THEN 'watched'
@@ -208,13 +226,10 @@ WHERE category IS NOT NULL GROUP BY userid, movieid, category""",
         (),
     ),
     "recommendations_v": (
-        f"""SELECT userid, movieid, CAST(degree AS FLOAT) AS degree
+        """SELECT userid, movieid, CAST(degree AS FLOAT) AS degree
 FROM (SELECT userid, movieid, degree,
              row_number() OVER (PARTITION BY userid ORDER BY degree DESC, movieid) AS rn
-      FROM (SELECT userid, movieid, max(rating) AS degree,
-                   sum(count(*)) OVER (PARTITION BY userid) AS n_user
-            FROM ratings_v GROUP BY userid, movieid) a
-      WHERE n_user >= {RECOMMENDATION_MIN_RATINGS}) b
+      FROM (SELECT userid, movieid, max(rating) AS degree FROM ratings_v GROUP BY userid, movieid) a) b
 WHERE rn <= 10""",
         ("ratings_v",),
     ),
@@ -226,11 +241,22 @@ FROM events""",
         (),
     ),
     "submissions_v": (
-        """SELECT event_id AS submission_id, CAST(user_id AS INTEGER) AS userid, ts,
-       concat('[{"movieid":"', CAST(event_id%200 AS VARCHAR), '","rating":', CAST(event_id%7 AS VARCHAR),
-              '},{"movieid":', CAST(event_id%150+1 AS VARCHAR), ',"rating":"', CAST(event_id%5+1 AS VARCHAR), '"}]') AS selecteddata,
-       concat(CAST(event_id%200 AS VARCHAR), ':', CAST(event_id%5+1 AS VARCHAR), ',', CAST(event_id%200+1 AS VARCHAR), ':3') AS pairs
-FROM events WHERE event_type = 'signup'""",
+        """SELECT event_id AS submission_id, CAST(user_id AS INTEGER) AS userid,
+       ts + to_days(CAST(event_id % 5 AS INTEGER)) AS ts,
+       CASE WHEN event_type = 'view' THEN '[]'
+            WHEN event_type = 'error' OR user_id % 3 = 0 THEN 'not json'
+            WHEN event_type = 'purchase' THEN '[{"movieid":1,"rating":'
+            WHEN event_type = 'click' THEN concat('[{"movieid":', CAST(event_id%200 AS VARCHAR),
+              ',"rating":3},{"movieid":', CAST(event_id%200 AS VARCHAR), ',"rating":4}]')
+            ELSE concat('[{"movieid":"', CAST(event_id%200 AS VARCHAR), '","rating":', CAST(event_id%7 AS VARCHAR),
+              '},{"movieid":', CAST(event_id%150+1 AS VARCHAR), ',"rating":"', CAST(event_id%5+1 AS VARCHAR), '"}]')
+       END AS selecteddata,
+       CASE WHEN event_type = 'view' THEN ''
+            WHEN event_type = 'error' THEN concat(' ', CAST(event_id%200 AS VARCHAR), ':4 ,,', CAST(event_id%150 AS VARCHAR), ':x')
+            WHEN event_type = 'click' THEN concat(CAST(event_id%200 AS VARCHAR), ':3,', CAST(event_id%200 AS VARCHAR), ':4')
+            ELSE concat(CAST(event_id%200 AS VARCHAR), ':', CAST(event_id%5+1 AS VARCHAR), ',', CAST(event_id%200+1 AS VARCHAR), ':3')
+       END AS pairs
+FROM events""",
         (),
     ),
 }

@@ -21,6 +21,12 @@ GRID_ITERS = (10, 20)
 FALLBACK_RANK, FALLBACK_ITER, FALLBACK_REG = 10, 10, 0.01
 # -----------------------------------------------------------------------------
 DEFAULT_SEED = 42
+# ALS keeps user blocks x item blocks builders in every map task, so their number follows the
+# ratings and the product stays bounded.
+ROWS_PER_BLOCK = 1_000_000
+MIN_BLOCKS, MAX_BLOCKS = 10, 1_000
+METRICS_SCHEMA = ("grid_order int, rank int, reg_param double, max_iter int, rmse double, n_pairs long, "
+                  "status string, error string")
 
 
 # ---------------------------------------------------------------- popularity --
@@ -70,17 +76,14 @@ def grid(ranks=GRID_RANKS, regs=GRID_REGS, iters=GRID_ITERS) -> list[AlsParams]:
 
 def als_fit(train: DataFrame, params: AlsParams, seed: int = DEFAULT_SEED, user_col: str = "userid",
             item_col: str = "movieid", rating_col: str = "rating", blocks: int | None = None):
-    """Explicit-feedback ALS.  Ids must fit in 32 bits (ALS checks this).  One
-    user / item block per core (capped by the shuffle width): each block is a
-    task of every half-iteration, so more blocks than cores only add shuffle
-    files.  Iterations are checkpointed into the shared checkpoint folder every
-    10 steps, which cuts the lineage."""
+    """Explicit-feedback ALS.  Ids must fit in 32 bits (checked).  ``blocks``: user / item
+    blocks, by default derived from the number of ratings (``als_blocks``, one counting pass).
+    Iterations are checkpointed into the shared checkpoint folder every 10 steps,
+    which cuts the lineage.  One user's or item's ratings always share a block."""
     from pyspark.ml.recommendation import ALS
 
-    spark = train.sparkSession
-    checkpoint_root(spark)
-    cores = spark.sparkContext.defaultParallelism
-    nblocks = blocks or max(2, min(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    checkpoint_root(train.sparkSession)
+    nblocks = blocks or als_blocks(train, user_col, item_col)
     als = ALS(
         rank=params.rank, maxIter=params.max_iter, regParam=params.reg, seed=seed,
         userCol=user_col, itemCol=item_col, ratingCol=rating_col,
@@ -89,6 +92,16 @@ def als_fit(train: DataFrame, params: AlsParams, seed: int = DEFAULT_SEED, user_
     return als.fit(train.select(_int_id(user_col), _int_id(item_col), F.col(rating_col).cast("float")))
 
 
+def block_count(n_rows: int) -> int:
+    return max(MIN_BLOCKS, min(MAX_BLOCKS, -(-n_rows // ROWS_PER_BLOCK)))
+
+
+def als_blocks(train: DataFrame, user_col: str = "userid", item_col: str = "movieid") -> int:
+    """Blocks for a training set, counted in one pass that also checks its ids."""
+    checked = train.select(_int_id(user_col), _int_id(item_col))
+    return block_count(checked.agg(F.max(user_col), F.max(item_col), F.count(F.lit(1)).alias("n")).first()["n"])
+
+
 def _int_id(c: str):
     """ALS ids must be 32-bit: fail with a clear message inside the scan that
     feeds ALS (no extra pass over the data), whatever the ANSI setting."""
@@ -109,30 +122,32 @@ def als_grid_search(train: DataFrame, validation: DataFrame, params: list[AlsPar
     """Fit every grid cell on the cached training set and score it on validation.
 
     Returns ``(metrics, models)``: metrics has one row per cell (``grid_order``,
-    ``rank``, ``reg_param``, ``max_iter``, ``rmse``, ``status``); a failing cell
-    is recorded as ``failed`` with a NaN RMSE, as the original loop tolerates it.
-    Each fit and each RMSE is a distributed job; only the scalar RMSE returns
-    to the driver."""
+    ``rank``, ``reg_param``, ``max_iter``, ``rmse``, ``n_pairs``, ``status``,
+    ``error``); a failing cell is recorded as ``failed`` with a NaN RMSE and its
+    message, as the original loop tolerates it.  Ids that ALS cannot hold fail
+    before the loop.  Each fit and each RMSE is a distributed job; only the
+    scalar RMSE returns to the driver."""
     spark = train.sparkSession
     params = params or grid()
     train = train.persist()
     validation = validation.persist()
     rows, models = [], {}
     try:
+        blocks = als_blocks(train)
         for order, p in enumerate(params):
+            cell = (order, p.rank, float(p.reg), p.max_iter)
             try:
-                model = als_fit(train, p, seed)
-                value = rmse(als_predict(model, validation)).first()["rmse"]
-                rows.append((order, p.rank, float(p.reg), p.max_iter, float(value), "ok"))
+                model = als_fit(train, p, seed, blocks=blocks)
+                score = rmse(als_predict(model, validation)).first()
+                rows.append((*cell, float(score["rmse"]), score["n_pairs"], "ok", None))
                 if keep_models:
                     models[order] = model
-            except Exception:  # noqa: BLE001 - a failing cell is part of the result
-                rows.append((order, p.rank, float(p.reg), p.max_iter, float("nan"), "failed"))
+            except Exception as e:  # noqa: BLE001 - a failing cell is part of the result
+                rows.append((*cell, float("nan"), 0, "failed", f"{type(e).__name__}: {e}"[:500]))
     finally:
         train.unpersist()
         validation.unpersist()
-    schema = "grid_order int, rank int, reg_param double, max_iter int, rmse double, status string"
-    return spark.createDataFrame(rows, schema), models
+    return spark.createDataFrame(rows, METRICS_SCHEMA), models
 
 
 def select_best_model(metrics: DataFrame) -> DataFrame:

@@ -55,10 +55,15 @@ def _training(spark, d):
     return sp.training_union(_train(spark, d), V(spark, d, "my_ratings_v"))
 
 
-def _seen(spark, d):
+def _own_seen(spark, d):
     return sp.positive_ratings(V(spark, d, "my_ratings_v")).select("userid", "movieid")
 
 
+def _seen(spark, d):
+    """Rated pairs of all users: the sample's ratings and the users' own."""
+    return sp.positive_ratings(V(spark, d, "ratings_v")).select("userid", "movieid").unionByName(_own_seen(spark, d))
+
+
 def _popularity(spark, d):
     return mdl.popularity_scores(V(spark, d, "movieinfo_v"), _training(spark, d))
 
@@ -76,7 +81,8 @@ SQL_POPULARITY = SQL_TRAINING + [
     ("item_means", "SELECT movieid, avg(rating) AS item_mean FROM training GROUP BY movieid"),
     ("scores", "SELECT c.movieid, c.moviename, coalesce(m.item_mean, (SELECT avg(rating) FROM training)) AS prediction "
                "FROM movieinfo_v c LEFT JOIN item_means m ON c.movieid = m.movieid"),
-    ("seen", "SELECT DISTINCT userid, movieid FROM my_ratings_v WHERE rating > 0"),
+    ("seen", "SELECT DISTINCT userid, movieid FROM (SELECT userid, movieid, rating FROM ratings_v UNION ALL "
+             "SELECT userid, movieid, rating FROM my_ratings_v) r WHERE rating > 0"),
 ]
 POP_VIEWS = ["ratings_v", "my_ratings_v", "movieinfo_v"]
 
@@ -235,10 +241,15 @@ def _val_predictions(spark, d):
 
 
 @register("finite_predictions", fx.oracle_with(["ratings_v", "my_ratings_v"], """
-SELECT userid, movieid, rating, prediction FROM val_pred WHERE NOT isnan(prediction)""", _PRED_SQL))
+SELECT v.userid, v.movieid, v.rating, m.item_mean AS prediction FROM validation v
+JOIN (SELECT movieid, avg(CAST(rating AS DOUBLE)) AS item_mean FROM my_ratings_v WHERE rating > 0 GROUP BY movieid) m
+  ON v.movieid = m.movieid""", SQL_SPLITS))
 def q_finite_predictions(spark, d):
-    """Validation predictions without NaN / infinite values."""
-    return ev.finite_predictions(_val_predictions(spark, d)).select("userid", "movieid", "rating", "prediction")
+    """Validation pairs scored with the item means of the users' own ratings alone; the movies
+    nobody rated there are NaN and go."""
+    own = sp.positive_ratings(V(spark, d, "my_ratings_v"))
+    pred = mdl.popularity_predict(_validation(spark, d).select("userid", "movieid", "rating"), own)
+    return ev.finite_predictions(pred).select("userid", "movieid", "rating", "prediction")
 
 
 @register("rmse", fx.oracle_with(["ratings_v", "my_ratings_v"], """

@@ -9,6 +9,7 @@ from . import fixtures as fx
 from .operators import recommend as rec
 from .plans.joins import join_dimension
 from .queries import POP_VIEWS, SQL_POPULARITY, V, _popularity, _seen, register
+from .queries_web import SQL_FAILED_USERS, failed_users
 from .session import scratch_path
 from .sources import tables as tb
 from .sources import text as tx
@@ -111,11 +112,11 @@ def q_sink_replace(spark, d):
     return tb.read_keyed_table(spark, path)
 
 
-@register("delete_by_user", fx.oracle_with(["ratings_v", "my_ratings_v", "submissions_v"], """
-SELECT * FROM my_ratings_v r WHERE NOT EXISTS (SELECT 1 FROM submissions_v s WHERE s.userid = r.userid)"""))
+@register("delete_by_user", fx.oracle_with(["ratings_v", "recommendations_v", "progress_v"], """
+SELECT * FROM recommendations_v r WHERE NOT EXISTS (SELECT 1 FROM progress_v p WHERE p.userid = r.userid)"""))
 def q_delete_by_user(spark, d):
-    """Ratings of the users that submitted new ratings are deleted."""
-    return tb.delete_by_key(V(spark, d, "my_ratings_v"), V(spark, d, "submissions_v"), "userid")
+    """Stored results of the users that start a job are deleted."""
+    return tb.delete_by_key(V(spark, d, "recommendations_v"), V(spark, d, "progress_v"), "userid")
 
 
 @register("temp_view_sql", fx.oracle_with(["ratings_v", "my_ratings_v"], """
@@ -138,14 +139,13 @@ def q_title_lookup(spark, d):
 
 
 
-@register("scan_personal_ratings", fx.oracle_with(["ratings_v", "my_ratings_v", "progress_v"], """
-SELECT userid, movieid, rating, timestamp FROM my_ratings_v WHERE userid IN (SELECT userid FROM progress_v)"""))
+@register("scan_personal_ratings", fx.oracle_with(["my_ratings_v", "progress_v"], f"""
+SELECT userid, movieid, rating, timestamp FROM my_ratings_v WHERE userid IN ({SQL_FAILED_USERS})"""))
 def q_scan_personal_ratings(spark, d):
-    """A3: the personal-ratings table read for a set of users (those that ran a
-    job) with the user filter pushed to storage: stored as a keyed table, read
+    """A3: the personal-ratings table read for a set of users (those whose last
+    job failed) with the user filter pushed to storage: stored as a keyed table, read
     back bucket-pruned.  (Over JDBC the same read is ``sources.jdbc.read_jdbc``
     plus a ``where``, which Spark pushes into the database query.)"""
     path = scratch_path(spark, "personalratings")
     tb.create_keyed_table(V(spark, d, "my_ratings_v"), path, "userid")
-    users = V(spark, d, "progress_v").select("userid")
-    return tb.read_rows_for_keys(spark, path, users, "userid")
+    return tb.read_rows_for_keys(spark, path, failed_users(spark, d), "userid")

@@ -10,40 +10,27 @@ from . import fixtures as fx
 from .functions.columns import is_finite
 from .operators import evaluate as ev
 from .operators import model as mdl
-from .queries import SQL_TRAINING, V, _most_active_user, _seen, _test, _train, _training, _validation, register
+from .operators import split as sp
+from .plans.joins import join_dimension
+from .queries import (
+    POP_VIEWS, SQL_POPULARITY, SQL_SPLITS, SQL_TRAINING, V, _most_active_user, _own_seen, _seen, _test, _train,
+    _training, _validation, register)
 
 FIRST_CELL = mdl.grid()[0]  # rank 8, lambda 0.1, 10 iterations
-_GRID_CACHE: dict[tuple, list] = {}
 
 
 def _grid(spark, d):
-    """The full original grid on (training union, validation); the eight fits
-    run once per session and folder.  Kept: the metric rows and the model the
-    original job would keep (the first strict minimum), or None for fallback."""
-    key = (id(spark), d)
-    if key not in _GRID_CACHE:
-        metrics, models = mdl.als_grid_search(_training(spark, d), _validation(spark, d), keep_models=True)
-        rows = [tuple(r) for r in metrics.collect()]  # 8 rows
-        best = mdl.select_best_model(spark.createDataFrame(rows, METRICS_SCHEMA)).first()
-        _GRID_CACHE[key] = (rows, None if best["is_fallback"] else models.get(best["grid_order"]))
-    return _GRID_CACHE[key]
+    """The full original grid on (training union, validation): metrics and models."""
+    return mdl.als_grid_search(_training(spark, d), _validation(spark, d), keep_models=True)
 
 
-METRICS_SCHEMA = "grid_order int, rank int, reg_param double, max_iter int, rmse double, status string"
-
-
-def _grid_metrics(spark, d):
-    return spark.createDataFrame(_grid(spark, d)[0], METRICS_SCHEMA)
-
-
-def _best_model(spark, d):
+def _best_model(spark, d, metrics, models):
     """The selected grid model; the fallback parameters are fitted when no cell
     qualified, as in the original job."""
-    model = _grid(spark, d)[1]
-    if model is None:
-        b = mdl.select_best_model(_grid_metrics(spark, d)).first()
-        model = mdl.als_fit(_training(spark, d), mdl.AlsParams(b["rank"], b["reg_param"], b["max_iter"]))
-    return model
+    best = mdl.select_best_model(metrics).first()
+    if best["is_fallback"]:
+        return mdl.als_fit(_training(spark, d), mdl.AlsParams(best["rank"], best["reg_param"], best["max_iter"]))
+    return models[best["grid_order"]]
 
 
 @register("als_fit", fx.oracle_with(["ratings_v", "my_ratings_v"], """
@@ -59,19 +46,18 @@ def q_als_fit(spark, d):
 
 @register("als_predict", fx.oracle_with(["ratings_v", "my_ratings_v"], """
 SELECT CAST(count(*) AS BIGINT) AS n_rows,
-       CAST(count(*) FILTER (WHERE userid NOT IN (SELECT userid FROM training)
-                             OR movieid NOT IN (SELECT movieid FROM training)) AS BIGINT) AS n_nan,
-       CAST(count(*) FILTER (WHERE userid NOT IN (SELECT userid FROM training)
-                             OR movieid NOT IN (SELECT movieid FROM training)) AS BIGINT) AS n_cold
-FROM validation""", SQL_TRAINING))
+       CAST(count(*) FILTER (WHERE cold) AS BIGINT) AS n_nan, CAST(count(*) FILTER (WHERE cold) AS BIGINT) AS n_cold
+FROM (SELECT userid NOT IN (SELECT userid FROM own) OR movieid NOT IN (SELECT movieid FROM own) AS cold
+      FROM validation) v""", SQL_SPLITS + [("own", "SELECT * FROM my_ratings_v WHERE rating > 0")]))
 def q_als_predict(spark, d):
-    """M2: validation pairs scored; NaN exactly where user or item is cold."""
-    training = _training(spark, d)
-    model = mdl.als_fit(training, FIRST_CELL)
+    """M2: the sample's validation pairs scored by a model of the users' own ratings alone; NaN exactly
+    where user or movie is cold."""
+    own = sp.positive_ratings(V(spark, d, "my_ratings_v"))
+    model = mdl.als_fit(own, FIRST_CELL)
     pred = mdl.als_predict(model, _validation(spark, d))
-    users = training.select("userid").distinct().withColumn("__u", F.lit(True))
-    items = training.select("movieid").distinct().withColumn("__i", F.lit(True))
-    flagged = pred.join(users, "userid", "left").join(items, "movieid", "left")
+    users = own.select("userid").distinct().withColumn("__u", F.lit(True))
+    items = own.select("movieid").distinct().withColumn("__i", F.lit(True))
+    flagged = join_dimension(join_dimension(pred, users, "userid", "left"), items, "movieid", "left")
     cold = F.col("__u").isNull() | F.col("__i").isNull()
     return flagged.agg(
         F.count(F.lit(1)).alias("n_rows"),
@@ -80,77 +66,131 @@ def q_als_predict(spark, d):
     )
 
 
-_GRID_SQL = "SELECT * FROM (VALUES " + ", ".join(
-    f"({i}, {p.rank}, CAST({p.reg} AS DOUBLE), {p.max_iter}, true)" for i, p in enumerate(mdl.grid())
-) + ") g(grid_order, rank, reg_param, max_iter, rmse_finite)"
+SQL_WARM = """userid IN (SELECT userid FROM training) AND movieid IN (SELECT movieid FROM training)"""
+_GRID_SQL = "SELECT g.*, (SELECT CAST(count(*) AS BIGINT) FROM validation WHERE " + SQL_WARM + ") AS n_pairs FROM (VALUES " + ", ".join(
+    f"({i}, {p.rank}, CAST({p.reg} AS DOUBLE), {p.max_iter}, true, true)" for i, p in enumerate(mdl.grid())
+) + ") g(grid_order, rank, reg_param, max_iter, rmse_plausible, no_error)"
+MODEL_VIEWS = ["ratings_v", "my_ratings_v"]
 
 
-@register("als_grid_search", _GRID_SQL)
+@register("als_grid_search", fx.oracle_with(MODEL_VIEWS, _GRID_SQL, SQL_TRAINING))
 def q_als_grid_search(spark, d):
-    """M3: the eight-cell grid in the original loop order; every cell yields a
-    finite validation RMSE on this data."""
-    m = _grid_metrics(spark, d)
+    """M3: the eight-cell grid in the original loop order; every cell scores every warm validation pair,
+    with an RMSE between zero and the largest possible error on a 1..5 scale (predictions shrink to 0)."""
+    m, _ = _grid(spark, d)
     return m.select("grid_order", "rank", "reg_param", "max_iter",
-                    (is_finite("rmse") & (F.col("status") == "ok")).alias("rmse_finite"))
+                    ((F.col("status") == "ok") & (F.col("rmse") > 0) & (F.col("rmse") < 5)).alias("rmse_plausible"),
+                    F.col("error").isNull().alias("no_error"), "n_pairs")
 
 
-@register("select_best_model")
+@register("select_best_model", fx.oracle_with(MODEL_VIEWS, f"""
+SELECT CAST(1 AS BIGINT) AS n_chosen, CAST(0 AS BIGINT) AS n_better, CAST(0 AS BIGINT) AS n_equal_before,
+       false AS is_fallback, CAST(8 AS BIGINT) AS n_cells,
+       CAST((SELECT count(*) FROM validation WHERE {SQL_WARM}) AS BIGINT) AS n_pairs""", SQL_TRAINING))
 def q_select_best_model(spark, d):
-    """M4: first strict minimum of the validation RMSE (else the fallback)."""
-    return mdl.select_best_model(_grid_metrics(spark, d))
+    """M4: first strict minimum of the validation RMSE: no cell is better, no equal one comes before."""
+    metrics, _ = _grid(spark, d)
+    best = F.broadcast(mdl.select_best_model(metrics).select(
+        F.col("rmse").alias("best_rmse"), F.col("grid_order").alias("best_order"), "is_fallback"))  # one row
+    return metrics.join(best, F.lit(True)).agg(
+        F.countDistinct("best_order").alias("n_chosen"),
+        F.count_if(F.col("rmse") < F.col("best_rmse")).alias("n_better"),
+        F.count_if((F.col("rmse") == F.col("best_rmse")) & (F.col("grid_order") < F.col("best_order"))).alias(
+            "n_equal_before"),
+        F.max("is_fallback").alias("is_fallback"),
+        F.count(F.lit(1)).alias("n_cells"),
+        F.max(F.when(F.col("grid_order") == F.col("best_order"), F.col("n_pairs"))).alias("n_pairs"),
+    )
 
 
-@register("model_report")
+@register("model_report", fx.oracle_with(MODEL_VIEWS, """
+SELECT CAST(1 AS BIGINT) AS n_reports, true AS in_grid, false AS is_fallback, true AS test_rmse_plausible,
+       true AS improvement_consistent,
+       round(sqrt(avg(pow(rating - (SELECT avg(rating) FROM (SELECT rating FROM train UNION ALL
+                                    SELECT rating FROM validation) t), 2))), 9) AS baseline_rmse
+FROM test""", SQL_TRAINING))
 def q_model_report(spark, d):
-    """M5: best parameters, validation / test RMSE, mean baseline, improvement."""
-    best = mdl.select_best_model(_grid_metrics(spark, d))
-    model = _best_model(spark, d)
+    """M5: best parameters, validation / test RMSE, mean baseline, improvement: the baseline exactly, the
+    ALS figures by the rules they must meet."""
+    metrics, models = _grid(spark, d)
+    model = _best_model(spark, d, metrics, models)
     test_rmse = ev.rmse(mdl.als_predict(model, _test(spark, d))).first()["rmse"]
     mean = ev.mean_rating(_train(spark, d).unionByName(_validation(spark, d)))
     baseline = ev.baseline_rmse(_test(spark, d), mean).first()["baseline_rmse"]
-    return mdl.model_report(best, test_rmse, baseline)
+    report = mdl.model_report(mdl.select_best_model(metrics), test_rmse, baseline)
+    cells = metrics.select("rank", "reg_param", "max_iter", F.col("rmse").alias("validation_rmse"),
+                           F.lit(True).alias("__cell"))
+    better = (F.col("baseline_rmse") - F.col("test_rmse")) / F.col("baseline_rmse") * 100
+    return report.join(F.broadcast(cells), ["rank", "reg_param", "max_iter", "validation_rmse"], "left").agg(
+        F.count(F.lit(1)).alias("n_reports"),
+        F.bool_and(F.coalesce("__cell", F.lit(False))).alias("in_grid"),
+        F.bool_or("is_fallback").alias("is_fallback"),
+        F.bool_and((F.col("test_rmse") > 0) & (F.col("test_rmse") < 5)).alias("test_rmse_plausible"),
+        F.bool_and(F.abs(F.col("improvement_pct") - better) < 1e-9).alias("improvement_consistent"),
+        F.round(F.max("baseline_rmse"), 9).alias("baseline_rmse"),
+    )
 
 
-INVARIANTS_SQL = """
+def _invariants_sql(users: str, seen: str) -> str:
+    """No rule broken, and every user of the model served (a cold user's predictions are NaN): ten rows,
+    or as many unseen catalog movies as the model knows.  On ratings of 1..5 at lambda 0.1 a user's ten
+    best predictions are positive."""
+    return f"""
 SELECT CAST(0 AS BIGINT) AS n_seen_in_recs, CAST(0 AS BIGINT) AS n_nonpositive, CAST(0 AS BIGINT) AS n_duplicates,
-       CAST(0 AS BIGINT) AS n_over_limit, CAST(0 AS BIGINT) AS n_not_in_catalog"""
+       CAST(0 AS BIGINT) AS n_over_limit, CAST(0 AS BIGINT) AS n_not_in_catalog,
+       CAST(count(*) FILTER (WHERE n > 0) AS BIGINT) AS n_users,
+       CAST(coalesce(sum(least(10, n)), 0) AS BIGINT) AS n_rows
+FROM (SELECT u.userid, (SELECT count(*) FROM known) - count(k.movieid) AS n
+      FROM (SELECT DISTINCT userid FROM {users} WHERE userid IN (SELECT userid FROM training)) u
+      LEFT JOIN {seen} s ON s.userid = u.userid LEFT JOIN known k ON k.movieid = s.movieid
+      GROUP BY u.userid) per_user"""
+
+
+SQL_KNOWN = SQL_POPULARITY + [
+    ("known", "SELECT DISTINCT movieid FROM movieinfo_v WHERE movieid IN (SELECT movieid FROM training)"),
+    ("own_seen", "SELECT DISTINCT userid, movieid FROM my_ratings_v WHERE rating > 0"),
+    ("top_user", "SELECT userid FROM my_ratings_v GROUP BY userid ORDER BY count(*) DESC, userid LIMIT 1"),
+]
 
 
 def _invariants(recs, seen, catalog, n=10):
+    recs = recs.checkpoint(eager=True)  # scored once for the rules below
     s = seen.select("userid", "movieid").distinct().withColumn("__seen", F.lit(True))
     c = catalog.select("movieid").distinct().withColumn("__cat", F.lit(True))
-    flagged = recs.join(s, ["userid", "movieid"], "left").join(c, "movieid", "left")
-    per_user = recs.groupBy("userid").agg(F.count(F.lit(1)).alias("k"),
-                                          F.countDistinct("movieid").alias("kd"))
-    user_stats = per_user.agg(
-        F.coalesce(F.sum(F.col("k") - F.col("kd")), F.lit(0)).cast("long").alias("n_duplicates"),
-        F.count(F.when(F.col("k") > n, 1)).cast("long").alias("n_over_limit"),
+    flagged = join_dimension(recs.join(s, ["userid", "movieid"], "left"), c, "movieid", "left")
+    per_user = flagged.groupBy("userid").agg(
+        F.count(F.lit(1)).alias("k"),
+        F.countDistinct("movieid").alias("kd"),
+        F.count_if("__seen").alias("seen"),
+        F.count_if(~(is_finite("prediction") & (F.col("prediction") > 0))).alias("bad"),
+        F.count_if(F.col("__cat").isNull()).alias("outside"),
     )
-    row_stats = flagged.agg(
-        F.count(F.when(F.col("__seen"), 1)).cast("long").alias("n_seen_in_recs"),
-        F.count(F.when(~(is_finite("prediction") & (F.col("prediction") > 0)), 1)).cast("long").alias("n_nonpositive"),
-        F.count(F.when(F.col("__cat").isNull(), 1)).cast("long").alias("n_not_in_catalog"),
+
+    def total(c):
+        return F.coalesce(F.sum(c), F.lit(0)).cast("long")
+
+    return per_user.agg(
+        total("seen").alias("n_seen_in_recs"), total("bad").alias("n_nonpositive"),
+        total(F.col("k") - F.col("kd")).alias("n_duplicates"),
+        F.count_if(F.col("k") > n).alias("n_over_limit"), total("outside").alias("n_not_in_catalog"),
+        F.count(F.lit(1)).alias("n_users"), total("k").alias("n_rows"),
     )
-    dup = user_stats.select("n_duplicates").scalar()
-    over = user_stats.select("n_over_limit").scalar()
-    return row_stats.select("n_seen_in_recs", "n_nonpositive", dup.alias("n_duplicates"),
-                            over.alias("n_over_limit"), "n_not_in_catalog")
 
 
-@register("recommend_for_user", INVARIANTS_SQL)
+@register("recommend_for_user", fx.oracle_with(POP_VIEWS, _invariants_sql("top_user", "own_seen"), SQL_KNOWN))
 def q_recommend_for_user(spark, d):
     """M6: the original single-user flow (best grid model, catalog minus rated,
     positive, top ten, titles) for the user with the most ratings."""
     top_user = _most_active_user(spark, d)
-    model = _best_model(spark, d)
+    model = _best_model(spark, d, *_grid(spark, d))
     catalog = V(spark, d, "movieinfo_v")
-    recs = mdl.recommend_for_user(model, top_user, catalog, _seen(spark, d))
-    return _invariants(recs, _seen(spark, d), catalog)
+    recs = mdl.recommend_for_user(model, top_user, catalog, _own_seen(spark, d))
+    return _invariants(recs, _own_seen(spark, d), catalog)
 
 
-@register("recommend_for_users", INVARIANTS_SQL)
+@register("recommend_for_users", fx.oracle_with(POP_VIEWS, _invariants_sql("seen", "seen"), SQL_KNOWN))
 def q_recommend_for_users(spark, d):
-    """M7: one model, ten unseen positive catalog movies for every user."""
+    """M7: one model, ten unseen positive catalog movies for every user it knows."""
     model = mdl.als_fit(_training(spark, d), FIRST_CELL)
     seen = _seen(spark, d)
     catalog = V(spark, d, "movieinfo_v")

@@ -68,10 +68,10 @@ def q_movie_by_id(spark, d):
 
 @register("movies_in_list", fx.oracle_with(["movieinfo_v", "submissions_v"], """
 SELECT s.submission_id, s.userid, c.movieid, c.moviename, c.picture
-FROM (SELECT submission_id, userid, unnest(string_split(regexp_replace(pairs, ':[0-9]+', '', 'g'), ',')) AS item
-      FROM submissions_v) s
-JOIN movieinfo_v c ON c.movieid = TRY_CAST(trim(s.item) AS INTEGER)
-WHERE trim(s.item) <> ''"""))
+FROM (SELECT DISTINCT submission_id, userid, TRY_CAST(trim(item) AS INTEGER) AS item
+      FROM (SELECT submission_id, userid, unnest(string_split(regexp_replace(pairs, ':[0-9]+', '', 'g'), ',')) AS item
+            FROM submissions_v) i) s
+JOIN movieinfo_v c ON c.movieid = s.item"""))
 def q_movies_in_list(spark, d):
     """Movies of each submission's comma-separated id list."""
     subs = V(spark, d, "submissions_v").select(
@@ -198,11 +198,23 @@ def q_epoch_seconds(spark, d):
 
 # ----------------------------------------------------------------- ratings --
 
-@register("filter_user_ratings", fx.oracle_with(["ratings_v", "my_ratings_v", "progress_v"], """
-SELECT * FROM my_ratings_v WHERE userid IN (SELECT userid FROM progress_v)"""))
+SQL_LATEST_PROGRESS = """
+SELECT userid, event_id, ts, progress, step FROM (
+  SELECT *, row_number() OVER (PARTITION BY userid ORDER BY ts DESC, event_id DESC) AS rn FROM progress_v) t
+WHERE rn = 1"""
+SQL_FAILED_USERS = f"SELECT userid FROM ({SQL_LATEST_PROGRESS}) l WHERE progress = -1"
+
+
+def failed_users(spark, d):
+    """Users whose last recommendation job failed and runs again."""
+    return st.progress_latest(V(spark, d, "progress_v")).where(F.col("progress") == -1).select("userid")
+
+
+@register("filter_user_ratings", fx.oracle_with(["my_ratings_v", "progress_v"], f"""
+SELECT * FROM my_ratings_v WHERE userid IN ({SQL_FAILED_USERS})"""))
 def q_filter_user_ratings(spark, d):
-    """B1: ratings of the users that started a recommendation job."""
-    return rt.filter_user_ratings(V(spark, d, "my_ratings_v"), V(spark, d, "progress_v"))
+    """B1: ratings of the users whose last job failed."""
+    return rt.filter_user_ratings(V(spark, d, "my_ratings_v"), failed_users(spark, d))
 
 
 SQL_HISTORY = f"""
@@ -289,13 +301,20 @@ def q_delete_rating(spark, d):
     return rt.delete_rating(V(spark, d, "my_ratings_v"), pairs)
 
 
+SQL_BODIES = """
+SELECT *, CASE WHEN json_valid(selecteddata) THEN CASE WHEN json_type(selecteddata) = 'ARRAY'
+               THEN CAST(json_array_length(selecteddata) AS BIGINT) END END AS n_items FROM submissions_v"""
+
 SQL_JSON_ITEMS = f"""
 SELECT submission_id, userid, ts, 'ok' AS parse_status, CAST(i AS INTEGER) AS pos,
        json_extract_string(item, '$.movieid') AS movieid_raw,
        coalesce(json_type(item, '$.movieid') = 'VARCHAR', false) AS movieid_is_string,
        json_extract_string(item, '$.rating') AS rating_raw
 FROM (SELECT submission_id, userid, ts, i, json_extract(selecteddata, '$[' || i || ']') AS item
-      FROM (SELECT *, unnest(range(CAST(json_array_length(selecteddata) AS BIGINT))) AS i FROM submissions_v) a) b"""
+      FROM (SELECT *, unnest(range(n_items)) AS i FROM ({SQL_BODIES}) bodies WHERE n_items > 0) a) b
+UNION ALL
+SELECT submission_id, userid, ts, CASE WHEN n_items = 0 THEN 'empty' ELSE 'malformed' END, NULL, NULL, false, NULL
+FROM ({SQL_BODIES}) bodies WHERE coalesce(n_items, 0) = 0"""
 
 SQL_VALID_ITEMS = f"""
 SELECT *, {S_PINT('movieid_raw')} AS movieid, {S_PINT('rating_raw')} AS rating,
@@ -333,7 +352,8 @@ def q_parse_pair_ratings(spark, d):
 @register("zip_scores", fx.oracle_with(["submissions_v"], f"""
 SELECT submission_id, userid, len(ids) = len(scores) AS lengths_match, CAST(i AS INTEGER) AS pos,
        {S_PINT('ids[i + 1]')} AS movieid, {S_PINT('scores[i + 1]')} AS moviescore
-FROM (SELECT submission_id, userid, ids, scores, unnest(range(len(ids))) AS i
+FROM (SELECT submission_id, userid, ids, scores,
+             unnest(CASE WHEN len(ids) = len(scores) AND len(ids) > 0 THEN range(len(ids)) ELSE [NULL] END) AS i
       FROM (SELECT submission_id, userid, regexp_extract_all(pairs, '([0-9]+):', 1) AS ids,
                    regexp_extract_all(pairs, ':([0-9]+)', 1) AS scores FROM submissions_v) a) b"""))
 def q_zip_scores(spark, d):
@@ -355,25 +375,25 @@ def q_to_json_ratings(spark, d):
     return rt.to_json_ratings(V(spark, d, "my_ratings_v").select("userid", "movieid", "rating"))
 
 
-SQL_LATEST_SUB = """
+SQL_LATEST_SUB = f"""
 SELECT userid, submission_id, ts, n_submissions FROM (
   SELECT userid, submission_id, ts, count(*) OVER (PARTITION BY userid) AS n_submissions,
          row_number() OVER (PARTITION BY userid ORDER BY ts DESC, submission_id DESC) AS rn
-  FROM submissions_v) t WHERE rn = 1"""
+  FROM ({SQL_BODIES}) bodies WHERE n_items > 0) t WHERE rn = 1"""
 
 
 @register("latest_submission", fx.oracle_with(["submissions_v"], f"""
 SELECT userid, submission_id, epoch_us(ts) AS ts_us, CAST(n_submissions AS BIGINT) AS n_submissions
 FROM ({SQL_LATEST_SUB}) l"""))
 def q_latest_submission(spark, d):
-    """The newest submission of every user replaces the earlier ones."""
-    latest = rt.latest_submission(V(spark, d, "submissions_v"))
+    """The newest well-formed submission of every user replaces the earlier ones."""
+    latest = rt.latest_submission(rt.well_formed(V(spark, d, "submissions_v")))
     return latest.select("userid", "submission_id", C.epoch_micros("ts").alias("ts_us"), "n_submissions")
 
 
 SQL_REPLACED = f"""
 SELECT userid, movieid, rating, timestamp FROM my_ratings_v
-WHERE userid NOT IN (SELECT userid FROM submissions_v)
+WHERE userid NOT IN (SELECT userid FROM ({SQL_LATEST_SUB}) l)
 UNION ALL
 SELECT v.userid, v.movieid, v.rating, CAST(epoch_us(v.ts) // 1000000 AS BIGINT) AS timestamp
 FROM ({SQL_VALID_ITEMS}) v JOIN ({SQL_LATEST_SUB}) l ON v.submission_id = l.submission_id
@@ -390,10 +410,10 @@ def q_submission_replace(spark, d):
     return rt.replace_user_ratings(V(spark, d, "my_ratings_v"), latest, items)
 
 
-@register("selection_progress", fx.oracle_with(["submissions_v"], """
+@register("selection_progress", fx.oracle_with(["submissions_v"], f"""
 SELECT submission_id, userid, CAST(n AS INTEGER) AS n_selected, least(n / 10 * 100, 100.0) AS percent,
        CAST(greatest(0, 10 - n) AS INTEGER) AS remaining, n >= 10 AS ready
-FROM (SELECT submission_id, userid, json_array_length(selecteddata) AS n FROM submissions_v) t"""))
+FROM (SELECT submission_id, userid, coalesce(n_items, 0) AS n FROM ({SQL_BODIES}) bodies) t"""))
 def q_selection_progress(spark, d):
     """Selection progress of each submission (minimum ten movies)."""
     subs = V(spark, d, "submissions_v").select(
@@ -562,11 +582,6 @@ def q_favorite_categories(spark, d):
 
 # ------------------------------------------------------------------ status --
 
-SQL_LATEST_PROGRESS = """
-SELECT userid, event_id, ts, progress, step FROM (
-  SELECT *, row_number() OVER (PARTITION BY userid ORDER BY ts DESC, event_id DESC) AS rn FROM progress_v) t
-WHERE rn = 1"""
-
 
 @register("progress_latest", fx.oracle_with(["progress_v"], f"""
 SELECT userid, event_id, epoch_us(ts) AS ts_us, progress, step FROM ({SQL_LATEST_PROGRESS}) l"""))
@@ -605,7 +620,9 @@ SELECT u.userid, CAST(count(r.movieid) AS BIGINT) AS n_recommendations
 FROM ({SQL_ALL_USERS}) u LEFT JOIN recommendations_v r ON r.userid = u.userid GROUP BY u.userid"""))
 def q_count_recommendations_by_user(spark, d):
     """Stored recommendations per user, zero included."""
-    return _facts(spark, d).select("userid", "n_recs").withColumnRenamed("n_recs", "n_recommendations")
+    users = V(spark, d, "my_ratings_v").select("userid").unionByName(
+        V(spark, d, "progress_v").select("userid")).unionByName(V(spark, d, "recommendations_v").select("userid"))
+    return st.count_recommendations_by_user(users, V(spark, d, "recommendations_v"))
 
 
 @register("job_status", fx.oracle_with(["ratings_v", "my_ratings_v", "progress_v", "recommendations_v"], f"""

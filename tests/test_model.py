@@ -53,3 +53,48 @@ def test_als_rejects_ids_beyond_32_bits(spark):
     df = spark.createDataFrame([(1, 2, 3.0), (2, 3_000_000_000, 4.0)], "userid long, movieid long, rating double")
     with pytest.raises(Exception, match="32-bit"):
         mdl.als_fit(df, mdl.AlsParams(2, 0.1, 1))
+
+
+def test_grid_choice_report_and_single_user_flow(spark):
+    """Small grid with a failing cell: tolerated with its message, the first minimum chosen, the report
+    consistent, and the single-user list equal to brute force."""
+    training, validation = Q._training(spark, SF_SMALL), Q._validation(spark, SF_SMALL)
+    cells = [mdl.AlsParams(-1, 0.1, 2), mdl.AlsParams(4, 10.0, 2), mdl.AlsParams(4, 0.1, 3)]
+    metrics, models = mdl.als_grid_search(training, validation, cells, keep_models=True)
+    rows = {r["grid_order"]: r for r in metrics.collect()}
+    assert rows[0]["status"] == "failed" and rows[0]["error"] and rows[0]["rmse"] != rows[0]["rmse"]
+    known_u = {r[0] for r in training.select("userid").distinct().collect()}
+    known_m = {r[0] for r in training.select("movieid").distinct().collect()}
+    pairs = [(r["userid"], r["movieid"]) for r in validation.collect()]
+    warm = sum(u in known_u and m in known_m for u, m in pairs)
+    assert 0 < warm < len(pairs)  # the split leaves cold pairs
+    assert [rows[i]["n_pairs"] for i in (1, 2)] == [warm, warm]
+
+    best = mdl.select_best_model(metrics)
+    chosen = best.first()
+    assert chosen["grid_order"] == min((1, 2), key=lambda i: (rows[i]["rmse"], i)) and not chosen["is_fallback"]
+    report = mdl.model_report(best, 1.5, 2.0).first()
+    assert (report["rank"], report["validation_rmse"]) == (4, chosen["rmse"])
+    assert abs(report["improvement_pct"] - 25.0) < 1e-9
+
+    model = models[chosen["grid_order"]]
+    catalog, seen = Q.V(spark, SF_SMALL, "movieinfo_v"), Q._own_seen(spark, SF_SMALL)
+    user = Q._most_active_user(spark, SF_SMALL)
+    got = mdl.recommend_for_user(model, user, catalog, seen).collect()
+    rated = {r["movieid"] for r in seen.where(F.col("userid") == user).collect()}
+    ids = [r["movieid"] for r in catalog.collect()]
+    scored = {r["movieid"]: r["prediction"] for r in model.transform(
+        spark.createDataFrame([(user, m) for m in ids], "userid int, movieid int")).collect()}
+    want = sorted((-p, m) for m, p in scored.items() if m not in rated and p > 0)[:10]
+    assert len(got) == 10 and {r["movieid"] for r in got} == {m for _, m in want}
+
+
+def test_no_valid_cell_falls_back(spark):
+    none = spark.createDataFrame([(0, 8, 0.1, 10, float("nan"), 0, "failed", "x")], mdl.METRICS_SCHEMA)
+    chosen = mdl.select_best_model(none).first()
+    assert chosen["is_fallback"] and (chosen["rank"], chosen["max_iter"], chosen["reg_param"]) == (10, 10, 0.01)
+
+
+def test_block_count_follows_the_rows():
+    assert mdl.block_count(0) == 10 and mdl.block_count(25_000_000) == 25
+    assert mdl.block_count(10 ** 13) == 1_000

@@ -1,6 +1,7 @@
 """Every registered query against its DuckDB oracle on the smallest fixture
-(the driver repeats this at sf0.01).  ALS grid queries are covered by the
-model tests instead (eight fits)."""
+(the driver repeats this at sf0.01).  The four queries that fit the whole ALS
+grid (eight fits each) are left to ``tools/oracle_compare.py``; test_model.py runs
+their operators on a small grid."""
 
 import pytest
 
