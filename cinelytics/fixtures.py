@@ -59,9 +59,12 @@ def movieinfo_v(spark: SparkSession, sf_dir: str) -> DataFrame:
             "releasetime"
         ),
         F.col("p_brand").alias("director"),
+        F.when(key % 7 != 0, F.concat(F.lit("Actor "), (key % 50).cast("string"), F.lit(", Actor "),
+                                      (key % 31).cast("string"))).alias("leadactors"),
         F.when(key % 5 != 0, F.concat(F.lit("http://img/"), key.cast("string"))).alias("picture"),
         F.when(key % 11 != 0, F.col("p_size").cast("double") / 10).alias("averating"),
         (key * 31 % 997).cast("int").alias("numrating"),
+        F.when(key % 9 != 0, F.concat(F.lit("About "), F.col("p_name"))).alias("description"),
         F.when(
             key % 13 != 0,
             F.concat_ws(", ", F.col("p_type"), F.regexp_replace(F.col("p_name"), " ", ", "), F.col("p_brand")),
@@ -82,6 +85,8 @@ def favorite_rows(ev: DataFrame) -> DataFrame:
         F.get_json_object("props", "$.k").cast("int").alias("movieid"),
         category.alias("category"),
         "ts",
+        F.when(F.col("event_id") % 4 != 0, (F.col("event_id") % 5 + 1).cast("int")).alias("rating"),
+        F.when(F.col("event_id") % 3 != 0, F.concat(F.lit("note "), F.col("event_id").cast("string"))).alias("note"),
     )
 
 
@@ -94,8 +99,9 @@ def favorites_v(spark: SparkSession, sf_dir: str) -> DataFrame:
         _favorite_events(spark, sf_dir)
         .where(F.col("category").isNotNull())
         .groupBy("userid", "movieid", "category")
-        .agg(F.min(F.struct("ts", "event_id")).alias("f"))
-        .select(F.col("f.event_id").alias("id"), "userid", "movieid", "category", F.col("f.ts").alias("createtime"))
+        .agg(F.min(F.struct("ts", "event_id", "rating", "note")).alias("f"))
+        .select(F.col("f.event_id").alias("id"), "userid", "movieid", "category", F.col("f.ts").alias("createtime"),
+                "f.rating", "f.note")
     )
 
 
@@ -208,21 +214,27 @@ FROM events""",
         """SELECT CAST(p_partkey AS INTEGER) AS movieid, p_name AS moviename,
        CASE WHEN p_partkey % 17 <> 0 THEN DATE '1990-01-01' + CAST(p_partkey*37 % 12000 AS INTEGER) END AS releasetime,
        p_brand AS director,
+       CASE WHEN p_partkey % 7 <> 0 THEN concat('Actor ', CAST(p_partkey % 50 AS VARCHAR), ', Actor ',
+                                                CAST(p_partkey % 31 AS VARCHAR)) END AS leadactors,
        CASE WHEN p_partkey % 5 <> 0 THEN concat('http://img/', CAST(p_partkey AS VARCHAR)) END AS picture,
        CASE WHEN p_partkey % 11 <> 0 THEN CAST(p_size AS DOUBLE)/10 END AS averating,
        CAST(p_partkey*31 % 997 AS INTEGER) AS numrating,
+       CASE WHEN p_partkey % 9 <> 0 THEN concat('About ', p_name) END AS description,
        CASE WHEN p_partkey % 13 <> 0 THEN concat_ws(', ', p_type, replace(p_name,' ',', '), p_brand) END AS typelist
 FROM part""",
         (),
     ),
     "favorites_v": (
-        """SELECT first(event_id ORDER BY ts, event_id) AS id, userid, movieid, category, min(ts) AS createtime
+        """SELECT id, userid, movieid, category, createtime,
+       CASE WHEN id % 4 <> 0 THEN CAST(id % 5 + 1 AS INTEGER) END AS rating,
+       CASE WHEN id % 3 <> 0 THEN concat('note ', CAST(id AS VARCHAR)) END AS note
+FROM (SELECT first(event_id ORDER BY ts, event_id) AS id, userid, movieid, category, min(ts) AS createtime
 FROM (SELECT event_id, CAST(user_id AS INTEGER) AS userid,
              CAST(json_extract_string(props,'$.k') AS INTEGER) AS movieid,
              CASE event_type WHEN 'view' THEN 'want_watch' WHEN 'click' THEN 'watched'
                              WHEN 'purchase' THEN 'liked' END AS category, ts
       FROM events) e
-WHERE category IS NOT NULL GROUP BY userid, movieid, category""",
+WHERE category IS NOT NULL GROUP BY userid, movieid, category) f""",
         (),
     ),
     "recommendations_v": (

@@ -69,6 +69,15 @@ def to_fixed_1(c: str | Column) -> Column:
     return F.when(js_falsy_number(x), F.lit(ZERO_RATING)).otherwise(F.format_string("%.1f", x.cast("double")))
 
 
+def mean_to_fixed_1(c: str | Column) -> Column:
+    """``x.toFixed(1)`` of any non-negative double, ``'0.0'`` for NULL: the nearest decimal of the exact
+    binary value; an exact tie (x.25, x.75) goes up, where ``format_number`` would go to the even digit."""
+    x = col(c).cast("double")
+    tie = (x * 4) % 2 == 1
+    up = F.when(tie, (F.floor(x * 10) + 1) / 10).otherwise(x)
+    return F.coalesce(F.call_function("format_number", up, F.lit("0.0")), F.lit(ZERO_RATING))
+
+
 def or_default(c: str | Column, default: str) -> Column:
     """``x || default`` for strings: NULL and '' fall back."""
     return F.coalesce(F.nullif(col(c), F.lit("")), F.lit(default))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..plans.joins import join_dimension
+from ..plans.ranking import global_rank
 
 # --- Fixed values of the catalog page -----------------------------------------
 SORT_FIELDS = ("movieid", "averating", "numrating", "releasetime")
@@ -20,6 +21,7 @@ PRESETS = {  # the page's three buttons
     "newest": ("releasetime", "desc"),
 }
 # -----------------------------------------------------------------------------
+SHALLOW_ROWS = 10_000  # pages up to here come from a top-k; its heap is kept per task
 
 
 def movie_details(catalog: DataFrame) -> DataFrame:
@@ -30,6 +32,8 @@ def movie_details(catalog: DataFrame) -> DataFrame:
         F.date_format("releasetime", "yyyy-MM-dd").alias("release_date"),
         C.release_year("releasetime").alias("release_year"),
         F.col("director"),
+        F.col("leadactors").alias("actors"),
+        "description",
         C.poster("picture").alias("poster"),
         C.to_fixed_1("averating").alias("rating"),
         C.votes("numrating").alias("votes"),
@@ -74,6 +78,8 @@ def catalog_display(catalog: DataFrame) -> DataFrame:
         F.col("moviename").alias("title"),
         C.release_year("releasetime").alias("release_date"),
         "director",
+        F.col("leadactors").alias("actors"),
+        "description",
         C.poster("picture").alias("poster"),
         C.to_fixed_1("averating").alias("rating"),
         C.votes("numrating").alias("votes"),
@@ -94,15 +100,21 @@ def sort_spec(sort: str | None, order: str | None):
 
 
 def catalog_page(catalog: DataFrame, page: int | str | None = 1, sort: str | None = None,
-                 order: str | None = None, page_size: int = C.PAGE_SIZE) -> DataFrame:
-    """One page of the sorted catalog (distributed top-k with offset), with the
-    page position in ``page_pos``."""
+                 order: str | None = None, page_size: int = C.PAGE_SIZE,
+                 shallow_rows: int = SHALLOW_ROWS) -> DataFrame:
+    """One page of the sorted catalog, with the page position in ``page_pos``.
+    The first ``SHALLOW_ROWS`` rows are a distributed top-k with offset; a deeper
+    page is cut from the global rank, so no task holds all the rows before it."""
     digits = re.match(r"\s*([+-]?\d+)", "" if page is None else str(page))  # parseInt(x) || 1
     p = int(digits[1]) if digits else 1
     p = p if p >= 1 else 1
     offset = (p - 1) * page_size
     spec = sort_spec(sort, order)
-    rows = catalog.orderBy(*spec).offset(offset).limit(page_size)
+    if offset + page_size <= shallow_rows:
+        rows = catalog.orderBy(*spec).offset(offset).limit(page_size)
+    else:
+        rows = global_rank(catalog, spec, "__pos").where(
+            F.col("__pos").between(offset + 1, offset + page_size)).drop("__pos")
     w = Window.orderBy(*spec)  # at most page_size rows
     return rows.withColumn("page_pos", F.row_number().over(w))
 

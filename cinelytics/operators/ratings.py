@@ -16,6 +16,10 @@ HISTORY_MODES = {  # sort buttons of the history page: (column, descending)
     "highest": (("rating", True), ("timestamp", True)),
     "lowest": (("rating", False), ("timestamp", True)),
 }
+MALFORMED_BODY = "评分数据格式错误"
+EMPTY_BODY = "评分数据为空"
+NOTHING_SAVED = "所有评分插入均失败"
+SAVED = "评分保存成功"
 # -----------------------------------------------------------------------------
 
 
@@ -60,14 +64,20 @@ def history_display(history: DataFrame) -> DataFrame:
     )
 
 
-def rating_stats(personal: DataFrame) -> DataFrame:
-    """Per user: count, mean, and the 1..5 histogram (zero filled)."""
+def rating_stats(personal: DataFrame, users: DataFrame | None = None) -> DataFrame:
+    """Per user: count, mean (also as the page shows it, with one decimal), and
+    the 1..5 histogram (zero filled).  With ``users``, one row for each of them:
+    zero counts and ``0.0`` for a user without ratings."""
     r = F.col("rating")
-    return personal.groupBy("userid").agg(
+    stats = personal.groupBy("userid").agg(
         F.count(F.lit(1)).alias("total_ratings"),
         F.avg(r.cast("double")).alias("avg_rating"),
         *[F.count_if(r == k).alias(f"n_{k}") for k in range(1, 6)],
     )
+    if users is not None:
+        stats = users.select("userid").distinct().join(stats, "userid", "left").fillna(
+            0, subset=["total_ratings", *(f"n_{k}" for k in range(1, 6))])
+    return stats.withColumn("avg_text", C.mean_to_fixed_1("avg_rating"))
 
 
 def rated_ids_limit(personal: DataFrame, n: int = 10) -> DataFrame:
@@ -168,6 +178,23 @@ def to_json_ratings(personal: DataFrame) -> DataFrame:
     )
 
 
+def submission_outcome(subs: DataFrame, json_col: str = "selecteddata") -> DataFrame:
+    """One row per submission: the endpoint's answer.  A malformed or empty body
+    is 400 and changes nothing; a body without an accepted item is 500 (its user's
+    ratings are gone); any other is 200.  With items accepted and rejected."""
+    items = validate_json_items(parse_json_ratings(subs, json_col))
+    keep = [c for c in ("userid", "submission_id") if c in subs.columns]
+    per = items.groupBy(*keep).agg(
+        F.max("parse_status").alias("parse_status"),
+        F.count_if(F.col("accepted")).alias("n_accepted"),
+        F.count_if((F.col("parse_status") == "ok") & ~F.col("accepted")).alias("n_rejected"),
+    )
+    bad, none = F.col("parse_status") != "ok", F.col("n_accepted") == 0
+    return per.withColumn("http_status", F.when(bad, 400).when(none, 500).otherwise(200)).withColumn(
+        "message", F.when(F.col("parse_status") == "malformed", MALFORMED_BODY)
+        .when(bad, EMPTY_BODY).when(none, NOTHING_SAVED).otherwise(SAVED))
+
+
 def well_formed(subs: DataFrame, json_col: str = "selecteddata") -> DataFrame:
     """Submissions whose body is a JSON array with an item.  The original rejects any
     other body before it deletes anything, so such a body must never become a user's

@@ -23,6 +23,11 @@ STAGES = [
 ]
 COMPLETED_AT = 100
 FALLBACK_PROGRESS = 50  # ratings exist but no progress row and no results yet
+DONE_STEP = "推荐已生成"
+DONE_MESSAGE = ("推荐已生成，共 ", " 部电影")  # around the number of results
+RUNNING_STEP, RUNNING_MESSAGE = "正在计算推荐", "正在生成推荐，请稍候..."
+NO_DATA_STEP, NO_DATA_MESSAGE = "等待评分数据", "暂无评分数据"
+STARTING_MESSAGE = "初始化 Spark 推荐引擎..."
 BAR_START = 10  # the browser's progress bar starts here and never goes back
 # -----------------------------------------------------------------------------
 
@@ -45,29 +50,15 @@ def user_facts(progress_log: DataFrame, recs: DataFrame, ratings: DataFrame,
     """One row per user seen in any of the three tables: latest progress and
     step, number of recommendations, number of ratings.
 
-    Union-then-aggregate instead of three joins: every source row is tagged and
-    a single ``groupBy(userid)`` (partial aggregation, one shuffle) computes all
-    facts; ``max_by`` ignores the rows whose ordering key is NULL."""
-    fields = {f.name: f.dataType.simpleString() for f in progress_log.schema.fields}
-    state_t = f"struct<progress:{fields['progress']},step:{fields['step']}>"
-    order_t = "struct<" + ",".join(f"{c}:{fields[c]}" for c in order) + ">"
-
-    def tagged(df, is_log, n_recs, n_ratings):
-        return df.select(
-            F.col("userid"),
-            (F.struct("progress", "step") if is_log else F.lit(None).cast(state_t)).alias("__state"),
-            (F.struct(*order) if is_log else F.lit(None).cast(order_t)).alias("__order"),
-            F.lit(n_recs).cast("long").alias("__recs"),
-            F.lit(n_ratings).cast("long").alias("__ratings"),
-        )
-
-    rows = tagged(progress_log, True, 0, 0).unionByName(tagged(recs, False, 1, 0)).unionByName(
-        tagged(ratings, False, 0, 1))
-    return rows.groupBy("userid").agg(
-        F.max_by("__state", "__order").alias("__latest"),
-        F.sum("__recs").alias("n_recs"),
-        F.sum("__ratings").alias("n_ratings"),
-    ).select("userid", "__latest.progress", "__latest.step", "n_recs", "n_ratings")
+    Each table is aggregated to one row per user first (ratings and results by a
+    hash aggregate that carries a count only); the joins of these tables reuse
+    the aggregates' partitioning on ``userid``."""
+    latest = progress_latest(progress_log.select("userid", "progress", "step", *order), order=order)
+    n_recs = recs.groupBy("userid").agg(F.count(F.lit(1)).alias("n_recs"))
+    n_ratings = ratings.groupBy("userid").agg(F.count(F.lit(1)).alias("n_ratings"))
+    facts = latest.select("userid", "progress", "step").join(n_recs, "userid", "full").join(
+        n_ratings, "userid", "full")
+    return facts.fillna(0, subset=["n_recs", "n_ratings"])
 
 
 def count_recommendations_by_user(users: DataFrame, recs: DataFrame) -> DataFrame:
@@ -93,7 +84,7 @@ def job_status(facts: DataFrame, users: DataFrame | None = None) -> DataFrame:
     progress row: >= 100 completed (with the result count), else processing at
     its value; no row: results -> completed, ratings -> processing at 50, else
     no_data at 0.  ``failed`` marks progress -1, which the original reports as
-    processing."""
+    processing.  ``step`` and ``message`` are the row's step or the defaults."""
     has_row = F.col("progress").isNotNull()
     recs_n = F.coalesce(F.col("n_recs"), F.lit(0))
     ratings_n = F.coalesce(F.col("n_ratings"), F.lit(0))
@@ -112,8 +103,21 @@ def job_status(facts: DataFrame, users: DataFrame | None = None) -> DataFrame:
         .when(ratings_n > 0, FALLBACK_PROGRESS)
         .otherwise(0)
     )
+    own_step = F.nullif(F.col("step"), F.lit(""))  # JavaScript: '' is falsy
+    found = F.concat(F.lit(DONE_MESSAGE[0]), recs_n.cast("string"), F.lit(DONE_MESSAGE[1]))
+    step = (
+        F.when(done, F.coalesce(own_step, F.lit(DONE_STEP)))
+        .when(has_row, F.coalesce(own_step, F.lit(RUNNING_STEP)))
+        .when(recs_n > 0, DONE_STEP).when(ratings_n > 0, RUNNING_STEP).otherwise(NO_DATA_STEP)
+    )
+    message = (
+        F.when(done, found)
+        .when(has_row, F.coalesce(own_step, F.lit(RUNNING_MESSAGE)))
+        .when(recs_n > 0, found).when(ratings_n > 0, RUNNING_MESSAGE).otherwise(NO_DATA_MESSAGE)
+    )
     return _for_users(facts, users).select(
         "userid", status.alias("status"), progress.cast("int").alias("progress"),
+        step.alias("step"), message.alias("message"),
         F.when(status == "completed", recs_n).cast("long").alias("rec_count"),
         F.coalesce(F.col("progress") == -1, F.lit(False)).alias("failed"),
     )
@@ -127,6 +131,7 @@ def job_status_simple(facts: DataFrame, users: DataFrame | None = None) -> DataF
         "userid",
         F.when(p >= COMPLETED_AT, "completed").otherwise("running").alias("status"),
         F.coalesce(p, F.lit(0)).cast("int").alias("progress"),
+        F.when(p.isNull(), STARTING_MESSAGE).otherwise(F.col("step")).alias("message"),
     )
 
 

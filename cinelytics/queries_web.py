@@ -3,6 +3,9 @@ favourites, job status.  Each runs for all users at once."""
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import fixtures as fx
@@ -58,7 +61,8 @@ def S_US(x):
 
 @register("movie_by_id", fx.oracle_with(["movieinfo_v", "favorites_v"], f"""
 SELECT movieid AS id, moviename AS title, strftime(releasetime, '%Y-%m-%d') AS release_date,
-       {S_YEAR('releasetime')} AS release_year, director, {S_POSTER('picture')} AS poster,
+       {S_YEAR('releasetime')} AS release_year, director, leadactors AS actors, description,
+       {S_POSTER('picture')} AS poster,
        {S_FIXED('averating')} AS rating, {S_VOTES('numrating')} AS votes, {S_GENRES('typelist')} AS genres
 FROM movieinfo_v WHERE movieid IN (SELECT movieid FROM favorites_v)"""))
 def q_movie_by_id(spark, d):
@@ -92,6 +96,7 @@ def q_title_search(spark, d):
 
 @register("catalog_display", fx.oracle_with(["movieinfo_v"], f"""
 SELECT movieid AS id, moviename AS title, {S_YEAR('releasetime')} AS release_date, director,
+       leadactors AS actors, description,
        {S_POSTER('picture')} AS poster, {S_FIXED('averating')} AS rating, {S_VOTES('numrating')} AS votes,
        {S_GENRES('typelist', 3)} AS genres, typelist AS full_genres
 FROM movieinfo_v"""))
@@ -102,7 +107,7 @@ def q_catalog_display(spark, d):
 
 @register("catalog_page", fx.oracle_with(["movieinfo_v"], """
 SELECT movieid, moviename, strftime(releasetime, '%Y-%m-%d') AS releasetime, director, picture, averating,
-       numrating, typelist,
+       numrating, typelist, leadactors, description,
        CAST(row_number() OVER (ORDER BY averating DESC NULLS LAST, movieid) AS BIGINT) AS page_pos
 FROM (SELECT * FROM movieinfo_v ORDER BY averating DESC NULLS LAST, movieid LIMIT 24 OFFSET 24) t"""))
 def q_catalog_page(spark, d):
@@ -112,6 +117,26 @@ def q_catalog_page(spark, d):
         "releasetime", F.date_format("releasetime", "yyyy-MM-dd"))
 
 
+PAGE_MODES = {  # name: (sort, order, DuckDB ordering)
+    "most_popular": ("most_popular", None, "numrating DESC NULLS LAST"),
+    "newest": ("newest", None, "releasetime DESC NULLS LAST"),
+    "worst_rated": ("averating", "asc", "averating ASC NULLS FIRST"),
+    "default": (None, None, "movieid DESC"),
+}
+
+
+@register("catalog_page_modes", fx.oracle_with(["movieinfo_v"], "\nUNION ALL\n".join(f"""
+SELECT '{mode}' AS sort_mode, movieid, CAST(pos - 24 AS BIGINT) AS page_pos FROM (
+  SELECT movieid, row_number() OVER (ORDER BY {by}, movieid) AS pos FROM movieinfo_v) t
+WHERE pos BETWEEN 25 AND 48""" for mode, (_, _, by) in PAGE_MODES.items())))
+def q_catalog_page_modes(spark, d):
+    """Page 2 under the other presets, ascending with NULLs first, and the default order."""
+    pages = [cat.catalog_page(V(spark, d, "movieinfo_v"), 2, sort, order).select(
+        F.lit(mode).alias("sort_mode"), "movieid", F.col("page_pos").cast("long").alias("page_pos"))
+        for mode, (sort, order, _) in PAGE_MODES.items()]
+    return reduce(DataFrame.unionByName, pages)
+
+
 @register("catalog_page_count", fx.oracle_with(["movieinfo_v"], """
 SELECT CAST(count(*) AS BIGINT) AS total_movies, CAST(ceil(count(*) / 24) AS BIGINT) AS total_pages
 FROM movieinfo_v"""))
@@ -252,6 +277,16 @@ def q_history_sort_modes(spark, d):
     return h.select("userid", "movieid", "rating", "timestamp", "history_rank")
 
 
+@register("history_sort_highest", fx.oracle_with(["my_ratings_v"], """
+SELECT userid, movieid, rating, timestamp,
+       row_number() OVER (PARTITION BY userid ORDER BY rating DESC, timestamp DESC, movieid) AS history_rank
+FROM my_ratings_v"""))
+def q_history_sort_highest(spark, d):
+    """The 'highest first' mode of the history page."""
+    h = rt.history_sorted(V(spark, d, "my_ratings_v"), "highest")
+    return h.select("userid", "movieid", "rating", "timestamp", "history_rank")
+
+
 @register("history_display", fx.oracle_with(["ratings_v", "my_ratings_v", "movieinfo_v"], f"""
 SELECT userid, movieid AS movie_id, {S_DEFAULT('moviename', C.UNKNOWN_MOVIE)} AS movie_name,
        {S_POSTER('picture')} AS poster, rating AS my_rating, {S_FIXED('avg_rating')} AS average_rating,
@@ -265,14 +300,19 @@ def q_history_display(spark, d):
 
 
 @register("rating_stats", fx.oracle_with(["ratings_v", "my_ratings_v"], """
-SELECT userid, CAST(count(*) AS BIGINT) AS total_ratings, avg(CAST(rating AS DOUBLE)) AS avg_rating,
+SELECT *, CASE WHEN avg_rating IS NULL THEN '0.0' WHEN (avg_rating * 4) % 2 = 1
+               THEN printf('%.1f', (floor(avg_rating * 10) + 1) / 10) ELSE printf('%.1f', avg_rating) END AS avg_text
+FROM (
+SELECT u.userid, CAST(count(rating) AS BIGINT) AS total_ratings, avg(CAST(rating AS DOUBLE)) AS avg_rating,
        CAST(count(*) FILTER (WHERE rating = 1) AS BIGINT) AS n_1, CAST(count(*) FILTER (WHERE rating = 2) AS BIGINT) AS n_2,
        CAST(count(*) FILTER (WHERE rating = 3) AS BIGINT) AS n_3, CAST(count(*) FILTER (WHERE rating = 4) AS BIGINT) AS n_4,
        CAST(count(*) FILTER (WHERE rating = 5) AS BIGINT) AS n_5
-FROM my_ratings_v GROUP BY userid"""))
+FROM (SELECT userid FROM ratings_v UNION SELECT userid FROM my_ratings_v) u
+LEFT JOIN my_ratings_v r ON r.userid = u.userid GROUP BY u.userid) s"""))
 def q_rating_stats(spark, d):
-    """Per-user count, mean and 1..5 histogram."""
-    return rt.rating_stats(V(spark, d, "my_ratings_v"))
+    """Count, mean (one decimal) and 1..5 histogram of every user's own ratings, zero rows included."""
+    own = V(spark, d, "my_ratings_v")
+    return rt.rating_stats(own, V(spark, d, "ratings_v").select("userid").unionByName(own.select("userid")))
 
 
 @register("rated_ids_limit", fx.oracle_with(["ratings_v", "my_ratings_v"], """
@@ -342,6 +382,20 @@ def q_valid_submissions(spark, d):
         "submission_id", "userid", "pos", "movieid", "rating")
 
 
+@register("submission_outcome", fx.oracle_with(["submissions_v"], f"""
+SELECT userid, submission_id, parse_status, n_accepted, n_rejected,
+       CASE WHEN parse_status <> 'ok' THEN 400 WHEN n_accepted = 0 THEN 500 ELSE 200 END AS http_status,
+       CASE WHEN parse_status = 'malformed' THEN '{rt.MALFORMED_BODY}' WHEN parse_status = 'empty' THEN '{rt.EMPTY_BODY}'
+            WHEN n_accepted = 0 THEN '{rt.NOTHING_SAVED}' ELSE '{rt.SAVED}' END AS message
+FROM (SELECT userid, submission_id, max(parse_status) AS parse_status,
+             CAST(count(*) FILTER (WHERE accepted) AS BIGINT) AS n_accepted,
+             CAST(count(*) FILTER (WHERE parse_status = 'ok' AND NOT accepted) AS BIGINT) AS n_rejected
+      FROM ({SQL_VALID_ITEMS}) v GROUP BY userid, submission_id) o"""))
+def q_submission_outcome(spark, d):
+    """Submit answer: accepted and rejected items, and the status of malformed, empty and fruitless bodies."""
+    return rt.submission_outcome(V(spark, d, "submissions_v"))
+
+
 @register("parse_pair_ratings", fx.oracle_with(["submissions_v"], SQL_PAIRS))
 def q_parse_pair_ratings(spark, d):
     """G2: 'id:rating,id:rating' bodies -> rows."""
@@ -425,19 +479,19 @@ def q_selection_progress(spark, d):
 # --------------------------------------------------------------- favourites --
 
 SQL_FAV_JOIN = """
-SELECT f.id, f.userid, f.movieid, f.category, f.createtime, m.moviename, m.picture, m.averating, m.typelist,
+SELECT f.id, f.userid, f.movieid, f.category, f.rating, f.note, f.createtime, m.moviename, m.picture, m.averating, m.typelist,
        m.releasetime, m.director
 FROM favorites_v f LEFT JOIN movieinfo_v m ON f.movieid = m.movieid"""
 
 
 @register("favorites_list", fx.oracle_with(["favorites_v", "movieinfo_v"], f"""
-SELECT id, userid, movieid, category, epoch_us(createtime) AS createtime_us, moviename, picture, averating,
+SELECT id, userid, movieid, category, rating, note, epoch_us(createtime) AS createtime_us, moviename, picture, averating,
        typelist, strftime(releasetime, '%Y-%m-%d') AS releasetime, director FROM ({SQL_FAV_JOIN}) j"""))
 def q_favorites_list(spark, d):
     """C4: favourites left-joined to the catalog."""
     listed = fav.favorites_list(V(spark, d, "favorites_v"), V(spark, d, "movieinfo_v"))
-    return listed.select("id", "userid", "movieid", "category", C.epoch_micros("createtime").alias("createtime_us"),
-                         "moviename", "picture", "averating", "typelist",
+    return listed.select("id", "userid", "movieid", "category", "rating", "note",
+                         C.epoch_micros("createtime").alias("createtime_us"), "moviename", "picture", "averating", "typelist",
                          F.date_format("releasetime", "yyyy-MM-dd").alias("releasetime"), "director")
 
 
@@ -637,6 +691,14 @@ SELECT u.userid,
        WHEN coalesce(rt.n, 0) > 0 THEN 50 ELSE 0 END AS INTEGER) AS progress,
   CAST(CASE WHEN (p.progress IS NOT NULL AND p.progress >= 100) OR (p.progress IS NULL AND coalesce(rc.n, 0) > 0)
        THEN coalesce(rc.n, 0) END AS BIGINT) AS rec_count,
+  CASE WHEN p.progress IS NOT NULL AND p.progress >= 100 THEN coalesce(nullif(p.step, ''), '{st.DONE_STEP}')
+       WHEN p.progress IS NOT NULL THEN coalesce(nullif(p.step, ''), '{st.RUNNING_STEP}')
+       WHEN coalesce(rc.n, 0) > 0 THEN '{st.DONE_STEP}' WHEN coalesce(rt.n, 0) > 0 THEN '{st.RUNNING_STEP}'
+       ELSE '{st.NO_DATA_STEP}' END AS step,
+  CASE WHEN (p.progress IS NOT NULL AND p.progress >= 100) OR (p.progress IS NULL AND coalesce(rc.n, 0) > 0)
+       THEN '{st.DONE_MESSAGE[0]}' || coalesce(rc.n, 0) || '{st.DONE_MESSAGE[1]}'
+       WHEN p.progress IS NOT NULL THEN coalesce(nullif(p.step, ''), '{st.RUNNING_MESSAGE}')
+       WHEN coalesce(rt.n, 0) > 0 THEN '{st.RUNNING_MESSAGE}' ELSE '{st.NO_DATA_MESSAGE}' END AS message,
   coalesce(p.progress = -1, false) AS failed
 FROM ({SQL_ALL_USERS}) u
 LEFT JOIN ({SQL_LATEST_PROGRESS}) p ON p.userid = u.userid
@@ -649,7 +711,8 @@ def q_job_status(spark, d):
 
 @register("job_status_simple", fx.oracle_with(["ratings_v", "my_ratings_v", "progress_v", "recommendations_v"], f"""
 SELECT u.userid, CASE WHEN p.progress >= 100 THEN 'completed' ELSE 'running' END AS status,
-       CAST(coalesce(p.progress, 0) AS INTEGER) AS progress
+       CAST(coalesce(p.progress, 0) AS INTEGER) AS progress,
+       CASE WHEN p.progress IS NULL THEN '{st.STARTING_MESSAGE}' ELSE p.step END AS message
 FROM ({SQL_ALL_USERS}) u LEFT JOIN ({SQL_LATEST_PROGRESS}) p ON p.userid = u.userid"""))
 def q_job_status_simple(spark, d):
     """Simple running / completed status of every user."""

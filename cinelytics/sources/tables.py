@@ -23,7 +23,8 @@ from ..session import scratch_path
 
 BUCKET_COL = "key_bucket"
 BUCKETS_COL = "key_buckets"  # the table's number of buckets: one partition folder, so it is stored with the data
-DEFAULT_BUCKETS = 64
+ROWS_PER_BUCKET = 2_000_000
+MIN_BUCKETS = 16
 
 
 def _keys(key: str | Sequence[str]) -> list[str]:
@@ -50,14 +51,16 @@ def _by_bucket(df: DataFrame) -> DataFrame:
     return df.hint("rebalance", BUCKET_COL)
 
 
-def create_keyed_table(df: DataFrame, path: str, key: str | Sequence[str], buckets: int = DEFAULT_BUCKETS) -> None:
+def create_keyed_table(df: DataFrame, path: str, key: str | Sequence[str], buckets: int | None = None) -> None:
+    """Write a keyed table; its number of buckets follows the number of rows (one counting pass)."""
+    buckets = buckets or max(MIN_BUCKETS, -(-df.count() // ROWS_PER_BUCKET))
     (_by_bucket(_with_bucket(df, key, buckets))
        .write.mode("overwrite").partitionBy(BUCKETS_COL, BUCKET_COL).parquet(path))
 
 
 def append_rows(df: DataFrame, path: str, key: str | Sequence[str]) -> None:
     """Append to a keyed table, with the number of buckets stored in it."""
-    buckets = table_buckets(df.sparkSession, path) or DEFAULT_BUCKETS
+    buckets = table_buckets(df.sparkSession, path) or MIN_BUCKETS
     (_by_bucket(_with_bucket(df, key, buckets))
        .write.mode("append").partitionBy(BUCKETS_COL, BUCKET_COL).parquet(path))
 
@@ -73,7 +76,7 @@ def read_rows_for_keys(spark: SparkSession, path: str, keys_df: DataFrame, key:
     buckets is at most the table's number of buckets, so it is collected and applied as a
     partition filter; the semi join then keeps the exact keys."""
     k = _keys(key)
-    buckets = table_buckets(spark, path) or DEFAULT_BUCKETS
+    buckets = table_buckets(spark, path) or MIN_BUCKETS
     wanted = keys_df.select(*k).distinct().withColumn(BUCKET_COL, bucket_of(k, buckets))
     touched = [r[0] for r in wanted.select(BUCKET_COL).distinct().collect()]  # <= buckets values
     rows = spark.read.parquet(path).where(F.col(BUCKET_COL).isin(touched))
@@ -86,22 +89,40 @@ def delete_by_key(df: DataFrame, keys_df: DataFrame, key: str | Sequence[str]) -
     return df.join(keys_df.select(*k).distinct(), k, "left_anti").select(*df.columns)
 
 
-def replace_by_key(spark: SparkSession, path: str, new_rows: DataFrame, key: str | Sequence[str]) -> None:
-    """Every key present in ``new_rows`` loses all its old rows and gets the new
-    ones; other keys are untouched.  Only the touched buckets are rewritten."""
+def _drop_buckets(spark: SparkSession, path: str, buckets: int, ids: set[int]) -> None:
+    """Remove the folders of buckets that lost all their rows (a dynamic overwrite leaves them as they are)."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for i in ids:
+        fs.delete(hadoop_path(f"{path}/{BUCKETS_COL}={buckets}/{BUCKET_COL}={i}"), True)
+
+
+def replace_by_key(spark: SparkSession, path: str, new_rows: DataFrame, key: str | Sequence[str],
+                   replaced: DataFrame | None = None) -> None:
+    """Every key present in ``new_rows`` (and in ``replaced``, whose keys may get no
+    row at all) loses all its old rows and gets the new ones; other keys are
+    untouched.  Only the touched buckets are rewritten, and a second run with
+    the same rows changes nothing."""
     k = _keys(key)
     # materialised once: it feeds the touched buckets, the key set and the union
-    buckets = table_buckets(spark, path) or DEFAULT_BUCKETS
+    buckets = table_buckets(spark, path) or MIN_BUCKETS
     new_b = _with_bucket(new_rows, k, buckets).checkpoint(eager=True)
-    touched = new_b.select(BUCKET_COL).distinct()
+    gone = new_b.select(BUCKET_COL, *k)
+    if replaced is not None:
+        gone = gone.unionByName(_with_bucket(replaced.select(*k), k, buckets).select(BUCKET_COL, *k))
+    gone = gone.distinct().checkpoint(eager=True)
+    touched = gone.select(BUCKET_COL).distinct()
     old = spark.read.parquet(path)
     old_touched = old.join(F.broadcast(touched), BUCKET_COL, "left_semi")  # <= `buckets` rows
-    kept = old_touched.join(new_b.select(*k).distinct(), k, "left_anti")
+    kept = old_touched.join(gone.select(*k), k, "left_anti")
     merged = kept.unionByName(new_b.select(*old.columns))
     staging = scratch_path(spark, "replace-staging")
     _by_bucket(merged).write.mode("overwrite").partitionBy(BUCKETS_COL, BUCKET_COL).parquet(staging)
-    (spark.read.parquet(staging).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    staged = spark.read.schema(old.schema).parquet(staging)  # no file at all when nothing is left
+    (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(BUCKETS_COL, BUCKET_COL).parquet(path))
+    left = {r[0] for r in staged.select(BUCKET_COL).distinct().collect()}
+    _drop_buckets(spark, path, buckets, {r[0] for r in touched.collect()} - left)  # <= `buckets` values each
 
 
 def query_view(spark: SparkSession, df: DataFrame, view: str, sql: str, args: dict | None = None) -> DataFrame:

@@ -1,10 +1,11 @@
-"""Structured Streaming operators (update-mode keyed state, idempotent batches)."""
+"""Structured Streaming twins of the keyed operators."""
 
 from .state import (  # noqa: F401
-    event_stream,
     latest_state,
+    newest_submissions,
     run_keyed_updates,
     stream_favorites_dedup,
-    stream_latest_submissions,
+    stream_favorites_dedup_bounded,
     stream_progress_latest,
+    stream_replace_ratings,
 )

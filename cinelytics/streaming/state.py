@@ -16,23 +16,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..fixtures import favorite_rows, progress_rows, submission_rows
-from ..operators.ratings import well_formed
-from ..session import prepare, scratch_path
-
-EVENTS_SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
-
-
-def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1,
-                 glob: str = "events*.parquet") -> DataFrame:
-    """The ``events`` table of a folder as a file stream (directory source with
-    a name filter; a single-file path is not a valid stream source)."""
-    prepare(spark)
-    return (spark.readStream.schema(EVENTS_SCHEMA)
-            .option("pathGlobFilter", glob)
-            .option("maxFilesPerTrigger", files_per_trigger)
-            .parquet(sf_dir))
-
+from ..functions.columns import epoch_seconds
+from ..operators.ratings import valid_submissions, well_formed
+from ..session import scratch_path
+from ..sources.tables import replace_by_key
 
 def run_keyed_updates(agg: DataFrame, name: str, timeout_s: int | None = None) -> str:
     """Run an update-mode aggregation to completion (available-now trigger) and
@@ -77,42 +64,64 @@ def latest_state(spark: SparkSession, out: str, keys: Sequence[str]) -> DataFram
         *keys, "__s.*")
 
 
-def stream_progress_latest(spark: SparkSession, sf_dir: str, **stream_opts) -> DataFrame:
-    """Latest progress per user from the event stream (twin of D12)."""
-    log = progress_rows(event_stream(spark, sf_dir, **stream_opts))
+def stream_progress_latest(log: DataFrame) -> DataFrame:
+    """Latest progress per user of a streaming progress log (twin of D12)."""
+    payload = [c for c in log.columns if c != "userid"]
     agg = log.groupBy("userid").agg(
-        F.max_by(F.struct("event_id", "ts", "progress", "step"), F.struct("ts", "event_id")).alias("s")
+        F.max_by(F.struct(*payload), F.struct("ts", "event_id")).alias("s")
     ).select("userid", "s.*")
-    return latest_state(spark, run_keyed_updates(agg, "progress-latest"), ["userid"])
+    return latest_state(log.sparkSession, run_keyed_updates(agg, "progress-latest"), ["userid"])
 
 
-def stream_latest_submissions(spark: SparkSession, sf_dir: str, **stream_opts) -> DataFrame:
-    """S5 (state part): newest submission per user from the stream."""
-    subs = well_formed(submission_rows(event_stream(spark, sf_dir, **stream_opts)))
-    agg = subs.groupBy("userid").agg(
-        F.max_by(F.struct("submission_id", "ts", "selecteddata"), F.struct("ts", "submission_id")).alias("s")
+def newest_submissions(subs: DataFrame, json_col: str = "selecteddata") -> DataFrame:
+    """Newest well-formed submission per user, as an update-mode aggregation."""
+    return well_formed(subs, json_col).groupBy("userid").agg(
+        F.max_by(F.struct("submission_id", "ts", json_col), F.struct("ts", "submission_id")).alias("s")
     ).select("userid", "s.*")
-    return latest_state(spark, run_keyed_updates(agg, "latest-submission"), ["userid"])
 
 
-def stream_favorites_dedup(spark: SparkSession, sf_dir: str, **stream_opts) -> DataFrame:
+def stream_replace_ratings(subs: DataFrame, path: str, timeout_s: int | None = None) -> None:
+    """A stream of submissions replaces its users' rows in the keyed ratings
+    table at ``path`` (``userid, movieid, rating, timestamp``).
+
+    State: the newest well-formed submission per user.  Every micro-batch rewrites
+    the rows of the users it touched, with the accepted items of that submission
+    (none: the user's rows go).  A replayed batch, or one whose submissions are
+    all older, writes the same rows again."""
+    def replace(batch: DataFrame, _batch_id: int) -> None:
+        spark = batch.sparkSession
+        newest = batch.checkpoint(eager=True)
+        if newest.isEmpty():
+            return
+        items = valid_submissions(newest).select(
+            "userid", "movieid", "rating", epoch_seconds("ts").alias("timestamp"))
+        replace_by_key(spark, path, items, "userid", replaced=newest)
+
+    query = (newest_submissions(subs).writeStream.outputMode("update").foreachBatch(replace)
+             .option("checkpointLocation", scratch_path(subs.sparkSession, "replace-ratings-ckpt"))
+             .trigger(availableNow=True).start())
+    _finish(query, "replace-ratings", timeout_s)
+
+
+def stream_favorites_dedup(requests: DataFrame) -> DataFrame:
     """First insert of each (user, movie, category) wins (twin of the
-    favourites table): min id and time per key, kept as streaming state."""
-    fav = favorite_rows(event_stream(spark, sf_dir, **stream_opts)).where(F.col("category").isNotNull())
-    agg = fav.groupBy("userid", "movieid", "category").agg(
+    favourites table): the first request per key, kept as streaming state."""
+    agg = requests.where(F.col("category").isNotNull()).groupBy("userid", "movieid", "category").agg(
         F.min(F.struct("ts", "event_id")).alias("f")).select(
             "userid", "movieid", "category", F.col("f.event_id").alias("id"), F.col("f.ts").alias("createtime"))
-    return latest_state(spark, run_keyed_updates(agg, "favorites-dedup"), ["userid", "movieid", "category"])
+    out = run_keyed_updates(agg, "favorites-dedup")
+    return latest_state(requests.sparkSession, out, ["userid", "movieid", "category"])
 
 
-def stream_favorites_dedup_bounded(spark: SparkSession, sf_dir: str, delay: str = "1 day") -> DataFrame:
+def stream_favorites_dedup_bounded(requests: DataFrame, delay: str = "1 day") -> DataFrame:
     """S6, bounded state: duplicates of a key arriving within ``delay`` of each
     other (event time) are dropped and the key's state expires after the
-    watermark passes.  The kept row is the first to arrive, so this variant
+    watermark passes; a row later than the watermark is dropped, as is usual
+    for a bounded state.  The kept row is the first to arrive, so this variant
     guarantees the key set, not the minimum id.  ``withWatermark`` needs a
     TIMESTAMP, so the NTZ event time is cast first (session time zone UTC)."""
-    fav = favorite_rows(event_stream(spark, sf_dir)).where(F.col("category").isNotNull())
-    fav = fav.withColumn("event_time", F.col("ts").cast("timestamp"))
+    spark = requests.sparkSession
+    fav = requests.where(F.col("category").isNotNull()).withColumn("event_time", F.col("ts").cast("timestamp"))
     dedup = fav.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["userid", "movieid", "category"])
     out = scratch_path(spark, "favorites-dedup-bounded-out")
     ckpt = scratch_path(spark, "favorites-dedup-bounded-ckpt")

@@ -3,33 +3,66 @@
 from pyspark.sql import functions as F
 
 from cinelytics import fixtures as fx
+from cinelytics.operators import ratings as rt
 from cinelytics.operators import status as st
+from cinelytics.queries_stream import event_stream
 from cinelytics.session import scratch_path
+from cinelytics.sources import tables as tb
 from cinelytics.streaming import state
 
 from .conftest import SF_SMALL
 
 
-def _multi_file_events(spark):
+def _events(spark):
+    """The event table as a stream of four files, one per micro-batch."""
     path = scratch_path(spark, "events-split")
     fx.table(spark, SF_SMALL, "events").repartition(4, "event_id").write.parquet(path)
-    return path
+    return event_stream(spark, path, files_per_trigger=1, glob="*.parquet")
+
+
+def _rows(df, *cols):
+    return sorted(map(tuple, df.select(*cols).collect()))
+
+
+def test_keyed_updates_run_one_batch_per_file(spark):
+    agg = fx.progress_rows(_events(spark)).groupBy("userid").agg(F.count(F.lit(1)).alias("n"))
+    out = spark.read.parquet(state.run_keyed_updates(agg, "batches"))
+    assert out.select("batch_id").distinct().count() == 4
 
 
 def test_progress_stream_over_several_batches_equals_batch(spark):
-    path = _multi_file_events(spark)
-    got = state.stream_progress_latest(spark, path, glob="*.parquet", files_per_trigger=1)
+    got = state.stream_progress_latest(fx.progress_rows(_events(spark)))
     want = st.progress_latest(fx.progress_v(spark, SF_SMALL))
     cols = ["userid", "event_id", "progress", "step"]
-    assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect()))
-    batches = spark.read.parquet(path).inputFiles()
-    assert len(batches) >= 2
+    assert _rows(got, *cols) == _rows(want, *cols)
 
 
 def test_favorites_stream_over_several_batches_equals_batch(spark):
-    path = _multi_file_events(spark)
-    got = state.stream_favorites_dedup(spark, path, glob="*.parquet", files_per_trigger=1)
-    want = fx.favorites_v(spark, SF_SMALL)
-    cols = ["id", "userid", "movieid", "category"]
-    assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect()))
-    assert got.where(F.col("createtime").isNull()).count() == 0
+    got = state.stream_favorites_dedup(fx.favorite_rows(_events(spark)))
+    cols = ["id", "userid", "movieid", "category", "createtime"]
+    assert _rows(got, *cols) == _rows(fx.favorites_v(spark, SF_SMALL), *cols)
+
+
+def test_bounded_favorites_stream_keeps_every_key_within_the_delay(spark):
+    got = state.stream_favorites_dedup_bounded(fx.favorite_rows(_events(spark)), "365 days")
+    cols = ["userid", "movieid", "category"]
+    assert _rows(got, *cols) == _rows(fx.favorites_v(spark, SF_SMALL), *cols)
+
+
+def test_replace_stream_over_several_batches_equals_batch(spark):
+    cols = ["userid", "movieid", "rating", "timestamp"]
+    personal = fx.my_ratings_v(spark, SF_SMALL)
+    path = scratch_path(spark, "ratings-stream-test")
+    tb.create_keyed_table(personal, path, "userid", buckets=3)
+    state.stream_replace_ratings(fx.submission_rows(_events(spark)), path)
+    latest = rt.latest_submission(rt.well_formed(fx.submissions_v(spark, SF_SMALL)))
+    want = rt.replace_user_ratings(personal, latest, rt.valid_submissions(latest.drop("n_submissions")))
+    assert _rows(tb.read_keyed_table(spark, path), *cols) == _rows(want, *cols)
+
+
+def test_replace_removes_a_key_that_gets_no_row(spark):
+    path = scratch_path(spark, "ratings-empty-bucket")
+    old = spark.createDataFrame([(u, 1) for u in range(6)], "userid int, movieid int")
+    tb.create_keyed_table(old, path, "userid", buckets=64)  # most users alone in their bucket
+    tb.replace_by_key(spark, path, old.limit(0), "userid", replaced=old.where("userid in (2, 3)"))
+    assert [u for u, _ in _rows(tb.read_keyed_table(spark, path), "userid", "movieid")] == [0, 1, 4, 5]

@@ -160,8 +160,6 @@ def test_read_rows_for_keys_prunes_and_handles_empty_sets(spark):
 
 
 def test_malformed_bodies_never_replace(spark):
-    from cinelytics.operators import ratings as rt
-
     subs = spark.createDataFrame(
         [(1, 7, 10, '[{"movieid":1,"rating":4}]'), (2, 7, 20, "not json"), (3, 7, 30, "[]"), (4, 8, 10, "{}"), (5, 9, 10, None),
          (6, 6, 10, '[{"movieid":1,"rating":9}]')], "submission_id int, userid int, ts int, selecteddata string")
@@ -198,3 +196,68 @@ def test_first_favourite_request_is_one_row(spark):
     table, report = fav.favorites_add(none, asked)
     assert [(r["id"], r["createtime"]) for r in table.collect()] == [(9, "2024-01-01")]
     assert {r["id"]: r["already_exists"] for r in report.collect()} == {5: True, 9: False}
+
+
+def test_status_steps_and_messages(spark):
+    facts = spark.createDataFrame(
+        [(1, 100, None, 7, 0), (2, 40, "", 0, 0), (3, 40, "fit", 0, 0), (4, None, None, 2, 1), (5, None, None, 0, 3),
+         (6, None, None, 0, 0)], "userid int, progress int, step string, n_recs long, n_ratings long")
+    got = {r["userid"]: (r["step"], r["message"]) for r in st.job_status(facts).collect()}
+    assert got == {
+        1: ("推荐已生成", "推荐已生成，共 7 部电影"), 2: ("正在计算推荐", "正在生成推荐，请稍候..."), 3: ("fit", "fit"),
+        4: ("推荐已生成", "推荐已生成，共 2 部电影"), 5: ("正在计算推荐", "正在生成推荐，请稍候..."),
+        6: ("等待评分数据", "暂无评分数据")}
+    simple = {r["userid"]: r["message"] for r in st.job_status_simple(facts).collect()}
+    assert (simple[3], simple[6]) == ("fit", "初始化 Spark 推荐引擎...")
+
+
+def test_mean_with_one_decimal_rounds_like_to_fixed(spark):
+    from cinelytics.functions import columns as C
+
+    want = {2.25: "2.3", 2.75: "2.8", 2.5: "2.5", 1.45: "1.4", 1.35: "1.4", 3.0: "3.0", 10 / 3: "3.3", 4.96: "5.0",
+            None: "0.0"}
+    df = spark.createDataFrame([(x,) for x in want], "x double")
+    assert {r[0]: r[1] for r in df.select("x", C.mean_to_fixed_1("x")).collect()} == want
+
+
+def test_left_joins_keep_movies_outside_the_catalog(spark):
+    catalog = spark.createDataFrame(
+        [(1, "One", "p", 3.5, 7, "Drama", None, "D")],
+        "movieid int, moviename string, picture string, averating double, numrating int, typelist string, "
+        "releasetime date, director string")
+    personal = spark.createDataFrame([(9, 1, 4, 5), (9, 2, 3, 6)], "userid int, movieid int, rating int, timestamp long")
+    shown = {r["movie_id"]: (r["movie_name"], r["average_rating"], r["rating_count"], r["genres"], r["director"])
+             for r in rt.history_display(rt.rating_history(personal, catalog)).collect()}
+    assert shown == {1: ("One", "3.5", 7, "Drama", "D"), 2: ("未知电影", "0.0", 0, "", "未知")}
+    favs = spark.createDataFrame([(1, 9, 2, "liked", None, "n")],
+                                 "id int, userid int, movieid int, category string, rating int, note string")
+    row = fav.favorites_list(favs, catalog).first()
+    assert (row["moviename"], row["rating"], row["note"]) == (None, None, "n")
+
+
+def test_users_without_ratings_get_a_zero_row(spark):
+    personal = spark.createDataFrame([(1, 2), (1, 5)], "userid int, rating int")
+    users = spark.createDataFrame([(1,), (2,)], "userid int")
+    got = {r["userid"]: (r["total_ratings"], r["avg_text"], r["n_2"], r["n_5"])
+           for r in rt.rating_stats(personal, users).collect()}
+    assert got == {1: (2, "3.5", 1, 1), 2: (0, "0.0", 0, 0)}
+
+
+def test_submission_outcomes(spark):
+    bodies = ["not json", "[]", '[{"movieid":1,', '{"movieid":1,"rating":3}', '[{"movieid":0,"rating":3}]',
+              '[{"movieid":1,"rating":3},{"movieid":2,"rating":9}]', None]
+    subs = spark.createDataFrame(list(enumerate(bodies)), "submission_id int, selecteddata string").withColumn(
+        "userid", F.lit(1))
+    got = {r["submission_id"]: (r["http_status"], r["n_accepted"], r["n_rejected"])
+           for r in rt.submission_outcome(subs).collect()}
+    assert got == {0: (400, 0, 0), 1: (400, 0, 0), 2: (400, 0, 0), 3: (400, 0, 0), 4: (500, 0, 1), 5: (200, 1, 1),
+                   6: (400, 0, 0)}
+
+
+def test_deep_catalog_page_equals_shallow(spark):
+    films = spark.createDataFrame([(i, float(i % 7) if i % 5 else None) for i in range(200)],
+                                  "movieid int, averating double")
+    for page in (1, 4, 9, 40):
+        a = cat.catalog_page(films, page, "averating", "asc").collect()
+        b = cat.catalog_page(films, page, "averating", "asc", shallow_rows=0).collect()
+        assert sorted(map(tuple, a)) == sorted(map(tuple, b))
