@@ -38,11 +38,12 @@ def item_means(train: DataFrame, item_col: str = "movieid", rating_col: str = "r
 def popularity_scores(catalog: DataFrame, train: DataFrame, item_col: str = "movieid",
                       rating_col: str = "rating", keep=("moviename",)) -> DataFrame:
     """Score of every catalog item: its mean training rating, else the global mean."""
-    global_mean = train.select(F.avg(rating_col)).scalar()
+    sums = train.groupBy(item_col).agg(F.sum(rating_col).alias("__sum"), F.count(rating_col).alias("__n"))
+    global_mean = sums.select(F.sum("__sum") / F.sum("__n")).scalar()  # from the same item sums: one pass over train
     cols = [item_col] + [c for c in keep if c in catalog.columns]
     return (
         catalog.select(*cols)
-        .join(item_means(train, item_col, rating_col), item_col, "left")
+        .join(sums.select(item_col, (F.col("__sum") / F.nullif(F.col("__n"), F.lit(0))).alias("item_mean")), item_col, "left")
         .select(*cols, F.coalesce(F.col("item_mean"), global_mean).alias("prediction"))
     )
 

@@ -7,17 +7,17 @@ predictor, or any global item score) the same answer comes from a linear-size
 plan:
 
 1. rank the eligible catalog once, globally: 1..M by (score desc, movieid asc);
-2. for user u with seen ranks S_u, the n best unseen movies are the n smallest
-   ranks outside S_u.  Each of them is either <= n, or lies within n places
-   after some seen rank (if x is the answer and s the last seen rank below it,
-   every rank in (s, x] is unseen and at most n unseen ranks precede x).  So the
-   candidates are {1..n} for every user plus {s+1..s+n} for every seen rank
-   s < n + |S_u| (no answer lies beyond n + |S_u|): at most n * (users + seen
-   rows), usually far fewer, with no per-user group materialised;
-3. drop seen candidates (anti join on (user, rank)), keep the n smallest ranks
-   per user (``dense_rank`` with a limit, which Spark evaluates as a per-task
-   group limit before the shuffle, so a hot user sends at most n ranks per
-   task), and map ranks back to movies with a size-checked dimension join.
+2. cut the ranks into blocks of 64 and keep, per (user, block), one word with a
+   bit per seen rank (``bit_or``: a partial aggregate that also drops repeated
+   pairs).  Before block b there are 64 b minus the set bits of the user's
+   earlier words unseen ranks, so a running sum tells which blocks hold the n
+   best unseen ranks: stored blocks with fewer than n unseen before them, and
+   the first blocks of the gaps between stored ones;
+3. read the answers off the clear bits of these few words, and map ranks back to
+   movies with a size-checked dimension join.
+
+The running sum is a window per user over its words, at most M / 64 rows of two
+numbers however many ratings the user has.  Nothing is fanned out per seen row.
 
 User-dependent scores (ALS) go through ``model.recommend_for_users``.
 """
@@ -32,6 +32,9 @@ from ..plans.joins import join_dimension
 from ..plans.ranking import global_rank_with_count
 
 
+WORD = 64  # ranks per block: the bits of a long
+
+
 def rank_catalog(scores: DataFrame, score_col: str = "prediction", item_col: str = "movieid") -> tuple[DataFrame, int]:
     """Positive, finite scores ranked 1..M by (score desc, item asc); also M."""
     eligible = scores.where(is_positive_prediction(score_col))
@@ -54,37 +57,46 @@ def top_unseen_per_user(
     Output: user, item, score, ``rank`` (1..n within the user) and every other
     column of ``scores`` (e.g. the title)."""
     ranked, n_ranked = rank_catalog(scores, score_col, item_col)
-    rank_of_item = ranked.select(item_col, "catalog_rank")
     pairs = seen.select(user_col, item_col)
-    if users is None:
-        wanted = pairs.select(user_col).distinct()
-        seen_of_wanted = pairs.distinct()
-    else:
+    if users is not None:
         wanted = users.select(user_col).distinct()
-        seen_of_wanted = join_dimension(pairs, wanted, user_col, "left_semi").distinct()
-    # Materialised once (shared checkpoint folder): the size check below and the
-    # main job both read it instead of recomputing the input joins.
-    seen_ranks = join_dimension(seen_of_wanted, rank_of_item, item_col, dim_rows=n_ranked).select(
-        user_col, "catalog_rank").checkpoint(eager=True)
-    # Every answer rank is <= n + |S_u|, so only seen ranks below that bound can
-    # generate or block an answer; the per-user count is a partial aggregate.
-    seen_count = seen_ranks.groupBy(user_col).agg(F.count(F.lit(1)).alias("__c"))
-    near = join_dimension(seen_ranks, seen_count, user_col).where(F.col("catalog_rank") < F.col("__c") + n)
-    head = wanted.select(
-        user_col, F.explode(F.sequence(F.lit(1), F.lit(min(n, n_ranked)))).alias("catalog_rank")
-    ) if n_ranked > 0 else wanted.select(user_col, F.lit(None).cast("long").alias("catalog_rank")).limit(0)
-    after_seen = near.select(
-        user_col,
-        F.explode(F.sequence(F.col("catalog_rank") + 1, F.col("catalog_rank") + n)).alias("catalog_rank"),
-    ).where(F.col("catalog_rank") <= n_ranked)
-    candidates = head.unionByName(after_seen).join(
-        near.select(user_col, "catalog_rank"), [user_col, "catalog_rank"], "left_anti")
-    by_rank = Window.partitionBy(user_col).orderBy("catalog_rank")
-    best = (
-        candidates.withColumn("rank", F.dense_rank().over(by_rank))
-        .where(F.col("rank") <= n)
-        .dropDuplicates([user_col, "catalog_rank"])
-    )
+        pairs = join_dimension(pairs, wanted, user_col, "left_semi")
+    seen_ranks = join_dimension(pairs, ranked.select(item_col, "catalog_rank"), item_col, "left", dim_rows=n_ranked)
+    place = F.col("catalog_rank") - 1
+    bits = seen_ranks.select(  # block -1: a user whose seen movies have no rank
+        user_col, F.coalesce(F.floor(place / WORD), F.lit(-1)).cast("long").alias("__block"),
+        F.coalesce(F.call_function("shiftleft", F.lit(1).cast("long"), (place % WORD).cast("int")),
+                   F.lit(0)).cast("long").alias("__bits"))
+    if users is not None:
+        bits = bits.unionByName(wanted.select(
+            user_col, F.lit(-1).cast("long").alias("__block"), F.lit(0).cast("long").alias("__bits")))
+    words = bits.groupBy(user_col, "__block").agg(F.bit_or("__bits").alias("__bits"))
+
+    last_block, gap = (n_ranked - 1) // WORD, -(-n // WORD)  # that many whole gap blocks hold n unseen ranks
+    order = Window.partitionBy(user_col).orderBy("__block")
+    block, before = F.col("__block"), F.col("__seen") - F.bit_count("__bits")
+    next_block = F.coalesce(F.lead("__block").over(order), F.lit(last_block + 1))
+    words = words.select(
+        user_col, "__block", "__bits", next_block.alias("__next"), F.lag("__block").over(order).alias("__prev"),
+        F.sum(F.bit_count("__bits")).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("__seen"))
+
+    def gap_words(first, last, seen_before):
+        return F.when(first <= last, F.transform(F.sequence(first, last), lambda c: F.struct(
+            c.alias("block"), F.lit(0).cast("long").alias("bits"), (c * WORD - seen_before).alias("before"))))
+
+    no_words = F.array().cast("array<struct<block:bigint,bits:bigint,before:bigint>>")
+    none = F.lit(0).cast("long")
+    head = F.when(F.col("__prev").isNull(), gap_words(none, F.least(F.lit(gap), block) - 1, none))
+    own = F.when(block >= 0, F.array(F.struct(
+        block.alias("block"), F.col("__bits").alias("bits"), (block * WORD - before).alias("before"))))
+    tail = gap_words(block + 1, F.least(block + gap, F.col("__next") - 1), F.col("__seen"))
+    parts = F.concat(*[F.coalesce(p, no_words) for p in (head, own, tail)])
+    few = words.select(user_col, F.explode(F.filter(parts, lambda w: w["before"] < n)).alias("w"))
+    free = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda x: (F.getbit("w.bits", x) == 0) & (
+        F.col("w.block") * WORD + x < n_ranked))
+    best = few.select(user_col, "w", F.posexplode(free).alias("__i", "__x")).select(
+        user_col, (F.col("w.before") + F.col("__i") + 1).cast("int").alias("rank"),
+        (F.col("w.block") * WORD + F.col("__x") + 1).alias("catalog_rank")).where(F.col("rank") <= n)
     return join_dimension(best, ranked, "catalog_rank", dim_rows=n_ranked).drop("catalog_rank")
 
 

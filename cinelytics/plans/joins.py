@@ -1,9 +1,9 @@
 """Joins against a dimension-like side.
 
 ``join_dimension`` is the one place where this library decides between a
-broadcast and a shuffle join: the small side is counted first (per-task counts,
-then their sum) and broadcast only if it holds at most ``max_rows`` rows.  Above
-the bound the join is a plain shuffle join on the keys, and AQE's skew join
+broadcast and a shuffle join: the small side's rows and bytes are added up first
+(per-task sums, then their sum) and it is broadcast only within both bounds.  Above
+a bound the join is a plain shuffle join on the keys, and AQE's skew join
 splits the partitions of hot keys on the fact side at run time; the dimension
 is never replicated as a whole.
 """
@@ -14,24 +14,35 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DatetimeType, NumericType
 
-from ..session import BROADCAST_MAX_ROWS_KEY, conf_int
+from ..session import BROADCAST_MAX_BYTES_KEY, BROADCAST_MAX_ROWS_KEY, conf_int
 
 DEFAULT_BROADCAST_MAX_ROWS = 2_000_000
+DEFAULT_BROADCAST_MAX_BYTES = 128 << 20
 
 
 def _keys(on: str | Sequence[str]) -> list[str]:
     return [on] if isinstance(on, str) else list(on)
 
 
-def fits_broadcast(dim: DataFrame, max_rows: int | None = None, known_rows: int | None = None) -> bool:
-    """True when ``dim`` has at most ``max_rows`` rows: an exact count the caller
-    already has (``known_rows``), else a count of the frame."""
+def fits_broadcast(dim: DataFrame, max_rows: int | None = None, known_rows: int | None = None,
+                   max_bytes: int | None = None) -> bool:
+    """True when ``dim`` is within the row and the byte bound: one aggregate counts
+    its rows and adds up its variable-width values (``known_rows``: a count the
+    caller has, which spares the pass when every column has a fixed width)."""
     spark = dim.sparkSession
     bound = max_rows if max_rows is not None else conf_int(spark, BROADCAST_MAX_ROWS_KEY, DEFAULT_BROADCAST_MAX_ROWS)
-    if known_rows is not None:
-        return known_rows <= bound
-    return dim.count() <= bound  # one number per task, no row moves
+    max_bytes = max_bytes or conf_int(spark, BROADCAST_MAX_BYTES_KEY, DEFAULT_BROADCAST_MAX_BYTES)
+    if bound <= 0 or (known_rows is not None and known_rows > bound):
+        return False
+    varying = [f for f in dim.schema.fields if not isinstance(f.dataType, (NumericType, DatetimeType, BooleanType))]
+    rows, width = known_rows, 0
+    if varying or rows is None:
+        # one row per task and their sum; a text counts its bytes, any other value those of its text form
+        size = [F.coalesce(F.octet_length(F.col(f"`{f.name}`").cast("string")), F.lit(0)) for f in varying]
+        rows, width = dim.agg(F.count(F.lit(1)), F.coalesce(F.sum(sum(size, F.lit(0))), F.lit(0))).first()
+    return rows <= bound and width + rows * 8 * len(dim.columns) <= max_bytes
 
 
 def join_dimension(

@@ -17,6 +17,7 @@ from pyspark.sql import SparkSession
 
 # Conf keys of this library (read from the session, with defaults).
 BROADCAST_MAX_ROWS_KEY = "cinelytics.join.broadcastMaxRows"
+BROADCAST_MAX_BYTES_KEY = "cinelytics.join.broadcastMaxBytes"
 MAX_SHUFFLE_PARTITIONS = 200_000
 
 

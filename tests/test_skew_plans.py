@@ -120,3 +120,26 @@ def test_top_unseen_property(spark):
         assert got == _brute_top_unseen(users, seen or [(0, 999)], items, n)
 
     check()
+
+
+def test_top_unseen_over_several_blocks(spark):
+    """Catalogs of many 64-rank blocks: users that saw a whole prefix, whole middle blocks, only far
+    ranks, or nothing of the catalog; n above and below the block width."""
+    scores = [(i, float(1000 - i)) for i in range(1, 400)]
+    seen = [(1, i) for i in range(1, 330)] + [(2, i) for i in range(65, 193)] + [(3, 390)] + [(4, 9999)]
+    seen += [(5, i) for i in range(1, 400)] + [(6, i) for i in range(1, 400, 2)] + [(2, 70)]
+    sdf = spark.createDataFrame(seen, "userid int, movieid int")
+    cdf = spark.createDataFrame(scores, "movieid int, prediction double")
+    for n in (1, 10, 64, 130):
+        got = sorted((r["userid"], r["rank"], r["movieid"]) for r in rec.top_unseen_per_user(None, sdf, cdf, n=n).collect())
+        assert got == _brute_top_unseen(range(1, 7), seen, scores, n), n
+
+
+def test_broadcast_needs_rows_and_bytes_within_bounds(spark):
+    from cinelytics.plans.joins import fits_broadcast
+
+    dim = spark.range(100).select("id", F.lit("x" * 1000).alias("text"))
+    assert fits_broadcast(dim) and not fits_broadcast(dim, max_rows=99)
+    assert not fits_broadcast(dim, max_bytes=100_000) and fits_broadcast(dim, max_bytes=102_000)
+    assert not fits_broadcast(dim, known_rows=100, max_bytes=100_000)
+    assert fits_broadcast(dim.select("id"), known_rows=100, max_bytes=800)
