@@ -9,12 +9,17 @@ from pyspark.sql import functions as F
 from . import fixtures as fx
 from .functions.columns import is_finite
 from .operators import evaluate as ev
+from .operators import job
 from .operators import model as mdl
 from .operators import split as sp
+from .operators import status as st
 from .plans.joins import join_dimension
 from .queries import (
     POP_VIEWS, SQL_POPULARITY, SQL_SPLITS, SQL_TRAINING, V, _most_active_user, _own_seen, _seen, _test, _train,
     _training, _validation, register)
+from .queries_web import SQL_FAILED_USERS, failed_users
+from .session import scratch_path
+from .sources import tables as tb
 
 FIRST_CELL = mdl.grid()[0]  # rank 8, lambda 0.1, 10 iterations
 
@@ -196,3 +201,29 @@ def q_recommend_for_users(spark, d):
     catalog = V(spark, d, "movieinfo_v")
     recs = mdl.recommend_for_users(model, seen.select("userid").distinct(), seen, catalog, n=10)
     return _invariants(recs, seen, catalog)
+
+
+@register("recommendation_job", fx.oracle_with(POP_VIEWS + ["progress_v", "recommendations_v"], """
+SELECT u.userid, CAST(CASE WHEN j.userid IS NULL THEN s.n WHEN j.userid IN (SELECT userid FROM training)
+                      THEN least(10, (SELECT count(*) FROM known) - coalesce(o.n, 0)) ELSE 0 END AS BIGINT) AS n_recs,
+       CASE WHEN j.userid IS NOT NULL THEN 100 END AS progress
+FROM (SELECT userid FROM recommendations_v UNION SELECT userid FROM job) u
+LEFT JOIN job j ON j.userid = u.userid
+LEFT JOIN (SELECT userid, count(*) AS n FROM recommendations_v GROUP BY userid) s ON s.userid = u.userid
+LEFT JOIN (SELECT userid, count(*) AS n FROM own_seen WHERE movieid IN (SELECT movieid FROM known)
+           GROUP BY userid) o ON o.userid = u.userid""", SQL_KNOWN + [("job", SQL_FAILED_USERS)]))
+def q_recommendation_job(spark, d):
+    """The whole job for the users whose last one failed (two grid cells): results replaced, others kept,
+    the latest progress row at 100."""
+    users = failed_users(spark, d)
+    results, log = scratch_path(spark, "job-results"), scratch_path(spark, "job-log")
+    stored = V(spark, d, "recommendations_v")
+    tb.create_keyed_table(stored, results, "userid")
+    tb.create_keyed_table(job.progress_rows(users, 5, 0), log, "userid")
+    job.run_job(users, V(spark, d, "my_ratings_v"), V(spark, d, "ratings_v"), V(spark, d, "movieinfo_v"),
+                results, log, [FIRST_CELL, mdl.AlsParams(12, 0.1, 10)])
+    everyone = stored.select("userid").unionByName(users).distinct()
+    counts = st.count_recommendations_by_user(everyone, tb.read_keyed_table(spark, results))
+    last = st.progress_latest(tb.read_keyed_table(spark, log)).select("userid", "progress")
+    return counts.join(last, "userid", "left").select(
+        "userid", F.col("n_recommendations").alias("n_recs"), "progress")

@@ -98,3 +98,24 @@ def test_no_valid_cell_falls_back(spark):
 def test_block_count_follows_the_rows():
     assert mdl.block_count(0) == 10 and mdl.block_count(25_000_000) == 25
     assert mdl.block_count(10 ** 13) == 1_000
+
+
+def test_failed_job_logs_minus_one_and_keeps_results(spark):
+    import pytest
+
+    from cinelytics.operators import job
+    from cinelytics.session import scratch_path
+    from cinelytics.sources import tables as tb
+
+    results, log = scratch_path(spark, "job-results"), scratch_path(spark, "job-log")
+    users = spark.createDataFrame([(1,), (2,)], "userid int")
+    stored = spark.createDataFrame([(1, 5, 2.0), (3, 6, 1.0)], "userid int, movieid int, degree float")
+    tb.create_keyed_table(stored, results, "userid")
+    tb.create_keyed_table(job.progress_rows(users, 5, 0), log, "userid")
+    own = spark.createDataFrame([(1, 5, 0)], "userid int, movieid int, rating int")  # nothing rated
+    sample = spark.createDataFrame([(9, 5, 3.0, 1)], "userid int, movieid int, rating double, ts long")
+    with pytest.raises(ValueError, match="No ratings"):
+        job.run_job(users, own, sample, spark.createDataFrame([(5, "a")], "movieid int, moviename string"), results, log)
+    rows = tb.read_keyed_table(spark, log).orderBy("userid", "event_id").collect()
+    assert [r["progress"] for r in rows if r["userid"] == 1] == [5, 5, 20, -1]
+    assert tb.read_keyed_table(spark, results).count() == 2
