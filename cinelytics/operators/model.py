@@ -93,14 +93,16 @@ def als_fit(train: DataFrame, params: AlsParams, seed: int = DEFAULT_SEED, user_
     return als.fit(train.select(_int_id(user_col), _int_id(item_col), F.col(rating_col).cast("float")))
 
 
-def block_count(n_rows: int) -> int:
-    return max(MIN_BLOCKS, min(MAX_BLOCKS, -(-n_rows // ROWS_PER_BLOCK)))
+def block_count(n_rows: int, cores: int = MIN_BLOCKS) -> int:
+    """A block per ``ROWS_PER_BLOCK`` ratings; a small set gets a block per core, up to ``MIN_BLOCKS``."""
+    return max(min(MIN_BLOCKS, cores), min(MAX_BLOCKS, -(-n_rows // ROWS_PER_BLOCK)))
 
 
 def als_blocks(train: DataFrame, user_col: str = "userid", item_col: str = "movieid") -> int:
     """Blocks for a training set, counted in one pass that also checks its ids."""
     checked = train.select(_int_id(user_col), _int_id(item_col))
-    return block_count(checked.agg(F.max(user_col), F.max(item_col), F.count(F.lit(1)).alias("n")).first()["n"])
+    n_rows = checked.agg(F.max(user_col), F.max(item_col), F.count(F.lit(1)).alias("n")).first()["n"]
+    return block_count(n_rows, train.sparkSession.sparkContext.defaultParallelism)
 
 
 def _int_id(c: str):

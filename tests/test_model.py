@@ -96,7 +96,8 @@ def test_no_valid_cell_falls_back(spark):
 
 
 def test_block_count_follows_the_rows():
-    assert mdl.block_count(0) == 10 and mdl.block_count(25_000_000) == 25
+    assert mdl.block_count(0) == 10 and mdl.block_count(0, cores=8) == 8
+    assert mdl.block_count(25_000_000, cores=8) == 25 and mdl.block_count(0, cores=8_000) == 10
     assert mdl.block_count(10 ** 13) == 1_000
 
 
