@@ -7,19 +7,24 @@ as an insult and the mention of a group get a weight of their own, which an
 additive model can't give.
 
 Training is bounded: at most about ``train_rows`` labelled documents, chosen by a
-hash of their id, and at most ``vocabulary`` terms, those whose presence differs
-most between the labels (log-likelihood ratio) among the terms of at least
-``min_df`` sampled documents whose toxic share is ``MIN_LIFT`` times the common one,
-so neutral words never wash a text clean.  Document frequencies are counted on Spark; only the
-sample's rows over the chosen terms (``train_rows x vocabulary`` bits at the very
-most) reach the driver, which fits the model by AdaGrad.  Scoring reads whole
-texts of all documents.
+hash of their id, and at most ``vocabulary`` terms of at least ``min_df`` of them.
+Candidates are, in this order, the telling terms, whose presence differs between
+the labels in either direction (log-likelihood ratio from ``MIN_LLR`` on); their
+partners, which tell the labels apart among the documents of one most telling term
+(such as a group's name, neutral but for an insult beside it); and the most frequent
+terms.  All are counted on Spark; only the sample's rows over the candidates
+(``train_rows x vocabulary`` bits at the very most) reach the driver.  It tests every
+pair of them for a weight of its own (log-likelihood ratio of their four cells
+against two additive weights, each distinct row once, from ``PAIR_LLR`` on, beyond
+what chance gives over all pairs) and fits the model by AdaGrad on the telling terms
+and the terms of such pairs; the others tell nothing that the sample can show.
+Scoring reads whole texts of all documents.
 
 Labels, language, source and id are never inputs of a score.  Null or empty texts
 have no terms and score sigmoid(w0).  Rows without a label or an id don't train;
 several labels of one document count as toxic if one of them is.  Without any
-training row, with one label only or without a telling term, the score is constant,
-just off 0.5 on the side of the more frequent label (no label: predicted 0).
+training row, with one label only or without such a term, the score is constant, just
+under 0.5: nothing is known against any one document, so none is rejected.
 """
 
 from __future__ import annotations
@@ -38,7 +43,7 @@ TRAIN_ROWS = 20_000
 VOCABULARY = 4_096
 MIN_DF = 8
 MIN_LLR = 12.0
-MIN_LIFT = 2.0
+PAIR_LLR = 40.0
 FACTORS = 8
 EPOCHS = 30
 
@@ -81,7 +86,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, terms: np.ndarray, factors: int =
     n, k = len(rows), len(terms)
     w0, w, v = 0.0, np.zeros(k), rng.normal(0, 0.02, (k, factors))
     if not n or not k or y.min() == y.max():
-        return Model(terms, 1e-6 if n and y.mean() > 0.5 else -1e-6, w, np.zeros((k, factors)))
+        return Model(terms, -1e-6, w, np.zeros((k, factors)))
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     weight = np.minimum(weight, 10 * weight.min())
     g0, gw, gv = 1e-8, np.full(k, 1e-8), np.full((k, factors), 1e-8)
@@ -114,6 +119,71 @@ def fit(rows: list[np.ndarray], y: np.ndarray, terms: np.ndarray, factors: int =
     return Model(terms, float(w0), w, v)
 
 
+def _entropy(toxic, n):
+    """Log-likelihood of ``toxic`` of ``n`` at their own share."""
+    clean = n - toxic
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(toxic > 0, toxic * np.log(toxic / n), 0.0) + np.where(clean > 0, clean * np.log(clean / n), 0.0)
+
+
+def _interaction(n: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """Log-likelihood ratio of each 2 x 2 table (documents ``n``, toxic ``a``) against two
+    additive weights, which iterative proportional fitting finds."""
+    seen = np.stack([n - a, a], axis=-1)          # pair, first term, second term, label
+    m = np.broadcast_to(n[..., None] / 2, seen.shape).copy()
+    for _ in range(50):
+        for axis in (3, 2, 1):
+            now = m.sum(axis=axis, keepdims=True)
+            m *= np.divide(seen.sum(axis=axis, keepdims=True), now, out=np.zeros_like(now), where=now > 0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return 2 * np.where(seen > 0, seen * np.log(seen / m), 0.0).sum(axis=(1, 2, 3))
+
+
+def paired(rows: list[np.ndarray], y: np.ndarray, telling: np.ndarray, min_llr: float = PAIR_LLR, block: int = 128) -> np.ndarray:
+    """Which terms form a pair with a weight of its own; pairs of two ``telling`` terms,
+    which stay anyway, aren't tested.  Equal rows count once."""
+    distinct = {(r.tobytes(), int(t)): r for r, t in zip(rows, y)}
+    rows, y, k = list(distinct.values()), np.array([t for _, t in distinct]), len(telling)
+    both, toxic = np.zeros((k, k), np.float32), np.zeros((k, k), np.float32)
+    for at in range(0, len(rows), 1024):
+        part = rows[at:at + 1024]
+        x = np.zeros((len(part), k), np.float32)
+        for i, r in enumerate(part):
+            x[i, r] = 1
+        both += x.T @ x
+        x = x[y[at:at + 1024] == 1]
+        toxic += x.T @ x
+    n, pos, ni, ai = float(len(rows)), float(y.sum()), np.diag(both).astype(float), np.diag(toxic).astype(float)
+    none = _entropy(np.float64(pos), np.float64(n))
+    alone = _entropy(ai, ni) + _entropy(pos - ai, n - ni) - none
+    out = np.zeros(k, bool)
+    for at in range(0, k, block):
+        n11, a11 = both[at:at + block].astype(float), toxic[at:at + block].astype(float)
+        n1, a1 = ni[at:at + block, None], ai[at:at + block, None]
+        ns, as_ = [n11, n1 - n11, ni - n11, n - n1 - ni + n11], [a11, a1 - a11, ai - a11, pos - a1 - ai + a11]
+        cells = sum(_entropy(p, q) for p, q in zip(as_, ns)) - none
+        # an additive model fits at least as well as the better of the two terms alone
+        able = 2 * (cells - np.maximum(alone[at:at + block, None], alone)) >= min_llr
+        able &= (np.arange(k) > np.arange(at, at + len(able))[:, None]) & ~(telling[at:at + block, None] & telling)
+        i, j = np.nonzero(able)
+        for p in range(0, len(i), 65_536):
+            u, v = i[p:p + 65_536], j[p:p + 65_536]
+            tables = [np.stack([c[u, v] for c in side], axis=-1).reshape(-1, 2, 2) for side in (ns, as_)]
+            good = _interaction(*tables) >= min_llr
+            out[at + u[good]] = out[v[good]] = True
+    return out
+
+
+def _llr(a, b, pos, neg):
+    """G2 = 2 sum of o ln(o / e) for a term in ``a`` of ``pos`` toxic and ``b`` of ``neg`` clean rows."""
+    n, df = pos + neg, a + b
+
+    def part(o, e):
+        return F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
+
+    return 2 * (part(a, df * pos / n) + part(b, df * neg / n) + part(pos - a, (n - df) * pos / n) + part(neg - b, (n - df) * neg / n))
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id",
           label_col: str = "toxic", train_rows: int = TRAIN_ROWS, vocabulary: int = VOCABULARY, min_df: int = MIN_DF) -> Model:
     """Fit on the labelled rows of ``labels`` (the caller leaves held-out rows out)."""
@@ -132,19 +202,50 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
     if not pos or not neg:
         return fit([np.zeros(0, np.int64)] * (pos + neg), np.array([1] * pos + [0] * neg), np.zeros(0, np.int64))
-    # G2 = sum of o ln(o / e): computed where the counts are, only the chosen terms travel
-    a, b, n = F.col("a").cast("double"), F.col("b").cast("double"), float(pos + neg)
-    df = a + b
+    a, b = F.col("a").cast("double"), F.col("b").cast("double")
+    tally = [F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")]
+    counts = (sample.select(F.explode("terms").alias("t"), "y").groupBy("t").agg(*tally)
+              .where(F.col("a") + F.col("b") >= min_df)
+              .withColumn("llr", _llr(a, b, F.lit(float(pos)), F.lit(float(neg)))))
+    counts = cut(counts, "toxic-terms")
+    # computed where the counts are: only the chosen terms travel
+    telling = {r["t"]: r["llr"] for r in counts.where(F.col("llr") >= MIN_LLR).orderBy(F.desc("llr"), "t").limit(vocabulary).collect()}
+    chosen = dict.fromkeys(telling)
+    for more in (_partners(sample, telling, tally, min_df), counts.select("t", (F.col("a") + F.col("b")).alias("rank"))):
+        if len(chosen) < vocabulary:
+            # those chosen before may be among the first
+            first = more.orderBy(F.desc("rank"), "t").limit(vocabulary + len(chosen)).collect()
+            chosen |= dict.fromkeys([r["t"] for r in first if r["t"] not in chosen][:vocabulary - len(chosen)])
+    terms = np.sort(np.array(list(chosen), np.int64))
+    rows, y = _rows(sample, terms)
+    known = np.array([t in telling for t in terms.tolist()], bool)
+    keep = known | paired(rows, y, known) if len(terms) else known
+    place = np.cumsum(keep) - 1
+    return fit([place[r[keep[r]]] for r in rows], y, terms[keep])
+
+
+def _partners(sample: DataFrame, telling: dict[int, float], tally: list, min_df: int) -> DataFrame:
+    """(t, rank): each document counts for its most telling term only, so this is linear in
+    the sample's terms; rank is the term's best log-likelihood ratio in such a group."""
+    def lead(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            best = [max(((telling[t], -t) for t in ts if t in telling), default=None) for ts in batch.column(0).to_pylist()]
+            group = pa.array([None if x is None else -x[1] for x in best], pa.int64())
+            yield pa.RecordBatch.from_arrays([group, batch.column(0), batch.column(1)], names=["g", "terms", "y"])
+
+    led = cut(sample.select("terms", "y").mapInArrow(lead, "g long, terms array<long>, y int").where("g IS NOT NULL"), "toxic-led")
+    sizes = led.groupBy("g").agg(F.sum("y").cast("double").alias("pos"), F.sum(1 - F.col("y")).cast("double").alias("neg"))
+    sizes = F.broadcast(sizes.where("pos > 0 AND neg > 0"))  # at most a row for each telling term
+    pairs = led.select("g", F.explode("terms").alias("t"), "y").where("t <> g").groupBy("g", "t").agg(*tally)
+    pairs = pairs.where(F.col("a") + F.col("b") >= min_df).join(sizes, "g")
+    llr = _llr(F.col("a").cast("double"), F.col("b").cast("double"), F.col("pos"), F.col("neg"))
+    return pairs.withColumn("llr", llr).where(F.col("llr") >= MIN_LLR).groupBy("t").agg(F.max("llr").alias("rank"))
 
-    def part(o, e):
-        return F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
 
-    llr = 2 * (part(a, df * pos / n) + part(b, df * neg / n)
-               + part(F.lit(float(pos)) - a, (n - df) * pos / n) + part(F.lit(float(neg)) - b, (n - df) * neg / n))
-    chosen = (sample.select(F.explode("terms").alias("t"), "y").groupBy("t")
-              .agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).where(F.col("a") + F.col("b") >= min_df)
-              .withColumn("llr", llr).where((F.col("llr") >= MIN_LLR) & (a * n >= MIN_LIFT * pos * df)).orderBy(F.desc("llr"), "t").limit(vocabulary))
-    terms = np.sort(np.array([r["t"] for r in chosen.select("t").collect()], np.int64))
+def _rows(sample: DataFrame, terms: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Each row's indexes into ``terms``, and the labels."""
     model = Model(terms, 0.0, np.zeros(len(terms)), np.zeros((len(terms), 1)))
 
     def only_chosen(batches):
@@ -156,7 +257,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     got = sample.select("terms", "y").mapInArrow(only_chosen, "at array<long>, y int").toArrow()
     pairs = sorted(zip(got.column("at").to_pylist(), got.column("y").to_pylist()))  # one order on any cluster
-    return fit([np.array(x, np.int64) for x, _ in pairs], np.array([t for _, t in pairs]), terms)
+    return [np.array(x, np.int64) for x, _ in pairs], np.array([t for _, t in pairs])
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score", keep: list[str] | None = None) -> DataFrame:

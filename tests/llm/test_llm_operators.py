@@ -353,6 +353,34 @@ def test_toxicity_edges(spark):
     assert toxicity.drop_toxic(docs.limit(0), labels).columns == docs.columns
 
 
+def planted_texts(n, seed, toxic):
+    """Texts of filler with marks at random; label by ``toxic(marks)``."""
+    rng, out = random.Random(seed), []
+    for i in range(n):
+        marks = {w for w, p in (("insult", 0.3), ("group", 0.3), ("slur", 0.2)) if rng.random() < p}
+        out.append((i, " ".join([*marks, *(f"w{rng.randrange(60)}" for _ in range(12))]), int(toxic(marks))))
+    return out
+
+
+@pytest.mark.parametrize("toxic", [
+    lambda m: {"insult", "group"} <= m or ("slur" in m and "group" not in m),  # a group's toxic share is the common one
+    lambda m: ("insult" in m) != ("group" in m),
+    lambda m: not {"insult", "group"} <= m,                                    # 91 % toxic: clean by a pair
+    lambda m: "slur" in m or "insult" not in m])                               # 76 % toxic
+def test_toxicity_trains_pairs_and_toxic_majorities(spark, toxic):
+    rows, fresh = planted_texts(1500, 1, toxic), planted_texts(600, 2, toxic)
+    docs, labels = docs_of(spark, [r[:2] for r in rows]), docs_of(spark, [(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    hits = sum((model.score(toxicity.term_hashes(t)) >= 0.5) == y for _, t, y in fresh)
+    assert hits / len(fresh) > 0.95
+
+
+def test_toxicity_without_terms_rejects_nothing(spark):
+    docs = docs_of(spark, [(i, f"word{i}") for i in range(60)])
+    for labels in ([(i, 1) for i in range(60)], [(i, int(i % 4 > 0)) for i in range(60)]):
+        assert toxicity.drop_toxic(docs, docs_of(spark, labels, "doc_id long, toxic int")).count() == 60
+
+
 # --------------------------------------------------------------------- op8 --
 
 TEXTS = st.lists(st.sampled_from(["</s>", "[INST]", "[/INST]", "<<SYS>>", "<s>", "<", "[", "\\", "<\\s>", "a", " ", "\n", "é", "</SYS>>", "[\\\\INST]"]),
