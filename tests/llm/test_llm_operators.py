@@ -276,6 +276,23 @@ def test_patience_is_a_common_subsequence(a, b):
         assert len(pairs) == len(a)
 
 
+def names_of(texts):
+    scanner = licenses.Scanner(licenses.TEMPLATES + licenses.whole_texts(), licenses.MIN_COVERAGE)
+    return [[x[0] for x in scanner.scan(t)] for t in texts]
+
+
+def test_licenses_neighbours_are_told_apart():
+    gpl, header = "This work is licensed under the GNU {}General Public License, version {}.", licenses.TEMPLATES[5][1]
+    cases = [("Licensed under CC BY 4.0.", "CC-BY-4.0"), ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"), ("Licensed under CC BY-SA 3.0.", "CC-BY-SA-3.0"),
+             ("This work is licensed under a Creative Commons Attribution-Non-Commercial 4.0 International License.", "CC-BY-NC-4.0"),
+             (gpl.format("", 2), "GPL-2.0"), (gpl.format("", 3), "GPL-3.0"), (gpl.format("Lesser ", "2.1"), "LGPL-2.1"),
+             (gpl.format("Lesser ", 3), "LGPL-3.0"), (gpl.format("Affero ", 3), "AGPL-3.0"), (header, "GPL-3.0"),
+             (header.replace("version 3", "version 2"), "GPL-2.0"), (header.replace("GNU", "GNU Affero"), "AGPL-3.0"),
+             ("Released under the BSD 2-Clause License.", "BSD-2-Clause"), ("Licensed under the Apache License, Version 1.1.", "Apache-1.1")]
+    assert names_of([f"some words {t} and more" for t, _ in cases]) == [[n] for _, n in cases]
+    assert names_of([gpl.format("", 7), "Released under the Foo License.", "Licensed under CC BY-NC 9.0"]) == [[], [], []]
+
+
 def test_licenses_whole_table(spark):
     got = {r["doc_id"]: r["names"] for r in entry.queries()["op3_licenses"](spark, SF_SMALL).collect()}
     marks = {"Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
