@@ -79,7 +79,8 @@ TEMPLATES = [
           f"{'International' if version == '4.0' else 'Unported' if version == '3.0' else 'Generic'} License.")
       if (short, version, title and text[0]) != ("-NC", "4.0", "L") and (short, version, text[0]) != ("", "4.0", "T")],
 ]
-WHOLE_TEXTS: list[str] = []
+WHOLE_TEXTS = ["AGPL-3.0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "CC0-1.0", "GFDL-1.2", "GFDL-1.3", "GPL-1.0",
+               "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-1.1", "MPL-2.0"]
 COMMON_WORDS = frozenset("the a an of to and or in is it this that by under with for you may not be as on at any are".split())
 
 _WORD = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -286,7 +287,7 @@ FOUND = T.StructType([T.StructField("license", T.StringType()), T.StructField("c
 def scan(docs: DataFrame, templates=None, min_coverage: float = MIN_COVERAGE, text_col: str = "text",
          keep: list[str] | None = None, out: str = "licenses") -> DataFrame:
     """``keep`` columns (all by default) plus the occurrences as an array of structs."""
-    templates = TEMPLATES if templates is None else templates
+    templates = TEMPLATES + whole_texts() if templates is None else templates
 
     def make():
         scanner = Scanner(templates, min_coverage)

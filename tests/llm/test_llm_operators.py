@@ -293,6 +293,21 @@ def test_licenses_neighbours_are_told_apart():
     assert names_of([gpl.format("", 7), "Released under the Foo License.", "Licensed under CC BY-NC 9.0"]) == [[], [], []]
 
 
+@pytest.mark.parametrize("every", [0, 40])
+def test_licenses_whole_texts(every):
+    texts = []
+    for _, text in licenses.whole_texts():
+        words = text.split()
+        if every:  # words left out, changed and added all over the text
+            words = [w for i, x in enumerate(words) for w in ([] if i % every == 7 else ["changed"] if i % every == 17 else [x, "more"] if i % every == 27 else [x])]
+        texts.append("intro of the file " + " ".join(words) + " and its end")
+    scanner = licenses.Scanner(licenses.TEMPLATES + licenses.whole_texts(), licenses.MIN_COVERAGE)
+    for (name, whole), text in zip(licenses.whole_texts(), texts):
+        best = max(scanner.scan(text), key=lambda x: x[3] - x[2])
+        assert best[0] == name and best[1] > (0.9 if every else 0.999)
+        assert best[3] - best[2] > 0.9 * len(licenses.words_of(whole))
+
+
 def test_licenses_whole_table(spark):
     got = {r["doc_id"]: r["names"] for r in entry.queries()["op3_licenses"](spark, SF_SMALL).collect()}
     marks = {"Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
