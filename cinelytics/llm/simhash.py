@@ -190,40 +190,59 @@ def components(edges: DataFrame) -> DataFrame:
     return out
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
-                    radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """One row per row of ``docs``: doc_id, fp (signed long), component_id."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, block: int) -> DataFrame:
+    """One row per row of ``docs``: doc_id, fp, component_id and group, a fingerprint of the
+    component that no other one has (ids may repeat, so component_id doesn't name it)."""
     ids = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     rows = cut(fingerprints(ids, ["doc_id"], "text", shingle), "simhash-fp")
     distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
     roots = cut(components(links(distinct, radius, block)), "simhash-roots")
     linked = roots.join(distinct.withColumnRenamed("fp", "node"), "node")
     firsts = cut(linked.groupBy("root").agg(F.min("first_id").alias("c")), "simhash-firsts")
-    named = roots.join(firsts, "root").selectExpr("node AS fp", "c", "true AS linked")
+    named = roots.join(firsts, "root").selectExpr("node AS fp", "root", "c", "true AS linked")
     class_of = cut(distinct.join(named, "fp", "left").select(
-        "fp", F.when(F.col("linked"), F.col("c")).otherwise(F.col("first_id")).alias("component_id")), "simhash-class")
+        "fp", F.when(F.col("linked"), F.col("c")).otherwise(F.col("first_id")).alias("component_id"),
+        F.coalesce("root", "fp").alias("group")), "simhash-class")
     # equal null ids must not fall out: an inner join on fp keeps every row
-    return rows.join(class_of, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(class_of, "fp").select("doc_id", "fp", "component_id", "group")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+                    radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+    """One row per row of ``docs``: doc_id, fp (signed long), component_id."""
+    return _grouped(docs, id_col, text_col, shingle, radius, block).select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+               radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """One document of each group, with all columns: the row whose id is the
     component's.  Of rows that repeat an id within a group one stays; rows without
     an id can't be named as copies and pass through."""
-    found = cut(near_duplicates(docs, id_col, text_col, **params).where("doc_id IS NOT NULL"), "simhash-found")
-    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
-        key = fresh(docs, "dropped")
-        gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(key))
-        gone = small_side(gone, F.lit(64))  # else whole texts would move for a few dropped ids
-        return docs.join(gone, docs[f"`{id_col}`"] == gone[key], "left_anti")
-    fp, key, fp2, rank = (fresh(docs, x) for x in ("fp", "key", "fp2", "rank"))
-    stay = found.where("doc_id = component_id").distinct().select(F.col("doc_id").alias(key), F.col("fp").alias(fp2))
-    rows = fingerprints(docs, docs.columns, text_col, params.get("shingle", SHINGLE), fp)
-    stay = rows.join(stay, (rows[f"`{id_col}`"] == stay[key]) & (rows[fp] == stay[fp2]))
-    order = Window.partitionBy(key).orderBy(fp, F.xxhash64(f"`{text_col}`"))
-    stay = stay.withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1)
+    found = cut(_grouped(docs, id_col, text_col, shingle, radius, block).where("doc_id IS NOT NULL"), "simhash-found")
+    repeated = cut(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "simhash-repeated")
+    once = repeated.isEmpty()
+    key = fresh(docs, "dropped")
+    gone = found.where("doc_id <> component_id").select("doc_id")
+    gone = (gone if once else gone.union(repeated).distinct()).select(F.col("doc_id").alias(key))
+    gone = small_side(gone, F.lit(64))  # else whole texts would move for a few dropped ids
+    rest = docs.join(gone, docs[f"`{id_col}`"] == gone[key], "left_anti")
+    if once:
+        return rest
+    # one fingerprint per group and id stays, then one row per fingerprint and id: chosen by
+    # partial aggregates over a number for each row, so no task gathers a repeated id's texts
+    fp, row, key, fp2, one = (fresh(docs, x) for x in ("fp", "row", "key", "fp2", "one"))
+    stay = found.where("doc_id = component_id").groupBy("group", "doc_id").agg(F.min("fp").alias("fp"))
+    again = small_side(repeated.select(F.col("doc_id").alias(key)), F.lit(64))
+    rows = docs.join(again, docs[f"`{id_col}`"] == again[key], "left_semi")
+    rows = fingerprints(rows, docs.columns, text_col, shingle, fp).withColumn(row, F.monotonically_increasing_id())
+    rows = cut(rows, "simhash-rows")  # a row keeps its number
+    held = rows.select(F.col(f"`{id_col}`").alias(key), F.col(fp).alias(fp2), F.xxhash64(f"`{text_col}`").alias("hash"), F.col(row).alias("row"))
+    held = held.groupBy(key, fp2).agg(F.min(F.struct("hash", "row")).alias("best"))
+    held = held.join(stay.select(F.col("doc_id").alias(key), F.col("fp").alias(fp2)), [key, fp2]).select(F.col("best.row").alias(one))
+    held = small_side(held, F.lit(64))  # else whole texts would move
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    return stay.select(*columns).union(docs.where(F.col(f"`{id_col}`").isNull()).select(*columns))
+    stay = rows.join(held, rows[row] == held[one], "left_semi").select(*columns)
+    return rest.select(*columns).union(stay)
 
 
 def q_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -497,6 +497,15 @@ def test_simhash_edges(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_keep_first_of_an_id_in_two_groups(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (2, a.upper()), (1, b), (3, b), (1, a), (1, b), (4, "alone here"), (None, a), (3, "other words of three")]
+    docs = docs_of(spark, rows).withColumn("row", F.lit("mine"))
+    kept = simhash.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert collect(kept.select("doc_id", "text")) == collect(docs_of(spark, [(1, a), (1, b), (4, "alone here"), (None, a), (3, "other words of three")]))
+
+
 def test_covering_masks_catch_every_pair():
     rng, masks = random.Random(3), simhash.covering_masks(3)
     assert len(masks) == 15
