@@ -3,9 +3,10 @@
 Tokens of a url: its host labels (``h:``), its path parts with digits folded to one
 ``#`` (``p:``) and its query keys (``q:``), each once.  Spark's FP-growth mines the
 token sets of the labelled urls together with the label item; a rule "tokens ->
-block" stays if it holds at least ``min_support`` of the labelled urls, at least
-``min_confidence`` of those with its tokens are blocked, and it has at most
-``max_items`` tokens.  An inverted index (each rule under its rarest token) finds the
+block" stays if it holds at least ``min_support`` of the labelled urls and at least
+``min_confidence`` of those with its tokens are blocked, whatever its length.  Of the
+rules over ``PLAIN_ITEMS`` tokens only those stay that have no rule inside them; the
+others would block nothing more.  An inverted index (each rule under its rarest token) finds the
 candidate rules of a token set, whose other tokens are then checked.  Matching runs
 once per distinct set of rule tokens, so a host with a third of all rows costs one
 row there.  A url that no hand rule fits is blocked if a mined rule matches.
@@ -25,7 +26,7 @@ from .common import cut, fresh, table
 
 MIN_SUPPORT = 0.01
 MIN_CONFIDENCE = 0.9
-MAX_ITEMS = 3
+PLAIN_ITEMS = 3
 BLOCK = "=block"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -70,8 +71,29 @@ def hand_rule(host: Column, path: Column, rules=tuple(HAND_RULES)) -> tuple[Colu
     return (none if rule is None else rule), (none if verdict is None else verdict)
 
 
+def _without_inner(sets: DataFrame, plain_items: int) -> DataFrame:
+    """``sets`` (body, n, n_body, passes), which hold every subset of each body, without the
+    bodies over ``plain_items`` tokens that don't pass or hold a shorter one that does.
+    Level by level: a body is over if it passes or one without one of its tokens is over."""
+    longest = sets.agg(F.max(F.size("body"))).first()[0] or 0
+    kept, over = sets.where((F.size("body") <= plain_items) & F.col("passes")), None
+    for size in range(1, longest + 1 if longest > plain_items else 0):
+        level = sets.where(F.size("body") == size)
+        if over is None:
+            level = level.withColumn("inner", F.lit(False))
+        else:
+            less = level.select("body", F.explode("body").alias("token")).select("body", F.array_remove("body", F.col("token")).alias("part"))
+            inner = less.join(over.select(F.col("body").alias("part")), "part").select("body").distinct().withColumn("inner", F.lit(True))
+            level = level.join(inner, "body", "left").withColumn("inner", F.coalesce("inner", F.lit(False)))
+        level = cut(level, "url-level")
+        over = level.where(F.col("passes") | F.col("inner"))
+        if size > plain_items:
+            kept = kept.union(level.where(F.col("passes") & ~F.col("inner")).select(*sets.columns))
+    return kept
+
+
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE,
-         max_items: int = MAX_ITEMS) -> DataFrame:
+         plain_items: int = PLAIN_ITEMS) -> DataFrame:
     """Rules (body, n, confidence, rarest) from rows (tokens, blocked boolean)."""
     spark = labelled.sparkSession
     label = F.when(F.col("blocked"), F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>"))
@@ -81,10 +103,11 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     found = FPGrowth(minSupport=min_support, itemsCol="items").fit(baskets).freqItemsets
     sets = cut(found.select(F.array_sort(F.array_remove("items", BLOCK)).alias("body"),
                             F.array_contains("items", BLOCK).alias("blocks"), "freq")
-               .where(F.size("body").between(1, max_items)), "url-itemsets")
+               .where(F.size("body") > 0), "url-itemsets")
     plain = sets.where(~F.col("blocks")).select("body", F.col("freq").alias("n_body"))
     rules = sets.where("blocks").select("body", F.col("freq").alias("n")).join(plain, "body")
-    rules = rules.withColumn("confidence", F.col("n") / F.col("n_body")).where(F.col("confidence") >= min_confidence)
+    rules = cut(rules.withColumn("passes", F.col("n") / F.col("n_body") >= min_confidence), "url-blocking")
+    rules = _without_inner(rules, plain_items).withColumn("confidence", F.col("n") / F.col("n_body"))
     single = plain.where(F.size("body") == 1).select(F.col("body")[0].alias("token"), F.col("n_body").alias("df"))
     rarest = (rules.select("body", F.explode("body").alias("token")).join(single, "token")
               .groupBy("body").agg(F.min(F.struct("df", "token")).alias("m")).select("body", F.col("m.token").alias("rarest")))

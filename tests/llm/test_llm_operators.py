@@ -4,6 +4,7 @@ empty tables and extra columns with clashing names."""
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -353,6 +354,31 @@ def test_url_rules_find_a_planted_combination(spark):
     assert urlrules.judge(df.limit(0), labels.limit(0)).count() == 0
 
 
+def test_url_rules_of_any_length(spark):
+    """Blocked if and only if four tokens meet; brute force over all bodies."""
+    def url(x):
+        return f"http://{'a' if x & 1 else 'b'}.{'c' if x & 2 else 'd'}.org/{'e' if x & 4 else 'f'}?{'g' if x & 8 else 'h'}=1"
+
+    def tokens(x):
+        return {"h:" + ("a" if x & 1 else "b"), "h:" + ("c" if x & 2 else "d"), "h:org", "p:" + ("e" if x & 4 else "f"), "q:" + ("g" if x & 8 else "h")}
+
+    pages = docs_of(spark, [(i, url(i % 16)) for i in range(320)], "page_id long, url string")
+    labels = docs_of(spark, [(i, i % 16 == 15) for i in range(320)], "page_id long, blocked boolean")
+    got = urlrules.judge(pages, labels).collect()
+    assert all((r["verdict"] == "block") == (r["page_id"] % 16 == 15) for r in got)
+    assert {r["mined_rule"] for r in got if r["page_id"] % 16 == 15} == {"h:a h:c p:e q:g"}
+    rows = docs_of(spark, [(sorted(tokens(x)), x in (15, 14) or x == 1) for x in range(16)] * 2, "tokens array<string>, blocked boolean")
+    passing = set()
+    for x in range(16):
+        for n in range(1, 6):
+            for body in itertools.combinations(sorted(tokens(x)), n):
+                held = [y in (15, 14) or y == 1 for y in range(16) if set(body) <= tokens(y)]
+                if sum(held) / len(held) >= 0.9 and 2 * sum(held) >= 1:
+                    passing.add(frozenset(body))
+    want = {b for b in passing if len(b) <= 3 or not any(a < b for a in passing)}
+    assert any(len(b) > 3 for b in want) and {frozenset(r["body"]) for r in urlrules.mine(rows).collect()} == want
+
+
 # --------------------------------------------------------------------- op7 --
 
 def test_toxicity_held_out(spark, sf="/root/testdata/sf0.1"):
