@@ -127,6 +127,19 @@ def test_cached_ids_equal_the_library(spark, kind, name):
         tokens.CACHE_PIECES = small
 
 
+@pytest.mark.parametrize("kind,name", [("byte", "byte_bpe_50k.json"), ("word", "word_bpe_49k.json")])
+def test_added_tokens_in_a_text_are_ordinary_text(kind, name):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokens.tokenizer_path(name))
+    special = plain.token_to_id("<|endoftext|>")
+    text = "one <|endoftext|> two"
+    ids = tokens.Encoder(tokens.tokenizer_path(name), kind).ids([text])[0].tolist()
+    assert special in plain.encode(text, add_special_tokens=False).ids and special not in ids  # the README states it
+    plain.encode_special_tokens = True
+    assert ids == plain.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 1), st.integers(0, 70000), st.integers(0, 2**64 - 1)), max_size=1500))
 def test_simple8b_round_trip(ids):
