@@ -227,12 +227,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def _partners(sample: DataFrame, telling: dict[int, float], tally: list, min_df: int) -> DataFrame:
     """(t, rank): each document counts for its most telling term only, so this is linear in
     the sample's terms; rank is the term's best log-likelihood ratio in such a group."""
+    order = np.array(sorted(telling, key=lambda t: (-telling[t], t)), np.int64)
+    rank = np.argsort(order)  # by sorted term: its place in the order
+    known = Model(np.sort(order), 0.0, np.zeros(0), np.zeros((0, 1)))
+
     def lead(batches):
         import pyarrow as pa
 
         for batch in batches:
-            best = [max(((telling[t], -t) for t in ts if t in telling), default=None) for ts in batch.column(0).to_pylist()]
-            group = pa.array([None if x is None else -x[1] for x in best], pa.int64())
+            found = [known.active(ts) for ts in _lists(batch.column(0))]
+            group = pa.array([int(order[rank[at].min()]) if len(at) else None for at in found], pa.int64())
             yield pa.RecordBatch.from_arrays([group, batch.column(0), batch.column(1)], names=["g", "terms", "y"])
 
     led = cut(sample.select("terms", "y").mapInArrow(lead, "g long, terms array<long>, y int").where("g IS NOT NULL"), "toxic-led")
@@ -244,6 +248,12 @@ def _partners(sample: DataFrame, telling: dict[int, float], tally: list, min_df:
     return pairs.withColumn("llr", llr).where(F.col("llr") >= MIN_LLR).groupBy("t").agg(F.max("llr").alias("rank"))
 
 
+def _lists(column) -> list[np.ndarray]:
+    """The rows of an Arrow list column as views: no Python number per term."""
+    values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(ends, ends[1:])]
+
+
 def _rows(sample: DataFrame, terms: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Each row's indexes into ``terms``, and the labels."""
     model = Model(terms, 0.0, np.zeros(len(terms)), np.zeros((len(terms), 1)))
@@ -252,7 +262,7 @@ def _rows(sample: DataFrame, terms: np.ndarray) -> tuple[list[np.ndarray], np.nd
         import pyarrow as pa
 
         for batch in batches:
-            at = [np.sort(model.active(np.array(t, np.int64))).tolist() for t in batch.column(0).to_pylist()]
+            at = [np.sort(model.active(t)).tolist() for t in _lists(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.list_(pa.int64())), batch.column(1)], names=["at", "y"])
 
     got = sample.select("terms", "y").mapInArrow(only_chosen, "at array<long>, y int").toArrow()
