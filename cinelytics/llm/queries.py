@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, licenses, linededup, packing, quality, simhash, simple8b, toxicity, urlrules
+from . import chat, decontam, htmltext, licenses, linededup, packing, quality, repair, simhash, simple8b, toxicity, urlrules, variants
 
 QUERIES = {
     "op1_decontaminate": decontam.q_decontaminate,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_chat": chat.q_chat,
     "op9_simhash": simhash.q_simhash,
     "op10_line_dedup": linededup.q_line_dedup,
+    "op11_main_text": htmltext.q_main_text,
+    "op12_conversation_repair": repair.q_repair,
+    "op13_spelling_variants": variants.q_variants,
 }
 ORACLE = {
     "op1_decontaminate": decontam.SQL,
@@ -22,4 +25,6 @@ ORACLE = {
     "op6_url_rules": urlrules.SQL,
     "op8_chat": chat.SQL,
     "op10_line_dedup": linededup.SQL,
+    "op12_conversation_repair": repair.SQL,
+    "op13_spelling_variants": variants.SQL,
 }
