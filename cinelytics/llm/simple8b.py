@@ -14,8 +14,12 @@ File format (Parquet rows, one per segment, in ascending order): ``part``, ``seq
 a segment holds whole documents, so a reader can take any segment alone.
 
 Documents lie in ascending doc_id order (null ids first; repeated ids side by side,
-ordered by text).  Null or empty text is the end id alone.  An empty table gives
-files without rows.
+ordered by a hash of their ids, so that a much repeated doc_id is split over parts too).
+doc_id has to be a whole number; a text that isn't one fails in the cast.  Null or empty
+text is the end id alone.  An empty table gives files without rows.
+
+Texts are encoded where they lie and written once as ids; only the ids, about half the
+bytes, are then brought into order.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import scratch_path
-from .common import SLICE_CHARS, table, text_slices
+from .common import SLICE_CHARS, cut, table, text_slices
 from .tokens import encoder, tokenizer_path
 
 COUNTS = (1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)  # by selector; 0 is the escape
@@ -52,8 +56,8 @@ def _selectors(ids: np.ndarray, n_blocks: int) -> np.ndarray:
     """For every position of the padded ids, the selector of the word that starts there:
     the one that packs most ids; a word may reach past its block's end into padding."""
     bits = np.zeros(len(ids), np.uint8)
-    if len(ids) and ids.max() < 1 << 16:
-        bits = _BIT_LENGTH[ids.astype(np.uint16)]
+    if ids.dtype == np.uint16:
+        bits = _BIT_LENGTH[ids]
     else:
         for k in range(64):
             bits += (ids >> np.uint64(k) > 0)
@@ -81,7 +85,8 @@ def encode_ids(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n_blocks = -(-n // BLOCK)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint64)
-    padded = np.zeros(n_blocks * BLOCK, np.uint64)
+    narrow = np.uint16 if ids.dtype.itemsize <= 2 or ids.max() < 1 << 16 else np.uint64
+    padded = np.zeros(n_blocks * BLOCK, narrow)
     padded[:n] = ids
     chosen = _selectors(padded, n_blocks)
     # walk all blocks in step: the k-th word of every block that has one
@@ -98,12 +103,16 @@ def encode_ids(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     block = first // BLOCK
     selector = chosen[block, first - block * BLOCK]
     taken = np.diff(np.r_[first, n])                   # ids of each word; less than its count at a block's end
-    values, width = padded[:n].copy(), (60 // counts)[selector].astype(np.uint64)
+    values, width = padded[:n].astype(np.uint64), (60 // counts)[selector].astype(np.uint8)
     escaped = np.flatnonzero(selector == 0)
     escapes = values[first[escaped]].copy()
     values[first[escaped]] = np.arange(len(escaped), dtype=np.uint64)
-    slot = (np.arange(n) - np.repeat(first, taken)).astype(np.uint64)
-    words = np.bitwise_or.reduceat(values << (slot * np.repeat(width, taken)), first)
+    # the shift of a word's k-th id, at most 59 bits
+    shift = np.zeros(n, np.uint8)
+    for k in range(1, int(taken.max())):
+        live = taken > k
+        shift[first[live] + k] = k * width[live]
+    words = np.bitwise_or.reduceat(values << shift, first)
     words |= selector.astype(np.uint64) << np.uint64(60)
     return words, np.searchsorted(block, np.arange(n_blocks)).astype(np.uint32), escapes
 
@@ -135,43 +144,52 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, kind: str = "word", en
               id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode whole texts and write them in ascending id order."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    # only the texts move, once; ranges of ids make files that follow each other
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+
+    def encode_texts(batches):
+        encode = encoder(tokenizer, kind)
+        end = np.array([end_id], encode.dtype).tobytes()
+        for batch in batches:
+            for at, texts in text_slices(batch.column(1)):
+                raws = [x.tobytes() + end for x in encode.ids(texts)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(at, len(texts)), pa.array([len(r) // encode.dtype().itemsize for r in raws], pa.int64()),
+                     pa.array(raws, pa.binary())], names=["doc_id", "n", "ids"])
+
+    # written, as the range partitioner reads its input twice
+    coded = cut(rows.mapInArrow(encode_texts, "doc_id long, n long, ids binary"), "token-ids")
+    coded = coded.withColumn("h", F.xxhash64("ids"))
+    coded = coded.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "n", "ids")
     schema = SEGMENT
 
     def run(batches):
-        encode, part, seq, start = encoder(tokenizer, kind), TaskContext.get().partitionId(), 0, 0
-        ids, lengths, held = [], [], []
+        part, seq, start, total = TaskContext.get().partitionId(), 0, 0, 0
+        numbers, lengths, held = [], [], []
 
         def segment():
-            nonlocal seq, start, ids, lengths, held
-            flat = np.concatenate(held)
+            nonlocal seq, start, total, numbers, lengths, held
+            raw, size = b"".join(held), sum(lengths)
+            flat = np.frombuffer(raw, np.dtype(f"<u{len(raw) // size}"))
             words, offsets, escapes = encode_ids(flat)
-            row = [[part], [seq], [start], [len(flat)], [ids], [lengths], [words.astype("<u8").tobytes()],
+            row = [[part], [seq], [start], [size], [numbers], [lengths], [words.astype("<u8").tobytes()],
                    [offsets.astype("<u4").tobytes()], [escapes.astype("<u8").tobytes()]]
             types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()),
                      pa.binary(), pa.binary(), pa.binary()]
-            seq, start = seq + 1, start + len(flat)
-            ids, lengths, held = [], [], []
+            seq, start, total = seq + 1, start + size, 0
+            numbers, lengths, held = [], [], []
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types)], names=schema.names)
 
-        end = np.array([end_id], np.uint64)
-        n = 0
         for batch in batches:
-            numbers = batch.column(0).to_pylist()
-            for at, texts in text_slices(batch.column(1)):
-                for i, x in enumerate(encode.ids(texts)):
-                    ids.append(numbers[at + i])
-                    lengths.append(len(x) + 1)
-                    held += [x.astype(np.uint64), end]
-                    n += len(x) + 1
-                    if n >= SEGMENT_IDS:
-                        yield segment()
-                        n = 0
+            for doc_id, n, ids in zip(*[c.to_pylist() for c in batch.columns]):
+                numbers.append(doc_id)
+                lengths.append(n)
+                held.append(ids)
+                total += n
+                if total >= SEGMENT_IDS:
+                    yield segment()
         if held:
             yield segment()
 
-    rows.mapInArrow(run, schema).write.mode("overwrite").parquet(path)
+    coded.mapInArrow(run, schema).write.mode("overwrite").parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:

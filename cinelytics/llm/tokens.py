@@ -14,8 +14,10 @@ hashes with random bases; pieces over ``LONG_PIECE`` bytes are never hashed), gr
 and only the distinct ones are looked up.  Should the second hash ever disagree, the
 texts go through the library as they are.  A new piece of Latin letters, perhaps
 with signs behind it, is one or two pre-tokens that go straight to the library's
-model; all others go through its whole pipeline.  The cache is emptied when it
-holds ``CACHE_PIECES`` pieces.
+model; all others go through its whole pipeline.  The cache is an open-addressing table
+in numpy (some 50 bytes a piece) of two generations: when the young one holds
+``CACHE_PIECES`` pieces it becomes the old one, and what is still in use moves over
+when it is next seen, so frequent pieces are never encoded again.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from array import array
 
 import numpy as np
 
-CACHE_PIECES = 600_000
+CACHE_PIECES = 1_500_000
 JOINED = 64
 LONG_PIECE = 64
 
@@ -92,6 +94,77 @@ class _Hash:
         return (total[ends] - total[starts]) * self.down[starts]
 
 
+class _Pieces:
+    """One generation: pieces by hash, with a second hash and their ids."""
+
+    def __init__(self, dtype, bits: int = 14):
+        self.keys = np.zeros(1 << bits, np.uint64)     # 0: free
+        self.number = np.zeros(1 << bits, np.int32)
+        self.shift = np.uint64(64 - bits)
+        self.check = np.zeros(1 << 12, np.uint64)      # by number: second hash,
+        self.start = np.zeros(1 << 12, np.int32)       # place of its ids in flat,
+        self.size = np.zeros(1 << 12, np.int32)        # and how many they are
+        self.flat = np.zeros(1 << 14, dtype)
+        self.n = self.used = 0
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, or -1."""
+        out, todo, slot, last = np.full(len(keys), -1, np.int64), np.arange(len(keys)), self._slot(keys), len(self.keys) - 1
+        while len(todo):
+            at = slot[todo]
+            held = self.keys[at]
+            hit = held == keys[todo]
+            out[todo[hit]] = self.number[at[hit]]
+            todo = todo[~hit & (held != 0)]
+            slot[todo] = (slot[todo] + 1) & last
+        return out
+
+    def _place(self, keys: np.ndarray, numbers: np.ndarray) -> None:
+        todo, slot, last = np.arange(len(keys)), self._slot(keys), len(self.keys) - 1
+        while len(todo):
+            free = todo[self.keys[slot[todo]] == 0]
+            self.keys[slot[free]] = keys[free]         # of keys for one place the last one gets it
+            got = free[self.keys[slot[free]] == keys[free]]
+            self.number[slot[got]] = numbers[got]
+            left = np.ones(len(keys), bool)
+            left[got] = False
+            todo = todo[left[todo]]
+            slot[todo] = (slot[todo] + 1) & last
+
+    def store(self, ids: np.ndarray, size: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Numbers of new pieces, given their ids one after another; not yet found by a key."""
+        numbers = np.arange(self.n, self.n + len(size))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.n + len(size) > len(self.start):
+            self.check, self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.check, self.start, self.size))
+        self.flat[self.used:self.used + len(ids)] = ids
+        at = slice(self.n, self.n + len(size))
+        self.check[at], self.start[at], self.size[at] = second, self.used + np.cumsum(size) - size, size
+        self.used, self.n = self.used + len(ids), at.stop
+        return numbers
+
+    def add(self, keys: np.ndarray, numbers: np.ndarray) -> None:
+        while 2 * (self.n + len(keys)) > len(self.keys):
+            held = self.keys != 0
+            old_keys, old_numbers = self.keys[held], self.number[held]
+            self.keys, self.number = (np.zeros(2 * len(x), x.dtype) for x in (self.keys, self.number))
+            self.shift -= np.uint64(1)
+            self._place(old_keys, old_numbers)
+        self._place(keys, numbers)
+
+    def ids(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these pieces one after another, and where each piece's end."""
+        size = self.size[number]
+        after = np.cumsum(size, dtype=np.int64)
+        if not len(after):
+            return self.flat[:0], after
+        return self.flat[np.repeat(self.start[number] - (after - size), size) + np.arange(after[-1])], after
+
+
 def _byte_alphabet() -> dict[int, int]:
     """Byte-level vocabularies write a byte as a visible character: itself where it is
     one, else the next free code point from 256 on."""
@@ -125,15 +198,7 @@ class Encoder:
             self.fold[65:91] += 32
             self.fold[10] = 32
         self.hashes = _Hash(11), _Hash(12)
-        self._empty()
-
-    def _empty(self) -> None:
-        self.known: dict[int, int] = {}              # first hash -> number of the piece
-        self.check = np.zeros(1 << 12, np.uint64)    # by number: second hash,
-        self.start = np.zeros(1 << 12, np.int64)     # place of its ids in flat,
-        self.size = np.zeros(1 << 12, np.int64)      # and how many they are
-        self.flat = np.zeros(1 << 14, self.dtype)
-        self.n = self.used = 0
+        self.young = self.old = _Pieces(self.dtype)
 
     def _plain(self, piece: str) -> bool:
         """Whether the piece may stand between separators: visible at both ends but
@@ -186,20 +251,10 @@ class Encoder:
         made.update(zip(plain, (raw[a * size:b * size] for a, b in zip([0, *[e + 1 for e in ends]], ends))))
         return made
 
-    def _store(self, made: list[bytes], second: np.ndarray) -> range:
+    def _store(self, made: list[bytes], second: np.ndarray) -> np.ndarray:
         """Numbers of new pieces, given their ids and second hashes."""
-        more = np.frombuffer(b"".join(made), self.dtype)
-        size = np.array([len(x) for x in made]) // self.dtype().itemsize
-        numbers = range(self.n, self.n + len(made))
-        while self.used + len(more) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while numbers.stop > len(self.start):
-            self.check, self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.check, self.start, self.size))
-        self.flat[self.used:self.used + len(more)] = more
-        at = slice(self.n, numbers.stop)
-        self.check[at], self.start[at], self.size[at] = second, self.used + np.cumsum(size) - size, size
-        self.used, self.n = self.used + len(more), numbers.stop
-        return numbers
+        size = np.array([len(x) for x in made], np.int64) // self.dtype().itemsize
+        return self.young.store(np.frombuffer(b"".join(made), self.dtype), size, second)
 
     def _numbers(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray | None:
         """The cache number of every piece; None if two pieces share a hash."""
@@ -211,16 +266,25 @@ class Encoder:
         one = order[new]                              # a piece of each group
         if (second[one][group] != second).any():
             return None
-        keys = first[one].tolist()
-        number = list(map(self.known.get, keys))
-        if None in number:
-            raw, lost = data.tobytes(), [i for i, x in enumerate(number) if x is None]
+        keys, seconds = np.maximum(first[one], np.uint64(1)), second[one]
+        number = self.young.find(keys)
+        lost = np.flatnonzero(number < 0)
+        if len(lost) and self.old is not self.young:
+            before = self.old.find(keys[lost])
+            kept = before >= 0
+            before, moved = before[kept], lost[kept]
+            if (self.old.check[before] != seconds[moved]).any():
+                return None
+            number[moved] = self.young.store(self.old.ids(before)[0], self.old.size[before], seconds[moved])
+            self.young.add(keys[moved], number[moved])
+            lost = lost[~kept]
+        if len(lost):
+            raw = data.tobytes()
             names = [raw[starts[p]:ends[p]].decode() for p in one[lost].tolist()]
             made = self._encode(names)
-            for i, k in zip(lost, self._store([made[x] for x in names], second[one[lost]])):
-                number[i] = self.known[keys[i]] = k
-        number = np.array(number, np.int64)
-        if (self.check[number] != second[one]).any():
+            number[lost] = self._store([made[x] for x in names], seconds[lost])
+            self.young.add(keys[lost], number[lost])
+        if (self.young.check[number] != seconds).any():
             return None
         return number[group]
 
@@ -236,8 +300,8 @@ class Encoder:
         begins[at] = True
         starts = np.flatnonzero(begins)
         ends = np.r_[starts[1:], len(data)]
-        if self.n > CACHE_PIECES:
-            self._empty()
+        if self.young.n > CACHE_PIECES:
+            self.old, self.young = self.young, _Pieces(self.dtype)
         number = np.empty(len(starts), np.int64)
         long = ends - starts > LONG_PIECE
         short = np.flatnonzero(~long)
@@ -246,15 +310,14 @@ class Encoder:
             if found is None:
                 return None
             number[short] = found
-        mark = self.n, self.used
+        mark = self.young.n, self.young.used
         if long.any():  # encoded each, kept only for these texts
             names = [data[a:b].tobytes().decode() for a, b in zip(starts[long], ends[long])]
             made = self._encode(names)
             number[long] = self._store([made[x] for x in names], np.zeros(len(names), np.uint64))
-        size = self.size[number]
-        after = np.cumsum(size)
-        ids = self.flat[np.repeat(self.start[number] - (after - size), size) + np.arange(after[-1])]
-        self.n, self.used = mark
+        ids, after = self.young.ids(number)
+        size = self.young.size[number]
+        self.young.n, self.young.used = mark
         first = np.searchsorted(starts, at)           # the number of each text's first piece
         return np.split(ids, (after - size)[first[1:]])
 
