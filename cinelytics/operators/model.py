@@ -6,13 +6,14 @@ from __future__ import annotations
 import itertools
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import TOP_N, is_finite, is_positive_prediction
 from ..plans.joins import join_dimension
 from ..session import checkpoint_root
 from .evaluate import DOUBLE_MAX, rmse
+from .mips import best_unseen
 
 # --- Fixed values of the original job ----------------------------------------
 GRID_RANKS = (8, 12)
@@ -192,94 +193,17 @@ def recommend_for_user(model, userid: int, catalog: DataFrame, seen: DataFrame,
     return join_dimension(top, catalog.select(item_col, "moviename"), item_col)
 
 
-def merge_tiers(counts: list[tuple[int, int]], max_waste: float = 2.0) -> list[tuple[list[int], int]]:
-    """Group adjacent k tiers ``[(k, n_users), ...]`` so that each group is
-    scored once with its largest k, as long as the group's rows
-    (users x largest k) stay within ``max_waste`` times the rows of scoring its
-    tiers separately.  A lone hot user with a huge k is never merged with the
-    crowd.  Returns ``[(tier_ks, k_used), ...]``."""
-    groups: list[tuple[list[int], int]] = []
-    cur: list[int] = []
-    users = cost = 0
-    for k, c in sorted(counts):
-        if cur and (users + c) * k > max_waste * (cost + c * k):
-            groups.append((cur, cur[-1]))
-            cur, users, cost = [], 0, 0
-        cur.append(k)
-        users += c
-        cost += c * k
-    if cur:
-        groups.append((cur, cur[-1]))
-    return groups
-
-
 def recommend_for_users(model, users: DataFrame, seen: DataFrame, catalog: DataFrame, n: int = TOP_N,
                         item_col: str = "movieid") -> DataFrame:
-    """Best ``n`` unseen catalog movies with a positive prediction for every user.
-
-    ALS's own blocked top-k (``recommendForUserSubset``) returns the k best
-    items of the whole model; seen and non-catalog items are removed afterwards.
-    k is sized per user: ``(n + #seen) / catalog share of the model's items``,
-    rounded up to a power of two; adjacent tiers are scored together while that
-    at most doubles the rows (``merge_tiers``), so the fan-out stays linear in
-    the data and a hot user is scored on its own.  A user that still has fewer
-    than ``n`` survivors while its k-th score is positive and the model has
-    more items is asked again with twice k.  The result is exact; there is no
-    candidate cap.  The seen pairs and each group's flagged candidates are
-    checkpointed once (shared checkpoint folder), so later filters and counts
-    do not re-run the input joins or the scoring."""
+    """Best ``n`` unseen catalog movies with a positive prediction for every user that the
+    model knows (``userid, movieid, prediction, rank``), ties by id.
+
+    The exact norm-bounded search of ``mips.best_unseen`` over the model's factors of
+    catalog movies.  A prediction is the product of the float factors summed in double
+    precision and rounded to a float."""
     checkpoint_root(users.sparkSession)
-    model_items = model.itemFactors.select(F.col("id").alias(item_col))
-    n_items = model_items.count()
-    catalog_ids = catalog.select(item_col).distinct()
-    n_in_catalog = join_dimension(model_items, catalog_ids, item_col, "left_semi").count()
-    empty = users.sparkSession.createDataFrame([], f"userid int, {item_col} int, prediction float, rank int")
-    if n_items == 0 or n_in_catalog == 0:
-        return empty
-    seen_pairs = seen.select("userid", item_col).distinct().checkpoint(eager=True)
-    inflate = n_items / n_in_catalog
-    seen_counts = seen_pairs.groupBy("userid").agg(F.count(F.lit(1)).alias("n_seen"))
-    want = (F.lit(n) + F.coalesce(F.col("n_seen"), F.lit(0))) * F.lit(inflate)
-    start_k = F.least(F.pow(F.lit(2), F.ceil(F.log2(want))), F.lit(float(n_items))).cast("int")
-    pending = users.select("userid").distinct().join(seen_counts, "userid", "left").select(
-        "userid", start_k.alias("k")
-    ).checkpoint(eager=True)
-    parts = []
-    while True:  # k at least doubles for every user still pending, up to the number of items
-        counts = [(r["k"], r["count"]) for r in pending.groupBy("k").count().collect()]  # few power-of-two values
-        if not counts:
-            break
-        retries = []
-        for tier_ks, k in merge_tiers(counts):
-            group_users = pending.where(F.col("k").isin(tier_ks)).select("userid")
-            recs = (
-                model.recommendForUserSubset(group_users, int(k))
-                .select("userid", F.explode("recommendations").alias("rec"))
-                .select("userid", F.col(f"rec.{item_col}").alias(item_col), F.col("rec.rating").alias("prediction"))
-            )  # scored once: the flagged frame below is what gets checkpointed
-            seen_flag = seen_pairs.withColumn("__seen", F.lit(True))
-            cat_flag = catalog_ids.withColumn("__cat", F.lit(True))
-            flagged = join_dimension(recs.join(seen_flag, ["userid", item_col], "left"), cat_flag, item_col, "left")
-            flagged = flagged.withColumn(
-                "__keep", is_positive_prediction("prediction") & F.col("__seen").isNull() & F.col("__cat").isNotNull()
-            ).drop("__seen", "__cat").checkpoint(eager=True)
-            stats = flagged.groupBy("userid").agg(
-                F.count(F.lit(1)).alias("returned"), F.min("prediction").alias("last"),
-                F.count_if("__keep").alias("n_kept"))
-            need_more = stats.where(
-                (F.col("n_kept") < n) & (F.col("returned") >= k) & (F.col("last") > 0) & F.lit(k < n_items)
-            ).select("userid", F.least(F.lit(2 * int(k)), F.lit(n_items)).alias("k"))
-            kept = flagged.where("__keep").select("userid", item_col, "prediction")
-            parts.append(kept.join(need_more.select("userid"), "userid", "left_anti"))
-            retries.append(need_more)
-        pending = retries[0]
-        for part in retries[1:]:
-            pending = pending.unionByName(part)
-        pending = pending.checkpoint(eager=True)
-        if pending.limit(1).count() == 0:
-            break
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    w = Window.partitionBy("userid").orderBy(F.desc("prediction"), F.asc(item_col))
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    wanted = users.select(F.col("userid").cast("int").alias("id")).distinct()
+    ids = catalog.select(F.col(item_col).cast("int").alias("id")).distinct()
+    user_factors = model.userFactors.join(wanted, "id", "left_semi")
+    item_factors = join_dimension(model.itemFactors, ids, "id", "left_semi")
+    return best_unseen(user_factors, item_factors, seen, n, "userid", item_col)

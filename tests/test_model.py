@@ -6,13 +6,6 @@ from cinelytics.operators import model as mdl
 from .conftest import SF_SMALL
 
 
-def test_merge_tiers_keeps_hot_user_alone():
-    assert mdl.merge_tiers([(64, 8834), (16, 6), (128, 5644), (32, 509), (256, 6)]) == [
-        ([16, 32, 64, 128], 128), ([256], 256)]
-    assert mdl.merge_tiers([(64, 10_000), (1 << 20, 1)]) == [([64], 64), ([1 << 20], 1 << 20)]
-    assert mdl.merge_tiers([]) == []
-
-
 def test_grid_order_is_rank_lambda_iterations():
     g = mdl.grid()
     assert [(p.rank, p.reg, p.max_iter) for p in g[:3]] == [(8, 0.1, 10), (8, 0.1, 20), (8, 10.0, 10)]
