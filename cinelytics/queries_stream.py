@@ -10,6 +10,7 @@ from .queries import V, register
 from .queries_web import SQL_LATEST_PROGRESS, SQL_REPLACED
 from .session import prepare, scratch_path
 from .sources import tables as tb
+from .streaming import incremental as inc
 from .streaming import state
 
 EVENTS_SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
@@ -52,6 +53,32 @@ def q_stream_favorites_dedup(spark, d):
 
 
 
+@register("stream_rating_stats", fx.oracle_with(["ratings_v", "my_ratings_v", "submissions_v"], f"""
+SELECT userid, CAST(count(*) AS BIGINT) AS total_ratings, avg(CAST(rating AS DOUBLE)) AS avg_rating,
+       {", ".join(f"CAST(count(*) FILTER (WHERE rating = {k}) AS BIGINT) AS n_{k}" for k in range(1, 6))}
+FROM ({SQL_REPLACED}) r GROUP BY userid"""))
+def q_stream_rating_stats(spark, d):
+    """D8 under S5: rating statistics maintained by signed deltas while the stream replaces ratings."""
+    path, view = scratch_path(spark, "stream-ratings"), inc.rating_stats_view(scratch_path(spark, "stream-stats"))
+    own = V(spark, d, "my_ratings_v")
+    tb.create_keyed_table(own, path, "userid")
+    view.create(own)
+    state.stream_replace_ratings(fx.submission_rows(event_stream(spark, d)), path, views=[view])
+    return inc.rating_stats(view, spark).drop("avg_text")
+
+
+@register("stream_favorites_count", fx.oracle_with(["favorites_v"], """
+SELECT userid, CAST(count(*) FILTER (WHERE category = 'want_watch') AS BIGINT) AS want_watch,
+       CAST(count(*) FILTER (WHERE category = 'watched') AS BIGINT) AS watched,
+       CAST(count(*) FILTER (WHERE category = 'liked') AS BIGINT) AS liked, CAST(count(*) AS BIGINT) AS total
+FROM favorites_v GROUP BY userid"""))
+def q_stream_favorites_count(spark, d):
+    """D7 under S6: favourites per category maintained by signed deltas of the stream's state."""
+    view = inc.favorites_count_view(scratch_path(spark, "stream-favorites-count"))
+    state.stream_favorites_dedup(fx.favorite_rows(event_stream(spark, d)), views=[view])
+    return inc.favorites_count(view, spark)
+
+
 @register("stream_favorites_dedup_bounded", fx.oracle_with(["favorites_v"], """
 SELECT userid, movieid, category FROM favorites_v"""))
 def q_stream_favorites_dedup_bounded(spark, d):

@@ -1,7 +1,7 @@
 """Structured Streaming twins of the keyed operators."""
 
 from .state import (  # noqa: F401
-    latest_state,
+    merge_batch,
     newest_submissions,
     run_keyed_updates,
     stream_favorites_dedup,

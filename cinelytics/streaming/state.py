@@ -1,38 +1,55 @@
 """Structured Streaming forms of the status and submission operators.
 
-The pattern: a streaming aggregation keyed by the table's key runs in
-``update`` mode; each micro-batch's changed rows are written by
-``foreachBatch`` into ``<out>/batch_id=<n>`` (overwrite, so a replayed batch
-is idempotent).  The current table is then the row of the highest batch id per
-key (``latest_state``), again a partial aggregate.  Checkpoints and outputs go
-to the shared checkpoint folder.  Without a watermark the key state is
-unbounded, as is the unique key of the original tables.
+The pattern: a streaming aggregation keyed by the table's key runs in ``update``
+mode; ``foreachBatch`` merges each micro-batch's changed rows into a keyed table of
+``sources.tables`` (``replace_by_key`` with the batch number, so a replayed batch is a no-op) and drops
+the files that no kept version uses.  The table is the stream's state as a
+compacted snapshot: its size follows the keys, not the batches, and readers see whole
+batches.  Checkpoints and tables go to the shared checkpoint folder.  Without a
+watermark the key state is unbounded, as is the unique key of the original tables.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import epoch_seconds
 from ..operators.ratings import valid_submissions, well_formed
 from ..session import scratch_path
-from ..sources.tables import replace_by_key
-
-def run_keyed_updates(agg: DataFrame, name: str, timeout_s: int | None = None) -> str:
-    """Run an update-mode aggregation to completion (available-now trigger) and
-    return the folder holding its per-batch outputs."""
+from ..sources.tables import ensure_keyed_table, read_keyed_table, replace_by_key, vacuum
+from .incremental import SignedView, replace_with_views
+
+
+def merge_batch(batch: DataFrame, path: str, keys: Sequence[str], stream: str, batch_id: int,
+                views: Sequence[SignedView] = ()) -> None:
+    """Merge a micro-batch (one row per key) into the keyed table at ``path``, created empty
+    where there is none, and its signed views."""
+    spark = batch.sparkSession
+    ensure_keyed_table(spark, path, batch.schema, keys)
+    for view in views:
+        ensure_keyed_table(spark, view.path, view.schema(batch.schema), view.key)
+    if views:
+        replace_with_views(spark, path, batch.checkpoint(eager=True), keys, views, batch=(stream, batch_id))
+    else:
+        replace_by_key(spark, path, batch, keys, batch=(stream, batch_id))
+        vacuum(spark, path)
+
+
+def run_keyed_updates(agg: DataFrame, name: str, keys: Sequence[str], views: Sequence[SignedView] = (),
+                      timeout_s: int | None = None) -> str:
+    """Run an update-mode aggregation to completion (available-now trigger) and return the
+    keyed table that holds its state."""
     spark = agg.sparkSession
-    out = scratch_path(spark, f"{name}-out")
-    ckpt = scratch_path(spark, f"{name}-ckpt")
-
-    def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-
-    query = (agg.writeStream.outputMode("update").foreachBatch(write_batch)
-             .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    out = scratch_path(spark, f"{name}-state")
+    ensure_keyed_table(spark, out, agg.schema, keys)
+    for view in views:
+        ensure_keyed_table(spark, view.path, view.schema(agg.schema), view.key)
+    query = (agg.writeStream.outputMode("update")
+             .foreachBatch(lambda batch, i: merge_batch(batch, out, keys, name, i, views))
+             .option("checkpointLocation", scratch_path(spark, f"{name}-ckpt")).trigger(availableNow=True).start())
     _finish(query, name, timeout_s)
     return out
 
@@ -56,21 +73,13 @@ def _finish(query, name: str, timeout_s: int | None = None) -> None:
         raise TimeoutError(f"stream {name} did not finish within {timeout_s}s")
 
 
-def latest_state(spark: SparkSession, out: str, keys: Sequence[str]) -> DataFrame:
-    """Current table: per key, the row written by the highest batch id."""
-    rows = spark.read.parquet(out)
-    payload = [c for c in rows.columns if c not in keys and c != "batch_id"]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*payload), F.col("batch_id")).alias("__s")).select(
-        *keys, "__s.*")
-
-
 def stream_progress_latest(log: DataFrame) -> DataFrame:
     """Latest progress per user of a streaming progress log (twin of D12)."""
     payload = [c for c in log.columns if c != "userid"]
     agg = log.groupBy("userid").agg(
         F.max_by(F.struct(*payload), F.struct("ts", "event_id")).alias("s")
     ).select("userid", "s.*")
-    return latest_state(log.sparkSession, run_keyed_updates(agg, "progress-latest"), ["userid"])
+    return read_keyed_table(log.sparkSession, run_keyed_updates(agg, "progress-latest", ["userid"]))
 
 
 def newest_submissions(subs: DataFrame, json_col: str = "selecteddata") -> DataFrame:
@@ -80,22 +89,24 @@ def newest_submissions(subs: DataFrame, json_col: str = "selecteddata") -> DataF
     ).select("userid", "s.*")
 
 
-def stream_replace_ratings(subs: DataFrame, path: str, timeout_s: int | None = None) -> None:
+def stream_replace_ratings(subs: DataFrame, path: str, timeout_s: int | None = None,
+                           views: Sequence[SignedView] = ()) -> None:
     """A stream of submissions replaces its users' rows in the keyed ratings
-    table at ``path`` (``userid, movieid, rating, timestamp``).
+    table at ``path`` (``userid, movieid, rating, timestamp``), which may be empty, and keeps
+    its signed ``views``.
 
     State: the newest well-formed submission per user.  Every micro-batch rewrites
     the rows of the users it touched, with the accepted items of that submission
-    (none: the user's rows go).  A replayed batch, or one whose submissions are
-    all older, writes the same rows again."""
-    def replace(batch: DataFrame, _batch_id: int) -> None:
+    (none: the user's rows go).  A replayed batch is a no-op; one whose submissions
+    are all older writes the same rows again."""
+    def replace(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         newest = batch.checkpoint(eager=True)
         if newest.isEmpty():
             return
         items = valid_submissions(newest).select(
-            "userid", "movieid", "rating", epoch_seconds("ts").alias("timestamp"))
-        replace_by_key(spark, path, items, "userid", replaced=newest)
+            "userid", "movieid", "rating", epoch_seconds("ts").alias("timestamp")).checkpoint(eager=True)
+        replace_with_views(spark, path, items, "userid", views, replaced=newest, batch=("submissions", batch_id))
 
     query = (newest_submissions(subs).writeStream.outputMode("update").foreachBatch(replace)
              .option("checkpointLocation", scratch_path(subs.sparkSession, "replace-ratings-ckpt"))
@@ -103,14 +114,14 @@ def stream_replace_ratings(subs: DataFrame, path: str, timeout_s: int | None = N
     _finish(query, "replace-ratings", timeout_s)
 
 
-def stream_favorites_dedup(requests: DataFrame) -> DataFrame:
+def stream_favorites_dedup(requests: DataFrame, views: Sequence[SignedView] = ()) -> DataFrame:
     """First insert of each (user, movie, category) wins (twin of the
     favourites table): the first request per key, kept as streaming state."""
     agg = requests.where(F.col("category").isNotNull()).groupBy("userid", "movieid", "category").agg(
         F.min(F.struct("ts", "event_id")).alias("f")).select(
             "userid", "movieid", "category", F.col("f.event_id").alias("id"), F.col("f.ts").alias("createtime"))
-    out = run_keyed_updates(agg, "favorites-dedup")
-    return latest_state(requests.sparkSession, out, ["userid", "movieid", "category"])
+    keys = ["userid", "movieid", "category"]
+    return read_keyed_table(requests.sparkSession, run_keyed_updates(agg, "favorites-dedup", keys, views))
 
 
 def stream_favorites_dedup_bounded(requests: DataFrame, delay: str = "1 day") -> DataFrame:
