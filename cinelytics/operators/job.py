@@ -5,13 +5,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.columns import TOP_N
-from ..sources.tables import append_rows, replace_by_key
+from ..sources.tables import append_rows, ensure_keyed_table, replace_by_key
 from .model import AlsParams, als_fit, als_grid_search, recommend_for_users, select_best_model
 from .split import positive_ratings, split_part, training_union
 from .status import STAGES
 
+_schema = StructType.fromDDL
 STAGE_LABELS = dict(STAGES)
 FAILED = -1
 
@@ -23,9 +25,13 @@ def progress_rows(users: DataFrame, progress: int, seq: int) -> DataFrame:
 
 
 def run_job(users: DataFrame, own: DataFrame, sample: DataFrame, catalog: DataFrame, results_path: str,
-            progress_path: str, params: list[AlsParams] | None = None, n: int = TOP_N) -> None:
+            progress_path: str, params: list[AlsParams] | None = None, n: int = TOP_N, search=als_grid_search) -> None:
     """Run the job for a set of users in one model.
 
+    ``params``: the grid's cells, by default all eight.  ``search(training, validation, params,
+    keep_models=True)`` fits and scores them; one that loads a stored grid of the same input will do.
+    Both tables are created empty where there are none.
+
     ``results_path``: keyed table (``userid, movieid, degree``) whose rows of these
     users are replaced; a user without a recommendation ends with no row.
     ``progress_path``: keyed progress log (``userid, event_id, ts, progress, step``)
@@ -41,6 +47,8 @@ def run_job(users: DataFrame, own: DataFrame, sample: DataFrame, catalog: DataFr
         seq += 1
         append_rows(progress_rows(users, progress, seq), progress_path, "userid")
 
+    ensure_keyed_table(spark, results_path, _schema("userid int, movieid int, degree float"), "userid")
+    ensure_keyed_table(spark, progress_path, progress_rows(users, 5, 0).schema, "userid")
     try:
         at(5)
         at(20)
@@ -49,7 +57,7 @@ def run_job(users: DataFrame, own: DataFrame, sample: DataFrame, catalog: DataFr
         training = training_union(train, own)
         at(40)
         at(60)
-        metrics, models = als_grid_search(training, validation, params, keep_models=True)
+        metrics, models = search(training, validation, params, keep_models=True)
         best = select_best_model(metrics).first()
         model = models.get(best["grid_order"]) or als_fit(
             training, AlsParams(best["rank"], best["reg_param"], best["max_iter"]))

@@ -4,6 +4,7 @@ report, recommendations for one user and for many)."""
 from __future__ import annotations
 
 import itertools
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -22,6 +23,7 @@ GRID_ITERS = (10, 20)
 FALLBACK_RANK, FALLBACK_ITER, FALLBACK_REG = 10, 10, 0.01
 # -----------------------------------------------------------------------------
 DEFAULT_SEED = 42
+GRID_PARALLELISM = 4  # cells at a time: bounds what the driver and the cluster hold at once
 # ALS keeps user blocks x item blocks builders in every map task, so their number follows the
 # ratings and the product stays bounded.
 ROWS_PER_BLOCK = 1_000_000
@@ -122,36 +124,60 @@ def als_predict(model, pairs: DataFrame) -> DataFrame:
 
 
 def als_grid_search(train: DataFrame, validation: DataFrame, params: list[AlsParams] | None = None,
-                    seed: int = DEFAULT_SEED, keep_models: bool = False):
+                    seed: int = DEFAULT_SEED, keep_models: bool = False, parallelism: int = GRID_PARALLELISM):
     """Fit every grid cell on the cached training set and score it on validation.
 
     Returns ``(metrics, models)``: metrics has one row per cell (``grid_order``,
     ``rank``, ``reg_param``, ``max_iter``, ``rmse``, ``n_pairs``, ``status``,
     ``error``); a failing cell is recorded as ``failed`` with a NaN RMSE and its
     message, as the original loop tolerates it.  Ids that ALS cannot hold fail
-    before the loop.  Each fit and each RMSE is a distributed job; only the
-    scalar RMSE returns to the driver."""
+    before the loop.  Cells run as concurrent jobs, ``parallelism`` at a time, each in a
+    scheduler pool of its own (used where ``spark.scheduler.mode`` is FAIR), so the tail of
+    one fit doesn't leave the cluster idle; only scalar RMSEs return to the driver."""
+    from pyspark import inheritable_thread_target
+
     spark = train.sparkSession
     params = params or grid()
     train = train.persist()
     validation = validation.persist()
-    rows, models = [], {}
     try:
         blocks = als_blocks(train)
-        for order, p in enumerate(params):
-            cell = (order, p.rank, float(p.reg), p.max_iter)
+
+        def cell(order: int, p: AlsParams):
+            name = (order, p.rank, float(p.reg), p.max_iter)
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"als-cell-{order}")
             try:
                 model = als_fit(train, p, seed, blocks=blocks)
                 score = rmse(als_predict(model, validation)).first()
-                rows.append((*cell, float(score["rmse"]), score["n_pairs"], "ok", None))
-                if keep_models:
-                    models[order] = model
+                return (*name, float(score["rmse"]), score["n_pairs"], "ok", None), model
             except Exception as e:  # noqa: BLE001 - a failing cell is part of the result
-                rows.append((*cell, float("nan"), 0, "failed", f"{type(e).__name__}: {e}"[:500]))
+                return (*name, float("nan"), 0, "failed", f"{type(e).__name__}: {e}"[:500]), None
+
+        with ThreadPoolExecutor(max(1, parallelism)) as pool:
+            # a wrapper per cell: each job thread gets its own copy of the caller's local properties
+            jobs = [pool.submit(inheritable_thread_target(spark)(cell), i, p) for i, p in enumerate(params)]
+            done = [j.result() for j in jobs]
     finally:
         train.unpersist()
         validation.unpersist()
-    return spark.createDataFrame(rows, METRICS_SCHEMA), models
+    models = {row[0]: model for row, model in done if keep_models and model is not None}
+    return spark.createDataFrame([row for row, _ in done], METRICS_SCHEMA), models
+
+
+def store_grid(metrics: DataFrame, models: dict, path: str) -> None:
+    """Write a grid's metrics and fitted models; the metrics last, so a folder with them is whole."""
+    for order, model in models.items():
+        model.write().overwrite().save(f"{path}/model-{order}")
+    metrics.coalesce(1).write.mode("overwrite").parquet(f"{path}/metrics")
+
+
+def load_grid(spark, path: str):
+    """``(metrics, models)`` of a stored grid."""
+    from pyspark.ml.recommendation import ALSModel
+
+    metrics = spark.read.schema(METRICS_SCHEMA).parquet(f"{path}/metrics")
+    fitted = [r[0] for r in metrics.where("status = 'ok'").select("grid_order").collect()]  # a row per cell
+    return metrics, {i: ALSModel.load(f"{path}/model-{i}") for i in fitted}
 
 
 def select_best_model(metrics: DataFrame) -> DataFrame:

@@ -24,9 +24,18 @@ from .sources import tables as tb
 FIRST_CELL = mdl.grid()[0]  # rank 8, lambda 0.1, 10 iterations
 
 
+_GRIDS: dict[tuple[str, str], str] = {}  # (application, input folder) -> stored grid
+
+
 def _grid(spark, d):
-    """The full original grid on (training union, validation): metrics and models."""
-    return mdl.als_grid_search(_training(spark, d), _validation(spark, d), keep_models=True)
+    """The full original grid on (training union, validation): metrics and models.  It is
+    run once per input and application and stored; M3 to M6 and the job read it."""
+    at = (spark.sparkContext.applicationId, d)
+    if at not in _GRIDS:
+        path = scratch_path(spark, "als-grid")
+        mdl.store_grid(*mdl.als_grid_search(_training(spark, d), _validation(spark, d), keep_models=True), path)
+        _GRIDS[at] = path
+    return mdl.load_grid(spark, _GRIDS[at])
 
 
 def _best_model(spark, d, metrics, models):
@@ -213,15 +222,15 @@ LEFT JOIN (SELECT userid, count(*) AS n FROM recommendations_v GROUP BY userid)
 LEFT JOIN (SELECT userid, count(*) AS n FROM own_seen WHERE movieid IN (SELECT movieid FROM known)
            GROUP BY userid) o ON o.userid = u.userid""", SQL_KNOWN + [("job", SQL_FAILED_USERS)]))
 def q_recommendation_job(spark, d):
-    """The whole job for the users whose last one failed (two grid cells): results replaced, others kept,
-    the latest progress row at 100."""
+    """The whole job for the users whose last one failed, choosing among all eight grid cells (the stored
+    grid of this input): results replaced, others kept, the latest progress row at 100."""
     users = failed_users(spark, d)
     results, log = scratch_path(spark, "job-results"), scratch_path(spark, "job-log")
     stored = V(spark, d, "recommendations_v")
     tb.create_keyed_table(stored, results, "userid")
     tb.create_keyed_table(job.progress_rows(users, 5, 0), log, "userid")
     job.run_job(users, V(spark, d, "my_ratings_v"), V(spark, d, "ratings_v"), V(spark, d, "movieinfo_v"),
-                results, log, [FIRST_CELL, mdl.AlsParams(12, 0.1, 10)])
+                results, log, search=lambda *_, **__: _grid(spark, d))
     everyone = stored.select("userid").unionByName(users).distinct()
     counts = st.count_recommendations_by_user(everyone, tb.read_keyed_table(spark, results))
     last = st.progress_latest(tb.read_keyed_table(spark, log)).select("userid", "progress")

@@ -113,3 +113,31 @@ def test_failed_job_logs_minus_one_and_keeps_results(spark):
     rows = tb.read_keyed_table(spark, log).orderBy("userid", "event_id").collect()
     assert [r["progress"] for r in rows if r["userid"] == 1] == [5, 5, 20, -1]
     assert tb.read_keyed_table(spark, results).count() == 2
+
+
+def test_first_job_on_an_empty_store(spark):
+    """No table of results or progress yet: the job creates both and ends at 100."""
+    from cinelytics.operators import job
+    from cinelytics.session import scratch_path
+    from cinelytics.sources import tables as tb
+
+    results, log = scratch_path(spark, "first-results"), scratch_path(spark, "first-log")
+    rows = [(u, m, float((u * m) % 5 + 1), 10 * u + m % 8) for u in range(20, 40) for m in range(30)]
+    sample = spark.createDataFrame(rows, "userid int, movieid int, rating double, ts long")
+    own = spark.createDataFrame([(1, m, m % 5 + 1) for m in range(8)], "userid int, movieid int, rating int")
+    catalog = spark.createDataFrame([(m, f"m{m}") for m in range(30)], "movieid int, moviename string")
+    users = own.select("userid").distinct()
+    job.run_job(users, own, sample, catalog, results, log, [mdl.AlsParams(2, 0.1, 2), mdl.AlsParams(3, 0.1, 2)])
+    got = tb.read_keyed_table(spark, results).collect()
+    assert len(got) == 10 and not {r.movieid for r in got} & set(range(8))
+    assert tb.read_keyed_table(spark, log).agg(F.max_by("progress", "event_id")).first()[0] == 100
+
+
+def test_stored_grid_reads_back(spark, tmp_path):
+    rows = [(u, m, float((u + m) % 5 + 1)) for u in range(12) for m in range(12)]
+    train = spark.createDataFrame(rows, "userid int, movieid int, rating double")
+    metrics, models = mdl.als_grid_search(train, train, [mdl.AlsParams(2, 0.1, 1), mdl.AlsParams(-1, 0.1, 1)], keep_models=True)
+    mdl.store_grid(metrics, models, str(tmp_path / "grid"))
+    again, loaded = mdl.load_grid(spark, str(tmp_path / "grid"))
+    assert sorted(map(str, again.collect())) == sorted(map(str, metrics.collect()))
+    assert list(loaded) == [0] and loaded[0].rank == 2
