@@ -13,6 +13,7 @@ from .functions import columns as C
 from .operators import catalog as cat
 from .operators import favorites as fav
 from .operators import ratings as rt
+from .operators import search
 from .operators import recommend as rec
 from .operators import status as st
 from .plans.joins import join_dimension
@@ -94,6 +95,16 @@ def q_title_search(spark, d):
     return cat.title_search(V(spark, d, "movieinfo_v"), f"  {SEARCH_TERM.upper()} ").select("movieid", "moviename")
 
 
+@register("title_search_terms", fx.oracle_with(["movieinfo_v"], """
+SELECT t.term, m.movieid FROM (SELECT DISTINCT lower(trim(substring(moviename, CAST(1 + movieid % 5 AS INT), CAST(movieid % 8 AS INT)))) AS term
+  FROM movieinfo_v WHERE moviename IS NOT NULL) t JOIN movieinfo_v m ON contains(lower(m.moviename), t.term)"""))
+def q_title_search_terms(spark, d):
+    """B8 for a table of terms (pieces of the titles, none to seven characters): posting lists, no scan per term."""
+    catalog = V(spark, d, "movieinfo_v")
+    piece = F.substring("moviename", (1 + F.col("movieid") % 5).cast("int"), (F.col("movieid") % 8).cast("int"))
+    return search.search_terms(catalog.select(piece.alias("term")), search.title_postings(catalog))
+
+
 @register("catalog_display", fx.oracle_with(["movieinfo_v"], f"""
 SELECT movieid AS id, moviename AS title, {S_YEAR('releasetime')} AS release_date, director,
        leadactors AS actors, description,
