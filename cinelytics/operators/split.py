@@ -47,16 +47,25 @@ def dataset_stats(ratings: DataFrame, user_col: str = "userid", item_col: str =
 
 def split_counts(split_df: DataFrame, split_col: str = "split") -> DataFrame:
     """Rows per split with zero fill, and the original job's guard flags."""
+    return count_flags(split_df, split_col)
+
+
+def count_flags(df: DataFrame, split_col: str = "split", n_col: str | None = None) -> DataFrame:
+    """Rows (or the sum of ``n_col``) per split label with zero fill and the flags."""
     # one global aggregate with a conditional count per label, unpivoted to rows:
     # no join, and labels without rows get 0
-    counts = split_df.agg(*[F.count_if(F.col(split_col) == s).alias(s) for s in SPLITS])
+    def total(s):
+        here = F.col(split_col) == s
+        return F.count_if(here) if n_col is None else F.coalesce(F.sum(F.when(here, F.col(n_col))), F.lit(0))
+
+    counts = df.agg(*[total(s).alias(s) for s in SPLITS])
     out = counts.select(F.explode(F.array(*[
-        F.struct(F.lit(s).alias(split_col), F.col(s).alias("n_rows")) for s in SPLITS
+        F.struct(F.lit(s).alias("split"), F.col(s).alias("n_rows")) for s in SPLITS
     ])).alias("__r")).select("__r.*")
-    flag = ((F.col(split_col) == "train") & (F.col("n_rows") == 0)) | (
-        (F.col(split_col) == "validation") & (F.col("n_rows") < MIN_VALIDATION_ROWS)
+    flag = ((F.col("split") == "train") & (F.col("n_rows") == 0)) | (
+        (F.col("split") == "validation") & (F.col("n_rows") < MIN_VALIDATION_ROWS)
     )
-    return out.select(split_col, F.col("n_rows").cast("long").alias("n_rows"), flag.alias("flagged"))
+    return out.select("split", F.col("n_rows").cast("long").alias("n_rows"), flag.alias("flagged"))
 
 
 def training_union(train: DataFrame, own_ratings: DataFrame) -> DataFrame:

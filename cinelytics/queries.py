@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 
 from . import fixtures as fx
 from .functions.columns import is_positive_prediction
+from .operators import distinct as dc
 from .operators import evaluate as ev
 from .operators import model as mdl
 from .operators import recommend as rec
 from .operators import split as sp
+from .session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -196,6 +198,35 @@ def q_split_counts(spark, d):
     return sp.split_counts(sp.time_mod_split(V(spark, d, "ratings_v")))
 
 
+def _day_table(spark, d):
+    """The day table of the sample: all days but the newest first, that one added alone."""
+    ratings = V(spark, d, "ratings_v")
+    newest = ratings.agg(F.max(dc.day_of())).scalar()
+    path = scratch_path(spark, "day-bitmaps")
+    dc.create(ratings.where(dc.day_of() < newest), path)
+    dc.put_days(spark, path, ratings.where(dc.day_of() == newest))
+    return path
+
+
+@register("dataset_stats_by_day", fx.oracle_with(["ratings_v"], """
+SELECT CAST(count(*) AS BIGINT) AS num_ratings, CAST(count(DISTINCT userid) AS BIGINT) AS num_users,
+       CAST(count(DISTINCT movieid) AS BIGINT) AS num_movies FROM ratings_v"""))
+def q_dataset_stats_by_day(spark, d):
+    """D1 from mergeable bitmaps per day; the newest day was added without reading the others."""
+    return dc.dataset_stats(spark, _day_table(spark, d))
+
+
+@register("split_counts_by_day", fx.oracle_with(["ratings_v"], """
+SELECT l.split, CAST(coalesce(c.n, 0) AS BIGINT) AS n_rows,
+       (l.split = 'train' AND coalesce(c.n, 0) = 0) OR (l.split = 'validation' AND coalesce(c.n, 0) < 10) AS flagged
+FROM (VALUES ('train'), ('validation'), ('test')) l(split)
+LEFT JOIN (SELECT CASE WHEN ts % 10 < 6 THEN 'train' WHEN ts % 10 < 8 THEN 'validation' ELSE 'test' END AS split,
+                  count(*) AS n FROM ratings_v GROUP BY 1) c ON c.split = l.split"""))
+def q_split_counts_by_day(spark, d):
+    """D2 from the stored counts per day."""
+    return dc.split_counts(spark, _day_table(spark, d))
+
+
 @register("training_union", fx.oracle_with(["ratings_v", "my_ratings_v"], "SELECT * FROM training", SQL_TRAINING))
 def q_training_union(spark, d):
     """sample training rows plus the users' own positive ratings."""
