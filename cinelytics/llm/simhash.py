@@ -13,9 +13,12 @@ so some v is orthogonal to all of them and that table's key is equal: every pair
 within the radius collides in some table (Pagh, "Locality-sensitive hashing
 without false negatives").  Candidates are checked by their bit distance.
 
-A bucket of more than ``block`` fingerprints is cut into blocks by hash; each
-pair of blocks is one bounded group that yields a spanning forest of its links,
-never all pairs.  Components come from randomised contraction: each node takes
+A bucket of more than ``block`` fingerprints is split by the bits again: dealt into
+``radius`` + 1 segments, two fingerprints within the radius are equal in one of them, so
+each goes to one smaller bucket per segment, and so on with other segments while buckets
+are too large.  Bits add up, so few fingerprints fit a bucket after ``LEVELS`` splits; should one
+still be too large it is cut into blocks whose pairs are groups.  A group of at most two blocks
+yields a spanning forest of its links, never all pairs.  Components come from randomised contraction: each node takes
 the neighbour of smallest random rank, the graph shrinks by a constant factor a
 round, and every round is a written table.
 
@@ -37,6 +40,7 @@ from .common import cut, fresh, map_texts, small_side, table
 RADIUS = 3
 SHINGLE = 3
 BLOCK = 2048
+LEVELS = 6
 SMALL_GROUP = 32
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -143,17 +147,43 @@ def _link_groups(radius: int):
     return run
 
 
-def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """(u, v): links between the distinct values of ``fps.fp`` that connect exactly
-    the values connected by "at most ``radius`` differing bits"."""
+def segment_masks(level: int, parts: int) -> list[int]:
+    """Masks of the segments that the 64 bits are dealt into at this level of splitting; the
+    bits of a segment lie in all segments of the levels before."""
+    pairs = ((0, 1), (0, 2), (1, 2))
+
+    def part(i):  # a bit's place in base ``parts``, another digit or sum of digits at each level
+        digits = [i // parts ** k % parts for k in range(LEVELS)]
+        return digits[level] if parts ** level < 64 else sum(digits[k] for k in pairs[level % 3]) % parts
+
+    return [sum(1 << i for i in range(64) if part(i) == p) for p in range(parts)]
+
+
+def _buckets(fps: DataFrame, radius: int, block: int) -> DataFrame:
+    """bucket, fp, n (size of the bucket): buckets of two or more, split while over ``block``."""
     def as_long(m):
         return F.lit(_signed(m)).cast("long")
 
     keys = F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(as_long(m)))
                      for t, m in enumerate(covering_masks(radius))])
-    rows = fps.select("fp", F.explode(keys).alias("bucket"))
-    sizes = cut(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "simhash-buckets")
-    rows = rows.join(sizes, "bucket")
+    rows, done = fps.select("fp", F.explode(keys).alias("bucket")), None
+    for level in range(LEVELS + 1):
+        sizes = cut(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "simhash-buckets")
+        rows = rows.join(sizes, "bucket")
+        last = level == LEVELS or sizes.where(F.col("n") > block).isEmpty()
+        found = rows if last else rows.where(F.col("n") <= block)
+        done = found if done is None else done.unionByName(found)
+        if last:
+            return done
+        finer = F.array(*[F.xxhash64(F.lit(level), F.lit(p), F.col("bucket"), F.col("fp").bitwiseAND(as_long(m)))
+                          for p, m in enumerate(segment_masks(level, radius + 1))])
+        rows = cut(rows.where(F.col("n") > block).select("fp", F.explode(finer).alias("bucket")), "simhash-finer")
+
+
+def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+    """(u, v): links between the distinct values of ``fps.fp`` that connect exactly
+    the values connected by "at most ``radius`` differing bits"."""
+    rows = _buckets(fps, radius, block)
     blocks = F.ceil(F.col("n") / F.lit(block)).cast("long")
     rows = rows.select("bucket", "fp", blocks.alias("nb"), F.pmod(F.xxhash64(F.lit("block"), "fp"), blocks).alias("b"))
     mates = F.when(F.col("nb") == 1, F.array(F.lit(0).cast("long"))).otherwise(

@@ -383,3 +383,51 @@ def test_chain_of_forms(spark):
     words = spark.createDataFrame([("abcde" + "x" * i, 3 * 2 ** i) for i in range(12)], "word string, n long")
     got = {r.word: r.root for r in variants.group_variants(words).collect()}
     assert set(got.values()) == {"abcde" + "x" * 11}
+
+
+# --------------------------------------------------------------------- op9 --
+
+def test_hot_buckets_split_without_losing_links(spark):
+    """Fingerprints that share most bits: every bucket is too large at several levels."""
+    import numpy as np
+
+    from cinelytics.llm import simhash
+
+    rng = random.Random(4)
+    low = [sum(1 << b for b in rng.sample(range(20), rng.randint(0, 5))) for _ in range(500)]
+    fps = sorted({(0x5A5A << 40) ^ x for x in low} | {rng.getrandbits(63) for _ in range(50)})
+    near = {f: {g for g in fps if (f ^ g).bit_count() <= 3} for f in fps}
+    root, seen = {}, set()
+    for f in fps:
+        stack = [f] if f not in seen else []
+        while stack:
+            x = stack.pop()
+            if x not in seen:
+                seen.add(x)
+                root[x] = f
+                stack += near[x]
+    df = spark.createDataFrame([(f, f) for f in fps], "fp long, first_id long")
+    for block in (2, 8, 64):
+        found = {r["node"]: r["root"] for r in simhash.components(simhash.links(df, 3, block)).collect()}
+        groups = collections.defaultdict(set)
+        for f in fps:
+            groups[found.get(f, f)].add(f)
+        want = collections.defaultdict(set)
+        for f in fps:
+            want[root[f]].add(f)
+        assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
+    for level in range(simhash.LEVELS):
+        assert np.bitwise_or.reduce(np.array(simhash.segment_masks(level, 4), np.uint64)) == np.uint64(2**64 - 1)
+
+
+def test_a_hot_bucket_is_not_squared(spark):
+    """All rows in one bucket of several tables: a fingerprint is sent to a few groups (a level of splitting
+    more at each fourfold size, six at most), where pairs of blocks would send it to n / block."""
+    from pyspark.sql import functions as F
+
+    from cinelytics.llm import simhash
+
+    for n in (20_000, 80_000):
+        # the lower 32 bits spread, the upper ones equal
+        df = spark.range(n).select((F.xxhash64("id").bitwiseAND(F.lit(0xFFFFFFFF)) + (1 << 40)).alias("fp")).distinct()
+        assert simhash._buckets(df, 3, 512).count() < 16 * n < n * n // 512
