@@ -54,13 +54,13 @@ def fresh(df: DataFrame, base: str) -> str:
     return name
 
 
-def text_slices(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+def text_slices(texts: pa.Array, slice_rows: int = SLICE_ROWS, slice_chars: int = SLICE_CHARS) -> Iterator[tuple[int, list[str]]]:
     """(offset, texts) pieces of a string column: whole texts, null as empty,
-    at most SLICE_ROWS rows and about SLICE_CHARS characters (or one long text)."""
+    at most ``slice_rows`` rows and about ``slice_chars`` characters (or one long text)."""
     rows, chars, start = [], 0, 0
     for i in range(len(texts)):
         t = texts[i].as_py() or ""
-        if rows and (len(rows) >= SLICE_ROWS or chars + len(t) > SLICE_CHARS):
+        if rows and (len(rows) >= slice_rows or chars + len(t) > slice_chars):
             yield start, rows
             rows, chars, start = [], 0, i
         rows.append(t)
@@ -70,7 +70,8 @@ def text_slices(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
 
 
 def map_texts(df: DataFrame, text_col: str, make: Callable[[], Callable[[list[str]], list]],
-              fields: list[T.StructField], keep: list[str], extra: str | None = None) -> DataFrame:
+              fields: list[T.StructField], keep: list[str], extra: str | None = None,
+              slice_rows: int = SLICE_ROWS, slice_chars: int = SLICE_CHARS) -> DataFrame:
     """Append ``fields`` computed from whole texts to the columns ``keep``.
 
     ``make()`` runs once per task and returns ``f(texts) -> one list per field``;
@@ -89,7 +90,7 @@ def map_texts(df: DataFrame, text_col: str, make: Callable[[], Callable[[list[st
         work = make()
         arrow = to_arrow_schema(schema)
         for batch in batches:
-            for start, texts in text_slices(batch.column(n_keep)):
+            for start, texts in text_slices(batch.column(n_keep), slice_rows, slice_chars):
                 more = [batch.column(n_keep + 1).slice(start, len(texts)).to_pylist()] if extra else []
                 made = work(texts, *more)
                 cols = [batch.column(i).slice(start, len(texts)) for i in range(n_keep)]

@@ -7,9 +7,13 @@ all of them scans each normalised text once and reports every occurrence,
 overlapping and nested ones too.  Hits map back to word numbers and to code point
 offsets of the original text.
 
-The items go to the tasks as a list of windows whose size is checked: beyond
-``BLOCK_CHARS`` characters the items are dealt into blocks of about that size and
-the documents pass one automaton per block in turn, without a shuffle.
+An automaton takes some 32 bytes of memory per character of its windows, so the items are
+dealt into blocks whose windows have at most about ``BLOCK_CHARS`` characters (100 MB of
+automaton) and a task holds one automaton at a time: with one block it is kept for all
+tasks of the worker; with more, a task holds documents of ``HOLD_CHARS`` characters (or one
+longer text) and passes them through the blocks' automata in turn.  The items' texts are
+broadcast while they have at most ``SEND_BYTES`` bytes; a larger benchmark is dealt into
+groups of that size, each a pass of its own over the documents.
 
 Null and empty texts have no words and no hits.  Repeated item rows count once;
 an item without an id marks words and is not listed.  Repeated documents are rows
@@ -30,7 +34,9 @@ from pyspark.sql import types as T
 from .common import cut, fresh, map_texts, table
 
 WINDOW = 10
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 3_000_000
+HOLD_CHARS = 8_000_000
+SEND_BYTES = 64 << 20
 
 
 def _normal_table() -> bytes:
@@ -61,21 +67,23 @@ def item_windows(rows, window: int = WINDOW) -> dict[str, tuple[int, tuple]]:
     return {k: (n, tuple(ids)) for k, (n, ids) in found.items()}
 
 
-_AUTOMATA: dict[str, object] = {}
+_AUTOMATA: dict[tuple[str, int], object] = {}
 
 
-def _automaton(sent: tuple[str, dict]):
-    """The automaton of one broadcast (key, windows), built once per Python worker."""
-    key, windows = sent
-    if key not in _AUTOMATA:
+def _automaton(sent: tuple[str, int, list[list]], block: int):
+    """The automaton of one block of a broadcast (key, window, blocks of (id, text)); a
+    Python worker holds one."""
+    key, window, blocks = sent
+    if (key, block) not in _AUTOMATA:
         _AUTOMATA.clear()
         made = ahocorasick.Automaton()
+        windows = item_windows(blocks[block], window)
         for w, value in windows.items():
             made.add_word(w, value)
         if windows:
             made.make_automaton()
-        _AUTOMATA[key] = made
-    return _AUTOMATA[key]
+        _AUTOMATA[key, block] = made
+    return _AUTOMATA[key, block]
 
 
 def scan_text(text: str, automaton) -> tuple[int, list[tuple[int, int]], set]:
@@ -119,23 +127,29 @@ def _merge(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def scan(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id",
          item_text: str = "text", keep: list[str] | None = None, window: int = WINDOW,
-         block_chars: int = BLOCK_CHARS, names: tuple[str, str, str, str] = ("n_words", "n_hit", "items", "spans")
-         ) -> DataFrame:
+         block_chars: int = BLOCK_CHARS, send_bytes: int = SEND_BYTES,
+         names: tuple[str, str, str, str] = ("n_words", "n_hit", "items", "spans")) -> DataFrame:
     """``keep`` columns (all by default) plus n_words, n_hit, items (ids as sorted
     strings) and spans (code point offsets of the hit passages)."""
     spark = docs.sparkSession
     items = items.select(F.col(f"`{item_id}`").alias("item_id"), F.col(f"`{item_text}`").alias("text"))
     keep = docs.columns if keep is None else keep
-    n = _n_blocks(items, window, block_chars)
+    size = items.select(F.sum(F.octet_length("text").cast("long")).alias("s")).first()["s"] or 0
+    groups = max(1, -(-size // send_bytes))
+    blocks = max(1, -(-size * window // (groups * block_chars)))
     runs, ids = fresh(docs, "runs"), fresh(docs, "ids")
     rows = docs
-    for b in range(n):
-        part = items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == b)
-        sent = spark.sparkContext.broadcast((uuid.uuid4().hex, item_windows(part.toLocalIterator(), window)))
-        if n == 1:
-            return _one_pass(rows, text_col, sent, names, keep)
-        # one block's automaton at a time: each pass is a written table
-        rows = cut(_gather(rows, text_col, sent, runs, ids), "decontam-block")
+    for g in range(groups):
+        part = items.where(F.pmod(F.xxhash64("text"), F.lit(groups)) == g).select(
+            "item_id", "text", F.pmod(F.xxhash64("text", F.lit("block")), F.lit(blocks)).alias("b"))
+        dealt: list[list] = [[] for _ in range(blocks)]
+        for r in part.toLocalIterator():  # at most about send_bytes
+            dealt[r["b"]].append((r["item_id"], r["text"]))
+        sent = spark.sparkContext.broadcast((uuid.uuid4().hex, window, dealt))
+        if groups == 1:
+            return _one_pass(rows, text_col, sent, blocks, names, keep)
+        # a benchmark beyond what is broadcast: each pass is a written table
+        rows = cut(_gather(rows, text_col, sent, blocks, runs, ids), "decontam-group")
     fields = _fields(names)
 
     def make():
@@ -150,9 +164,17 @@ def scan(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str
     return map_texts(rows, text_col, make, fields, keep, extra=both)
 
 
-def _n_blocks(items: DataFrame, window: int, block_chars: int) -> int:
-    size = items.select(F.sum(F.octet_length("text").cast("long")).alias("s")).first()["s"] or 0
-    return max(1, -(-size * window // block_chars))
+def _scan_all(texts: list[str], sent, blocks: int) -> list[tuple[int, list, set]]:
+    """scan_text over every block; the runs of several blocks one after another."""
+    automaton = _automaton(sent.value, 0)
+    found = [scan_text(t, automaton) for t in texts]
+    for block in range(1, blocks):
+        automaton = _automaton(sent.value, block)
+        for i, t in enumerate(texts):
+            n, runs, who = scan_text(t, automaton)
+            if runs:
+                found[i] = (n, found[i][1] + runs, found[i][2] | who)
+    return found
 
 
 def _fields(names) -> list[T.StructField]:
@@ -170,30 +192,32 @@ def _columns(found) -> list[list]:
     return [list(c) for c in zip(*out)]
 
 
-def _one_pass(docs: DataFrame, text_col: str, sent, names, keep) -> DataFrame:
+def _one_pass(docs: DataFrame, text_col: str, sent, blocks: int, names, keep) -> DataFrame:
     def make():
-        automaton = _automaton(sent.value)
-        return lambda texts: _columns([(t, *scan_text(t, automaton)) for t in texts])
+        return lambda texts: _columns([(t, *f) for t, f in zip(texts, _scan_all(texts, sent, blocks))])
+
+    return map_texts(docs, text_col, make, _fields(names), keep, **_held(blocks))
 
-    return map_texts(docs, text_col, make, _fields(names), keep)
 
+def _held(blocks: int) -> dict:
+    """With several blocks, as many texts at a time as are worth building an automaton for."""
+    return {} if blocks == 1 else {"slice_rows": HOLD_CHARS, "slice_chars": HOLD_CHARS}
 
-def _gather(rows: DataFrame, text_col: str, sent, runs: str, ids: str) -> DataFrame:
-    """Add one block's hits to the columns ``runs`` and ``ids``."""
+
+def _gather(rows: DataFrame, text_col: str, sent, blocks: int, runs: str, ids: str) -> DataFrame:
+    """Add one group's hits to the columns ``runs`` and ``ids``."""
     run, who = fresh(rows, "run"), fresh(rows, "who")
     fields = [T.StructField(run, T.ArrayType(SPAN)), T.StructField(who, T.ArrayType(T.StringType()))]
 
     def make():
-        automaton = _automaton(sent.value)
-
         def work(texts):
-            found = [scan_text(t, automaton) for t in texts]
+            found = _scan_all(texts, sent, blocks)
             return [[[{"start": a, "end": b} for a, b in r] for _, r, _ in found],
                     [[str(i) for i in w] for _, _, w in found]]
 
         return work
 
-    out = map_texts(rows, text_col, make, fields, rows.columns)
+    out = map_texts(rows, text_col, make, fields, rows.columns, **_held(blocks))
     if runs in rows.columns:
         return out.withColumns({runs: F.concat(runs, run), ids: F.concat(ids, who)}).drop(run, who)
     return out.withColumnsRenamed({run: runs, who: ids})

@@ -431,3 +431,21 @@ def test_a_hot_bucket_is_not_squared(spark):
         # the lower 32 bits spread, the upper ones equal
         df = spark.range(n).select((F.xxhash64("id").bitwiseAND(F.lit(0xFFFFFFFF)) + (1 << 40)).alias("fp")).distinct()
         assert simhash._buckets(df, 3, 512).count() < 16 * n < n * n // 512
+
+
+# --------------------------------------------------------------------- op1 --
+
+@pytest.mark.parametrize("block_chars,send_bytes", [(200, 1 << 20), (200, 300), (1 << 20, 300), (1 << 20, 1 << 20)])
+def test_blocks_and_groups_of_items_find_the_same(spark, block_chars, send_bytes):
+    """Several automata in a task and several passes equal one automaton."""
+    from cinelytics.llm import decontam
+
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(12)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([0, 3, 10, 14])))) for i in range(60)] + [(None, "w1 w2 w3"), (7, None)]
+    docs = [(i, " ".join(rng.choice(words) for _ in range(40)) + " " + str(items[i][1])) for i in range(50)] + [(50, None), (51, "")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(map(str, decontam.scan(d, b, window=4).collect()))
+    assert any("end=" in w for w in want)
+    assert sorted(map(str, decontam.scan(d, b, window=4, block_chars=block_chars, send_bytes=send_bytes).collect())) == want
