@@ -18,27 +18,30 @@ ordered by a hash of their ids, so that a much repeated doc_id is split over par
 doc_id has to be a whole number; a text that isn't one fails in the cast.  Null or empty
 text is the end id alone.  An empty table gives files without rows.
 
-Texts are encoded where they lie and written once as ids; only the ids, about half the
-bytes, are then brought into order.
+Texts are encoded where they lie, and only their ids move.  The bounds of the parts are
+quantiles of the ids of all documents, found before (a range partitioner would read, and
+encode, its whole input twice).
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import scratch_path
-from .common import SLICE_CHARS, cut, table, text_slices
+from .common import SLICE_CHARS, table, text_slices
 from .tokens import encoder, tokenizer_path
 
 COUNTS = (1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)  # by selector; 0 is the escape
 BLOCK = 512
 END_ID = 1
 SEGMENT_IDS = 400_000
+PARTS_PER_TASK = 4
+MAX_PARTS = 50_000  # of the driver's list of bounds; parts are streamed, so their size is free
 
 SEGMENT = T.StructType([
     T.StructField("part", T.IntegerType()), T.StructField("seq", T.LongType()), T.StructField("start", T.LongType()),
@@ -140,6 +143,26 @@ def decode_ids(words: np.ndarray, offsets: np.ndarray, escapes: np.ndarray, n: i
 
 # -------------------------------------------------------------------- files --
 
+def _bounds(rows: DataFrame) -> np.ndarray:
+    """Quantiles of doc_id that cut the documents into parts, some of them per shuffle task,
+    as a part goes to a task by hash."""
+    parts = min(MAX_PARTS, PARTS_PER_TASK * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = rows.where("doc_id IS NOT NULL").approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts)
+    return np.array([int(x) for x in found or []], np.int64)
+
+
+def _part(bounds: np.ndarray, doc_ids: pa.Array, raws: list[bytes]) -> np.ndarray:
+    """Parts ascend with doc_id (null first); an id that takes up several quantiles is
+    dealt to the parts between them by a hash of its ids."""
+    ids = doc_ids.fill_null(0).to_numpy(zero_copy_only=False)
+    below = np.searchsorted(bounds, ids, "left")
+    equal = np.searchsorted(bounds, ids, "right") - below
+    for i in np.flatnonzero(equal > 1):
+        below[i] += xxhash.xxh64_intdigest(raws[i]) % int(equal[i])
+    below[np.asarray(doc_ids.is_null())] = 0
+    return below
+
+
 def write_ids(docs: DataFrame, path: str, tokenizer: str, kind: str = "word", end_id: int = END_ID,
               id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode whole texts and write them in ascending id order."""
@@ -151,18 +174,18 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, kind: str = "word", en
         for batch in batches:
             for at, texts in text_slices(batch.column(1)):
                 raws = [x.tobytes() + end for x in encode.ids(texts)]
+                here = batch.column(0).slice(at, len(texts))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(texts)), pa.array([len(r) // encode.dtype().itemsize for r in raws], pa.int64()),
-                     pa.array(raws, pa.binary())], names=["doc_id", "n", "ids"])
+                    [here, pa.array([len(r) // encode.dtype().itemsize for r in raws], pa.int64()), pa.array(raws, pa.binary()),
+                     pa.array(_part(bounds, here, raws), pa.int32())], names=["doc_id", "n", "ids", "part"])
 
-    # written, as the range partitioner reads its input twice
-    coded = cut(rows.mapInArrow(encode_texts, "doc_id long, n long, ids binary"), "token-ids")
-    coded = coded.withColumn("h", F.xxhash64("ids"))
-    coded = coded.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "n", "ids")
+    bounds = _bounds(rows)
+    coded = rows.mapInArrow(encode_texts, "doc_id long, n long, ids binary, part int").withColumn("h", F.xxhash64("ids"))
+    coded = coded.repartition("part").sortWithinPartitions("part", "doc_id", "h").select("doc_id", "n", "ids", "part")
     schema = SEGMENT
 
     def run(batches):
-        part, seq, start, total = TaskContext.get().partitionId(), 0, 0, 0
+        part, seq, start, total = None, 0, 0, 0
         numbers, lengths, held = [], [], []
 
         def segment():
@@ -179,7 +202,11 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, kind: str = "word", en
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types)], names=schema.names)
 
         for batch in batches:
-            for doc_id, n, ids in zip(*[c.to_pylist() for c in batch.columns]):
+            for doc_id, n, ids, here in zip(*[c.to_pylist() for c in batch.columns]):
+                if here != part:
+                    if held:
+                        yield segment()
+                    part, seq, start = here, 0, 0
                 numbers.append(doc_id)
                 lengths.append(n)
                 held.append(ids)

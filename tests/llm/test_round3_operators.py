@@ -449,3 +449,27 @@ def test_blocks_and_groups_of_items_find_the_same(spark, block_chars, send_bytes
     want = sorted(map(str, decontam.scan(d, b, window=4).collect()))
     assert any("end=" in w for w in want)
     assert sorted(map(str, decontam.scan(d, b, window=4, block_chars=block_chars, send_bytes=send_bytes).collect())) == want
+
+
+# --------------------------------------------------------------------- op2 --
+
+def test_parts_of_token_files(spark, tmp_path):
+    """A doc_id that a third of the rows share, null ids and many parts: all rows, in order, starts gapless."""
+    from cinelytics.llm import simple8b, tokens
+
+    rows = [(5, f"text number {i}") for i in range(200)] + [(i, f"other {i}") for i in range(-200, 200)] + [(None, "none")] * 3
+    path = str(tmp_path / "ids")
+    simple8b.write_ids(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), path,
+                       tokens.tokenizer_path("word_bpe_49k.json"))
+    segments = spark.read.parquet(path).collect()
+    assert len({s["part"] for s in segments if 5 in s["doc_ids"]}) > 3
+    got = sorted(simple8b.read_ids(spark, path).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+    at = 0
+    for r in got:
+        assert r["start"] == at and len(r["ids"]) == 4 * r["n_tokens"]
+        at += r["n_tokens"]
+    encode = tokens.encoder(tokens.tokenizer_path("word_bpe_49k.json"), "word")
+    want = collections.Counter((i, tuple(x.tolist()) + (1,)) for (i, _), x in zip(rows, encode.ids([t for _, t in rows])))
+    import numpy as np
+    assert collections.Counter((r["doc_id"], tuple(np.frombuffer(r["ids"], "<u4").tolist())) for r in got) == want
