@@ -163,6 +163,7 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: int = END_
         packer.drain()
         if out:
             yield batch_of(out)
+        pa.default_memory_pool().release_unused()  # the worker stays for other stages
 
     return rows.mapInArrow(run, schema)
 

@@ -15,7 +15,7 @@ and only the distinct ones are looked up.  Should the second hash ever disagree,
 texts go through the library as they are.  A new piece of Latin letters, perhaps
 with signs behind it, is one or two pre-tokens that go straight to the library's
 model; all others go through its whole pipeline.  The cache is an open-addressing table
-in numpy (some 50 bytes a piece) of two generations: when the young one holds
+in numpy (some 50 bytes a piece, 100 MB in all) of two generations: when the young one holds
 ``CACHE_PIECES`` pieces it becomes the old one, and what is still in use moves over
 when it is next seen, so frequent pieces are never encoded again.
 """
@@ -28,7 +28,7 @@ from array import array
 
 import numpy as np
 
-CACHE_PIECES = 1_500_000
+CACHE_PIECES = 1_000_000
 JOINED = 64
 LONG_PIECE = 64
 
@@ -148,7 +148,7 @@ class _Pieces:
         return numbers
 
     def add(self, keys: np.ndarray, numbers: np.ndarray) -> None:
-        while 2 * (self.n + len(keys)) > len(self.keys):
+        while 3 * (self.n + len(keys)) > 2 * len(self.keys):
             held = self.keys != 0
             old_keys, old_numbers = self.keys[held], self.number[held]
             self.keys, self.number = (np.zeros(2 * len(x), x.dtype) for x in (self.keys, self.number))
