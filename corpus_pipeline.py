@@ -16,28 +16,45 @@ from cinelytics.llm.common import cut, table
 from cinelytics.llm.tokens import tokenizer_path
 
 
+#: Rows in a batch between the JVM and Python: whole texts may be long, so a batch of Spark's
+#: default 10,000 rows is much memory on both sides.  Results don't depend on it.
+BATCH_ROWS = 2_000
+
+
+def _bound_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(spark.conf.get(key))
+    if rows <= 0 or rows > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.5 or more go (operator 7)."""
+    _bound_batches(spark)
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def stage_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that three or more documents share stay in one of them (operator 10)."""
+    _bound_batches(spark)
     return linededup.dedup_lines(docs)
 
 
 def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays (operator 9)."""
+    _bound_batches(spark)
     return simhash.keep_first(docs)
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a benchmark passage go (operator 1)."""
+    _bound_batches(spark)
     return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the remaining documents in windows of 1024 tokens (operator 4)."""
+    _bound_batches(spark)
     return packing.digest(packing.pack(docs, tokenizer_path("byte_bpe_50k.json")))
 
 
