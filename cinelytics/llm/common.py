@@ -8,9 +8,11 @@ holds one Arrow batch and the working set of ``SLICE_CHARS`` characters.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,6 +47,36 @@ def small_side(df: DataFrame, row_bytes) -> DataFrame:
     return F.broadcast(df) if total <= BROADCAST_BYTES else df
 
 
+_KEPT: dict = {}
+_STAGE: list = [None]
+
+
+def enter_stage() -> None:
+    """Called as a task's Python work begins.  Spark uses its Python workers again, so what
+    the tasks of an earlier stage kept in this one goes, and memory that is free goes back
+    to the system: otherwise a stage pays for every stage before it."""
+    task = TaskContext.get()
+    stage = (task.stageId(), task.stageAttemptNumber()) if task else None
+    if stage == _STAGE[0]:
+        return
+    _STAGE[0] = stage
+    _KEPT.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)  # glibc; elsewhere its allocator decides
+    except (OSError, AttributeError):
+        pass
+
+
+def kept(key, make: Callable):
+    """``make()``, kept in this Python worker for the tasks of one stage; one value at a time."""
+    enter_stage()
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not use yet (names compare without case)."""
     used = {c.lower() for c in df.columns}
@@ -87,6 +119,7 @@ def map_texts(df: DataFrame, text_col: str, make: Callable[[], Callable[[list[st
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        enter_stage()
         work = make()
         arrow = to_arrow_schema(schema)
         for batch in batches:

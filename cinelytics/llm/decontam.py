@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, fresh, map_texts, table
+from .common import cut, fresh, kept, map_texts, table
 
 WINDOW = 10
 BLOCK_CHARS = 3_000_000
@@ -67,23 +67,21 @@ def item_windows(rows, window: int = WINDOW) -> dict[str, tuple[int, tuple]]:
     return {k: (n, tuple(ids)) for k, (n, ids) in found.items()}
 
 
-_AUTOMATA: dict[tuple[str, int], object] = {}
-
-
 def _automaton(sent: tuple[str, int, list[list]], block: int):
     """The automaton of one block of a broadcast (key, window, blocks of (id, text)); a
     Python worker holds one."""
     key, window, blocks = sent
-    if (key, block) not in _AUTOMATA:
-        _AUTOMATA.clear()
+
+    def make():
         made = ahocorasick.Automaton()
         windows = item_windows(blocks[block], window)
         for w, value in windows.items():
             made.add_word(w, value)
         if windows:
             made.make_automaton()
-        _AUTOMATA[key, block] = made
-    return _AUTOMATA[key, block]
+        return made
+
+    return kept(("automaton", key, block), make)
 
 
 def scan_text(text: str, automaton) -> tuple[int, list[tuple[int, int]], set]:

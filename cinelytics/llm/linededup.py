@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, fresh, map_texts, small_side, table
+from .common import cut, enter_stage, fresh, map_texts, small_side, table
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -250,6 +250,7 @@ def _maybe_frequent(refs: DataFrame, index: LineIndex, filter_bytes: int) -> Dat
     sent = spark.sparkContext.broadcast({r["shard"]: bytes(r["filter"]) for r in index.filters.collect()})
 
     def run(batches):
+        enter_stage()
         filters = {k: CuckooFilter.from_bytes(v) for k, v in sent.value.items()}
         for batch in batches:
             if not batch.num_rows:

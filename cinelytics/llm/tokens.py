@@ -28,6 +28,8 @@ from array import array
 
 import numpy as np
 
+from .common import kept
+
 CACHE_PIECES = 1_000_000
 JOINED = 64
 LONG_PIECE = 64
@@ -340,12 +342,6 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
-
-
 def encoder(path: str, kind: str) -> Encoder:
-    """The encoder of this Python worker: tasks that follow each other share its cache."""
-    if (path, kind) not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[path, kind] = Encoder(path, kind)
-    return _ENCODERS[path, kind]
+    """The encoder of this Python worker: a stage's tasks that follow each other share its cache."""
+    return kept(("encoder", path, kind), lambda: Encoder(path, kind))

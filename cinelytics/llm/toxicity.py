@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, fresh, map_texts, table
+from .common import cut, enter_stage, fresh, map_texts, table
 
 BITS = 40
 TRAIN_ROWS = 20_000
@@ -234,6 +234,7 @@ def _partners(sample: DataFrame, telling: dict[int, float], tally: list, min_df:
     def lead(batches):
         import pyarrow as pa
 
+        enter_stage()
         for batch in batches:
             found = [known.active(ts) for ts in _lists(batch.column(0))]
             group = pa.array([int(order[rank[at].min()]) if len(at) else None for at in found], pa.int64())
@@ -261,6 +262,7 @@ def _rows(sample: DataFrame, terms: np.ndarray) -> tuple[list[np.ndarray], np.nd
     def only_chosen(batches):
         import pyarrow as pa
 
+        enter_stage()
         for batch in batches:
             at = [np.sort(model.active(t)).tolist() for t in _lists(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.list_(pa.int64())), batch.column(1)], names=["at", "y"])
