@@ -56,7 +56,7 @@ def enter_stage() -> None:
     the tasks of an earlier stage kept in this one goes, and memory that is free goes back
     to the system: otherwise a stage pays for every stage before it."""
     task = TaskContext.get()
-    stage = (task.stageId(), task.stageAttemptNumber()) if task else None
+    stage = task.stageId() if task else None
     if stage == _STAGE[0]:
         return
     _STAGE[0] = stage
