@@ -14,8 +14,10 @@ two-phase, so a line that every document holds never meets in one task.
 
 ``apply`` tests the references against the filters (fast, no false negatives) and
 joins the few survivors to the exact counts, which takes the false positives out.
-The filters travel to the tasks only while their size is at most
-``FILTER_BYTES``; beyond it the exact join alone decides, with the same result.
+While the filters are at most ``FILTER_BYTES`` together they all travel to the tasks;
+beyond it references and filters meet by shard: a shard's references are split into
+parts of about ``PART_REFS`` by a hash of key and document, so a line that every document
+holds is many parts, and each part gets its shard's filter only (some 130 kB).
 
 ``insert`` and ``delete`` recount only the keys that the change touches, and add or
 remove just the keys that cross the threshold in the filters of their shards, so
@@ -44,6 +46,7 @@ MIN_CHARS = 20
 MIN_DOCS = 3
 SHARD_KEYS = 50_000
 FILTER_BYTES = 64 << 20
+PART_REFS = 200_000
 MAX_KICKS = 500
 SLOTS = 4
 
@@ -164,8 +167,8 @@ def references(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _count(refs: DataFrame) -> DataFrame:
-    """Exact counts: distinct (key, document) pairs first, then per key."""
-    return refs.distinct().groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc"))
+    """Exact counts per key; ``refs`` are distinct (key, document) pairs."""
+    return refs.groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc"))
 
 
 def _shard(n_shards: int):
@@ -188,7 +191,7 @@ def _build_filters(frequent: DataFrame, n_shards: int) -> DataFrame:
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS,
                 min_docs: int = MIN_DOCS, shard_keys: int = SHARD_KEYS) -> LineIndex:
-    refs = cut(references(docs, id_col, text_col, min_chars), "lines-refs")
+    refs = cut(references(docs, id_col, text_col, min_chars).distinct(), "lines-refs")
     counts = cut(_count(refs), "lines-counts")
     frequent = _frequent(counts, min_docs)
     n_shards = max(1, -(-frequent.count() // shard_keys))
@@ -240,32 +243,48 @@ def delete(index: LineIndex, doc_ids: DataFrame) -> LineIndex:
     return _changed(index, refs, touched)
 
 
+def _passing(table: pa.Table | pa.RecordBatch, held: CuckooFilter):
+    """Rows whose key, the first column, passes the filter."""
+    return table.filter(pa.array(held.contains(_digests(table.column(0).to_pylist()))))
+
+
 def _maybe_frequent(refs: DataFrame, index: LineIndex, filter_bytes: int) -> DataFrame:
-    """The references that pass their shard's filter; all of them when the filters
-    are larger than ``filter_bytes`` together."""
-    spark = refs.sparkSession
+    """The references that pass their shard's filter."""
     size = index.filters.agg(F.sum(F.octet_length("filter").cast("long"))).first()[0] or 0
-    if not size or size > filter_bytes:
-        return refs
-    sent = spark.sparkContext.broadcast({r["shard"]: bytes(r["filter"]) for r in index.filters.collect()})
+    schema = T.StructType([T.StructField("key", T.BinaryType()), refs.schema["doc_id"]])
+    tagged = refs.select("key", "doc_id", _shard(index.n_shards).alias("shard"))
+    if size > filter_bytes:
+        return _by_shard(tagged, index, schema)
+    sent = refs.sparkSession.sparkContext.broadcast({r["shard"]: bytes(r["filter"]) for r in index.filters.collect()})
 
     def run(batches):
         enter_stage()
         filters = {k: CuckooFilter.from_bytes(v) for k, v in sent.value.items()}
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = _digests(batch.column(0).to_pylist())
             shards = np.asarray(batch.column(2).to_numpy(zero_copy_only=False), np.int64)
-            ok = np.zeros(len(keys), bool)
             for s in np.unique(shards):
-                at = shards == s
                 if int(s) in filters:
-                    ok[at] = filters[int(s)].contains(keys[at])
-            yield batch.select([0, 1]).filter(pa.array(ok))
+                    yield _passing(batch.select([0, 1]).filter(pa.array(shards == s)), filters[int(s)])
+
+    return tagged.mapInArrow(run, schema)
+
+
+def _by_shard(tagged: DataFrame, index: LineIndex, schema: T.StructType) -> DataFrame:
+    """Parts of a shard's references beside a copy of its filter; nothing travels whole."""
+    loads = cut(tagged.groupBy("shard").agg(F.count("*").alias("n")).select(
+        "shard", F.ceil(F.col("n") / PART_REFS).cast("int").alias("parts")), "lines-loads")
+    near = small_side(loads, F.lit(64))  # a row per shard, that is per SHARD_KEYS keys
+    parts = tagged.join(near, "shard").select(
+        "key", "doc_id", "shard", F.pmod(F.xxhash64("key", "doc_id"), F.col("parts")).alias("part"))
+    copies = index.filters.join(loads, "shard").select(
+        "filter", "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"))
+
+    def test(_, rows, held):
+        raw = held.column("filter").to_pylist()
+        rows = rows.select(["key", "doc_id"])
+        return _passing(rows, CuckooFilter.from_bytes(raw[0])) if raw and rows.num_rows else rows.slice(0, 0)
 
-    return refs.select("key", "doc_id", _shard(index.n_shards).alias("shard")).mapInArrow(
-        run, T.StructType([T.StructField("key", T.BinaryType()), refs.schema["doc_id"]]))
+    return parts.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInArrow(test, schema)
 
 
 def dropped_keys(index: LineIndex, filter_bytes: int = FILTER_BYTES) -> DataFrame:
