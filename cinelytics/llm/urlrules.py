@@ -6,8 +6,15 @@ token sets of the labelled urls together with the label item; a rule "tokens ->
 block" stays if it holds at least ``min_support`` of the labelled urls and at least
 ``min_confidence`` of those with its tokens are blocked, whatever its length.  Of the
 rules over ``PLAIN_ITEMS`` tokens only those stay that have no rule inside them; the
-others would block nothing more.  An inverted index (each rule under its rarest token) finds the
-candidate rules of a token set, whose other tokens are then checked.  Matching runs
+others would block nothing more.
+
+Tokens that occur in exactly the same labelled urls (a url form with 25 fixed query keys)
+would give every subset of them as an itemset.  They are folded into one item, the
+least of them, before mining; a rule holds for a url that has any of the tokens behind each of its
+items, which is what all rules over single tokens of theirs say together.
+
+An inverted index (each rule under its rarest item) finds the
+candidate rules of a token set, whose other items are then checked.  Matching runs
 once per distinct set of rule tokens, so a host with a third of all rows costs one
 row there.  A url that no hand rule fits is blocked if a mined rule matches.
 
@@ -92,15 +99,53 @@ def _without_inner(sets: DataFrame, plain_items: int) -> DataFrame:
     return kept
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE,
-         plain_items: int = PLAIN_ITEMS) -> DataFrame:
-    """Rules (body, n, confidence, rarest) from rows (tokens, blocked boolean)."""
+def equal_tokens(baskets: DataFrame, min_rows: float) -> dict[str, str]:
+    """Token -> item (the least token of its group) for the tokens of at least ``min_rows``
+    of the rows (rid, tokens) that occur in exactly the same rows as another one.
+
+    Candidates agree in their number of rows and in two 64-bit hashes over them; a group
+    then counts only if every row holds all of it or nothing.  At most (tokens per url) /
+    min_support tokens are that frequent, so the mapping is a bounded list."""
+    seen = baskets.select("rid", F.explode("tokens").alias("token"))
+    print_of = [F.bit_xor(F.xxhash64("rid", F.lit(salt))).alias(f"x{salt}") for salt in (1, 2)]
+    each = seen.groupBy("token").agg(F.count("*").alias("n"), *print_of).where(F.col("n") >= min_rows)
+    groups = each.groupBy("n", "x1", "x2").agg(F.array_sort(F.collect_list("token")).alias("members")).where(F.size("members") > 1)
+    members = cut(groups.select(F.explode("members").alias("token"), F.col("members")[0].alias("item"),
+                                F.size("members").alias("size")), "url-equal")
+    if members.isEmpty():
+        return {}
+    held = seen.join(F.broadcast(members), "token").groupBy("rid", "item", "size").agg(F.count("*").alias("here"))
+    partly = {r["item"] for r in held.where(F.col("here") != F.col("size")).select("item").distinct().collect()}
+    return {r["token"]: r["item"] for r in members.collect() if r["item"] not in partly}
+
+
+def _item(equal: dict[str, str]):
+    """Token column -> item column."""
+    if not equal:
+        return lambda token: token
+    pairs = F.create_map(*[F.lit(x) for pair in sorted(equal.items()) for x in pair])
+    return lambda token: F.coalesce(F.try_element_at(pairs, token), token)
+
+
+def mine(labelled: DataFrame, **params) -> DataFrame:
+    """The rules alone; see ``mine_items``."""
+    return mine_items(labelled, **params)[0]
+
+
+def mine_items(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE,
+               plain_items: int = PLAIN_ITEMS) -> tuple[DataFrame, dict[str, str]]:
+    """Rules (body, n, confidence, rarest) over items, from rows (tokens, blocked boolean);
+    and the tokens that share an item."""
     spark = labelled.sparkSession
+    rows = cut(labelled.where("blocked IS NOT NULL").select(F.monotonically_increasing_id().alias("rid"), "tokens", "blocked"),
+               "url-labelled")
+    total = rows.count()
+    if not total:
+        return spark.createDataFrame([], "body array<string>, n long, confidence double, rarest string"), {}
+    equal = equal_tokens(rows, min_support * total)
     label = F.when(F.col("blocked"), F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>"))
-    baskets = cut(labelled.where("blocked IS NOT NULL").select(F.concat("tokens", label).alias("items")), "url-baskets")
-    if baskets.isEmpty():
-        return spark.createDataFrame([], "body array<string>, n long, confidence double, rarest string")
-    found = FPGrowth(minSupport=min_support, itemsCol="items").fit(baskets).freqItemsets
+    baskets = rows.select(F.concat(F.array_distinct(F.transform("tokens", _item(equal))), label).alias("items"))
+    found = FPGrowth(minSupport=min_support, itemsCol="items").fit(cut(baskets, "url-baskets")).freqItemsets
     sets = cut(found.select(F.array_sort(F.array_remove("items", BLOCK)).alias("body"),
                             F.array_contains("items", BLOCK).alias("blocks"), "freq")
                .where(F.size("body") > 0), "url-itemsets")
@@ -111,15 +156,19 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     single = plain.where(F.size("body") == 1).select(F.col("body")[0].alias("token"), F.col("n_body").alias("df"))
     rarest = (rules.select("body", F.explode("body").alias("token")).join(single, "token")
               .groupBy("body").agg(F.min(F.struct("df", "token")).alias("m")).select("body", F.col("m.token").alias("rarest")))
-    return cut(rules.join(rarest, "body").select("body", "n", "confidence", "rarest"), "url-rules")
+    return cut(rules.join(rarest, "body").select("body", "n", "confidence", "rarest"), "url-rules"), equal
 
 
-def matching_sets(token_sets: DataFrame, rules: DataFrame) -> DataFrame:
-    """(tokens, rule, confidence): the best mined rule of each token set that one matches."""
-    index = rules.select(F.col("rarest").alias("token"), "body", "confidence")
-    hits = token_sets.select("tokens", F.explode("tokens").alias("token")).join(index, "token")
-    hits = hits.where(F.forall("body", lambda x: F.array_contains("tokens", x)))
-    best = F.max(F.struct("confidence", (-F.size("body")).alias("short"), F.array_join("body", " ").alias("rule")))
+def matching_sets(token_sets: DataFrame, rules: DataFrame, equal: dict[str, str] | None = None) -> DataFrame:
+    """(tokens, rule, confidence): the best mined rule of each token set that one matches,
+    written with the set's own tokens (of several behind one item, the largest)."""
+    item = _item(equal or {})
+    index = rules.select(F.col("rarest").alias("item"), "body", "confidence")
+    sets = token_sets.withColumn("items", F.array_distinct(F.transform("tokens", item)))
+    hits = sets.select("tokens", "items", F.explode("items").alias("item")).join(index, "item")
+    hits = hits.where(F.forall("body", lambda x: F.array_contains("items", x)))
+    own = F.transform("body", lambda x: F.array_max(F.filter("tokens", lambda t: item(t) == x)))
+    best = F.max(F.struct("confidence", (-F.size("body")).alias("short"), F.array_join(F.array_sort(own), " ").alias("rule")))
     return hits.groupBy("tokens").agg(best.alias("b")).select("tokens", "b.rule", "b.confidence")
 
 
@@ -128,8 +177,9 @@ def judge(pages: DataFrame, labels: DataFrame | None = None, url_col: str = "url
           **mining) -> DataFrame:
     """``keep`` columns (all by default) plus host, path, rule, verdict, mined_rule.
 
-    Training rows: a url that a hand rule fits is labelled by it; other urls by
-    ``labels`` (id, blocked boolean; several rows of an id: blocked if one says so)."""
+    Training rows: the urls that no hand rule fits and ``labels`` knows (id, blocked boolean; several
+    rows of an id: blocked if one says so), so support and confidence are shares of those
+    alone.  Without ``labels`` the urls that hand rules fit train, labelled by them."""
     keep = pages.columns if keep is None else keep
     keep = [c for c in keep if c.lower() not in {"host", "path", "rule", "verdict", "mined_rule"}]
     inner = {x: fresh(pages, x) for x in ("host", "path", "rule", "verdict", "tokens", "set", "id", "blocked")}
@@ -138,21 +188,22 @@ def judge(pages: DataFrame, labels: DataFrame | None = None, url_col: str = "url
                         host_of(url).alias(inner["host"]), path_of(url).alias(inner["path"]), tokens_of(url).alias(inner["tokens"]))
     rule, verdict = hand_rule(F.col(inner["host"]), F.col(inner["path"]), rules)
     rows = rows.withColumns({inner["rule"]: rule, inner["verdict"]: verdict})
-    by_hand = rows.where(F.col(inner["verdict"]).isNotNull()).select(
-        F.col(inner["tokens"]).alias("tokens"), (F.col(inner["verdict"]) == "block").alias("blocked"))
-    training = by_hand
-    if labels is not None:
+    if labels is None:
+        training = rows.where(F.col(inner["verdict"]).isNotNull()).select(
+            F.col(inner["tokens"]).alias("tokens"), (F.col(inner["verdict"]) == "block").alias("blocked"))
+    else:
         marks = labels.select(F.col(f"`{label_id}`").alias("mark_id"), F.col(f"`{label_col}`").cast("boolean").alias("blocked"))
         marks = marks.where("mark_id IS NOT NULL AND blocked IS NOT NULL").groupBy("mark_id").agg(F.max("blocked").alias("blocked"))
         open_rows = rows.where(F.col(inner["verdict"]).isNull()).select(F.col(inner["id"]).alias("mark_id"), F.col(inner["tokens"]).alias("tokens"))
-        training = by_hand.union(open_rows.join(marks, "mark_id").select("tokens", "blocked"))
-    mined = mine(training, **mining)
+        training = open_rows.join(marks, "mark_id").select("tokens", "blocked")
+    mined, equal = mine_items(training, **mining)
     # at most (tokens per url) / min_support different tokens occur in rules: a bounded list
-    used = [r["t"] for r in mined.select(F.explode("body").alias("t")).distinct().collect()]
+    used = {r["t"] for r in mined.select(F.explode("body").alias("t")).distinct().collect()}
+    used |= {token for token, item in equal.items() if item in used}
     known = F.array(*[F.lit(t) for t in sorted(used)]).cast("array<string>")
     rows = rows.withColumn(inner["set"], F.array_sort(F.array_intersect(inner["tokens"], known)))
     sets = rows.where(F.col(inner["verdict"]).isNull()).select(F.col(inner["set"]).alias("tokens")).distinct()
-    hits = cut(matching_sets(sets, mined), "url-hits").select(
+    hits = cut(matching_sets(sets, mined, equal), "url-hits").select(
         F.col("tokens").alias(inner["blocked"]), F.col("rule").alias("mined_rule"))
     out = rows.join(hits, F.col(inner["set"]) == F.col(inner["blocked"]), "left")
     found = F.when(F.col(inner["rule"]).isNull(), F.col("mined_rule"))
@@ -187,8 +238,7 @@ tok AS (
   WHERE length(t) > 2),
 marks AS (SELECT doc_id, max(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS b FROM labels
           WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
-train AS (SELECT r.rid, CASE WHEN r.hand IS NOT NULL THEN CAST(r.hand = 'block' AS INT) ELSE m.b END AS b
-          FROM r LEFT JOIN marks m ON m.doc_id = r.page_id WHERE r.hand IS NOT NULL OR m.b IS NOT NULL),
+train AS (SELECT r.rid, m.b FROM r JOIN marks m ON m.doc_id = r.page_id WHERE r.hand IS NULL),
 least_n AS (SELECT ceil({MIN_SUPPORT}::DOUBLE * count(*)) AS k FROM train),
 tt AS (SELECT t.rid, t.t, x.b FROM tok t JOIN train x USING (rid)),
 sets AS (
