@@ -264,12 +264,15 @@ def _rows(sample: DataFrame, terms: np.ndarray) -> tuple[list[np.ndarray], np.nd
 
         enter_stage()
         for batch in batches:
-            at = [np.sort(model.active(t)).tolist() for t in _lists(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.list_(pa.int64())), batch.column(1)], names=["at", "y"])
-
-    got = sample.select("terms", "y").mapInArrow(only_chosen, "at array<long>, y int").toArrow()
-    pairs = sorted(zip(got.column("at").to_pylist(), got.column("y").to_pylist()))  # one order on any cluster
-    return [np.array(x, np.int64) for x, _ in pairs], np.array([t for _, t in pairs])
+            at = [np.sort(model.active(t)).astype(np.int32) for t in _lists(batch.column(0))]
+            ends = pa.array(np.cumsum([0, *map(len, at)]), pa.int32())
+            values = pa.array(np.concatenate(at) if at else np.zeros(0, np.int32))
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, values), batch.column(1)], names=["at", "y"])
+
+    got = sample.select("terms", "y").mapInArrow(only_chosen, "at array<int>, y int").toArrow()
+    rows, y = _lists(got.column("at").combine_chunks()), got.column("y").to_numpy()  # views of the Arrow buffers
+    order = sorted(range(len(rows)), key=lambda i: (rows[i].astype(">i4").tobytes(), y[i]))  # one order on any cluster
+    return [rows[i] for i in order], y[order]
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score", keep: list[str] | None = None) -> DataFrame:
