@@ -135,6 +135,47 @@ def validate_json_items(items: DataFrame) -> DataFrame:
         "movieid", movieid).withColumn("rating", rating)
 
 
+def variant_items(subs: DataFrame, json_col: str = "selecteddata") -> DataFrame:
+    """Bodies read as VARIANT: the columns of ``parse_json_ratings``, and for every item its
+    value ``item`` as sent (nested values survive) with the JSON types of its two fields
+    (``string``, ``number``, ``boolean``, ``object``, ``array``, ``null``, ``missing``).
+
+    A number counts by its value (``1e2`` is 100).  A body in which an object repeats a key
+    is malformed: VARIANT holds a key once."""
+    values = F.try_variant_get(F.try_parse_json(json_col), "$", "array<variant>")
+    status = F.when(values.isNull(), "malformed").when(F.size(values) == 0, "empty").otherwise("ok")
+    items = subs.withColumns({"parse_status": status, "__items": values}).select(
+        "*", F.posexplode_outer("__items").alias("pos", "item"))
+    fields = {f: F.try_variant_get("item", f"$.{f}", "variant") for f in ("movieid", "rating")}
+    text = {f: F.when(~_json_type(v).isin("object", "array"), F.try_variant_get(v, "$", "string")) for f, v in fields.items()}
+    return items.select(
+        *[c for c in subs.columns if c != json_col], "parse_status",
+        F.when(F.col("parse_status") == "ok", F.col("pos")).cast("int").alias("pos"), "item",
+        text["movieid"].alias("movieid_raw"), (_json_type(fields["movieid"]) == "string").alias("movieid_is_string"),
+        text["rating"].alias("rating_raw"),
+        *[F.when(F.col("parse_status") == "ok", _json_type(v)).alias(f"{f}_type") for f, v in fields.items()],
+    )
+
+
+def _json_type(value):
+    """The JSON type of a VARIANT."""
+    name = F.schema_of_variant(value)
+    return (F.when(value.isNull(), "missing").when(name == "VOID", "null").when(name == "STRING", "string")
+            .when(name == "BOOLEAN", "boolean").when(name.startswith("ARRAY"), "array")
+            .when(name.startswith("OBJECT"), "object").otherwise("number"))
+
+
+def rejected_items(subs: DataFrame, json_col: str = "selecteddata") -> DataFrame:
+    """The items of well-formed bodies that are not accepted, with their value as sent, the
+    types of their fields and the field that failed first."""
+    items = validate_json_items(variant_items(subs, json_col)).where((F.col("parse_status") == "ok") & ~F.col("accepted"))
+    truthy = F.coalesce(F.when(F.col("movieid_type") == "string", F.length("movieid_raw") > 0)
+                        .otherwise(F.col("movieid_raw").try_cast("double") != 0), F.lit(False))
+    reason = F.when(~truthy | F.col("movieid").isNull(), "movieid").otherwise("rating")
+    keep = [c for c in subs.columns if c != json_col]
+    return items.select(*keep, "pos", "item", "movieid_type", "rating_type", reason.alias("reason"))
+
+
 def valid_submissions(subs: DataFrame, json_col: str = "selecteddata") -> DataFrame:
     """Accepted items only: (submission columns, pos, movieid, rating)."""
     items = validate_json_items(parse_json_ratings(subs, json_col)).where("accepted")

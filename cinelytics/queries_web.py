@@ -18,6 +18,8 @@ from .operators import recommend as rec
 from .operators import status as st
 from .plans.joins import join_dimension
 from .queries import V, register
+from .session import scratch_path
+from .sources import ranked
 
 # ------------------------------------------------- DuckDB text of helpers --
 NO_POSTER = C.NO_POSTER
@@ -148,6 +150,30 @@ def q_catalog_page_modes(spark, d):
     return reduce(DataFrame.unionByName, pages)
 
 
+@register("catalog_pages_stored", fx.oracle_with(["movieinfo_v"], """
+SELECT movieid, moviename, averating, CAST((pos - 1) // 24 + 1 AS BIGINT) AS page, pos AS rank FROM (
+  SELECT *, row_number() OVER (ORDER BY averating DESC NULLS LAST, movieid) AS pos,
+         CAST(ceil(count(*) OVER () / 24) AS BIGINT) AS pages FROM movieinfo_v) t
+WHERE (pos - 1) // 24 + 1 IN (1, pages // 2 + 1, pages)"""))
+def q_catalog_pages_stored(spark, d):
+    """First, middle and last page from the stored order; a page reads the files that hold it."""
+    stored = _stored_order(spark, d, "movieinfo_v", "catalog", cat.sort_spec("highest_rated", None))
+    last = -(-stored.total // C.PAGE_SIZE)
+    pages = [stored.page(p, C.PAGE_SIZE).withColumn("page", F.lit(p).cast("long")) for p in sorted({1, last // 2 + 1, last})]
+    return reduce(DataFrame.unionByName, pages).select("movieid", "moviename", "averating", "page", "rank")
+
+
+_STORED: dict[tuple[str, str, str], ranked.RankedTable] = {}  # (application, input folder, name) -> stored order
+
+
+def _stored_order(spark, d, view, name, order, groups=()):
+    """The view in a stored order: written once per input and application."""
+    at = (spark.sparkContext.applicationId, d, name)
+    if at not in _STORED:
+        _STORED[at] = ranked.write_ranked(V(spark, d, view), scratch_path(spark, f"ranked-{name}"), order, groups)
+    return _STORED[at]
+
+
 @register("catalog_page_count", fx.oracle_with(["movieinfo_v"], """
 SELECT CAST(count(*) AS BIGINT) AS total_movies, CAST(ceil(count(*) / 24) AS BIGINT) AS total_pages
 FROM movieinfo_v"""))
@@ -278,6 +304,31 @@ def q_history_sorted(spark, d):
     return h.select("userid", "movieid", "rating", "timestamp", "history_rank")
 
 
+def _stored_history(spark, d):
+    order = [F.col("timestamp").desc(), F.col("rating").desc(), F.col("movieid").asc()]
+    return _stored_order(spark, d, "my_ratings_v", "history", order, ["userid"])
+
+
+@register("history_stored", fx.oracle_with(["my_ratings_v"], """
+SELECT userid, movieid, rating, timestamp,
+       row_number() OVER (PARTITION BY userid ORDER BY timestamp DESC, rating DESC, movieid) AS history_rank
+FROM my_ratings_v"""))
+def q_history_stored(spark, d):
+    """E3 from the stored order: every position without a shuffle of the ratings, window or checkpoint."""
+    return _stored_history(spark, d).positions("history_rank")
+
+
+@register("history_second_page", fx.oracle_with(["my_ratings_v", "progress_v"], f"""
+SELECT userid, movieid, rating, timestamp, history_rank FROM (
+  SELECT userid, movieid, rating, timestamp,
+         row_number() OVER (PARTITION BY userid ORDER BY timestamp DESC, rating DESC, movieid) AS history_rank
+  FROM my_ratings_v) t
+WHERE history_rank BETWEEN 11 AND 20 AND userid IN ({SQL_FAILED_USERS})"""))
+def q_history_second_page(spark, d):
+    """Positions 11 to 20 of the users whose last job failed, from the files that hold them."""
+    return _stored_history(spark, d).positions_of(failed_users(spark, d), 11, 20, "history_rank")
+
+
 @register("history_sort_modes", fx.oracle_with(["ratings_v", "my_ratings_v"], """
 SELECT userid, movieid, rating, timestamp,
        row_number() OVER (PARTITION BY userid ORDER BY rating ASC, timestamp DESC, movieid) AS history_rank
@@ -393,6 +444,27 @@ def q_valid_submissions(spark, d):
         "submission_id", "userid", "pos", "movieid", "rating")
 
 
+_KIND = "CASE json_type(item, '$.{0}') WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' " \
+        "WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' ELSE CASE WHEN json_type(item, '$.{0}') IS NULL THEN 'missing' ELSE 'number' END END"
+SQL_TYPES = f"""
+SELECT submission_id, CAST(i AS INTEGER) AS pos, {_KIND.format("movieid")} AS movieid_type, {_KIND.format("rating")} AS rating_type
+FROM (SELECT submission_id, i, json_extract(selecteddata, '$[' || i || ']') AS item
+      FROM (SELECT *, unnest(range(n_items)) AS i FROM ({SQL_BODIES}) bodies WHERE n_items > 0) a) b"""
+
+
+@register("rejected_items", fx.oracle_with(["submissions_v"], f"""
+SELECT v.submission_id, v.userid, v.pos, t.movieid_type, t.rating_type,
+       CASE WHEN (CASE WHEN t.movieid_type = 'string' THEN length(v.movieid_raw) > 0
+                       ELSE coalesce(TRY_CAST(v.movieid_raw AS DOUBLE), 0) <> 0 END) AND v.movieid IS NOT NULL
+            THEN 'rating' ELSE 'movieid' END AS reason
+FROM ({SQL_VALID_ITEMS}) v JOIN ({SQL_TYPES}) t ON t.submission_id = v.submission_id AND t.pos = v.pos
+WHERE v.parse_status = 'ok' AND NOT v.accepted"""))
+def q_rejected_items(spark, d):
+    """Rejected items with the types they were sent in (VARIANT bodies) and the field that failed."""
+    return rt.rejected_items(V(spark, d, "submissions_v")).select(
+        "submission_id", "userid", "pos", "movieid_type", "rating_type", "reason")
+
+
 @register("submission_outcome", fx.oracle_with(["submissions_v"], f"""
 SELECT userid, submission_id, parse_status, n_accepted, n_rejected,
        CASE WHEN parse_status <> 'ok' THEN 400 WHEN n_accepted = 0 THEN 500 ELSE 200 END AS http_status,
