@@ -27,10 +27,10 @@ def favorites_by_category(favorites: DataFrame, category: str | None) -> DataFra
     return favorites
 
 
-def favorites_list(favorites: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Favourites left-joined to the catalog."""
+def favorites_list(favorites: DataFrame, catalog: DataFrame, join=join_dimension) -> DataFrame:
+    """Favourites left-joined to the catalog; ``join`` as in ``ratings.rating_history``."""
     cat = catalog.select("movieid", "moviename", "picture", "averating", "typelist", "releasetime", "director")
-    return join_dimension(favorites, cat, "movieid", "left")
+    return join(favorites, cat, "movieid", "left")
 
 
 def favorites_sorted(favorites: DataFrame) -> DataFrame:

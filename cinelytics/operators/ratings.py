@@ -30,13 +30,14 @@ def filter_user_ratings(ratings: DataFrame, users) -> DataFrame:
     return ratings.where(F.col("userid") == F.lit(int(users)))
 
 
-def rating_history(personal: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Personal ratings left-joined to the catalog (the history page's rows)."""
+def rating_history(personal: DataFrame, catalog: DataFrame, join=join_dimension) -> DataFrame:
+    """Personal ratings left-joined to the catalog (the history page's rows); ``join``:
+    ``join_in_place`` for tables stored in the same buckets."""
     cat = catalog.select(
         "movieid", "moviename", "picture", F.col("averating").alias("avg_rating"),
         F.col("numrating").alias("rating_count"), "typelist", "releasetime", "director",
     )
-    return join_dimension(personal, cat, "movieid", "left")
+    return join(personal, cat, "movieid", "left")
 
 
 def history_sorted(history: DataFrame, mode: str = "newest") -> DataFrame:

@@ -61,6 +61,18 @@ def user_facts(progress_log: DataFrame, recs: DataFrame, ratings: DataFrame,
     return facts.fillna(0, subset=["n_recs", "n_ratings"])
 
 
+def user_facts_of(users: DataFrame, progress_log: DataFrame, recs: DataFrame, ratings: DataFrame,
+                  order=("ts", "event_id")) -> DataFrame:
+    """``user_facts`` of the given distinct users.  Left joins keep the users' partitioning
+    (a full join keeps none), so four tables stored in buckets of ``userid`` are
+    aggregated and joined without an exchange."""
+    latest = progress_latest(progress_log.select("userid", "progress", "step", *order), order=order)
+    facts = users.select("userid").join(latest.select("userid", "progress", "step"), "userid", "left")
+    for rows, n in ((recs, "n_recs"), (ratings, "n_ratings")):
+        facts = facts.join(rows.groupBy("userid").agg(F.count(F.lit(1)).alias(n)), "userid", "left")
+    return facts.fillna(0, subset=["n_recs", "n_ratings"])
+
+
 def count_recommendations_by_user(users: DataFrame, recs: DataFrame) -> DataFrame:
     """Recommendations per user, zero for users without any."""
     counts = recs.groupBy("userid").agg(F.count(F.lit(1)).alias("n_recommendations"))

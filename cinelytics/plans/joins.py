@@ -64,6 +64,12 @@ def join_dimension(
     return fact.join(dim, keys, how)
 
 
+def join_in_place(fact: DataFrame, dim: DataFrame, on: str | Sequence[str], how: str = "inner") -> DataFrame:
+    """Join two tables that are stored in the same buckets of ``on``: a merge of the buckets,
+    whatever the size of ``dim``; without buckets, a shuffle join under AQE's skew join."""
+    return fact.join(dim.hint("merge"), _keys(on), how)
+
+
 def is_in_dimension(fact: DataFrame, dim_keys: DataFrame, on: str | Sequence[str], flag: str,
                     max_rows: int | None = None) -> DataFrame:
     """Add a boolean ``flag``: does the fact row's key exist in ``dim_keys``."""

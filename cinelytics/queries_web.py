@@ -16,10 +16,10 @@ from .operators import ratings as rt
 from .operators import search
 from .operators import recommend as rec
 from .operators import status as st
-from .plans.joins import join_dimension
+from .plans.joins import join_dimension, join_in_place
 from .queries import V, register
 from .session import scratch_path
-from .sources import ranked
+from .sources import colocated, ranked
 
 # ------------------------------------------------- DuckDB text of helpers --
 NO_POSTER = C.NO_POSTER
@@ -163,7 +163,8 @@ def q_catalog_pages_stored(spark, d):
     return reduce(DataFrame.unionByName, pages).select("movieid", "moviename", "averating", "page", "rank")
 
 
-_STORED: dict[tuple[str, str, str], ranked.RankedTable] = {}  # (application, input folder, name) -> stored order
+# (application, input folder, name) -> stored tables
+_STORED: dict[tuple[str, str, str], ranked.RankedTable | colocated.Colocated] = {}
 
 
 def _stored_order(spark, d, view, name, order, groups=()):
@@ -174,6 +175,19 @@ def _stored_order(spark, d, view, name, order, groups=()):
     return _STORED[at]
 
 
+def _colocated(spark, d, name, key, tables):
+    """The tables that ``tables()`` builds in shared buckets of ``key``: written once per input and application."""
+    at = (spark.sparkContext.applicationId, d, name)
+    if at not in _STORED:
+        _STORED[at] = colocated.write_colocated(tables(), key, scratch_path(spark, f"colocated-{name}"))
+    return _STORED[at]
+
+
+def _by_movie(spark, d):
+    return _colocated(spark, d, "by-movie", "movieid", lambda: {
+        "ratings": V(spark, d, "my_ratings_v"), "favorites": V(spark, d, "favorites_v"), "movies": V(spark, d, "movieinfo_v")})
+
+
 @register("catalog_page_count", fx.oracle_with(["movieinfo_v"], """
 SELECT CAST(count(*) AS BIGINT) AS total_movies, CAST(ceil(count(*) / 24) AS BIGINT) AS total_pages
 FROM movieinfo_v"""))
@@ -285,15 +299,25 @@ SELECT pr.userid, pr.movieid, pr.rating, pr.timestamp, mi.moviename, mi.picture,
 FROM my_ratings_v pr LEFT JOIN movieinfo_v mi ON pr.movieid = mi.movieid"""
 
 
-@register("rating_history", fx.oracle_with(["ratings_v", "my_ratings_v", "movieinfo_v"], f"""
+SQL_RATING_HISTORY = fx.oracle_with(["ratings_v", "my_ratings_v", "movieinfo_v"], f"""
 SELECT userid, movieid, rating, timestamp, moviename, picture, avg_rating, rating_count, typelist,
-       strftime(releasetime, '%Y-%m-%d') AS releasetime, director FROM ({SQL_HISTORY}) h"""))
+       strftime(releasetime, '%Y-%m-%d') AS releasetime, director FROM ({SQL_HISTORY}) h""")
+
+
+@register("rating_history", SQL_RATING_HISTORY)
 def q_rating_history(spark, d):
     """Every user's ratings left-joined to the catalog."""
     h = rt.rating_history(V(spark, d, "my_ratings_v"), V(spark, d, "movieinfo_v"))
     return h.withColumn("releasetime", F.date_format("releasetime", "yyyy-MM-dd"))
 
 
+@register("rating_history_in_place", SQL_RATING_HISTORY)
+def q_rating_history_in_place(spark, d):
+    """C3 from tables in shared buckets of the movie: merged where they lie, no exchange at any catalog size."""
+    h = _by_movie(spark, d).per_key(lambda t: rt.rating_history(t["ratings"], t["movies"], join_in_place))
+    return h.withColumn("releasetime", F.date_format("releasetime", "yyyy-MM-dd"))
+
+
 @register("history_sorted", fx.oracle_with(["ratings_v", "my_ratings_v"], """
 SELECT userid, movieid, rating, timestamp,
        row_number() OVER (PARTITION BY userid ORDER BY timestamp DESC, rating DESC, movieid) AS history_rank
@@ -567,27 +591,49 @@ SELECT f.id, f.userid, f.movieid, f.category, f.rating, f.note, f.createtime, m.
 FROM favorites_v f LEFT JOIN movieinfo_v m ON f.movieid = m.movieid"""
 
 
-@register("favorites_list", fx.oracle_with(["favorites_v", "movieinfo_v"], f"""
+SQL_FAVORITES_LIST = fx.oracle_with(["favorites_v", "movieinfo_v"], f"""
 SELECT id, userid, movieid, category, rating, note, epoch_us(createtime) AS createtime_us, moviename, picture, averating,
-       typelist, strftime(releasetime, '%Y-%m-%d') AS releasetime, director FROM ({SQL_FAV_JOIN}) j"""))
+       typelist, strftime(releasetime, '%Y-%m-%d') AS releasetime, director FROM ({SQL_FAV_JOIN}) j""")
+
+
+@register("favorites_list", SQL_FAVORITES_LIST)
 def q_favorites_list(spark, d):
     """C4: favourites left-joined to the catalog."""
-    listed = fav.favorites_list(V(spark, d, "favorites_v"), V(spark, d, "movieinfo_v"))
+    return _listed(fav.favorites_list(V(spark, d, "favorites_v"), V(spark, d, "movieinfo_v")))
+
+
+@register("favorites_list_in_place", SQL_FAVORITES_LIST)
+def q_favorites_list_in_place(spark, d):
+    """C4 from tables in shared buckets of the movie: merged where they lie."""
+    return _listed(_by_movie(spark, d).per_key(lambda t: fav.favorites_list(t["favorites"], t["movies"], join_in_place)))
+
+
+def _listed(listed):
     return listed.select("id", "userid", "movieid", "category", "rating", "note",
                          C.epoch_micros("createtime").alias("createtime_us"), "moviename", "picture", "averating", "typelist",
                          F.date_format("releasetime", "yyyy-MM-dd").alias("releasetime"), "director")
 
 
-@register("favorites_sorted", fx.oracle_with(["favorites_v"], """
+SQL_FAVORITES_SORTED = fx.oracle_with(["favorites_v"], """
 SELECT userid, id, epoch_us(createtime) AS createtime_us,
        row_number() OVER (PARTITION BY userid ORDER BY createtime DESC, id DESC) AS list_rank
-FROM favorites_v"""))
+FROM favorites_v""")
+
+
+@register("favorites_sorted", SQL_FAVORITES_SORTED)
 def q_favorites_sorted(spark, d):
     """Newest favourite first, as a per-user position."""
     listed = fav.favorites_sorted(V(spark, d, "favorites_v"))
     return listed.select("userid", "id", C.epoch_micros("createtime").alias("createtime_us"), "list_rank")
 
 
+@register("favorites_stored", SQL_FAVORITES_SORTED)
+def q_favorites_stored(spark, d):
+    """E4 from the stored order: every position without a shuffle of the favourites, window or checkpoint."""
+    stored = _stored_order(spark, d, "favorites_v", "favorites", [F.col("createtime").desc(), F.col("id").desc()], ["userid"])
+    return stored.positions("list_rank").select("userid", "id", C.epoch_micros("createtime").alias("createtime_us"), "list_rank")
+
+
 @register("favorites_display", fx.oracle_with(["favorites_v", "movieinfo_v"], f"""
 SELECT userid, movieid AS id, {S_DEFAULT('moviename', C.UNKNOWN_MOVIE)} AS title, {S_POSTER('picture')} AS poster,
        {S_FIXED('averating')} AS rating, {S_GENRES('typelist', 3)} AS genres, {S_YEAR('releasetime')} AS release_year,
@@ -762,7 +808,7 @@ def q_count_recommendations_by_user(spark, d):
     return st.count_recommendations_by_user(users, V(spark, d, "recommendations_v"))
 
 
-@register("job_status", fx.oracle_with(["ratings_v", "my_ratings_v", "progress_v", "recommendations_v"], f"""
+SQL_JOB_STATUS = fx.oracle_with(["ratings_v", "my_ratings_v", "progress_v", "recommendations_v"], f"""
 SELECT u.userid,
   CASE WHEN p.progress IS NOT NULL AND p.progress >= 100 THEN 'completed'
        WHEN p.progress IS NOT NULL THEN 'processing'
@@ -786,12 +832,30 @@ SELECT u.userid,
 FROM ({SQL_ALL_USERS}) u
 LEFT JOIN ({SQL_LATEST_PROGRESS}) p ON p.userid = u.userid
 LEFT JOIN (SELECT userid, count(*) AS n FROM recommendations_v GROUP BY userid) rc ON rc.userid = u.userid
-LEFT JOIN (SELECT userid, count(*) AS n FROM my_ratings_v GROUP BY userid) rt ON rt.userid = u.userid"""))
+LEFT JOIN (SELECT userid, count(*) AS n FROM my_ratings_v GROUP BY userid) rt ON rt.userid = u.userid""")
+
+
+@register("job_status", SQL_JOB_STATUS)
 def q_job_status(spark, d):
     """Detailed job status of every user."""
     return st.job_status(_facts(spark, d))
 
 
+def _by_user(spark, d):
+    def tables():
+        held = {"progress": V(spark, d, "progress_v"), "recs": V(spark, d, "recommendations_v"), "ratings": V(spark, d, "my_ratings_v")}
+        return {**held, "users": reduce(DataFrame.union, [t.select("userid") for t in held.values()]).distinct()}
+
+    return _colocated(spark, d, "by-user", "userid", tables)
+
+
+@register("job_status_in_place", SQL_JOB_STATUS)
+def q_job_status_in_place(spark, d):
+    """S1 from tables in shared buckets of the user: aggregated and joined where they lie."""
+    return _by_user(spark, d).per_key(
+        lambda t: st.job_status(st.user_facts_of(t["users"], t["progress"], t["recs"], t["ratings"])))
+
+
 @register("job_status_simple", fx.oracle_with(["ratings_v", "my_ratings_v", "progress_v", "recommendations_v"], f"""
 SELECT u.userid, CASE WHEN p.progress >= 100 THEN 'completed' ELSE 'running' END AS status,
        CAST(coalesce(p.progress, 0) AS INTEGER) AS progress,
