@@ -6,18 +6,17 @@ score = sigmoid(w0 + sum w_i + sum_{i<j} <v_i, v_j>) over its terms, so pairs su
 as an insult and the mention of a group get a weight of their own, which an
 additive model can't give.
 
-Training is bounded: at most about ``train_rows`` labelled documents, chosen by a
-hash of their id, and at most ``vocabulary`` terms of at least ``min_df`` of them.
-Candidates are, in this order, the telling terms, whose presence differs between
-the labels in either direction (log-likelihood ratio from ``MIN_LLR`` on); their
-partners, which tell the labels apart among the documents of one most telling term
-(such as a group's name, neutral but for an insult beside it); and the most frequent
-terms.  All are counted on Spark; only the sample's rows over the candidates
-(``train_rows x vocabulary`` bits at the very most) reach the driver.  It tests every
-pair of them for a weight of its own (log-likelihood ratio of their four cells
-against two additive weights, each distinct row once, from ``PAIR_LLR`` on, beyond
-what chance gives over all pairs) and fits the model by AdaGrad on the telling terms
-and the terms of such pairs; the others tell nothing that the sample can show.
+Training is bounded by its rows alone: at most about ``train_rows`` labelled documents,
+chosen by a hash of their id.  Every term that ``min_df`` of them hold is a candidate, however
+many there are.  Telling terms are those whose presence differs between the labels in either
+direction (log-likelihood ratio from ``MIN_LLR`` on).  All pairs of candidates that occur
+together are tested for a weight of their own (log-likelihood ratio of their four cells
+against two additive weights, each distinct row once, from ``PAIR_LLR`` on, beyond what chance
+gives over all pairs): a group's name is neutral but for an insult beside it.  A Spark task
+counts the partners of some terms over the sample, a term at a time, so it holds a counter
+per candidate and never a matrix.  The driver holds the sample's rows over the candidates
+and fits the model by AdaGrad on the telling terms and the terms of such pairs; the others
+tell nothing that the sample can show.
 Scoring reads whole texts of all documents.
 
 Labels, language, source and id are never inputs of a score.  Null or empty texts
@@ -36,11 +35,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, enter_stage, fresh, map_texts, table
+from .common import cut, enter_stage, fresh, kept, map_texts, table
 
 BITS = 40
 TRAIN_ROWS = 20_000
-VOCABULARY = 4_096
 MIN_DF = 8
 MIN_LLR = 12.0
 PAIR_LLR = 40.0
@@ -139,38 +137,85 @@ def _interaction(n: np.ndarray, a: np.ndarray) -> np.ndarray:
         return 2 * np.where(seen > 0, seen * np.log(seen / m), 0.0).sum(axis=(1, 2, 3))
 
 
-def paired(rows: list[np.ndarray], y: np.ndarray, telling: np.ndarray, min_llr: float = PAIR_LLR, block: int = 128) -> np.ndarray:
+GATHER = 1 << 20  # terms of rows looked at in one step
+
+
+class _Sample:
+    """Rows of indexes as one array, and the rows of each index."""
+
+    def __init__(self, values: np.ndarray, ends: np.ndarray, y: np.ndarray, terms: int):
+        self.values, self.ends, self.y, self.terms = values, ends, y, terms
+        by_term = np.argsort(values, kind="stable")
+        self.docs = (np.searchsorted(ends, by_term, side="right") - 1).astype(np.int32)
+        self.first = np.searchsorted(values[by_term], np.arange(terms + 1))
+        self.n, self.pos = float(len(y)), float(y.sum())
+        self.ni = np.diff(self.first).astype(float)
+        self.ai = np.bincount(values, np.repeat(y, np.diff(ends)), terms)
+        self.none = _entropy(np.float64(self.pos), np.float64(self.n))
+        self.alone = _entropy(self.ai, self.ni) + _entropy(self.pos - self.ai, self.n - self.ni) - self.none
+
+    def _together(self, docs: np.ndarray) -> np.ndarray:
+        """How many of the rows hold each index."""
+        out = np.zeros(self.terms)
+        start, size = self.ends[docs], self.ends[docs + 1] - self.ends[docs]
+        upto = np.cumsum(size)
+        steps = np.searchsorted(upto, np.arange(0, upto[-1] if len(upto) else 0, GATHER), side="right")
+        for low, high in zip(steps, [*steps[1:], len(docs)]):
+            s, n = start[low:high], size[low:high]
+            at = np.repeat(s - np.cumsum(n) + n, n) + np.arange(n.sum())
+            out += np.bincount(self.values[at], minlength=self.terms)
+        return out
+
+    def partners(self, i: int, telling: np.ndarray, min_llr: float) -> np.ndarray:
+        """The indexes after ``i`` that form a pair with it.  Two that never occur together leave
+        their common cell empty, which two additive weights always fit."""
+        docs = self.docs[self.first[i]:self.first[i + 1]]
+        a11 = self._together(docs[self.y[docs] == 1])
+        n11 = a11 + self._together(docs[self.y[docs] == 0])
+        j = np.flatnonzero((n11 > 0) & (np.arange(self.terms) > i) & ~(telling[i] & telling))
+        n11, a11, nj, aj = n11[j], a11[j], self.ni[j], self.ai[j]
+        ni, ai = self.ni[i], self.ai[i]
+        ns = [n11, ni - n11, nj - n11, self.n - ni - nj + n11]
+        as_ = [a11, ai - a11, aj - a11, self.pos - ai - aj + a11]
+        # an additive model fits at least as well as the better of the two terms alone
+        cells = sum((_entropy(p, q) for p, q in zip(as_, ns)), np.zeros(len(j))) - self.none
+        able = np.flatnonzero(2 * (cells - np.maximum(self.alone[i], self.alone[j])) >= min_llr)
+        if not len(able):
+            return j[:0]
+        tables = [np.stack([c[able] for c in side], axis=-1).reshape(-1, 2, 2) for side in (ns, as_)]
+        return j[able[_interaction(*tables) >= min_llr]]
+
+
+def paired(spark: SparkSession, rows: list[np.ndarray], y: np.ndarray, telling: np.ndarray, min_llr: float = PAIR_LLR) -> np.ndarray:
     """Which terms form a pair with a weight of its own; pairs of two ``telling`` terms,
     which stay anyway, aren't tested.  Equal rows count once."""
+    out, k = np.zeros(len(telling), bool), len(telling)
     distinct = {(r.tobytes(), int(t)): r for r, t in zip(rows, y)}
-    rows, y, k = list(distinct.values()), np.array([t for _, t in distinct]), len(telling)
-    both, toxic = np.zeros((k, k), np.float32), np.zeros((k, k), np.float32)
-    for at in range(0, len(rows), 1024):
-        part = rows[at:at + 1024]
-        x = np.zeros((len(part), k), np.float32)
-        for i, r in enumerate(part):
-            x[i, r] = 1
-        both += x.T @ x
-        x = x[y[at:at + 1024] == 1]
-        toxic += x.T @ x
-    n, pos, ni, ai = float(len(rows)), float(y.sum()), np.diag(both).astype(float), np.diag(toxic).astype(float)
-    none = _entropy(np.float64(pos), np.float64(n))
-    alone = _entropy(ai, ni) + _entropy(pos - ai, n - ni) - none
-    out = np.zeros(k, bool)
-    for at in range(0, k, block):
-        n11, a11 = both[at:at + block].astype(float), toxic[at:at + block].astype(float)
-        n1, a1 = ni[at:at + block, None], ai[at:at + block, None]
-        ns, as_ = [n11, n1 - n11, ni - n11, n - n1 - ni + n11], [a11, a1 - a11, ai - a11, pos - a1 - ai + a11]
-        cells = sum(_entropy(p, q) for p, q in zip(as_, ns)) - none
-        # an additive model fits at least as well as the better of the two terms alone
-        able = 2 * (cells - np.maximum(alone[at:at + block, None], alone)) >= min_llr
-        able &= (np.arange(k) > np.arange(at, at + len(able))[:, None]) & ~(telling[at:at + block, None] & telling)
-        i, j = np.nonzero(able)
-        for p in range(0, len(i), 65_536):
-            u, v = i[p:p + 65_536], j[p:p + 65_536]
-            tables = [np.stack([c[u, v] for c in side], axis=-1).reshape(-1, 2, 2) for side in (ns, as_)]
-            good = _interaction(*tables) >= min_llr
-            out[at + u[good]] = out[v[good]] = True
+    if not k or not distinct:
+        return out
+    values = np.concatenate(list(distinct.values())).astype(np.int32)
+    ends = np.cumsum([0, *(len(r) for r in distinct.values())])
+    # the sample's rows, bounded by train_rows: each task looks up all rows of its terms
+    sent = spark.sparkContext.broadcast((values, ends, np.array([t for _, t in distinct], np.int8), telling))
+    del distinct, values, ends
+
+    def work(batches):
+        import pyarrow as pa
+
+        enter_stage()
+        held_values, held_ends, labels, known = sent.value
+        held = kept("toxic-pairs", lambda: _Sample(held_values, held_ends, labels, len(known)))
+        for batch in batches:
+            found = [np.zeros(0, np.int64)]
+            for i in batch.column(0).to_pylist():
+                with_i = held.partners(i, known, min_llr)
+                found += [with_i, np.full(min(len(with_i), 1), i)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)), pa.int64())], names=["t"])
+
+    parts = max(1, min(k // 64, 4 * spark.sparkContext.defaultParallelism))
+    found = spark.range(0, k, 1, parts).mapInArrow(work, "t long").distinct().toArrow()  # a row per term at most
+    out[found.column("t").to_numpy()] = True
+    sent.destroy()
     return out
 
 
@@ -185,7 +230,7 @@ def _llr(a, b, pos, neg):
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id",
-          label_col: str = "toxic", train_rows: int = TRAIN_ROWS, vocabulary: int = VOCABULARY, min_df: int = MIN_DF) -> Model:
+          label_col: str = "toxic", train_rows: int = TRAIN_ROWS, min_df: int = MIN_DF) -> Model:
     """Fit on the labelled rows of ``labels`` (the caller leaves held-out rows out)."""
     labels = (labels.select(F.col(f"`{label_id}`").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("y"))
               .where("doc_id IS NOT NULL AND y IS NOT NULL").groupBy("doc_id").agg(F.max("y").alias("y")))
@@ -207,48 +252,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     counts = (sample.select(F.explode("terms").alias("t"), "y").groupBy("t").agg(*tally)
               .where(F.col("a") + F.col("b") >= min_df)
               .withColumn("llr", _llr(a, b, F.lit(float(pos)), F.lit(float(neg)))))
-    counts = cut(counts, "toxic-terms")
-    # computed where the counts are: only the chosen terms travel
-    telling = {r["t"]: r["llr"] for r in counts.where(F.col("llr") >= MIN_LLR).orderBy(F.desc("llr"), "t").limit(vocabulary).collect()}
-    chosen = dict.fromkeys(telling)
-    for more in (_partners(sample, telling, tally, min_df), counts.select("t", (F.col("a") + F.col("b")).alias("rank"))):
-        if len(chosen) < vocabulary:
-            # those chosen before may be among the first
-            first = more.orderBy(F.desc("rank"), "t").limit(vocabulary + len(chosen)).collect()
-            chosen |= dict.fromkeys([r["t"] for r in first if r["t"] not in chosen][:vocabulary - len(chosen)])
-    terms = np.sort(np.array(list(chosen), np.int64))
+    found = counts.select("t", (F.col("llr") >= MIN_LLR).alias("telling")).toArrow()  # bounded by the sample's terms
+    terms, telling = found.column("t").to_numpy(), found.column("telling").to_numpy(zero_copy_only=False)
+    order = np.argsort(terms)
+    terms, telling = terms[order], telling[order].astype(bool)
     rows, y = _rows(sample, terms)
-    known = np.array([t in telling for t in terms.tolist()], bool)
-    keep = known | paired(rows, y, known) if len(terms) else known
+    keep = telling | paired(docs.sparkSession, rows, y, telling)
     place = np.cumsum(keep) - 1
     return fit([place[r[keep[r]]] for r in rows], y, terms[keep])
 
 
-def _partners(sample: DataFrame, telling: dict[int, float], tally: list, min_df: int) -> DataFrame:
-    """(t, rank): each document counts for its most telling term only, so this is linear in
-    the sample's terms; rank is the term's best log-likelihood ratio in such a group."""
-    order = np.array(sorted(telling, key=lambda t: (-telling[t], t)), np.int64)
-    rank = np.argsort(order)  # by sorted term: its place in the order
-    known = Model(np.sort(order), 0.0, np.zeros(0), np.zeros((0, 1)))
-
-    def lead(batches):
-        import pyarrow as pa
-
-        enter_stage()
-        for batch in batches:
-            found = [known.active(ts) for ts in _lists(batch.column(0))]
-            group = pa.array([int(order[rank[at].min()]) if len(at) else None for at in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([group, batch.column(0), batch.column(1)], names=["g", "terms", "y"])
-
-    led = cut(sample.select("terms", "y").mapInArrow(lead, "g long, terms array<long>, y int").where("g IS NOT NULL"), "toxic-led")
-    sizes = led.groupBy("g").agg(F.sum("y").cast("double").alias("pos"), F.sum(1 - F.col("y")).cast("double").alias("neg"))
-    sizes = F.broadcast(sizes.where("pos > 0 AND neg > 0"))  # at most a row for each telling term
-    pairs = led.select("g", F.explode("terms").alias("t"), "y").where("t <> g").groupBy("g", "t").agg(*tally)
-    pairs = pairs.where(F.col("a") + F.col("b") >= min_df).join(sizes, "g")
-    llr = _llr(F.col("a").cast("double"), F.col("b").cast("double"), F.col("pos"), F.col("neg"))
-    return pairs.withColumn("llr", llr).where(F.col("llr") >= MIN_LLR).groupBy("t").agg(F.max("llr").alias("rank"))
-
-
 def _lists(column) -> list[np.ndarray]:
     """The rows of an Arrow list column as views: no Python number per term."""
     values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()

@@ -1,6 +1,7 @@
 """Brute-force checks of operators 3, 6, 7 and 10 where a plain definition can be written down."""
 
 import itertools
+import math
 import random
 
 import numpy as np
@@ -176,3 +177,48 @@ def test_filters_by_shard_with_hot_lines_in_parts(spark, monkeypatch):
     passing = {(bytes(r["key"]), r["doc_id"]) for r in linededup._maybe_frequent(index.refs, index, 0).collect()}
     spread = {(bytes(r["key"]), r["doc_id"]) for r in linededup._maybe_frequent(index.refs, index, 1 << 30).collect()}
     assert passing == spread and passing
+
+
+def test_toxicity_tests_all_pairs(spark):
+    """Terms with a pair weight against every pair's cells, fitted one by one in plain Python."""
+    rng = random.Random(4)
+    rows, y = [], []
+    for n in range(1200):
+        r = sorted(t for t in range(30) if rng.random() < (0.45 if t < 8 else 0.12)) + [30] * (n % 2) + [31] * (1 - n % 2)
+        toxic = (0 in r) != (1 in r) if n % 3 else 2 in r and 9 in r
+        rows.append(np.array(r, np.int32))
+        y.append(int(toxic if rng.random() < 0.95 else not toxic))
+    rows, y = rows + rows[:200], np.array(y + y[:200])  # copies count once
+    telling = np.array([t in (4, 9, 11) for t in range(32)])
+    distinct = {(tuple(r), int(t)) for r, t in zip(rows, y)}
+
+    def gain(i, j):
+        seen = {c: [0.0, 0.0] for c in itertools.product((0, 1), repeat=2)}
+        for r, t in distinct:
+            seen[i in r, j in r][t] += 1
+        fit = {c: [sum(v) / 2] * 2 for c, v in seen.items()}
+        for _ in range(50):  # margins of labels by second term, labels by first term, and rows
+            for key in (lambda c, t: (c[0], t), lambda c, t: (c[1], t), lambda c, t: c):
+                want, have = {}, {}
+                for c in seen:
+                    for t in (0, 1):
+                        want[key(c, t)] = want.get(key(c, t), 0) + seen[c][t]
+                        have[key(c, t)] = have.get(key(c, t), 0) + fit[c][t]
+                fit = {c: [fit[c][t] * want[key(c, t)] / have[key(c, t)] if have[key(c, t)] else 0.0 for t in (0, 1)] for c in seen}
+        return 2 * sum(seen[c][t] * math.log(seen[c][t] / fit[c][t]) for c in seen for t in (0, 1) if seen[c][t])
+
+    for floor in (8.0, 40.0):
+        good = [p for p in itertools.combinations(range(32), 2) if not telling[list(p)].all() and gain(*p) >= floor]
+        got = toxicity.paired(spark, rows, y, telling, floor)
+        assert good and set(np.flatnonzero(got)) == {t for p in good for t in p}
+    assert not toxicity.paired(spark, [], np.zeros(0, int), telling).any()
+    assert not len(toxicity.paired(spark, rows, y, np.zeros(0, bool)))
+
+
+def test_toxicity_pair_counts_in_steps(monkeypatch):
+    monkeypatch.setattr(toxicity, "GATHER", 7)
+    rng = np.random.default_rng(1)
+    rows = [np.flatnonzero(rng.random(20) < 0.4).astype(np.int32) for _ in range(50)] + [np.zeros(0, np.int32)]
+    held = toxicity._Sample(np.concatenate(rows), np.cumsum([0, *map(len, rows)]), rng.integers(0, 2, 51), 20)
+    for docs in (np.arange(51), np.array([3, 9, 50]), np.zeros(0, int), np.array([50])):
+        assert held._together(docs).tolist() == [sum(t in rows[d] for d in docs) for t in range(20)]
