@@ -154,26 +154,37 @@ class _Sample:
         self.none = _entropy(np.float64(self.pos), np.float64(self.n))
         self.alone = _entropy(self.ai, self.ni) + _entropy(self.pos - self.ai, self.n - self.ni) - self.none
 
-    def _together(self, docs: np.ndarray) -> np.ndarray:
-        """How many of the rows hold each index."""
-        out = np.zeros(self.terms)
+    def _held(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The indexes of some rows, one after another."""
+        return self.values[np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())]
+
+    def together(self, docs: np.ndarray, low: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The indexes from ``low`` on that ``docs`` hold, how many of these rows hold each and
+        how many toxic ones: by sorting where the rows are short beside a counter for every index."""
         start, size = self.ends[docs], self.ends[docs + 1] - self.ends[docs]
-        upto = np.cumsum(size)
-        steps = np.searchsorted(upto, np.arange(0, upto[-1] if len(upto) else 0, GATHER), side="right")
-        for low, high in zip(steps, [*steps[1:], len(docs)]):
-            s, n = start[low:high], size[low:high]
-            at = np.repeat(s - np.cumsum(n) + n, n) + np.arange(n.sum())
-            out += np.bincount(self.values[at], minlength=self.terms)
-        return out
+        if size.sum() < min(self.terms // 8, GATHER):
+            held, label = self._held(start, size), np.repeat(self.y[docs], size)
+            later = held >= low
+            j, at = np.unique(held[later], return_inverse=True)
+            return j.astype(np.int64), np.bincount(at, minlength=len(j)), np.bincount(at, label[later], len(j))
+        counts = np.zeros((2, self.terms))
+        for label in (0, 1):
+            s, n = start[self.y[docs] == label], size[self.y[docs] == label]
+            upto = np.cumsum(n)
+            steps = np.searchsorted(upto, np.arange(0, upto[-1] if len(upto) else 0, GATHER), side="right")
+            for first, end in zip(steps, [*steps[1:], len(n)]):
+                counts[label] += np.bincount(self._held(s[first:end], n[first:end]), minlength=self.terms)
+        both = counts.sum(axis=0)
+        j = np.flatnonzero(both[low:]) + low
+        return j, both[j], counts[1][j]
 
     def partners(self, i: int, telling: np.ndarray, min_llr: float) -> np.ndarray:
         """The indexes after ``i`` that form a pair with it.  Two that never occur together leave
         their common cell empty, which two additive weights always fit."""
-        docs = self.docs[self.first[i]:self.first[i + 1]]
-        a11 = self._together(docs[self.y[docs] == 1])
-        n11 = a11 + self._together(docs[self.y[docs] == 0])
-        j = np.flatnonzero((n11 > 0) & (np.arange(self.terms) > i) & ~(telling[i] & telling))
-        n11, a11, nj, aj = n11[j], a11[j], self.ni[j], self.ai[j]
+        j, n11, a11 = self.together(self.docs[self.first[i]:self.first[i + 1]], i + 1)
+        if telling[i]:
+            j, n11, a11 = (x[~telling[j]] for x in (j, n11, a11))
+        nj, aj = self.ni[j], self.ai[j]
         ni, ai = self.ni[i], self.ai[i]
         ns = [n11, ni - n11, nj - n11, self.n - ni - nj + n11]
         as_ = [a11, ai - a11, aj - a11, self.pos - ai - aj + a11]

@@ -215,10 +215,14 @@ def test_toxicity_tests_all_pairs(spark):
     assert not len(toxicity.paired(spark, rows, y, np.zeros(0, bool)))
 
 
-def test_toxicity_pair_counts_in_steps(monkeypatch):
-    monkeypatch.setattr(toxicity, "GATHER", 7)
+@pytest.mark.parametrize("step, copies", [(7, 1), (1 << 20, 1), (7, 40), (1 << 20, 40)])  # many terms beside the rows: counted by sorting
+def test_toxicity_pair_counts(monkeypatch, step, copies):
+    monkeypatch.setattr(toxicity, "GATHER", step)
     rng = np.random.default_rng(1)
     rows = [np.flatnonzero(rng.random(20) < 0.4).astype(np.int32) for _ in range(50)] + [np.zeros(0, np.int32)]
-    held = toxicity._Sample(np.concatenate(rows), np.cumsum([0, *map(len, rows)]), rng.integers(0, 2, 51), 20)
-    for docs in (np.arange(51), np.array([3, 9, 50]), np.zeros(0, int), np.array([50])):
-        assert held._together(docs).tolist() == [sum(t in rows[d] for d in docs) for t in range(20)]
+    y = rng.integers(0, 2, 51)
+    held = toxicity._Sample(np.concatenate(rows), np.cumsum([0, *map(len, rows)]), y, 20 * copies)
+    for docs in (np.arange(51), np.array([3, 9, 50]), np.array([4]), np.zeros(0, int), np.array([50])):
+        for low in (0, 6, 19):
+            n = {t: (sum(t in rows[d] for d in docs), sum(t in rows[d] for d in docs if y[d])) for t in range(low, 20)}
+            assert [tuple(map(int, x)) for x in zip(*held.together(docs, low))] == [(t, *c) for t, c in n.items() if c[0]]
