@@ -2,9 +2,13 @@
 
 A title's grams are its distinct substrings of one to three characters, lower case, and
 the empty one.  A trimmed, lower-case term of up to three characters is a gram itself, so
-its posting list is the answer.  A longer one has several grams: the titles of its rarest
-are met first, those without its second rarest leave, and the survivors are checked by
-``contains``.  Everything is an equi-join; no term meets a title that lacks its rarest gram.
+its posting list is the answer.  A longer one has several grams: it meets the titles of its
+rarest, and ``contains`` checks each where they meet.  Everything is an equi-join; no term
+meets a title that lacks its rarest gram.
+
+Postings are many times the titles' size in the file, which is what a planner guesses from, so
+they are never the side that is broadcast: the terms are, where they are few by count and bytes,
+else both are shuffled.
 
 ``%`` and ``_`` are literal.  The empty term finds every title, null terms and titles nothing;
 repeated terms give one answer, repeated movie ids with different titles are found by any of them.
@@ -15,7 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.joins import join_dimension
+from ..session import stored
+
 GRAM = 3
+MAX_TERMS = 500_000  # terms that are broadcast: a table of them is held by the driver once
 
 
 def _grams(text: Column, sizes) -> Column:
@@ -39,14 +47,10 @@ def search_terms(terms: DataFrame, postings: DataFrame, term_col: str = "term",
     wanted = terms.select(F.lower(F.trim(term_col)).alias("term")).where("term IS NOT NULL").distinct()
     whole = F.length("term") <= GRAM
     grams = F.when(whole, F.array("term")).otherwise(_grams(F.col("term"), [GRAM]))
-    frequency = postings.groupBy("gram").agg(F.count("*").alias("n"))
+    frequency = postings.groupBy("gram").agg(F.count("*").alias("n")).hint("merge")
     # a gram that no title has makes its term's list empty: it is the rarest
     rare = wanted.select("term", F.explode(grams).alias("gram")).join(frequency, "gram", "left").groupBy("term").agg(
-        F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))), 1, 2).alias("rare"))
-    rare = rare.select("term", F.col("rare")[0]["gram"].alias("first"), F.try_element_at("rare", F.lit(2))["gram"].alias("second"))
-    found = rare.join(postings.withColumnRenamed("gram", "first"), "first").select("term", "second", "item", "title")
-    # the second list is met by (gram, title): a narrower key than the gram alone
-    also = postings.select(F.col("gram").alias("second"), "item", "title")
-    both = found.where("second IS NOT NULL").join(also, ["second", "item", "title"], "left_semi")
-    hits = found.where("second IS NULL").select(*both.columns).unionByName(both).where(F.contains("title", "term"))
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))["gram"].alias("gram"))
+    rare = stored(rare, "rare-grams")  # counted, then joined
+    hits = join_dimension(postings.hint("merge"), rare, "gram", max_rows=MAX_TERMS).where(F.contains("title", "term"))
     return hits.select("term", "item").distinct().select(F.col("term").alias(term_col), F.col("item").alias(item_col))

@@ -13,7 +13,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Conf keys of this library (read from the session, with defaults).
 BROADCAST_MAX_ROWS_KEY = "cinelytics.join.broadcastMaxRows"
@@ -69,6 +69,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(root, "cinelytics", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to Parquet below the shared checkpoint root: what is read several times
+    runs its joins once, in packed columns (a checkpoint holds whole unpacked rows)."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def free_unused(spark: SparkSession) -> None:
+    """Spark removes the shuffle files and cached blocks of frames that nothing refers to only when the driver
+    collects its garbage, which a driver with room to spare does seldom: ask for it after a large step."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def conf_int(spark: SparkSession, key: str, default: int) -> int:
     value = spark.conf.get(key, None)
     return int(value) if value else default

@@ -41,3 +41,16 @@ def test_no_cross_join(spark):
     plan = search.search_terms(catalog.selectExpr("moviename AS term"), search.title_postings(catalog))
     text = plan._jdf.queryExecution().toString()
     assert "CartesianProduct" not in text and "NestedLoop" not in text
+
+
+def test_postings_are_never_broadcast(spark, monkeypatch):
+    """With more terms than are broadcast, both sides are shuffled, however small the titles' file looks."""
+    from cinelytics import fixtures as fx
+
+    from .conftest import SF_SMALL
+
+    monkeypatch.setattr(search, "MAX_TERMS", 0, raising=False)
+    catalog = fx.movieinfo_v(spark, SF_SMALL)
+    found = search.search_terms(catalog.selectExpr("moviename AS term"), search.title_postings(catalog))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert run(spark, TITLES, TERMS) == brute(TITLES, TERMS)
