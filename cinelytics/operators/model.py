@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import TOP_N, is_finite, is_positive_prediction
 from ..plans.joins import join_dimension
-from ..session import checkpoint_root
+from ..session import checkpoint_root, free_unused, scratch_path, stored
 from .evaluate import DOUBLE_MAX, rmse
 from .mips import best_unseen
 
@@ -28,6 +28,11 @@ GRID_PARALLELISM = 4  # cells at a time: bounds what the driver and the cluster
 # ratings and the product stays bounded.
 ROWS_PER_BLOCK = 1_000_000
 MIN_BLOCKS, MAX_BLOCKS = 10, 1_000
+# Every iteration sends a user's factors to each block that holds an item of theirs, and an item's to
+# each block with one of its users: a fit's blocks are as large as a task can hold (about 12 bytes a rating).
+FIT_ROWS_PER_BLOCK = 32_000_000
+FIT_BLOCKS = 6  # of a fit that runs alone on enough cores
+CHECKPOINT_INTERVAL = 2  # iterations whose shuffle files are on disk at a time
 METRICS_SCHEMA = ("grid_order int, rank int, reg_param double, max_iter int, rmse double, n_pairs long, "
                   "status string, error string")
 
@@ -81,31 +86,42 @@ def grid(ranks=GRID_RANKS, regs=GRID_REGS, iters=GRID_ITERS) -> list[AlsParams]:
 def als_fit(train: DataFrame, params: AlsParams, seed: int = DEFAULT_SEED, user_col: str = "userid",
             item_col: str = "movieid", rating_col: str = "rating", blocks: int | None = None):
     """Explicit-feedback ALS.  Ids must fit in 32 bits (checked).  ``blocks``: user / item
-    blocks, by default derived from the number of ratings (``als_blocks``, one counting pass).
-    Iterations are checkpointed into the shared checkpoint folder every 10 steps,
-    which cuts the lineage.  One user's or item's ratings always share a block."""
-    from pyspark.ml.recommendation import ALS
+    blocks, by default derived from the number of ratings (``als_blocks``; the ratings are then
+    stored once, counted and fitted).  Iterations are checkpointed into the shared checkpoint folder
+    every ``CHECKPOINT_INTERVAL`` steps, which cuts the lineage and frees the shuffle files before it.
+    One user's or item's ratings always share a block.
 
-    checkpoint_root(train.sparkSession)
-    nblocks = blocks or als_blocks(train, user_col, item_col)
+    The model comes back stored and read again: nothing holds the fit's cached blocks and
+    shuffle files any more, however many models are kept."""
+    from pyspark.ml.recommendation import ALS, ALSModel
+
+    spark = train.sparkSession
+    checkpoint_root(spark)
+    ratings = train.select(_int_id(user_col), _int_id(item_col), F.col(rating_col).cast("float").alias(rating_col))
+    if not blocks:
+        ratings = stored(ratings, "als-ratings")
+    nblocks = blocks or als_blocks(ratings)
     als = ALS(
         rank=params.rank, maxIter=params.max_iter, regParam=params.reg, seed=seed,
         userCol=user_col, itemCol=item_col, ratingCol=rating_col,
-        coldStartStrategy="nan", numUserBlocks=nblocks, numItemBlocks=nblocks, checkpointInterval=10,
+        coldStartStrategy="nan", numUserBlocks=nblocks, numItemBlocks=nblocks, checkpointInterval=CHECKPOINT_INTERVAL,
     )
-    return als.fit(train.select(_int_id(user_col), _int_id(item_col), F.col(rating_col).cast("float")))
+    path = scratch_path(spark, "als-model")
+    als.fit(ratings).write().save(path)
+    free_unused(spark)
+    return ALSModel.load(path)
 
 
-def block_count(n_rows: int, cores: int = MIN_BLOCKS) -> int:
-    """A block per ``ROWS_PER_BLOCK`` ratings; a small set gets a block per core, up to ``MIN_BLOCKS``."""
-    return max(min(MIN_BLOCKS, cores), min(MAX_BLOCKS, -(-n_rows // ROWS_PER_BLOCK)))
+def block_count(n_rows: int, cores: int = MIN_BLOCKS, rows_per_block: int = ROWS_PER_BLOCK) -> int:
+    """A block per ``rows_per_block`` ratings; a small set gets a block per core, up to ``MIN_BLOCKS``."""
+    return max(min(MIN_BLOCKS, cores), min(MAX_BLOCKS, -(-n_rows // rows_per_block)))
 
 
-def als_blocks(train: DataFrame, user_col: str = "userid", item_col: str = "movieid") -> int:
-    """Blocks for a training set, counted in one pass that also checks its ids."""
-    checked = train.select(_int_id(user_col), _int_id(item_col))
-    n_rows = checked.agg(F.max(user_col), F.max(item_col), F.count(F.lit(1)).alias("n")).first()["n"]
-    return block_count(n_rows, train.sparkSession.sparkContext.defaultParallelism)
+def als_blocks(ratings: DataFrame, at_once: int = 1) -> int:
+    """Blocks for stored ratings (counted from the files), of which ``at_once`` fits run together: with
+    their tasks side by side each needs fewer blocks to keep the cores busy."""
+    cores = ratings.sparkSession.sparkContext.defaultParallelism // at_once
+    return block_count(ratings.count(), max(2, min(FIT_BLOCKS, cores)), FIT_ROWS_PER_BLOCK)
 
 
 def _int_id(c: str):
@@ -125,7 +141,7 @@ def als_predict(model, pairs: DataFrame) -> DataFrame:
 
 def als_grid_search(train: DataFrame, validation: DataFrame, params: list[AlsParams] | None = None,
                     seed: int = DEFAULT_SEED, keep_models: bool = False, parallelism: int = GRID_PARALLELISM):
-    """Fit every grid cell on the cached training set and score it on validation.
+    """Fit every grid cell on the stored training set and score it on validation.
 
     Returns ``(metrics, models)``: metrics has one row per cell (``grid_order``,
     ``rank``, ``reg_param``, ``max_iter``, ``rmse``, ``n_pairs``, ``status``,
@@ -138,28 +154,25 @@ def als_grid_search(train: DataFrame, validation: DataFrame, params: list[AlsPar
 
     spark = train.sparkSession
     params = params or grid()
-    train = train.persist()
-    validation = validation.persist()
-    try:
-        blocks = als_blocks(train)
-
-        def cell(order: int, p: AlsParams):
-            name = (order, p.rank, float(p.reg), p.max_iter)
-            spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"als-cell-{order}")
-            try:
-                model = als_fit(train, p, seed, blocks=blocks)
-                score = rmse(als_predict(model, validation)).first()
-                return (*name, float(score["rmse"]), score["n_pairs"], "ok", None), model
-            except Exception as e:  # noqa: BLE001 - a failing cell is part of the result
-                return (*name, float("nan"), 0, "failed", f"{type(e).__name__}: {e}"[:500]), None
-
-        with ThreadPoolExecutor(max(1, parallelism)) as pool:
-            # a wrapper per cell: each job thread gets its own copy of the caller's local properties
-            jobs = [pool.submit(inheritable_thread_target(spark)(cell), i, p) for i, p in enumerate(params)]
-            done = [j.result() for j in jobs]
-    finally:
-        train.unpersist()
-        validation.unpersist()
+    ratings = stored(train.select(_int_id("userid"), _int_id("movieid"), F.col("rating").cast("float").alias("rating")),
+                     "als-ratings")
+    validation = stored(validation, "als-validation")
+    blocks = als_blocks(ratings, max(1, parallelism))
+
+    def cell(order: int, p: AlsParams):
+        name = (order, p.rank, float(p.reg), p.max_iter)
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"als-cell-{order}")
+        try:
+            model = als_fit(ratings, p, seed, blocks=blocks)
+            score = rmse(als_predict(model, validation)).first()
+            return (*name, float(score["rmse"]), score["n_pairs"], "ok", None), model
+        except Exception as e:  # noqa: BLE001 - a failing cell is part of the result
+            return (*name, float("nan"), 0, "failed", f"{type(e).__name__}: {e}"[:500]), None
+
+    with ThreadPoolExecutor(max(1, parallelism)) as pool:
+        # a wrapper per cell: each job thread gets its own copy of the caller's local properties
+        jobs = [pool.submit(inheritable_thread_target(spark)(cell), i, p) for i, p in enumerate(params)]
+        done = [j.result() for j in jobs]
     models = {row[0]: model for row, model in done if keep_models and model is not None}
     return spark.createDataFrame([row for row, _ in done], METRICS_SCHEMA), models
 

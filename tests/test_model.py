@@ -141,3 +141,23 @@ def test_stored_grid_reads_back(spark, tmp_path):
     again, loaded = mdl.load_grid(spark, str(tmp_path / "grid"))
     assert sorted(map(str, again.collect())) == sorted(map(str, metrics.collect()))
     assert list(loaded) == [0] and loaded[0].rank == 2
+
+
+def test_a_fit_holds_no_shuffle_files(spark):
+    """The model is read from files, so its fit's shuffles and cached blocks can go; the iterations'
+    go at every second one."""
+    rows = [(u, m, float((u + m) % 5 + 1)) for u in range(12) for m in range(12)]
+    train = spark.createDataFrame(rows, "userid int, movieid int, rating double")
+    model = mdl.als_fit(train, mdl.AlsParams(2, 0.1, 3))
+    assert model.userFactors.inputFiles() and model.itemFactors.inputFiles()
+    assert mdl.CHECKPOINT_INTERVAL <= 2
+    _, models = mdl.als_grid_search(train, train, [mdl.AlsParams(2, 0.1, 1), mdl.AlsParams(3, 0.1, 1)], keep_models=True)
+    assert all(m.userFactors.inputFiles() for m in models.values())
+
+
+def test_fits_use_few_blocks(spark, monkeypatch):
+    train = spark.range(100).selectExpr("CAST(id AS int) AS userid", "CAST(id AS int) AS movieid", "1.0F AS rating")
+    cores = spark.sparkContext.defaultParallelism
+    assert mdl.als_blocks(train) == max(2, min(6, cores)) and mdl.als_blocks(train, at_once=cores) == 2
+    monkeypatch.setattr(mdl, "FIT_ROWS_PER_BLOCK", 9)
+    assert mdl.als_blocks(train) == 12
