@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stored
 from ..sources import tables as tb
 from .split import split_label
 
@@ -31,15 +32,19 @@ def day_bitmaps(ratings: DataFrame, user_col: str = "userid", item_col: str = "m
                           F.col(item_col).cast("long").alias("movie"), split_label(ts_col).alias("split"))
     ids = rows.select("day", F.explode(F.array(*[
         F.struct(F.lit(k).alias("kind"), F.col(k).alias("id")) for k in ("user", "movie")])).alias("x")).select("day", "x.*")
-    bits = ids.where("id IS NOT NULL").groupBy("day", "kind", F.bitmap_bucket_number("id").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("id")).alias("bitmap"))
+    places = ids.where("id IS NOT NULL").select(
+        "day", "kind", F.bitmap_bucket_number("id").alias("bucket"), F.bitmap_bit_position("id").alias("bit")).distinct()
+    # the places of a bitmap, 32,768 at most, are brought together before it is made: bitmaps of
+    # part of the rows would each be sorted and sent at 4 kB for the few ids they hold
+    bits = places.repartition("day", "kind", "bucket").groupBy("day", "kind", "bucket").agg(
+        F.bitmap_construct_agg("bit").alias("bitmap"))
     counts = rows.groupBy("day", F.col("split").alias("kind")).agg(F.count("*").alias("n"))
     return bits.select("day", "kind", "bucket", "bitmap", F.lit(0).cast("long").alias("n")).unionByName(
         counts.select("day", "kind", F.lit(None).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("bitmap"), "n"))
 
 
 def create(ratings: DataFrame, path: str, buckets: int | None = None) -> None:
-    tb.create_keyed_table(day_bitmaps(ratings), path, "day", buckets)
+    tb.create_keyed_table(stored(day_bitmaps(ratings), "day-rows"), path, "day", buckets)  # counted, then written
 
 
 def put_days(spark: SparkSession, path: str, ratings: DataFrame) -> None:

@@ -19,7 +19,7 @@ from .operators import evaluate as ev
 from .operators import model as mdl
 from .operators import recommend as rec
 from .operators import split as sp
-from .session import scratch_path
+from .session import scratch_path, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -200,7 +200,7 @@ def q_split_counts(spark, d):
 
 def _day_table(spark, d):
     """The day table of the sample: all days but the newest first, that one added alone."""
-    ratings = V(spark, d, "ratings_v")
+    ratings = stored(V(spark, d, "ratings_v").select("userid", "movieid", "ts"), "ratings")  # read four times
     newest = ratings.agg(F.max(dc.day_of())).scalar()
     path = scratch_path(spark, "day-bitmaps")
     dc.create(ratings.where(dc.day_of() < newest), path)

@@ -59,3 +59,11 @@ def test_a_new_day_reads_no_other_day(spark):
     dc.put_days(spark, path, spark.createDataFrame(rows(2, [2], 50), SCHEMA))
     after = tb.read_commit(spark, path)["folders"]
     assert all(after[b] == f for b, f in before.items()) and len(after) == 2
+
+
+def test_bitmaps_are_made_where_their_ids_are(spark):
+    """No bitmap of a part of a day's rows is sent: the exchange lies below the aggregate's first half."""
+    plan = dc.day_bitmaps(spark.createDataFrame(rows(1, [1, 2], 50), SCHEMA))._jdf.queryExecution().executedPlan().toString()
+    whole, partial = plan.index("bitmap_construct_agg("), plan.index("partial_bitmap_construct_agg(")
+    assert whole < partial and "Exchange" not in plan[whole:partial]
+    assert "hashpartitioning(day" in plan[partial:]
