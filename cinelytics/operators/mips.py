@@ -13,7 +13,7 @@ bound never falls below the n-th best score sees every item.
   and a user with any number of seen items adds at most ``round / 64`` rows to a round.
 * A user's state is its factors and the n best found so far.
 
-Every round's state is a checkpoint in the shared folder.
+The seen words and every round's state are stored in the shared folder, in packed columns.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..plans.joins import join_dimension
 from ..plans.ranking import global_rank
+from ..session import stored
 
 ROUND_BYTES = 32 << 20
 BLOCK = 2_048
@@ -88,6 +89,17 @@ def nth_best(users, scores, n, n_users):
     return out
 
 
+def known_users(b: pa.RecordBatch, last: int | None):
+    """A sorted batch without the seen words of users that have no state, and its last user with one
+    (``last``: that of the batches before)."""
+    ids, kind = b.column(0).to_numpy(), b.column(1).to_numpy()
+    if not len(ids):
+        return b, last
+    head = np.maximum.accumulate(np.where(kind == 0, np.arange(len(ids)), -1))
+    known = np.where(head < 0, last is not None and ids == last, ids == ids[head])
+    return (b if known.all() else b.filter(pa.array(known))), int(ids[head[-1]]) if head[-1] >= 0 else last
+
+
 def _round(items, n, next_norm, block):
     """mapInArrow function over a round's rows (userid, kind, features, ids, scores, word, bits),
     sorted by user with the user's state (kind 0) before its seen words (kind 1)."""
@@ -118,8 +130,9 @@ def _round(items, n, next_norm, block):
             names=["userid", "features", "ids", "scores", "done"])
 
     def run(batches):
-        held, users, words = [], 0, 0
+        held, users, words, last = [], 0, 0, None
         for b in batches:
+            b, last = known_users(b, last)
             at = 0
             while at < b.num_rows:
                 kind = b.column(1).to_numpy()[at:]
@@ -165,7 +178,8 @@ def best_unseen(user_factors: DataFrame, item_factors: DataFrame, seen: DataFram
     words = pairs.select(F.col(user_col).alias("userid"), F.floor(F.col("at") / per_round).cast("int").alias("round"),
                          F.floor(F.col("at") % per_round / 64).cast("int").alias("word"),
                          F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int")).alias("bits"))
-    words = words.groupBy("userid", "round", "word").agg(F.bit_or("bits").alias("bits")).checkpoint(eager=True)
+    words = words.groupBy("userid", "round", "word").agg(F.bit_or("bits").alias("bits"))
+    words = stored(words.where("userid IS NOT NULL"), "seen-words")
     no_ids, no_scores = F.array().cast("array<int>"), F.array().cast("array<float>")
     state = user_factors.select(F.col("id").alias("userid"), "features", no_ids.alias("ids"), no_scores.alias("scores"))
     parts = []
@@ -175,7 +189,9 @@ def best_unseen(user_factors: DataFrame, item_factors: DataFrame, seen: DataFram
         last = (r + 1) * per_round >= n_items
         after = 0.0 if last else ranked.where(F.col("place") == (r + 1) * per_round + 1).first()["norm"]
         sent = spark.sparkContext.broadcast((matrix, rows["id"].to_numpy(np.int64), rows["norm"].to_numpy(np.float64)))
-        mine = words.where(F.col("round") == r).join(state.select("userid"), "userid", "left_semi")
+        mine = words.where(F.col("round") == r)
+        if r:  # in the first round everyone is there; the few users without a state are left out by the task
+            mine = mine.join(state.select("userid"), "userid", "left_semi")
         both = state.select("userid", F.lit(0).alias("kind"), "features", "ids", "scores", F.lit(0).alias("word"),
                             F.lit(0).cast("long").alias("bits")).unionByName(
             mine.select("userid", F.lit(1).alias("kind"), "word", "bits"), allowMissingColumns=True)
@@ -183,7 +199,8 @@ def best_unseen(user_factors: DataFrame, item_factors: DataFrame, seen: DataFram
         # the union are hashed by it, and their partitions then need not be merged alike at run time
         both = both.repartition(F.xxhash64("userid")).sortWithinPartitions("userid", "kind", "word")
         state = both.mapInArrow(_round(sent, n, after, block), "userid int, features array<float>, ids array<int>, "
-                                "scores array<float>, done boolean").checkpoint(eager=True)
+                                "scores array<float>, done boolean")
+        state = stored(state, "best-so-far")
         parts.append(state if last else state.where("done"))
         state = state.where("NOT done")
         if last or state.isEmpty():

@@ -15,10 +15,10 @@ from .operators import split as sp
 from .operators import status as st
 from .plans.joins import join_dimension
 from .queries import (
-    POP_VIEWS, SQL_POPULARITY, SQL_SPLITS, SQL_TRAINING, V, _most_active_user, _own_seen, _seen, _test, _train,
-    _training, _validation, register)
+    POP_VIEWS, SQL_POPULARITY, SQL_SPLITS, SQL_TRAINING, V, _most_active_user, _own_seen, _test, _train, _training,
+    _validation, register)
 from .queries_web import SQL_FAILED_USERS, failed_users
-from .session import scratch_path
+from .session import scratch_path, stored
 from .sources import tables as tb
 
 FIRST_CELL = mdl.grid()[0]  # rank 8, lambda 0.1, 10 iterations
@@ -205,8 +205,9 @@ def q_recommend_for_user(spark, d):
 @register("recommend_for_users", fx.oracle_with(POP_VIEWS, _invariants_sql("seen", "seen"), SQL_KNOWN))
 def q_recommend_for_users(spark, d):
     """M7: one model, ten unseen positive catalog movies for every user it knows."""
-    model = mdl.als_fit(_training(spark, d), FIRST_CELL)
-    seen = _seen(spark, d)
+    ratings = stored(V(spark, d, "ratings_v"), "ratings")  # trained on, then looked up as seen three times
+    model = mdl.als_fit(sp.training_union(sp.split_part(ratings, "train"), V(spark, d, "my_ratings_v")), FIRST_CELL)
+    seen = sp.positive_ratings(ratings).select("userid", "movieid").unionByName(_own_seen(spark, d))
     catalog = V(spark, d, "movieinfo_v")
     recs = mdl.recommend_for_users(model, seen.select("userid").distinct(), seen, catalog, n=10)
     return _invariants(recs, seen, catalog)

@@ -84,3 +84,20 @@ def test_empty_inputs(spark):
     assert mips.best_unseen(users, items.limit(0), seen, 10).count() == 0
     assert mips.best_unseen(users.limit(0), items, seen, 10).count() == 0
     assert [tuple(r) for r in mips.best_unseen(users, items, seen.limit(0), 10).collect()] == [(1, 2, 1.0, 1)]
+
+
+def test_words_of_users_without_a_state_are_left_out():
+    import pyarrow as pa
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32())],
+                                          names=["userid", "kind"])
+
+    def left(rows, last):
+        b, after = mips.known_users(batch(rows), last)
+        return list(zip(*(c.to_pylist() for c in b.columns))), after
+
+    assert left([(1, 1), (2, 0), (2, 1), (3, 1)], None) == ([(2, 0), (2, 1)], 2)
+    assert left([(2, 1), (2, 1), (3, 1)], 2) == ([(2, 1), (2, 1)], 2)  # a user over two batches
+    assert left([(3, 1), (4, 0), (4, 1), (5, 0)], 2) == ([(4, 0), (4, 1), (5, 0)], 5)
+    assert left([(7, 1)], None) == ([], None) and left([], 3) == ([], 3)
